@@ -228,7 +228,7 @@ def repository_name(path: Column) -> Column:
 
 
 def duration_text(start: Column, end: Column) -> Column:
-    sec = F.unix_seconds(end) - F.unix_seconds(start)
+    sec = F.timestamp_diff("SECOND", start, end)
     text = F.concat(
         F.floor(sec / 60).cast("string"), F.lit("m "), F.pmod(sec, F.lit(60)).cast("string"), F.lit("s")
     )
@@ -236,7 +236,7 @@ def duration_text(start: Column, end: Column) -> Column:
 
 
 def relative_time(ts: Column, now: Column) -> Column:
-    sec = F.unix_seconds(now) - F.unix_seconds(ts)
+    sec = F.timestamp_diff("SECOND", ts, now)
     hours = F.floor(sec / 3600)
     return (
         F.when(hours < 1, F.concat(F.floor(sec / 60).cast("string"), F.lit(" minutes ago")))

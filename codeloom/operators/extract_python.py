@@ -10,11 +10,12 @@ from __future__ import annotations
 import ast
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from codeloom.functions.classify import ladder
+from codeloom.session import cut_lineage
 
 NODE_SCHEMA = (
     "file_path string, node int, parent int, class_node int, scopes array<int>, kind string, "
@@ -130,21 +131,39 @@ def _walk(path: str, text: str) -> Iterator[dict]:
             todo.append((child, me, me if id(child) in members else -1, inside))
 
 
-_COLUMNS = [c.strip().split(" ")[0] for c in NODE_SCHEMA.split(",")]
+_ARROW = pa.schema(
+    [("file_path", pa.string()), ("node", pa.int32()), ("parent", pa.int32()), ("class_node", pa.int32()),
+     ("scopes", pa.list_(pa.int32())), ("kind", pa.string()), ("name", pa.string()), ("detail", pa.string()),
+     ("names", pa.list_(pa.string())), ("line", pa.int32()), ("end_line", pa.int32()), ("n", pa.int32()),
+     ("flag", pa.bool_()), ("flag2", pa.bool_()), ("doc", pa.string()), ("source", pa.string())]
+)
+_FLUSH = 20000  # rows per emitted batch, bounds a worker's memory
 
 
-def _scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    rows: list[dict] = []
     for batch in batches:
-        for path, text in zip(batch["file_path"], batch["text"]):
-            rows = list(_walk(path, text))
-            if rows:
-                out = pd.DataFrame(rows).reindex(columns=_COLUMNS).astype(object)
-                yield out.where(out.notna(), None)
+        for path, text in zip(batch.column("file_path"), batch.column("text")):
+            rows.extend(_walk(path.as_py(), text.as_py()))
+            if len(rows) >= _FLUSH:
+                yield pa.RecordBatch.from_pylist(rows, schema=_ARROW)
+                rows = []
+    if rows:
+        yield pa.RecordBatch.from_pylist(rows, schema=_ARROW)
 
 
 def syntax_nodes(files: DataFrame) -> DataFrame:
     """Flat node table of all Python files."""
-    return files.select("file_path", "text").mapInPandas(_scan, NODE_SCHEMA)
+    return files.select("file_path", "text").mapInArrow(_scan, NODE_SCHEMA)
+
+
+def node_table(files: DataFrame) -> DataFrame:
+    """The node table written once to the shared folder.
+
+    The class, method and function records each read it; parsing every file
+    again for each of them would cost far more than the write.
+    """
+    return cut_lineage(syntax_nodes(files))
 
 
 # ---- records derived in Spark ---------------------------------------------
@@ -425,3 +444,11 @@ def imports(nodes: DataFrame) -> DataFrame:
         .select("file_path", F.explode("names").alias("dependency"))
         .distinct()
     )
+
+
+def of_functions(records: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Records of functions that are no methods."""
+    plain = nodes.filter((F.col("kind") == "FunctionDef") & (F.col("class_node") < 0)).select(
+        "file_path", F.col("node").alias("scope")
+    )
+    return records.join(plain, ["file_path", "scope"], "left_semi")

@@ -70,7 +70,7 @@ IDL_PARENTS = r"(?U)interface\s+\w+\s*:\s*([\w:,\s]+)\s*\{"
 
 
 def strip_idl_comments(text: Column) -> Column:
-    return F.regexp_replace(F.regexp_replace(text, r"(?m)//.*$", ""), r"(?s)/\*.*?\*/", "")
+    return F.regexp_replace(F.regexp_replace(text, r"//[^\n]*", ""), r"(?s)/\*.*?\*/", "")
 
 
 def _idl_members(body: Column) -> Column:

@@ -81,18 +81,18 @@ def sql_statements(files: DataFrame) -> DataFrame:
     in the row's own array without a shuffle.
     """
     text = F.col("text")
-    arrays = []
-    for pattern, group, prepared in STATEMENTS:
-        arrays.append(
-            F.transform(
-                regex_hits(text, pattern, group),
-                lambda h, g=group, p=prepared: F.struct(
-                    h["line"].alias("line_number"),
-                    _strip(h[f"g{g}"]).alias("query_text"),
-                    F.lit(p).alias("is_prepared"),
-                ),
-            )
+
+    def found_by(pattern: str, group: int, prepared: bool) -> Column:
+        return F.transform(
+            regex_hits(text, pattern, group),
+            lambda h: F.struct(
+                h["line"].alias("line_number"),
+                _strip(h[f"g{group}"]).alias("query_text"),
+                F.lit(prepared).alias("is_prepared"),
+            ),
         )
+
+    arrays = [found_by(*statement) for statement in STATEMENTS]
     every = F.filter(F.concat(*arrays), lambda s: F.length(s["query_text"]) >= MIN_LENGTH)
     prepared_only = F.array_distinct(F.filter(F.col("every"), lambda s: s["is_prepared"]))
     plain_only = F.array_distinct(F.filter(F.col("every"), lambda s: ~s["is_prepared"]))

@@ -174,19 +174,14 @@ def rest_endpoints(files: DataFrame) -> DataFrame:
             lambda h: hit(h, F.upper(h["g2"]), next_function(text, h["end"])),
         )
     ]
-    for verb in ("Get", "Post", "Put", "Delete"):
-        arrays.append(
-            F.transform(
-                regex_hits(text, VERB_MAPPING % verb, 2),
-                lambda h, v=verb: hit(h, F.lit(v.upper()), h["g2"]),
-            )
-        )
-    for verb in ("get", "post"):
-        arrays.append(
-            F.transform(
-                regex_hits(text, FASTAPI % verb, 2), lambda h, v=verb: hit(h, F.lit(v.upper()), h["g2"])
-            )
+
+    def declared(pattern: str, verb: str) -> Column:
+        return F.transform(
+            regex_hits(text, pattern % verb, 2), lambda h: hit(h, F.lit(verb.upper()), h["g2"])
         )
+
+    arrays += [declared(VERB_MAPPING, verb) for verb in ("Get", "Post", "Put", "Delete")]
+    arrays += [declared(FASTAPI, verb) for verb in ("get", "post")]
     return (
         files.select("file_path", TEXT, F.concat(*arrays).alias("found"))
         .filter(F.size("found") > 0)

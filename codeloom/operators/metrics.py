@@ -18,9 +18,6 @@ def _whole(df: DataFrame) -> Column:
 
 # ---- jobs ------------------------------------------------------------------
 
-DONE = F.lit("completed")
-
-
 def platform_metrics(jobs: DataFrame, repositories: DataFrame) -> DataFrame:
     done = F.col("status") == "completed"
     totals = jobs.agg(

@@ -16,7 +16,7 @@ Extractor = Callable[[DataFrame], DataFrame]
 
 
 def _python(files: DataFrame) -> DataFrame:
-    nodes = P.syntax_nodes(files)
+    nodes = P.node_table(files)
     cls = P.classes(nodes).select(
         "file_path",
         F.lit("class").alias("type"),
