@@ -189,8 +189,9 @@ def rest_endpoints(files: DataFrame) -> DataFrame:
             "file_path",
             rest_framework(text).alias("framework"),
             declarations(text, CLASS_ABOVE).alias("classes"),
-            F.explode("found").alias("e"),
+            "found",
         )
+        .select("file_path", "framework", "classes", F.explode("found").alias("e"))
         .select(
             "file_path",
             "e.*",
