@@ -9,7 +9,7 @@ from codeloom import schemas
 from codeloom.catalog import bindings as B
 from codeloom.catalog.registry import binding, query
 from codeloom.operators import metrics as M
-from codeloom.operators import ranking as K
+from codeloom.operators.resolve import missing_columns
 from codeloom.sources import corpus, tables
 from codeloom.streaming import jobs as S
 
@@ -222,16 +222,16 @@ def table_rows(spark, d):
     return M.row_counts({t: B.table(spark, d, t) for t in TABLES})
 
 
-@query("D13", "SELECT * FROM (VALUES ('orders', 'progress_percentage'), ('orders', 'current_step'), ('part', 'p_name_long')) v(table_name, column_name)")
+@query("D13", "SELECT DISTINCT event_type AS table_name, unnest(['level', 'm']) AS column_name FROM events")
 def schema_diff(spark, d):
-    expected = spark.createDataFrame(
-        [("orders", "o_orderkey"), ("orders", "progress_percentage"), ("orders", "current_step"),
-         ("part", "p_name"), ("part", "p_name_long")],
-        "table_name string, column_name string",
+    """Keys every event type should carry in its record, minus those found."""
+    e = B.table(spark, d, "events")
+    expected = e.select(c("event_type").alias("table_name")).distinct().select(
+        "table_name", F.explode(F.array(F.lit("k"), F.lit("level"), F.lit("m"))).alias("column_name")
     )
-    actual = tables.columns_of(spark, {t: B.table(spark, d, t) for t in ("orders", "part")})
-    from codeloom.operators.resolve import missing_columns
-
+    actual = e.select(
+        c("event_type").alias("table_name"), F.explode(F.json_object_keys("props")).alias("column_name")
+    ).distinct()
     return missing_columns(expected, actual)
 
 

@@ -190,8 +190,7 @@ def shared_words(spark, d):
     )
 
 
-@query("I6", "SELECT * FROM (VALUES ('current_step'), ('progress_data')) v(column_name)")
-def column_difference(spark, d):
-    want = spark.createDataFrame([("o_orderkey",), ("current_step",), ("progress_data",)], "column_name string")
-    have = spark.createDataFrame([(x,) for x in B.table(spark, d, "orders").columns], "column_name string")
-    return want.exceptAll(have)
+@query("I6", "SELECT doc_id FROM documents EXCEPT ALL SELECT doc_id FROM labels")
+def unlabelled(spark, d):
+    docs = B.table(spark, d, "documents").select("doc_id")
+    return docs.exceptAll(B.table(spark, d, "labels").select("doc_id"))

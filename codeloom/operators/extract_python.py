@@ -7,14 +7,11 @@ all the other records are then joins and aggregations over that node table.
 
 from __future__ import annotations
 
-import ast
-from collections.abc import Iterator
-
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from codeloom.functions.classify import ladder
+from codeloom.operators.syntax_scan import scan
 from codeloom.session import cut_lineage
 
 NODE_SCHEMA = (
@@ -32,129 +29,9 @@ ABSTRACT_BASES = ("ABC", "AbstractBase")
 MATH_OPS = ("Add", "Sub", "Mult", "Div", "Mod")
 
 
-def _dotted(node) -> str | None:
-    """``a`` or ``a.b``; deeper chains keep their last part."""
-    if isinstance(node, ast.Name):
-        return node.id
-    if isinstance(node, ast.Attribute):
-        return f"{node.value.id}.{node.attr}" if isinstance(node.value, ast.Name) else node.attr
-    return None
-
-
-def _facts(node) -> dict | None:
-    """What one syntax node contributes to the table, None to skip it."""
-    k = type(node).__name__
-    if k == "ClassDef":
-        return dict(name=node.name, names=[b for b in map(_dotted, node.bases) if b],
-                    detail=",".join(d for d in map(_dotted, node.decorator_list) if d),
-                    n=len(node.bases), doc=ast.get_docstring(node))
-    if k in ("FunctionDef", "AsyncFunctionDef"):
-        marks = []
-        for d in node.decorator_list:
-            called = isinstance(d, ast.Call) and isinstance(d.func, ast.Name)
-            marks.append(f"{d.func.id}()" if called else _dotted(d))
-        hints = [f"{a.arg}:{h}" for a in node.args.args if (h := _hint(a.annotation))]
-        return dict(name=node.name, names=[a.arg for a in node.args.args],
-                    detail="|".join([",".join(m for m in marks if m), _hint(node.returns) or "", ",".join(hints)]),
-                    n=len(node.args.defaults), flag=bool(node.decorator_list), doc=ast.get_docstring(node))
-    if k == "If":
-        return dict(detail=type(node.test).__name__, flag=bool(node.orelse),
-                    flag2=isinstance(node.test, ast.UnaryOp) and isinstance(node.test.op, ast.Not))
-    if k in ("For", "While"):
-        return dict(flag=bool(node.orelse))
-    if k == "Try":
-        return dict(flag=bool(node.finalbody), flag2=bool(node.orelse), n=len(node.handlers))
-    if k == "ExceptHandler":
-        return dict(name=_dotted(node.type) or "Exception",
-                    flag=len(node.body) > 1 or not isinstance(node.body[0], ast.Pass))
-    if k == "BoolOp":
-        return dict(n=len(node.values) - 1)
-    if k == "BinOp":
-        return dict(name=type(node.op).__name__)
-    if k == "Assign":
-        attrs = [t.attr for t in node.targets if isinstance(t, ast.Attribute)]
-        return dict(names=[t for t in map(_dotted, node.targets) if t], detail=",".join(attrs),
-                    name=",".join(t.id for t in node.targets if isinstance(t, ast.Name)),
-                    flag=isinstance(node.value, (ast.BinOp, ast.Call)))
-    if k == "Call":
-        short = isinstance(node.func, ast.Name)
-        simple = isinstance(node.func, ast.Attribute) and isinstance(node.func.value, ast.Name)
-        return dict(name=_dotted(node.func) if short or simple else None,
-                    detail="function_call" if short else "method_call" if simple else None,
-                    n=len(node.args) + len(node.keywords))
-    if k == "Return":
-        return dict(flag=node.value is not None, detail=_returned(node.value))
-    if k == "Import":
-        return dict(names=[a.name for a in node.names])
-    if k == "ImportFrom":
-        return dict(names=[node.module] if node.module else [])
-    return None
-
-
-def _hint(node) -> str | None:
-    if isinstance(node, ast.Name):
-        return node.id
-    return str(node.value) if isinstance(node, ast.Constant) else None
-
-
-def _returned(value) -> str:
-    if isinstance(value, ast.Constant):
-        return f"{type(value.value).__name__}|constant: {value.value}"
-    if isinstance(value, ast.Name):
-        return f"variable|variable: {value.id}"
-    if isinstance(value, ast.Dict):
-        return "dict|dictionary"
-    return "list|list" if isinstance(value, ast.List) else "None|void"
-
-
-def _walk(path: str, text: str) -> Iterator[dict]:
-    try:
-        tree = ast.parse(text)
-    except (SyntaxError, ValueError, RecursionError, MemoryError):
-        return  # an unparsable file has no entities
-    lines = text.split("\n")
-    # (node, parent row, class row when a direct member, enclosing functions)
-    todo, count = [(tree, -1, -1, [])], 0
-    while todo:
-        node, parent, owner, scopes = todo.pop()
-        facts, me, inside = _facts(node), parent, scopes
-        if facts is not None:
-            me, count = count, count + 1
-            kind = type(node).__name__
-            if kind == "FunctionDef":
-                inside = scopes + [me]
-                facts["source"] = "\n".join(lines[node.lineno - 1 : node.end_lineno]).strip()
-            yield dict(file_path=path, node=me, parent=parent, class_node=owner, scopes=inside,
-                       kind=kind, line=node.lineno, end_line=node.end_lineno, **facts)
-        members = {id(c) for c in node.body} if isinstance(node, ast.ClassDef) else ()
-        for child in ast.iter_child_nodes(node):
-            todo.append((child, me, me if id(child) in members else -1, inside))
-
-
-_ARROW = pa.schema(
-    [("file_path", pa.string()), ("node", pa.int32()), ("parent", pa.int32()), ("class_node", pa.int32()),
-     ("scopes", pa.list_(pa.int32())), ("kind", pa.string()), ("name", pa.string()), ("detail", pa.string()),
-     ("names", pa.list_(pa.string())), ("line", pa.int32()), ("end_line", pa.int32()), ("n", pa.int32()),
-     ("flag", pa.bool_()), ("flag2", pa.bool_()), ("doc", pa.string()), ("source", pa.string())]
-)
-_FLUSH = 20000  # rows per emitted batch, bounds a worker's memory
-
-
-def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    rows: list[dict] = []
-    for batch in batches:
-        for path, text in zip(batch.column("file_path"), batch.column("text")):
-            rows.extend(_walk(path.as_py(), text.as_py()))
-            if len(rows) >= _FLUSH:
-                yield pa.RecordBatch.from_pylist(rows, schema=_ARROW)
-                rows = []
-    if rows:
-        yield pa.RecordBatch.from_pylist(rows, schema=_ARROW)
-
-
 def syntax_nodes(files: DataFrame) -> DataFrame:
     """Flat node table of all Python files."""
-    return files.select("file_path", "text").mapInArrow(_scan, NODE_SCHEMA)
+    return files.select("file_path", "text").mapInArrow(scan, NODE_SCHEMA)
 
 
 def node_table(files: DataFrame) -> DataFrame:

@@ -132,11 +132,12 @@ def module_structure(entities: DataFrame, rules: DataFrame) -> DataFrame:
     Rules are counted per entity first, then both sides reduce to one row per
     (module, type) before they meet.
     """
-    per_entity = rules.groupBy("entity_id").agg(F.count("*").alias("n_rules"))
+    per_entity = rules.groupBy("entity_id").agg(F.count("*").alias("n_found"))
     by_type = (
-        entities.join(per_entity, "entity_id", "left")
+        entities.select("entity_id", "module_path", "type")
+        .join(per_entity, "entity_id", "left")
         .groupBy("module_path", "type")
-        .agg(F.count("*").alias("n_entities"), F.sum(F.coalesce("n_rules", F.lit(0))).alias("n_rules"))
+        .agg(F.count("*").alias("n_entities"), F.sum(F.coalesce("n_found", F.lit(0))).alias("n_rules"))
     )
     totals = by_type.groupBy("module_path").agg(
         F.sum("n_entities").alias("module_entities"), F.sum("n_rules").alias("module_rules")

@@ -12,6 +12,7 @@ from codeloom.functions.paths import SKIP_BUILDER, language, module_path, stem
 from codeloom.functions.text import called_names
 from codeloom.operators import resolve as R
 from codeloom.plans.registry import EXTRACTORS, extract_all
+from codeloom.session import cut_lineage
 
 
 @dataclass
@@ -55,12 +56,17 @@ def module_nodes(files: DataFrame, skip=SKIP_BUILDER) -> DataFrame:
 
 
 def build(files: DataFrame, dependencies: DataFrame | None = None, extractors=EXTRACTORS) -> Graph:
-    """``files``: file_path, text. ``dependencies``: file_path, dependency."""
-    entities = extract_all(files, extractors)
-    nodes = R.parent_ids(code_nodes(entities))
-    edges = inherits(nodes).unionByName(calls(nodes))
+    """``files``: file_path, text. ``dependencies``: file_path, dependency.
+
+    Entities are written once to the shared folder: every edge kind reads them
+    on both sides, and parsing the corpus again each time is the one thing a
+    large run cannot afford.
+    """
+    entities = cut_lineage(code_nodes(extract_all(files, extractors)))
+    nodes = R.parent_ids(entities)
+    edges = inherits(entities).unionByName(calls(entities))
     if dependencies is not None:
-        edges = edges.unionByName(depends(nodes, dependencies))
+        edges = edges.unionByName(depends(entities, dependencies))
     columns = ["entity_id", "name", "type", "file_path", "module_path"]
     modules = module_nodes(files).select(*columns, F.lit(None).cast("int").alias("line_number"),
                                          F.lit(None).cast("string").alias("parent_id"))
