@@ -47,6 +47,24 @@ def present(*conditional: Column) -> Column:
     return F.array_compact(F.array(*conditional))
 
 
+def quoted(value: str) -> str:
+    """SQL string literal."""
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def apply_sql(value: Column, body: str) -> Column:
+    """``body`` is SQL over ``t``; evaluated on ``value``, which is bound once.
+
+    One parsed expression instead of hundreds of driver calls keeps building
+    the larger extractors quick.
+    """
+    return F.call_function("transform", F.array(value), F.expr(f"t -> {body}"))[0]
+
+
+def _bound(value: str, name: str, body: str) -> str:
+    return f"transform(array({value}), {name} -> {body})[0]"
+
+
 def regex_hits(text: Column, pattern: str, groups: int = 1) -> Column:
     """All matches as ``array<struct<start,line,end,g0..gN>>``.
 
@@ -54,39 +72,32 @@ def regex_hits(text: Column, pattern: str, groups: int = 1) -> Column:
     on the same pattern yields the text between matches, so offsets and line
     numbers are prefix sums; nothing leaves the JVM.
     """
-    pat = F.lit(pattern)
-    found = F.struct(
-        F.split(text, pattern, -1).alias("gaps"),
-        *[F.regexp_extract_all(text, pat, F.lit(i)).alias(f"g{i}") for i in range(groups + 1)],
+    p = quoted(pattern)
+    every = range(groups + 1)
+    breaks = "length(s) - length(replace(s, '\\n', ''))"
+    found = "named_struct('gaps', split(t, {p}, -1), {g})".format(
+        p=p, g=", ".join(f"'g{i}', regexp_extract_all(t, {p}, {i})" for i in every)
     )
-
-    def measured(m: Column) -> Column:
-        return F.struct(
-            m["g0"].alias("g0"),
-            *[m[f"g{i}"].alias(f"g{i}") for i in range(1, groups + 1)],
-            F.transform(m["gaps"], lambda s: F.length(s)).alias("gap_len"),
-            F.transform(m["gaps"], newlines).alias("gap_nl"),
-            F.transform(m["g0"], lambda s: F.length(s)).alias("hit_len"),
-            F.transform(m["g0"], newlines).alias("hit_nl"),
-        )
-
-    def total(values: Column, upto: Column) -> Column:
-        return F.aggregate(F.slice(values, F.lit(1), upto), F.lit(0), lambda a, x: a + x)
-
-    def rows(m: Column) -> Column:
-        def one(hit: Column, i: Column) -> Column:
-            start = total(m["gap_len"], i + 1) + total(m["hit_len"], i)
-            return F.struct(
-                start.alias("start"),
-                (F.lit(1) + total(m["gap_nl"], i + 1) + total(m["hit_nl"], i)).alias("line"),
-                (start + F.length(hit)).alias("end"),
-                hit.alias("g0"),
-                *[F.get(m[f"g{g}"], i).alias(f"g{g}") for g in range(1, groups + 1)],
+    measured = "named_struct({g}, {m})".format(
+        g=", ".join(f"'g{i}', m.g{i}" for i in every),
+        m=", ".join(
+            f"'{name}', transform(m.{src}, s -> {what})"
+            for name, src, what in (
+                ("gap_len", "gaps", "length(s)"),
+                ("gap_nl", "gaps", breaks),
+                ("hit_len", "g0", "length(s)"),
+                ("hit_nl", "g0", breaks),
             )
-
-        return F.transform(m["g0"], one)
-
-    return bind(found, lambda m: bind(measured(m), rows))
+        ),
+    )
+    total = "aggregate(slice(q.{0}, 1, {1}), 0, (a, x) -> a + x)".format
+    start = f"({total('gap_len', 'i + 1')} + {total('hit_len', 'i')})"
+    one = "named_struct('start', {s}, 'line', 1 + {n}, 'end', {s} + length(h), 'g0', h{g})".format(
+        s=start,
+        n=f"{total('gap_nl', 'i + 1')} + {total('hit_nl', 'i')}",
+        g="".join(f", 'g{i}', get(q.g{i}, i)" for i in every if i),
+    )
+    return apply_sql(text, _bound(found, "m", _bound(measured, "q", f"transform(q.g0, (h, i) -> {one})")))
 
 
 def called_names(text: Column) -> Column:
