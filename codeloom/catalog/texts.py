@@ -130,7 +130,11 @@ def _slots(k: Column) -> dict[str, Column]:
 
 
 def _parts(spark: SparkSession, d: str) -> tuple[DataFrame, Column]:
-    return table(spark, d, "part").select(F.col("p_partkey").alias("k")), F.col("k")
+    # A key becomes a whole source text and then many rows, so the keys are
+    # spread over all cores before they grow.
+    tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    keys = table(spark, d, "part").select(F.col("p_partkey").alias("k"))
+    return keys.repartition(tasks, "k"), F.col("k")
 
 
 def _texts(spark: SparkSession, d: str, path: str, text: Column) -> DataFrame:

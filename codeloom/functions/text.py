@@ -65,9 +65,12 @@ def _bound(value: str, name: str, body: str) -> str:
     return f"transform(array({value}), {name} -> {body})[0]"
 
 
-def regex_hits(text: Column, pattern: str, groups: int = 1) -> Column:
+def regex_hits(text: Column, pattern: str, groups: int = 1, needs: str = "") -> Column:
     """All matches as ``array<struct<start,line,end,g0..gN>>``.
 
+    ``needs`` is a lower-case literal every match contains; texts without it
+    skip the pattern.
+
     ``start`` is the 0-based character offset, ``line`` is 1-based. Splitting
     on the same pattern yields the text between matches, so offsets and line
     numbers are prefix sums; nothing leaves the JVM.
@@ -97,7 +100,10 @@ def regex_hits(text: Column, pattern: str, groups: int = 1) -> Column:
         n=f"{total('gap_nl', 'i + 1')} + {total('hit_nl', 'i')}",
         g="".join(f", 'g{i}', get(q.g{i}, i)" for i in every if i),
     )
-    return apply_sql(text, _bound(found, "m", _bound(measured, "q", f"transform(q.g0, (h, i) -> {one})")))
+    hits = _bound(found, "m", _bound(measured, "q", f"transform(q.g0, (h, i) -> {one})"))
+    if needs:
+        hits = f"if(contains(lower(t), {quoted(needs)}), {hits}, array())"
+    return apply_sql(text, hits)
 
 
 def called_names(text: Column) -> Column:

@@ -30,15 +30,15 @@ TS_IMPORT = r"(?U)import\s+.*?\s+from\s+['\"]([^'\"]+)['\"]"
 def angular_entities(files: DataFrame) -> DataFrame:
     text = F.col(TEXT)
 
-    def declared(pattern, kind, **attrs):
-        return F.transform(regex_hits(text, pattern), lambda h: entity(kind, h["g1"], h["line"], **attrs))
+    def declared(pattern, needs, kind, **attrs):
+        return F.transform(regex_hits(text, pattern, needs=needs), lambda h: entity(kind, h["g1"], h["line"], **attrs))
 
     return explode_entities(
         files,
-        declared(TS_COMPONENT, "component", framework="Angular"),
-        declared(TS_SERVICE, "service", framework="Angular"),
-        declared(TS_MODULE, "module", framework="Angular"),
-        declared(TS_INTERFACE, "interface", language="TypeScript"),
+        declared(TS_COMPONENT, "@component", "component", framework="Angular"),
+        declared(TS_SERVICE, "@injectable", "service", framework="Angular"),
+        declared(TS_MODULE, "@ngmodule", "module", framework="Angular"),
+        declared(TS_INTERFACE, "interface", "interface", language="TypeScript"),
     )
 
 
@@ -78,7 +78,7 @@ def _idl_members(body: Column) -> Column:
 
 
 def _idl_record(text: Column, pattern: str, kind: str, idl_type: str) -> Column:
-    closed = F.filter(regex_hits(text, pattern, 3), lambda h: h["g3"] == "}")
+    closed = F.filter(regex_hits(text, pattern, 3, idl_type), lambda h: h["g3"] == "}")
     return F.transform(
         closed, lambda h: entity(kind, h["g1"], h["line"], _idl_members(h["g2"]), idl_type=idl_type)
     )
@@ -113,7 +113,7 @@ def _idl_interface(h: Column) -> Column:
 
     inner = F.concat(
         F.transform(regex_hits(h["g3"], IDL_METHOD, 3), method),
-        F.transform(regex_hits(h["g3"], IDL_ATTRIBUTE, 2), attribute),
+        F.transform(regex_hits(h["g3"], IDL_ATTRIBUTE, 2, "attribute"), attribute),
     )
     nothing = F.filter(inner, lambda _: F.lit(False))
     return F.concat(F.array(own), F.when(h["g4"] == "}", inner).otherwise(nothing))
@@ -129,20 +129,20 @@ def idl_entity_array(source: Column) -> Column:
         )
         return F.concat(
             F.transform(
-                regex_hits(text, IDL_MODULE),
+                regex_hits(text, IDL_MODULE, needs="module"),
                 lambda h: entity("corba_module", h["g1"], h["line"], idl_type="module"),
             ),
-            F.flatten(F.transform(regex_hits(text, IDL_INTERFACE, 4), _idl_interface)),
+            F.flatten(F.transform(regex_hits(text, IDL_INTERFACE, 4, "interface"), _idl_interface)),
             _idl_record(text, IDL_STRUCT, "corba_struct", "struct"),
             _idl_record(text, IDL_EXCEPTION, "corba_exception", "exception"),
             F.transform(
-                regex_hits(text, IDL_TYPEDEF, 2),
+                regex_hits(text, IDL_TYPEDEF, 2, "typedef"),
                 lambda h: entity(
                     "corba_typedef", h["g2"], h["line"], base_type=F.trim(h["g1"]), idl_type="typedef"
                 ),
             ),
             F.transform(
-                regex_hits(text, IDL_ENUM, 2),
+                regex_hits(text, IDL_ENUM, 2, "enum"),
                 lambda h: entity("corba_enum", h["g1"], h["line"], enum_values(h), idl_type="enum"),
             ),
         )

@@ -8,15 +8,17 @@ from pyspark.sql import functions as F
 from codeloom.functions.classify import statement_type
 from codeloom.functions.text import regex_hits
 
-# Statement patterns (pattern, capturing group, prepared).
+# Statement patterns (literal in every match, pattern,
+# capturing group, prepared).
 STATEMENTS = (
-    (r"(?Uis)\b(SELECT\s+.*?FROM\s+\w+.*?)(?:;|\n|\z)", 1, False),
-    (r"(?Uis)\b(INSERT\s+INTO\s+\w+.*?)(?:;|\n|\z)", 1, False),
-    (r"(?Uis)\b(UPDATE\s+\w+.*?)(?:;|\n|\z)", 1, False),
-    (r"(?Uis)\b(DELETE\s+FROM\s+\w+.*?)(?:;|\n|\z)", 1, False),
-    (r"(?i)[\"']([^\"']*(?:SELECT|INSERT|UPDATE|DELETE)[^\"']*)[\"']", 1, False),
-    (r"(?i)(?:prepareStatement|prepare)\s*\(\s*[\"']([^\"']*)[\"']", 1, True),
+    ("select", r"(?Uis)\b(SELECT\s+.*?FROM\s+\w+.*?)(?:;|\n|\z)", 1, False),
+    ("insert", r"(?Uis)\b(INSERT\s+INTO\s+\w+.*?)(?:;|\n|\z)", 1, False),
+    ("update", r"(?Uis)\b(UPDATE\s+\w+.*?)(?:;|\n|\z)", 1, False),
+    ("delete", r"(?Uis)\b(DELETE\s+FROM\s+\w+.*?)(?:;|\n|\z)", 1, False),
+    ("", r"(?i)[\"']([^\"']*(?:SELECT|INSERT|UPDATE|DELETE)[^\"']*)[\"']", 1, False),
+    ("prepare", r"(?i)(?:prepareStatement|prepare)\s*\(\s*[\"']([^\"']*)[\"']", 1, True),
     (
+        "@namedquery",
         r"(?is)@NamedQuery\s*\(\s*name\s*=\s*[\"']([^\"']*)[\"'].*?query\s*=\s*[\"']([^\"']*)[\"']",
         2,
         False,
@@ -82,9 +84,9 @@ def sql_statements(files: DataFrame) -> DataFrame:
     """
     text = F.col("text")
 
-    def found_by(pattern: str, group: int, prepared: bool) -> Column:
+    def found_by(needs: str, pattern: str, group: int, prepared: bool) -> Column:
         return F.transform(
-            regex_hits(text, pattern, group),
+            regex_hits(text, pattern, group, needs),
             lambda h: F.struct(
                 h["line"].alias("line_number"),
                 _strip(h[f"g{group}"]).alias("query_text"),

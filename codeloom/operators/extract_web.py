@@ -27,11 +27,11 @@ ACTION_CLASS = r"(?Ui)class\s+(\w+)\s+extends\s+(?:Action|ActionSupport)"
 ACTION_MARK = r"(?i)@Action\s*\(\s*value\s*=\s*['\"`]([^'\"`]*)['\"`]"
 RESULT_MARK = r"(?i)@Result\s*\(\s*location\s*=\s*['\"`]([^'\"`]*)['\"`]"
 PAGE_PATTERNS = (
-    ("form", r"(?i)<form[^>]*action\s*=\s*['\"`]([^'\"`]*)['\"`][^>]*>"),
-    ("link", r"(?i)<a[^>]*href\s*=\s*['\"`]([^'\"`]*)['\"`][^>]*>"),
-    ("form", r"(?i)<s:form[^>]*action\s*=\s*['\"`]([^'\"`]*)['\"`][^>]*>"),
-    ("link", r"(?i)<s:url[^>]*action\s*=\s*['\"`]([^'\"`]*)['\"`][^>]*>"),
-    ("button", r"(?i)<h:commandButton[^>]*action\s*=\s*['\"`]([^'\"`]*)['\"`][^>]*>"),
+    ("form", "<form", r"(?i)<form[^>]*action\s*=\s*['\"`]([^'\"`]*)['\"`][^>]*>"),
+    ("link", "href", r"(?i)<a[^>]*href\s*=\s*['\"`]([^'\"`]*)['\"`][^>]*>"),
+    ("form", "<s:form", r"(?i)<s:form[^>]*action\s*=\s*['\"`]([^'\"`]*)['\"`][^>]*>"),
+    ("link", "<s:url", r"(?i)<s:url[^>]*action\s*=\s*['\"`]([^'\"`]*)['\"`][^>]*>"),
+    ("button", "<h:commandbutton", r"(?i)<h:commandButton[^>]*action\s*=\s*['\"`]([^'\"`]*)['\"`][^>]*>"),
 )
 PAGE_INPUT = r"(?i)<input[^>]*name\s*=\s*['\"]([^'\"]*)['\"][^>]*>"
 
@@ -124,8 +124,8 @@ def http_calls(files: DataFrame) -> DataFrame:
     )
     found = F.array_distinct(
         F.concat(
-            F.transform(regex_hits(text, HTTP_CLIENT, 2), lambda h: hit(h, h["g1"], h["g2"])),
-            F.transform(regex_hits(text, AJAX, 2), lambda h: hit(h, h["g2"], h["g1"])),
+            F.transform(regex_hits(text, HTTP_CLIENT, 2, "http"), lambda h: hit(h, h["g1"], h["g2"])),
+            F.transform(regex_hits(text, AJAX, 2, "$."), lambda h: hit(h, h["g2"], h["g1"])),
         )
     )
     placed = F.transform(
@@ -170,18 +170,17 @@ def rest_endpoints(files: DataFrame) -> DataFrame:
 
     arrays = [
         F.transform(
-            regex_hits(text, REQUEST_MAPPING, 2),
+            regex_hits(text, REQUEST_MAPPING, 2, "@requestmapping"),
             lambda h: hit(h, F.upper(h["g2"]), next_function(text, h["end"])),
         )
     ]
 
-    def declared(pattern: str, verb: str) -> Column:
-        return F.transform(
-            regex_hits(text, pattern % verb, 2), lambda h: hit(h, F.lit(verb.upper()), h["g2"])
-        )
+    def declared(pattern: str, needs: str, verb: str) -> Column:
+        hits = regex_hits(text, pattern % verb, 2, (needs % verb).lower())
+        return F.transform(hits, lambda h: hit(h, F.lit(verb.upper()), h["g2"]))
 
-    arrays += [declared(VERB_MAPPING, verb) for verb in ("Get", "Post", "Put", "Delete")]
-    arrays += [declared(FASTAPI, verb) for verb in ("get", "post")]
+    arrays += [declared(VERB_MAPPING, "@%smapping", verb) for verb in ("Get", "Post", "Put", "Delete")]
+    arrays += [declared(FASTAPI, "@app.%s", verb) for verb in ("get", "post")]
     return (
         files.select("file_path", TEXT, F.concat(*arrays).alias("found"))
         .filter(F.size("found") > 0)
@@ -230,9 +229,9 @@ def annotated_actions(files: DataFrame) -> DataFrame:
 def page_components(files: DataFrame) -> DataFrame:
     text = F.col(TEXT)
 
-    def of(kind, pattern):
+    def of(kind, needs, pattern):
         return F.transform(
-            regex_hits(text, pattern),
+            regex_hits(text, pattern, needs=needs),
             lambda h: F.struct(
                 F.lit(kind).alias("component_type"),
                 h["line"].alias("line_number"),
@@ -245,7 +244,7 @@ def page_components(files: DataFrame) -> DataFrame:
         )
 
     return (
-        files.select("file_path", F.explode(F.concat(*[of(k, p) for k, p in PAGE_PATTERNS])).alias("c"))
+        files.select("file_path", F.explode(F.concat(*[of(*p) for p in PAGE_PATTERNS])).alias("c"))
         .select("file_path", "c.*")
         .withColumn("target_action", normal_action(F.col("action_url")))
     )
