@@ -38,8 +38,14 @@ def fill(template: str, **values: Column) -> Column:
 # ---- jobs, repositories ------------------------------------------------------
 
 
-def jobs(spark: SparkSession, d: str, counts: bool = True) -> DataFrame:
+def jobs(spark: SparkSession, d: str, counts: bool = True, since: Column | None = None) -> DataFrame:
+    """``since`` keeps newer orders only, and their lines before they are
+    counted, so a short look back does not aggregate the whole line table."""
     o = table(spark, d, "orders")
+    lines = table(spark, d, "lineitem")
+    if since is not None:
+        o = o.filter(F.col("o_orderdate") >= since)
+        lines = lines.join(o.select(F.col("o_orderkey").alias("l_orderkey")), "l_orderkey", "left_semi")
     done = F.col("o_orderstatus") == "F"
     base = o.select(
         F.col("o_orderkey").alias("k"),
@@ -56,8 +62,7 @@ def jobs(spark: SparkSession, d: str, counts: bool = True) -> DataFrame:
     if not counts:
         return base
     per = (
-        table(spark, d, "lineitem")
-        .groupBy(F.col("l_orderkey").alias("k"))
+        lines.groupBy(F.col("l_orderkey").alias("k"))
         .agg(
             F.count("*").alias("entities_count"),
             F.sum("l_quantity").cast("int").alias("files_processed"),
@@ -112,9 +117,9 @@ DIRS = ("angular", "controller", "action", "web", "api", "core", "rest", "ui", "
 def files(spark: SparkSession, d: str) -> DataFrame:
     k = F.col("doc_id")
     name = (
-        F.when(k % 17 == 0, "struts.xml")
+        F.when(k % 17 == 0, F.concat(F.lit("m"), k.cast("string"), F.lit("/struts.xml")))
         .when(k % 17 == 1, F.concat(F.lit("c"), k.cast("string"), F.lit(".component.ts")))
-        .when(k % 17 == 2, "struts-config.xml")
+        .when(k % 17 == 2, F.concat(F.lit("m"), k.cast("string"), F.lit("/struts-config.xml")))
         .otherwise(F.concat(F.lit("f"), k.cast("string"), pick(EXTS, k % 13)))
     )
     return table(spark, d, "documents").select(
@@ -130,8 +135,8 @@ binding(
     "files",
     "SELECT doc_id, source AS repo, 'src/' || source || '/' || "
     + sql_pick(DIRS, "doc_id % 11")
-    + " || '/' || lang || '/' || CASE WHEN doc_id % 17 = 0 THEN 'struts.xml' "
-    "WHEN doc_id % 17 = 1 THEN 'c' || doc_id || '.component.ts' WHEN doc_id % 17 = 2 THEN 'struts-config.xml' "
+    + " || '/' || lang || '/' || CASE WHEN doc_id % 17 = 0 THEN 'm' || doc_id || '/struts.xml' "
+    "WHEN doc_id % 17 = 1 THEN 'c' || doc_id || '.component.ts' WHEN doc_id % 17 = 2 THEN 'm' || doc_id || '/struts-config.xml' "
     "ELSE 'f' || doc_id || " + sql_pick(EXTS, "doc_id % 13") + " END AS file_path, text, lang FROM documents",
 )
 

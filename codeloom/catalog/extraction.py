@@ -413,9 +413,9 @@ def model_rules(spark, d):
 @query("C19", "WITH e AS (SELECT file_path, i FROM (SELECT file_path, unnest(range(1, doc_id % 40 + 1)) AS i FROM files)), "
               "l AS (SELECT file_path, CAST(least(25, count(*)) AS BIGINT) AS n_listed, string_agg('- function: f' || i, chr(10) ORDER BY i) FILTER (WHERE i <= 25) AS entity_lines FROM e GROUP BY 1) "
               "SELECT f.file_path, CAST(length(text) AS INTEGER) AS n_chars, md5(substr(text, 1, 4000)) AS sample, n_listed, entity_lines FROM files f JOIN l ON l.file_path = f.file_path "
-              "WHERE length(text) <= 50000 AND doc_id % 17 NOT IN (0, 2)")
+              "WHERE length(text) <= 50000")
 def context_packs(spark, d):
-    f = B.files(spark, d).filter(~(c("doc_id") % 17).isin(0, 2))  # shared config names are no unique paths
+    f = B.files(spark, d)
     entities = f.select(
         "file_path", F.explode(F.slice(F.sequence(F.lit(0), c("doc_id") % 40), F.lit(2), (c("doc_id") % 40).cast("int") + 1)).alias("i")
     ).select(

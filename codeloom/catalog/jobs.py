@@ -155,10 +155,10 @@ TREND_SQL = ("SELECT strftime(created_at, '%Y-%m-%d') AS date, count(*) AS total
 
 
 def _trend(spark, d, days=30):
-    """The cut-off day comes from the order table alone, so that the scan and
-    the line counts are filtered by it."""
+    """The cut-off day comes from the order table alone and reaches both scans."""
     newest = B.table(spark, d, "orders").agg(F.max("o_orderdate")).scalar()
-    return M.daily_trend(B.jobs(spark, d), days, newest)
+    recent = B.jobs(spark, d, since=newest - F.expr(f"interval {days} days"))
+    return M.daily_trend(recent, days, newest)
 
 
 @query("E2", TREND_SQL)

@@ -93,7 +93,7 @@ def by_criticality(spark, d):
 @query("H10", "SELECT rule_id, category, rank() OVER (PARTITION BY category ORDER BY confidence_score DESC) AS category_rank, rank() OVER (ORDER BY confidence_score DESC) AS overall_rank FROM doc_rules")
 def rule_ranks(spark, d):
     r = B.document_rules(spark, d)
-    return K.ranks_by_value(r, "category", "confidence_score").select("rule_id", "category", "category_rank", "overall_rank")
+    return K.ranks_by_value(r, "category", "confidence_score", "rule_id").select("rule_id", "category", "category_rank", "overall_rank")
 
 
 LAYER_SQL = "CASE WHEN regexp_matches(file_path, '\\.js|\\.ts|\\.html|\\.jsp') THEN 'frontend' WHEN regexp_matches(file_path, '\\.java|\\.py') THEN 'backend' END"

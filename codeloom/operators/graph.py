@@ -93,7 +93,7 @@ def related(edges: DataFrame, starts: DataFrame, max_depth: int = 2) -> DataFram
     seen = frontier.withColumn("depth", F.lit(0))
     for depth in range(1, max_depth + 1):
         frontier = (
-            frontier.join(refs, frontier["id"] == refs["source"])
+            skew_lookup(frontier, refs.withColumnRenamed("source", "id"), ["id"], ["start"], "inner")
             .select("start", F.col("target").alias("id"))
             .distinct()
             .join(seen, ["start", "id"], "left_anti")
@@ -122,7 +122,7 @@ def call_chains(edges: DataFrame, starts: DataFrame, max_depth: int = 3) -> Data
         out = done if out is None else out.unionByName(done)
         if depth < max_depth:
             paths = (
-                paths.join(calls, paths["last"] == calls["source"])
+                skew_lookup(paths, calls.withColumnRenamed("source", "last"), ["last"], ["chain"], "inner")
                 .filter(~F.array_contains("chain", F.col("target")))
                 .select("start", F.concat("chain", F.array("target")).alias("chain"), F.col("target").alias("last"))
             )

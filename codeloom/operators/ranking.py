@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from codeloom.functions.text import contains_any
-from codeloom.operators.skew import global_position
+from codeloom.operators.skew import global_position, skew_lookup
 
 
 def page(df: DataFrame, order: list[Column], offset: int, limit: int) -> DataFrame:
@@ -106,7 +106,7 @@ def critical_flows(chains: DataFrame, k: int = 10) -> DataFrame:
     )
 
 
-def ranks_by_value(df: DataFrame, group: str, value: str, buckets: int = 1000) -> DataFrame:
+def ranks_by_value(df: DataFrame, group: str, value: str, spread_by: str, buckets: int = 1000) -> DataFrame:
     """rank() descending, within a group and overall, of a value in [0, 1].
 
     Equal values share a rank, so ranks are worked out on counts per distinct
@@ -129,7 +129,7 @@ def ranks_by_value(df: DataFrame, group: str, value: str, buckets: int = 1000) -
     overall = per.groupBy(value, "b").agg(F.sum("n").alias("n"))
     in_group = ranked(per, [group], "category_rank")
     everywhere = ranked(overall, [], "overall_rank")
-    return df.join(in_group.join(everywhere, value), [group, value])
+    return skew_lookup(df, in_group.join(everywhere, value), [group, value], [spread_by], "inner")
 
 
 def first_k(df: DataFrame, group: Column | str, order: list[Column], k: int) -> DataFrame:

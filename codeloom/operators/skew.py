@@ -21,7 +21,7 @@ def skew_lookup(
     how: str = "left",
     salts: int = SALTS,
 ) -> DataFrame:
-    """Join facts to a dimension with one row per key.
+    """Join facts to a dimension, usually with one row per key.
 
     A hot key is cut into ``salts`` pieces: the distinct (key, salt) pairs of
     the facts meet the dimension first, then the facts join on both columns,
