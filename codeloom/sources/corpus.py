@@ -13,7 +13,8 @@ def list_files(spark: SparkSession, root: str, full: bool = True, pattern: str |
     """Paths and sizes under ``root`` without reading any content.
 
     The full profile also skips virtual environments and binary suffixes; the
-    short one is what a quick repository check uses.
+    short one is what a quick repository check uses. Spark's file sources give
+    no row for a file of zero bytes, so such files are not counted.
     """
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
     if pattern:

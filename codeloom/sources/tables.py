@@ -37,10 +37,7 @@ def read_reports(spark: SparkSession, root: str) -> DataFrame:
 def read_diagram_files(spark: SparkSession, root: str) -> DataFrame:
     """Plain ``*.mmd`` files below ``root`` as (path, content)."""
     return (
-        spark.read.option("wholetext", True)
-        .option("recursiveFileLookup", "true")
-        .option("pathGlobFilter", "*.mmd")
-        .text(root)
+        spark.read.text(root, wholetext=True, recursiveFileLookup=True, pathGlobFilter="*.mmd")
         .select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("content"))
     )
 
