@@ -42,6 +42,56 @@ CRITICAL_WORDS = ("payment", "order", "account", "security", "auth")
 IMPORTANT_WORDS = ("service", "controller", "manager")
 LEGACY_WORDS = ("legacy", "deprecated", "old")
 
+# Upper bounds of the levels and lower bounds of the priorities;
+# the last name applies beyond them.
+LEVELS = ((10, "Low"), (25, "Medium"), (50, "High"))
+TOP_LEVEL = "Very High"
+RISKS = ((2, "Low"), (4, "Medium"), (6, "High"))
+TOP_RISK = "Critical"
+PRIORITIES = ((6, 1), (5, 2), (3, 3), (2, 4))
+LAST_PRIORITY = 5
+CRITICALITIES = ((5, "critical"), (3, "high"), (1, "medium"))
+# (direct callers, affected nodes) up to which a risk applies
+IMPACT_RISKS = ((2, 5, "Low"), (5, 15, "Medium"), (10, 30, "High"))
+
+# Rework by kind of component, and for classes by pattern.
+REWORK_INTERFACE = "Convert to REST API with OpenAPI specification"
+REWORK_STRUCT = "Convert to JSON schema or DTO class"
+REWORK_SINGLETON = "Replace with dependency injection"
+REWORK_FACTORY = "Modernize to use IoC container"
+REWORK_PATTERN = "Refactor to modern design patterns"
+REWORK_OTHER = "Refactor with modern best practices"
+
+# Approach by numeric complexity, and the risks that go with it.
+NUMERIC_APPROACHES = (
+    (3.0, "Direct migration with minimal refactoring"),
+    (6.0, "Refactor during migration for better maintainability"),
+    (8.0, "Significant refactoring required, consider redesign"),
+)
+NUMERIC_REWRITE = "Complex migration - consider complete rewrite"
+RISK_COMPLEX = "High complexity may require extended testing"
+RISK_DEPENDENCIES = "Many dependencies may cause integration issues"
+RISK_LEGACY = "Legacy code patterns may be difficult to modernize"
+RISK_STANDARD = "Standard migration risks apply"
+
+# Whole-system texts by readiness, buffered days and cost.
+OVERALL_APPROACHES = (
+    (80, "Direct Migration - System is well-suited for modernization"),
+    (60, "Phased Migration - Migrate in stages starting with low-risk components"),
+    (40, "Hybrid Approach - Maintain legacy system while building new components"),
+)
+OVERALL_FALLBACK = "Strangler Fig Pattern - Gradually replace legacy system piece by piece"
+TIMELINES = ((30, "1 month"), (90, "2-3 months"), (180, "4-6 months"), (365, "6-12 months"))
+TIMELINE_BEYOND = "12+ months (consider breaking into smaller projects)"
+COST_PER_DAY = 1000
+PROJECT_SIZES = ((50000, "Small"), (250000, "Medium"), (1000000, "Large"))
+LARGEST_PROJECT = "Enterprise"
+DISRUPTIONS = (
+    (70, "Low disruption expected - system is migration-ready"),
+    (50, "Moderate disruption - requires careful planning"),
+)
+DISRUPTION_HIGH = "High disruption risk - consider phased approach"
+
 # Risks every migration carries.
 GENERAL_RISKS = (
     "Business disruption during migration phases",
@@ -70,7 +120,7 @@ def complexity_points() -> Column:
 
 
 def complexity_level(points: Column) -> Column:
-    return ladder([(points < 10, "Low"), (points < 25, "Medium"), (points < 50, "High")], "Very High")
+    return ladder([(points < top, name) for top, name in LEVELS], TOP_LEVEL)
 
 
 def effort_hours(level: Column) -> Column:
@@ -104,7 +154,7 @@ def risk_points(level: Column) -> Column:
 
 
 def risk_level(points: Column) -> Column:
-    return ladder([(points <= 2, "Low"), (points <= 4, "Medium"), (points <= 6, "High")], "Critical")
+    return ladder([(points <= top, name) for top, name in RISKS], TOP_RISK)
 
 
 def rework_approach() -> Column:
@@ -112,13 +162,13 @@ def rework_approach() -> Column:
     has = lambda p: F.array_contains("design_patterns", p)
     return ladder(
         [
-            (_is("corba_interface"), "Convert to REST API with OpenAPI specification"),
-            (_is("corba_struct"), "Convert to JSON schema or DTO class"),
-            (patterned & has("Singleton"), "Replace with dependency injection"),
-            (patterned & has("Factory"), "Modernize to use IoC container"),
-            (patterned, "Refactor to modern design patterns"),
+            (_is("corba_interface"), REWORK_INTERFACE),
+            (_is("corba_struct"), REWORK_STRUCT),
+            (patterned & has("Singleton"), REWORK_SINGLETON),
+            (patterned & has("Factory"), REWORK_FACTORY),
+            (patterned, REWORK_PATTERN),
         ],
-        "Refactor with modern best practices",
+        REWORK_OTHER,
     )
 
 
@@ -135,7 +185,7 @@ def priority_points(risk: Column, level: Column, deps: Column) -> Column:
 
 
 def priority(points: Column) -> Column:
-    return ladder([(points >= 6, 1), (points >= 5, 2), (points >= 3, 3), (points >= 2, 4)], 5)
+    return ladder([(points >= low, rank) for low, rank in PRIORITIES], LAST_PRIORITY)
 
 
 def component_type(kind: Column) -> Column:
@@ -179,7 +229,7 @@ def criticality() -> Column:
     points = F.when(rules >= 5, 3).when(rules >= 2, 2).when(rules >= 1, 1).otherwise(0) + F.when(
         contains_any(path, CRITICAL_WORDS), 2
     ).when(contains_any(path, IMPORTANT_WORDS), 1).otherwise(0)
-    return ladder([(points >= 5, "critical"), (points >= 3, "high"), (points >= 1, "medium")], "low")
+    return ladder([(points >= low, name) for low, name in CRITICALITIES], "low")
 
 
 def numeric_effort(score: Column) -> Column:
@@ -189,26 +239,16 @@ def numeric_effort(score: Column) -> Column:
 
 
 def numeric_approach(score: Column) -> Column:
-    return ladder(
-        [
-            (score <= 3.0, "Direct migration with minimal refactoring"),
-            (score <= 6.0, "Refactor during migration for better maintainability"),
-            (score <= 8.0, "Significant refactoring required, consider redesign"),
-        ],
-        "Complex migration - consider complete rewrite",
-    )
+    return ladder([(score <= top, text) for top, text in NUMERIC_APPROACHES], NUMERIC_REWRITE)
 
 
 def risk_list(score: Column) -> Column:
     found = present(
-        F.when(score > 7.0, "High complexity may require extended testing"),
-        F.when(_n("dependencies") > 10, "Many dependencies may cause integration issues"),
-        F.when(
-            contains_any(F.lower(F.col("file_path")), LEGACY_WORDS),
-            "Legacy code patterns may be difficult to modernize",
-        ),
+        F.when(score > 7.0, RISK_COMPLEX),
+        F.when(_n("dependencies") > 10, RISK_DEPENDENCIES),
+        F.when(contains_any(F.lower(F.col("file_path")), LEGACY_WORDS), RISK_LEGACY),
     )
-    return F.when(F.size(found) > 0, found).otherwise(F.array(F.lit("Standard migration risks apply")))
+    return F.when(F.size(found) > 0, found).otherwise(F.array(F.lit(RISK_STANDARD)))
 
 
 def score_numeric(entities: DataFrame) -> DataFrame:
@@ -228,52 +268,25 @@ def score_numeric(entities: DataFrame) -> DataFrame:
 
 
 def impact_risk(direct: Column, total: Column) -> Column:
-    return ladder(
-        [
-            (direct == 0, "Low"),
-            ((direct <= 2) & (total <= 5), "Low"),
-            ((direct <= 5) & (total <= 15), "Medium"),
-            ((direct <= 10) & (total <= 30), "High"),
-        ],
-        "Critical",
-    )
+    steps = [((direct <= d) & (total <= t), name) for d, t, name in IMPACT_RISKS]
+    return ladder([(direct == 0, "Low"), *steps], "Critical")
 
 
 def overall_approach(readiness: Column) -> Column:
-    return ladder(
-        [
-            (readiness >= 80, "Direct Migration - System is well-suited for modernization"),
-            (readiness >= 60, "Phased Migration - Migrate in stages starting with low-risk components"),
-            (readiness >= 40, "Hybrid Approach - Maintain legacy system while building new components"),
-        ],
-        "Strangler Fig Pattern - Gradually replace legacy system piece by piece",
-    )
+    return ladder([(readiness >= low, text) for low, text in OVERALL_APPROACHES], OVERALL_FALLBACK)
 
 
 def timeline(days: Column, high_risk: Column) -> Column:
+    """Five buffer days per high-risk component."""
     buffered = days + high_risk * 5
-    return ladder(
-        [
-            (buffered <= 30, "1 month"),
-            (buffered <= 90, "2-3 months"),
-            (buffered <= 180, "4-6 months"),
-            (buffered <= 365, "6-12 months"),
-        ],
-        "12+ months (consider breaking into smaller projects)",
-    )
+    return ladder([(buffered <= top, text) for top, text in TIMELINES], TIMELINE_BEYOND)
 
 
 def investment(days: Column) -> Column:
-    cost = days * 1000
-    size = ladder([(cost < 50000, "Small"), (cost < 250000, "Medium"), (cost < 1000000, "Large")], "Enterprise")
+    cost = days * COST_PER_DAY
+    size = ladder([(cost < top, name) for top, name in PROJECT_SIZES], LARGEST_PROJECT)
     return F.concat(F.lit("$"), F.format_number(cost, 0), F.lit(" ("), size, F.lit(" project)"))
 
 
 def disruption(readiness: Column) -> Column:
-    return ladder(
-        [
-            (readiness >= 70, "Low disruption expected - system is migration-ready"),
-            (readiness >= 50, "Moderate disruption - requires careful planning"),
-        ],
-        "High disruption risk - consider phased approach",
-    )
+    return ladder([(readiness >= low, text) for low, text in DISRUPTIONS], DISRUPTION_HIGH)

@@ -169,6 +169,29 @@ def idl_dependency_names() -> Column:
 CRUD_WORDS = ("create", "read", "update", "delete", "get", "set", "list", "find")
 CALLBACK_WORDS = ("callback", "notify", "event", "signal", "observer")
 REGISTRY_WORDS = ("registry", "locator", "finder", "resolver", "directory")
+# Points per construct, level bounds and report texts.
+IDL_POINTS = {"interface": 5, "inheritance": 10, "struct": 3, "enum": 1}
+IDL_LEVELS = ((15, "Low"), (40, "Medium"), (80, "High"))
+SMALL_STRUCT = 10
+OPPORTUNITIES = {
+    "interfaces": ("Convert ", " CORBA interfaces to REST APIs"),
+    "crud": ("", " interfaces are candidates for RESTful API conversion"),
+    "structs": ("Modernize ", " data structures to JSON/XML schemas"),
+    "small": ("", " structs are suitable for JSON serialization"),
+}
+SPLIT_UP = "Large interface count suggests microservices decomposition opportunities"
+TOO_SYNCHRONOUS = "Heavy reliance on synchronous calls - consider async patterns"
+USES_CALLBACKS = "Callback patterns detected - consider event-driven architecture"
+COMPLEX_DATA = "Many complex data structures may require careful schema design"
+NOT_JSON = "Some data structures may not directly map to JSON"
+PHASED = "High complexity detected - recommend phased migration approach"
+DIRECT = "Moderate complexity - direct migration to REST APIs feasible"
+IDL_PRIORITIES = (
+    ("Very High", 20, "High Priority - Complex legacy system requiring immediate attention"),
+    ("High", 10, "Medium Priority - Significant modernization effort required"),
+    ("Medium", 5, "Low Priority - Manageable migration effort"),
+)
+IDL_SIMPLE = "Very Low Priority - Simple migration candidate"
 BASIC_TYPES = ("string", "long", "short", "boolean", "double", "float", "char")
 
 
@@ -183,8 +206,12 @@ def idl_rollup(files: DataFrame) -> DataFrame:
     oneway = F.regexp_count(F.lower(stripped), F.lit("oneway"))
     basic = lambda m: contains_any(F.lower(m), BASIC_TYPES)
     json_ok = lambda s: (F.size(s["items"]) > 0) & F.forall(s["items"], basic)
-    n = lambda c: c.cast("string")
 
+    def counted_text(kind: str, number: Column) -> Column:
+        head, tail = OPPORTUNITIES[kind]
+        return F.when(number > 0, F.concat(F.lit(head), number.cast("string"), F.lit(tail)))
+
+    pts = IDL_POINTS
     counted = (
         files.select("file_path", idl_entity_array(F.col(TEXT)).alias("e"), oneway.alias("async_calls"))
         .withColumns(
@@ -198,17 +225,13 @@ def idl_rollup(files: DataFrame) -> DataFrame:
         .filter((n_if > 0) | (n_st > 0) | (n_en > 0))
         .withColumn(
             "points",
-            5 * n_if
-            + 10 * F.size(F.filter("interfaces", lambda x: F.size(x["items"]) > 0))
-            + 3 * n_st
-            + n_en,
+            n_if * pts["interface"]
+            + F.size(F.filter("interfaces", lambda x: F.size(x["items"]) > 0)) * pts["inheritance"]
+            + n_st * pts["struct"]
+            + n_en * pts["enum"],
         )
         .withColumn(
-            "level",
-            ladder(
-                [(F.col("points") < 15, "Low"), (F.col("points") < 40, "Medium"), (F.col("points") < 80, "High")],
-                "Very High",
-            ),
+            "level", ladder([(F.col("points") < top, name) for top, name in IDL_LEVELS], "Very High")
         )
         .withColumns(
             {
@@ -216,81 +239,34 @@ def idl_rollup(files: DataFrame) -> DataFrame:
                 "callback_interfaces": named(CALLBACK_WORDS),
                 "registry_interfaces": named(REGISTRY_WORDS),
                 "sync_calls": n_if - F.col("async_calls"),
-                "small_structs": F.size(F.filter("structs", lambda s: F.size(s["items"]) <= 10)),
+                "small_structs": F.size(F.filter("structs", lambda s: F.size(s["items"]) <= SMALL_STRUCT)),
                 "json_structs": F.size(F.filter("structs", json_ok)),
             }
         )
     )
-    complex_structs = n_st - F.col("small_structs")
-    level = F.col("level")
-    return counted.select(
-        "file_path",
-        "points",
-        "level",
-        "n_interfaces",
-        "n_structs",
-        "n_enums",
-        "crud_interfaces",
-        "callback_interfaces",
-        "registry_interfaces",
-        "async_calls",
-        "sync_calls",
-        "small_structs",
-        complex_structs.alias("complex_structs"),
-        "json_structs",
-        present(
-            F.when(n_if > 0, F.concat(F.lit("Convert "), n(n_if), F.lit(" CORBA interfaces to REST APIs"))),
-            F.when(
-                F.col("crud_interfaces") > 0,
-                F.concat(
-                    n(F.col("crud_interfaces")), F.lit(" interfaces are candidates for RESTful API conversion")
-                ),
-            ),
-            F.when(
-                n_st > 0, F.concat(F.lit("Modernize "), n(n_st), F.lit(" data structures to JSON/XML schemas"))
-            ),
-            F.when(
-                F.col("small_structs") > 0,
-                F.concat(n(F.col("small_structs")), F.lit(" structs are suitable for JSON serialization")),
+    level, small = F.col("level"), F.col("small_structs")
+    return counted.withColumns(
+        {
+            "complex_structs": n_st - small,
+            "opportunities": present(
+                counted_text("interfaces", n_if),
+                counted_text("crud", F.col("crud_interfaces")),
+                counted_text("structs", n_st),
+                counted_text("small", small),
+                F.when(n_if > 5, SPLIT_UP),
             ),
-            F.when(
-                n_if > 5, "Large interface count suggests microservices decomposition opportunities"
+            "challenges": present(
+                F.when(F.col("sync_calls") > F.col("async_calls"), TOO_SYNCHRONOUS),
+                F.when(F.col("callback_interfaces") > 0, USES_CALLBACKS),
+                F.when(n_st - small > small, COMPLEX_DATA),
+                F.when(F.col("json_structs") < n_st / 2, NOT_JSON),
             ),
-        ).alias("opportunities"),
-        present(
-            F.when(
-                F.col("sync_calls") > F.col("async_calls"),
-                "Heavy reliance on synchronous calls - consider async patterns",
+            "recommendation": F.when(level.isin("High", "Very High"), PHASED).otherwise(DIRECT),
+            "migration_priority": ladder(
+                [((level == name) | (n_if > many), text) for name, many, text in IDL_PRIORITIES], IDL_SIMPLE
             ),
-            F.when(
-                F.col("callback_interfaces") > 0,
-                "Callback patterns detected - consider event-driven architecture",
-            ),
-            F.when(
-                complex_structs > F.col("small_structs"),
-                "Many complex data structures may require careful schema design",
-            ),
-            F.when(
-                F.col("json_structs") < n_st / 2, "Some data structures may not directly map to JSON"
-            ),
-        ).alias("challenges"),
-        F.when(level.isin("High", "Very High"), "High complexity detected - recommend phased migration approach")
-        .otherwise("Moderate complexity - direct migration to REST APIs feasible").alias("recommendation"),
-        ladder(
-            [
-                (
-                    (level == "Very High") | (n_if > 20),
-                    "High Priority - Complex legacy system requiring immediate attention",
-                ),
-                (
-                    (level == "High") | (n_if > 10),
-                    "Medium Priority - Significant modernization effort required",
-                ),
-                ((level == "Medium") | (n_if > 5), "Low Priority - Manageable migration effort"),
-            ],
-            "Very Low Priority - Simple migration candidate",
-        ).alias("migration_priority"),
-    )
+        }
+    ).drop("e", "interfaces", "structs")
 
 
 # ---- web framework XML -----------------------------------------------------

@@ -432,16 +432,20 @@ def technology_breakdown(components: DataFrame) -> DataFrame:
     return per.withColumn("pct", F.round(F.col("n") / F.sum("n").over(_whole(per)) * 100, 1))
 
 
+# Texts of the summary's insights.
+READY = "System shows good readiness for modernization"
+UNREADY = "System requires significant preparation before migration"
+CRITICAL_LEFT = " critical components require immediate attention"
+
+
 def key_insights(summary: DataFrame) -> DataFrame:
     n = F.col("critical_components")
     return summary.select(
         F.explode(
             present(
-                F.when(F.col("readiness") >= 70, "System shows good readiness for modernization"),
-                F.when(F.col("readiness") < 40, "System requires significant preparation before migration"),
-                F.when(
-                    n > 0, F.concat(n.cast("string"), F.lit(" critical components require immediate attention"))
-                ),
+                F.when(F.col("readiness") >= 70, READY),
+                F.when(F.col("readiness") < 40, UNREADY),
+                F.when(n > 0, F.concat(n.cast("string"), F.lit(CRITICAL_LEFT))),
             )
         ).alias("insight")
     )

@@ -123,7 +123,9 @@ def call_matches(calls: DataFrame, endpoints: DataFrame) -> DataFrame:
     by_shape = e.groupBy("method", "norm_url").agg(
         F.sum("n_exact").alias("n_all"), F.min("exact_handler").alias("any_handler")
     )
-    shaped = skew_lookup(c, by_shape, ["method", "norm_url"], ["url"], "inner")
+    # One row per shape on one side; both sides are distinct URLs by now, and
+    # reading them once matters more than salting what adaptive joins split.
+    shaped = c.join(by_shape, ["method", "norm_url"])
     exact = e.select("method", "url", "n_exact", "exact_handler")
     n_exact = F.coalesce("n_exact", F.lit(0))
     return shaped.join(exact, ["method", "url"], "left").select(
@@ -147,7 +149,7 @@ def endpoint_usage(calls: DataFrame, endpoints: DataFrame) -> DataFrame:
     e = endpoints.groupBy(F.upper("method").alias("method"), "path").agg(F.count("*").alias("n_endpoints"))
     e = e.withColumn("norm_url", normal_url(F.col("path")))
     return (
-        skew_lookup(e, c, ["method", "norm_url"], ["path"], "inner")
+        e.join(c, ["method", "norm_url"])
         .groupBy("path")
         .agg(F.sum(F.col("n_calls") * F.col("n_endpoints")).alias("n_flows"))
     )
