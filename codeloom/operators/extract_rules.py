@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from codeloom.functions.text import line_window
+from codeloom.operators.rows import once
 
 RULE_SCHEMA = (
     "array<struct<id:string,description:string,confidence_score:double,category:string,"
@@ -47,12 +48,6 @@ def top_level_arrays(text: Column) -> Column:
     return F.transform(spans, lambda x: F.substring(text, x["lo"] + 1, x["hi"] - x["lo"] + 1))
 
 
-def _parsed(candidate: Column) -> Column:
-    """Array of rules, or null when the candidate is no JSON array of objects."""
-    looks = F.trim(candidate).rlike(r"(?s)^\[\s*\{") & F.try_parse_json(candidate).isNotNull()
-    return F.when(looks, F.from_json(candidate, RULE_SCHEMA))
-
-
 def parse_rules(outputs: DataFrame) -> DataFrame:
     """Rules from ``outputs(file_path, response)``: fence first, then the
     first balanced array that parses; missing fields get their defaults."""
@@ -61,7 +56,7 @@ def parse_rules(outputs: DataFrame) -> DataFrame:
     candidates = F.concat(F.array(fenced), top_level_arrays(text))
     good = F.filter(candidates, lambda c: F.trim(c).rlike(r"(?s)^\[\s*\{") & F.try_parse_json(c).isNotNull())
     return (
-        outputs.select("file_path", F.get(good, F.lit(0)).alias("chosen"))
+        once(outputs.select("file_path", "response"), "chosen", F.get(good, F.lit(0)))
         .filter(F.col("chosen").isNotNull())
         .select("file_path", F.posexplode(F.from_json("chosen", RULE_SCHEMA)).alias("pos", "r"))
         .select(

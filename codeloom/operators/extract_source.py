@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from codeloom.functions.classify import ladder
 from codeloom.functions.paths import stem
 from codeloom.functions.text import bind, contains_any, present, regex_hits, xml_like
-from codeloom.operators.rows import entity, explode_entities, first, if_any
+from codeloom.operators.rows import entity, explode_entities, first, if_any, once
 
 TEXT = "text"
 
@@ -195,78 +195,87 @@ IDL_SIMPLE = "Very Low Priority - Simple migration candidate"
 BASIC_TYPES = ("string", "long", "short", "boolean", "double", "float", "char")
 
 
-def idl_rollup(files: DataFrame) -> DataFrame:
-    """Migration roll-up per IDL file, computed in the row (no shuffle)."""
-    kinds = lambda k: F.filter(F.col("e"), lambda x: x["type"] == k)
+def _idl_counts(parts: Column) -> Column:
+    """struct of counts over one file's interfaces, structs and enums."""
+    interfaces, structs, enums = parts["interfaces"], parts["structs"], parts["enums"]
     named = lambda ws: F.size(
-        F.filter(F.col("interfaces"), lambda x: contains_any(F.lower(x["name"]), ws))
+        F.filter(interfaces, lambda x: contains_any(F.lower(x["name"]), ws))
     )
-    n_if, n_st, n_en = F.col("n_interfaces"), F.col("n_structs"), F.col("n_enums")
-    stripped = strip_idl_comments(F.col(TEXT))
-    oneway = F.regexp_count(F.lower(stripped), F.lit("oneway"))
     basic = lambda m: contains_any(F.lower(m), BASIC_TYPES)
     json_ok = lambda s: (F.size(s["items"]) > 0) & F.forall(s["items"], basic)
+    pts = IDL_POINTS
+    inheriting = F.size(F.filter(interfaces, lambda x: F.size(x["items"]) > 0))
+    points = (
+        F.size(interfaces) * pts["interface"]
+        + inheriting * pts["inheritance"]
+        + F.size(structs) * pts["struct"]
+        + F.size(enums) * pts["enum"]
+    )
+    return F.struct(
+        points.alias("points"),
+        F.size(interfaces).alias("n_interfaces"),
+        F.size(structs).alias("n_structs"),
+        F.size(enums).alias("n_enums"),
+        named(CRUD_WORDS).alias("crud_interfaces"),
+        named(CALLBACK_WORDS).alias("callback_interfaces"),
+        named(REGISTRY_WORDS).alias("registry_interfaces"),
+        F.size(F.filter(structs, lambda s: F.size(s["items"]) <= SMALL_STRUCT)).alias("small_structs"),
+        F.size(F.filter(structs, json_ok)).alias("json_structs"),
+    )
+
+
+def idl_rollup(files: DataFrame) -> DataFrame:
+    """Migration roll-up per IDL file, computed in the row (no shuffle)."""
+
+    def parts(e: Column) -> Column:
+        of = lambda k: F.filter(e, lambda x: x["type"] == k)
+        return F.struct(
+            of("corba_interface").alias("interfaces"),
+            of("corba_struct").alias("structs"),
+            of("corba_enum").alias("enums"),
+        )
 
     def counted_text(kind: str, number: Column) -> Column:
         head, tail = OPPORTUNITIES[kind]
         return F.when(number > 0, F.concat(F.lit(head), number.cast("string"), F.lit(tail)))
 
-    pts = IDL_POINTS
-    counted = (
-        files.select("file_path", idl_entity_array(F.col(TEXT)).alias("e"), oneway.alias("async_calls"))
+    c = F.col
+    oneway = F.regexp_count(F.lower(strip_idl_comments(c(TEXT))), F.lit("oneway"))
+    counts = bind(idl_entity_array(c(TEXT)), lambda e: bind(parts(e), _idl_counts))
+    level, n_if, n_st, small = c("level"), c("n_interfaces"), c("n_structs"), c("small_structs")
+    return (
+        once(files, "m", counts)
+        .select("file_path", "m.*", oneway.alias("async_calls"))
+        .filter((n_if > 0) | (n_st > 0) | (c("n_enums") > 0))
         .withColumns(
             {
-                "interfaces": kinds("corba_interface"),
-                "structs": kinds("corba_struct"),
-                "n_enums": F.size(kinds("corba_enum")),
+                "level": ladder([(c("points") < top, name) for top, name in IDL_LEVELS], "Very High"),
+                "sync_calls": n_if - c("async_calls"),
+                "complex_structs": n_st - small,
             }
         )
-        .withColumns({"n_interfaces": F.size("interfaces"), "n_structs": F.size("structs")})
-        .filter((n_if > 0) | (n_st > 0) | (n_en > 0))
-        .withColumn(
-            "points",
-            n_if * pts["interface"]
-            + F.size(F.filter("interfaces", lambda x: F.size(x["items"]) > 0)) * pts["inheritance"]
-            + n_st * pts["struct"]
-            + n_en * pts["enum"],
-        )
-        .withColumn(
-            "level", ladder([(F.col("points") < top, name) for top, name in IDL_LEVELS], "Very High")
-        )
         .withColumns(
             {
-                "crud_interfaces": named(CRUD_WORDS),
-                "callback_interfaces": named(CALLBACK_WORDS),
-                "registry_interfaces": named(REGISTRY_WORDS),
-                "sync_calls": n_if - F.col("async_calls"),
-                "small_structs": F.size(F.filter("structs", lambda s: F.size(s["items"]) <= SMALL_STRUCT)),
-                "json_structs": F.size(F.filter("structs", json_ok)),
+                "opportunities": present(
+                    counted_text("interfaces", n_if),
+                    counted_text("crud", c("crud_interfaces")),
+                    counted_text("structs", n_st),
+                    counted_text("small", small),
+                    F.when(n_if > 5, SPLIT_UP),
+                ),
+                "challenges": present(
+                    F.when(c("sync_calls") > c("async_calls"), TOO_SYNCHRONOUS),
+                    F.when(c("callback_interfaces") > 0, USES_CALLBACKS),
+                    F.when(c("complex_structs") > small, COMPLEX_DATA),
+                    F.when(c("json_structs") < n_st / 2, NOT_JSON),
+                ),
+                "recommendation": F.when(level.isin("High", "Very High"), PHASED).otherwise(DIRECT),
+                "migration_priority": ladder(
+                    [((level == name) | (n_if > many), text) for name, many, text in IDL_PRIORITIES], IDL_SIMPLE
+                ),
             }
         )
     )
-    level, small = F.col("level"), F.col("small_structs")
-    return counted.withColumns(
-        {
-            "complex_structs": n_st - small,
-            "opportunities": present(
-                counted_text("interfaces", n_if),
-                counted_text("crud", F.col("crud_interfaces")),
-                counted_text("structs", n_st),
-                counted_text("small", small),
-                F.when(n_if > 5, SPLIT_UP),
-            ),
-            "challenges": present(
-                F.when(F.col("sync_calls") > F.col("async_calls"), TOO_SYNCHRONOUS),
-                F.when(F.col("callback_interfaces") > 0, USES_CALLBACKS),
-                F.when(n_st - small > small, COMPLEX_DATA),
-                F.when(F.col("json_structs") < n_st / 2, NOT_JSON),
-            ),
-            "recommendation": F.when(level.isin("High", "Very High"), PHASED).otherwise(DIRECT),
-            "migration_priority": ladder(
-                [((level == name) | (n_if > many), text) for name, many, text in IDL_PRIORITIES], IDL_SIMPLE
-            ),
-        }
-    ).drop("e", "interfaces", "structs")
 
 
 # ---- web framework XML -----------------------------------------------------
@@ -293,9 +302,10 @@ def parse_config(files: DataFrame) -> DataFrame:
     """``doc`` struct per well-formed web-framework XML file."""
     # A document type line adds nothing to the data and needs no fetching.
     body = F.regexp_replace(F.col(TEXT), r"(?is)<!DOCTYPE[^>\[]*(\[[^\]]*\])?[^>]*>", "")
+    parsed = F.from_xml(body, CONFIG_SCHEMA, {"mode": "PERMISSIVE"})
     return (
-        files.filter(xml_like(F.col(TEXT)))
-        .select("file_path", F.from_xml(body, CONFIG_SCHEMA, {"mode": "PERMISSIVE"}).alias("doc"))
+        once(files.filter(xml_like(F.col(TEXT))), "doc", parsed)
+        .select("file_path", "doc")
         .filter(F.col("doc").isNotNull())
     )
 

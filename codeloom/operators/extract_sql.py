@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from codeloom.functions.classify import statement_type
 from codeloom.functions.text import regex_hits
+from codeloom.operators.rows import once
 
 # Statement patterns (literal in every match, pattern,
 # capturing group, prepared).
@@ -106,7 +107,7 @@ def sql_statements(files: DataFrame) -> DataFrame:
         ),
     )
     found = (
-        files.select("file_path", every.alias("every"))
+        once(files.select("file_path", "text"), "every", every)
         .filter(F.size("every") > 0)
         .select("file_path", F.explode(F.concat(prepared_only, new_plain)).alias("s"))
         .select("file_path", "s.*")

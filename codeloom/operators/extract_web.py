@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from codeloom.functions.classify import rest_framework
 from codeloom.functions.paths import is_dynamic_url, normal_action, url_parameters
 from codeloom.functions.text import char_window, regex_hits
-from codeloom.operators.rows import first
+from codeloom.operators.rows import first, once
 
 TEXT = "text"
 
@@ -139,7 +139,7 @@ def http_calls(files: DataFrame) -> DataFrame:
         ),
     )
     return (
-        files.select("file_path", TEXT, found.alias("found"))
+        once(files.select("file_path", TEXT), "found", found)
         .filter(F.size("found") > 0)
         .select(
             "file_path",
@@ -182,7 +182,7 @@ def rest_endpoints(files: DataFrame) -> DataFrame:
     arrays += [declared(VERB_MAPPING, "@%smapping", verb) for verb in ("Get", "Post", "Put", "Delete")]
     arrays += [declared(FASTAPI, "@app.%s", verb) for verb in ("get", "post")]
     return (
-        files.select("file_path", TEXT, F.concat(*arrays).alias("found"))
+        once(files.select("file_path", TEXT), "found", F.concat(*arrays))
         .filter(F.size("found") > 0)
         .select(
             "file_path",
@@ -205,7 +205,7 @@ def annotated_actions(files: DataFrame) -> DataFrame:
     text = F.col(TEXT)
     cls = first(regex_hits(text, ACTION_CLASS))
     return (
-        files.select("file_path", TEXT, cls["g1"].alias("class_name"))
+        once(files.select("file_path", TEXT), "class_name", cls["g1"])
         .filter(F.col("class_name").isNotNull())
         .select("file_path", "class_name", TEXT, F.explode(regex_hits(text, ACTION_MARK)).alias("h"))
         .withColumn("rest", F.substring(text, F.col("h.end") + 1, F.length(text)))

@@ -37,3 +37,12 @@ def first(hits: Column) -> Column:
 def if_any(value: Column, one) -> Column:
     """``[one(value)]`` when value is not null, else an empty array."""
     return F.transform(F.array_compact(F.array(value)), one)
+
+
+def once(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """Adds a costly column that is evaluated exactly once per row.
+
+    A filter on a plain column is moved below its projection and evaluates the
+    expression again there; a one-element explode keeps it in place.
+    """
+    return df.select("*", F.explode(F.array(value)).alias(name))
