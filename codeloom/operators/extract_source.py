@@ -241,11 +241,11 @@ def idl_rollup(files: DataFrame) -> DataFrame:
 
     c = F.col
     oneway = F.regexp_count(F.lower(strip_idl_comments(c(TEXT))), F.lit("oneway"))
-    counts = bind(idl_entity_array(c(TEXT)), lambda e: bind(parts(e), _idl_counts))
+    entities = once(files, "e", idl_entity_array(c(TEXT))).select("file_path", "e", oneway.alias("async_calls"))
     level, n_if, n_st, small = c("level"), c("n_interfaces"), c("n_structs"), c("small_structs")
     return (
-        once(files, "m", counts)
-        .select("file_path", "m.*", oneway.alias("async_calls"))
+        once(entities, "m", bind(parts(c("e")), _idl_counts))
+        .select("file_path", "m.*", "async_calls")
         .filter((n_if > 0) | (n_st > 0) | (c("n_enums") > 0))
         .withColumns(
             {
