@@ -40,7 +40,7 @@ NODES = " UNION ALL ".join((
 
 @query("G1", f"SELECT type, n FROM ({NODES})")
 def graph_nodes(spark, d):
-    g = intelligence.build(_mixed_files(spark, d))
+    g = intelligence.build(_mixed_files(spark, d), staged=False)
     return g.nodes.groupBy("type").agg(F.count("*").alias("n"))
 
 
@@ -49,7 +49,7 @@ def graph_calls(spark, d):
     """Every compute function names itself in its own definition line, as the
     bracket pattern sees it; helpers are not defined anywhere."""
     files = T.python_files(spark, d)
-    g = intelligence.build(files)
+    g = intelligence.build(files, staged=False)
     names = g.nodes.select(c("entity_id").alias("source_id"), "name", "file_path")
     calls = g.edges.filter(c("relationship_type") == "calls").join(names, "source_id")
     return calls.select(

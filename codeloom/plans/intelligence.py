@@ -55,14 +55,16 @@ def module_nodes(files: DataFrame, skip=SKIP_BUILDER) -> DataFrame:
     )
 
 
-def build(files: DataFrame, dependencies: DataFrame | None = None, extractors=EXTRACTORS) -> Graph:
+def build(
+    files: DataFrame, dependencies: DataFrame | None = None, extractors=EXTRACTORS, staged: bool = True
+) -> Graph:
     """``files``: file_path, text. ``dependencies``: file_path, dependency.
 
     Entities are written once to the shared folder: every edge kind reads them
     on both sides, and parsing the corpus again each time is the one thing a
     large run cannot afford.
     """
-    entities = cut_lineage(code_nodes(extract_all(files, extractors)))
+    entities = cut_lineage(code_nodes(extract_all(files, extractors, staged)))
     nodes = R.parent_ids(entities)
     edges = inherits(entities).unionByName(calls(entities))
     if dependencies is not None:

@@ -11,6 +11,7 @@ from codeloom.functions.classify import parser_kind
 from codeloom.operators import extract_python as P
 from codeloom.operators import extract_source as X
 from codeloom.operators.rows import NO_ITEMS
+from codeloom.session import stage
 
 Extractor = Callable[[DataFrame], DataFrame]
 
@@ -68,11 +69,23 @@ EXTRACTORS: dict[str, Extractor] = {
 }
 
 
-def extract_all(files: DataFrame, extractors: dict[str, Extractor] = EXTRACTORS) -> DataFrame:
-    """Entities of every supported file; each branch reads its own files only."""
-    routed = files.withColumn("parser_kind", parser_kind(F.col("file_path"), F.col("text")))
+def extract_all(
+    files: DataFrame, extractors: dict[str, Extractor] = EXTRACTORS, staged: bool = True
+) -> DataFrame:
+    """Entities of every supported file.
+
+    Files are routed once and staged by parser kind, so an extractor reads its
+    own files and the corpus is not scanned again for each of them. Texts that
+    are cheaper to derive than to write need no staging.
+    """
+    kind = parser_kind(F.col("file_path"), F.col("text"))
+    routed = files.select("file_path", "text", kind.alias("parser_kind")).filter(
+        F.col("parser_kind").isin(*extractors)
+    )
+    source = stage(routed, "parser_kind") if staged else routed
     out = None
-    for kind, extract in extractors.items():
-        rows = extract(routed.filter(F.col("parser_kind") == kind)).withColumn("parser_kind", F.lit(kind))
+    for name, extract in extractors.items():
+        own = source.filter(F.col("parser_kind") == name).select("file_path", "text")
+        rows = extract(own).withColumn("parser_kind", F.lit(name))
         out = rows if out is None else out.unionByName(rows)
     return out

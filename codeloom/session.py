@@ -48,3 +48,16 @@ def cut_lineage(df):
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         sc.setCheckpointDir(shared_dir(spark) + "/checkpoints")
     return df.checkpoint(eager=True)
+
+
+def stage(df, partition_by: str):
+    """Writes a table to the shared folder, partitioned, and reads it back.
+
+    For inputs that several consumers filter by one column: each of them then
+    reads its own partition only, and the input itself is read once.
+    """
+    import uuid
+
+    path = f"{shared_dir(df.sparkSession)}/staged/{uuid.uuid4().hex}"
+    df.write.partitionBy(partition_by).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
