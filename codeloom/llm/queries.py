@@ -10,7 +10,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codeloom.llm import quality_rules, secret_scans, source_mix, token_counts
+from codeloom.llm import quality_classifier, quality_rules, secret_scans, source_mix, token_counts
+from codeloom.llm.common import crc_mod
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -47,6 +48,16 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query("op5_quality_classifier")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = table(spark, sf_dir, "labels")
+    held_out = crc_mod("doc_id", 3) == 1
+    trees = quality_classifier.learn(docs, labels, rows=~held_out)
+    scored = quality_classifier.score_quality(docs.withColumn("held_out", held_out), trees)
+    return scored.select("doc_id", "held_out", "score", "predicted")
+
+
 @query("op9_source_mix", source_mix.SQL)
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
