@@ -5,6 +5,7 @@ Each applies its operator to its whole table and derives the digest columns.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,8 +18,10 @@ from codeloom.llm import (
     secret_scans,
     source_mix,
     token_counts,
+    warc,
 )
 from codeloom.llm.common import crc_mod
+from codeloom.session import shared_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -74,6 +77,30 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query("op7_warc")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = f"{shared_dir(spark)}/llm/warc-{uuid.uuid4().hex}"
+    warc.write_warc(table(spark, sf_dir, "pages"), path)
+    read = warc.read_warc(spark, path)
+    page, first = (warc.id_of(F.col(c)).cast("long") for c in ("record_id", "refers_to"))
+    digest = F.substring("payload_digest", len("sha1:") + 1, 32)
+    # payloads are measured anew; revisits state those of the full payload
+    full = F.coalesce("payload", F.lit(b""))
+    responses = read.where("record_type = 'response'").select(
+        page.alias("page_id"),
+        F.octet_length(full).cast("long").alias("payload_bytes"),
+        warc.base32_sha1(full).alias("payload_digest"),
+        "record_type",
+        F.lit(None).cast("long").alias("refers_to"),
+    )
+    revisits = (
+        warc.read_warc(spark, path, payloads=False)
+        .where("record_type = 'revisit'")
+        .select(page.alias("page_id"), F.col("payload_length").alias("payload_bytes"), digest.alias("payload_digest"), "record_type", first.alias("refers_to"))
+    )
+    return responses.unionByName(revisits)
+
+
 @query("op9_source_mix", source_mix.SQL)
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
