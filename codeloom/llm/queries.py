@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from codeloom.llm import (
     decontamination,
+    lm_scoring,
     quality_classifier,
     quality_rules,
     secret_scans,
@@ -101,6 +102,14 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return responses.unionByName(revisits)
 
 
+@query("op8_lm_scoring")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = crc_mod("doc_id", 10) == 0
+    model = lm_scoring.train(docs, rows=~held_out)
+    return lm_scoring.score_texts(docs.withColumn("held_out", held_out), model)
+
+
 @query("op9_source_mix", source_mix.SQL)
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
