@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from codeloom.llm import (
     decontamination,
+    jaccard_join,
     lm_scoring,
     quality_classifier,
     quality_rules,
@@ -59,6 +60,11 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query("op4_jaccard_join")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.jaccard_classes(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 @query("op5_quality_classifier")
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
