@@ -135,5 +135,10 @@ class Words:
         return first, self.runs.slices(hashes, first, first + k)
 
 
-def signed(h: np.ndarray) -> pa.Array:
-    return pa.array(h.view(np.int64))
+def distinct(h: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Different hashes of each row, sorted within the row."""
+    order = np.lexsort((h, row))
+    h, row = h[order], row[order]
+    new = np.ones(len(h), bool)
+    new[1:] = (h[1:] != h[:-1]) | (row[1:] != row[:-1])
+    return h[new], row[new]

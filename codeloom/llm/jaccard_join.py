@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codeloom.llm.common import BLANKS, Words, mixed, staged, text_chunks, word_bytes
+from codeloom.llm.common import BLANKS, Words, distinct, mixed, staged, text_chunks, word_bytes
 from codeloom.llm.components import components
 
 SHINGLE, THRESHOLD = 5, 0.8
@@ -54,15 +54,6 @@ def shingles(data: np.ndarray, offsets: np.ndarray, tool: Words, k: int = SHINGL
     return h, row
 
 
-def distinct(h: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Each text's different shingles, sorted within the text."""
-    order = np.lexsort((h, row))
-    h, row = h[order], row[order]
-    new = np.ones(len(h), bool)
-    new[1:] = (h[1:] != h[:-1]) | (row[1:] != row[:-1])
-    return h[new], row[new]
-
-
 def _signed(docs: DataFrame, columns: list[str], text: str, trees: int, length: int, k: int) -> DataFrame:
     """Each row with the digest of its shingle set and its prefix in each trie
     (both null for a text without words)."""

@@ -19,6 +19,7 @@ from codeloom.llm import (
     quality_rules,
     secret_scans,
     source_mix,
+    substring_dedup,
     token_counts,
     warc,
 )
@@ -60,6 +61,13 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query("op3_substring_dedup")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = substring_dedup.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    kept = F.coalesce(F.sha2("kept", 256), F.lower(F.hex("digest")))
+    return found.select("doc_id", "n_words", "n_removed", kept.alias("kept_sha256"))
+
+
 @query("op4_jaccard_join")
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.jaccard_classes(table(spark, sf_dir, "documents").select("doc_id", "text"))
