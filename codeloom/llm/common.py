@@ -142,3 +142,31 @@ def distinct(h: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     new = np.ones(len(h), bool)
     new[1:] = (h[1:] != h[:-1]) | (row[1:] != row[:-1])
     return h[new], row[new]
+
+
+class Sealed:
+    """A table under positional column names, so that an operator's own names
+    cannot clash with those of its input.
+
+    ``made`` are the columns that the operator adds; columns of those names (in
+    any case) are left out. ``table`` is the renamed table, ``name`` gives the
+    renamed form of an input column, ``restored`` undoes the renaming.
+    """
+
+    def __init__(self, df: DataFrame, made: list[str], drop: tuple[str, ...] = ()):
+        taken = {m.lower() for m in made}
+        self.made, self.names = made, {c: f"__x{i}" for i, c in reversed(list(enumerate(df.columns)))}
+        self.table = df.toDF(*(f"__x{i}" for i in range(len(df.columns))))
+        self.kept = [
+            (f"__x{i}", c) for i, c in enumerate(df.columns) if c.lower() not in taken and c not in drop
+        ]
+
+    def name(self, column: str) -> str:
+        return self.names[column]
+
+    @property
+    def columns(self) -> list[str]:
+        return [safe for safe, _ in self.kept]
+
+    def restored(self, df: DataFrame) -> DataFrame:
+        return df.select(*(F.col(safe).alias(c) for safe, c in self.kept), *self.made)

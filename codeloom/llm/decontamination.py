@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codeloom.llm.common import Words, mixed, staged, text_chunks, word_bytes
+from codeloom.llm.common import Sealed, Words, mixed, staged, text_chunks, word_bytes
 
 # Word characters: digits, letters, everything beyond ASCII.
 SEPARATORS = bytes(b for b in range(0x80) if not (0x30 <= b <= 0x39 or 0x41 <= b <= 0x5A or 0x61 <= b <= 0x7A))
@@ -174,7 +174,7 @@ def _candidates(docs: DataFrame, columns: list[str], text: str, bits: np.ndarray
     kind = pa.list_(
         pa.struct([("at", pa.int32()), ("h", pa.int64()), ("lead", pa.int32()), ("near", pa.list_(pa.string()))])
     )
-    types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*columns).schema.fields)
+    types = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in docs.select(*columns).schema.fields)
     schema = f"{types}, __n long, __places array<struct<at:int,h:long,lead:int,near:array<string>>>"
     return docs.select(*columns, F.col(text).alias("__text")).mapInArrow(rows, schema)
 
@@ -228,8 +228,11 @@ def decontaminate(
     of all documents hold are pre-counted per task; hits are summed per row.
     """
     made = ["n_words", "n_hit", "n_items", "items", "contaminated"]
-    own = docs.drop(*(c for c in made if c != text))
-    rows, hits = benchmark_hits(own, bench, text=text, item=item, item_text=item_text, n=n)
+    own = Sealed(docs, made, drop=(text,))
+    body = F.col(own.name(text)).alias("__body")
+    rows, hits = benchmark_hits(
+        own.table.select(*own.columns, body), bench, text="__body", item=item, item_text=item_text, n=n
+    )
     spans = (
         hits.groupBy("__row", "start", "length")
         .agg(F.collect_set(F.coalesce(F.col("item").cast("string"), F.lit(""))).alias("items"))
@@ -256,6 +259,8 @@ def decontaminate(
             "items": F.coalesce("items", F.array().cast("array<string>")),
         }
     )
-    return out.withColumns(
-        {"n_words": F.col("__n"), "n_items": F.size("items").cast("long"), "contaminated": F.col("n_hit") > 0}
-    ).select(*[c for c in own.columns if c != text], *made)
+    return own.restored(
+        out.withColumns(
+            {"n_words": F.col("__n"), "n_items": F.size("items").cast("long"), "contaminated": F.col("n_hit") > 0}
+        )
+    )

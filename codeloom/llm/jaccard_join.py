@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codeloom.llm.common import BLANKS, Words, distinct, mixed, staged, text_chunks, word_bytes
+from codeloom.llm.common import BLANKS, Sealed, Words, distinct, mixed, staged, text_chunks, word_bytes
 from codeloom.llm.components import components
 
 SHINGLE, THRESHOLD = 5, 0.8
@@ -57,7 +57,7 @@ def shingles(data: np.ndarray, offsets: np.ndarray, tool: Words, k: int = SHINGL
 def _signed(docs: DataFrame, columns: list[str], text: str, trees: int, length: int, k: int) -> DataFrame:
     """Each row with the digest of its shingle set and its prefix in each trie
     (both null for a text without words)."""
-    types = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*columns).schema.fields]
+    types = [f"{f.name} {f.dataType.simpleString()}" for f in docs.select(*columns).schema.fields]
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tool = Words(word_bytes(BLANKS))
@@ -209,21 +209,23 @@ def jaccard_classes(
     pairs of blocks, whose links are counted, never listed.
     """
     made = ["set_id", "class_id", "n_links", "n_linked_sets"]
-    columns = [c for c in df.columns if c not in (*made, text)]
+    own = Sealed(df, made, drop=(text,))
+    text, key = own.name(text), own.name(key)
+    columns = list(dict.fromkeys([*own.columns, key]))
     length = prefix_length(trees, depth, threshold, recall)
-    docs = df.select(*columns, F.coalesce(F.col(text), F.lit("")).alias("__t"))
+    docs = own.table.select(*columns, F.coalesce(F.col(text), F.lit("")).alias("__t"))
     docs = docs.withColumns({"__mark": F.xxhash64("__t"), "__bytes": F.octet_length("__t").cast("long")})
     signed = staged(_signed(docs, [*columns, "__mark", "__bytes"], "__t", trees, length, k), "forest")
-    own = signed.where(F.col("__set").isNotNull())
+    filled = signed.where(F.col("__set").isNotNull())
 
-    paths = own.select(F.col("__set").alias("a"), F.posexplode("__paths").alias("tree", "prefix"))
+    paths = filled.select(F.col("__set").alias("a"), F.posexplode("__paths").alias("tree", "prefix"))
     nodes = paths.groupBy("tree", "prefix").agg(F.min("a").alias("b"), F.max("a").alias("top"))
     nodes = nodes.where(F.col("b") != F.col("top")).drop("top")
     together = components(paths.join(nodes, ["tree", "prefix"]).select("a", "b").where("a != b"))
 
     # one row per candidate set, and the row whose text stands for it
     stand = F.min(F.struct(F.col(key).alias("key"), F.col("__mark").alias("mark"))).alias("s")
-    sets = own.groupBy(F.col("__set").alias("set")).agg(
+    sets = filled.groupBy(F.col("__set").alias("set")).agg(
         F.count(F.lit(1)).alias("copies"), F.min(key).alias("least"), F.max("__bytes").alias("bytes"), stand
     )
     sets = staged(sets, "sets")
@@ -270,10 +272,11 @@ def jaccard_classes(
         F.coalesce("sets", F.lit(0)).cast("long").alias("n_linked_sets"),
     )
     alone = F.col("set").isNull()
-    return signed.join(facts, F.col("__set") == F.col("set"), "left").select(
+    out = signed.join(facts, F.col("__set") == F.col("set"), "left").select(
         *columns,
         F.when(alone, F.col(key)).otherwise(F.col("set_id")).alias("set_id"),
         F.when(alone, F.col(key)).otherwise(F.col("class_id")).alias("class_id"),
         F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"),
         F.coalesce("n_linked_sets", F.lit(0).cast("long")).alias("n_linked_sets"),
     )
+    return own.restored(out)

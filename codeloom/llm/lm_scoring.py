@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from codeloom.llm.common import BLANKS, Words, staged, text_chunks, word_bytes
+from codeloom.llm.common import BLANKS, Sealed, Words, staged, text_chunks, word_bytes
 from codeloom.llm.elias_fano import Monotone, load, part, prefixed, quantised, save
 from codeloom.session import shared_dir
 
@@ -299,8 +299,9 @@ def score_texts(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """
     held = df.sparkSession.sparkContext.broadcast(model)
     made = ["n_tokens", "n_known", "train_tokens", "base_score", "score"]
-    kept = [c for c in df.columns if c not in made and c != text]
-    types = [f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*kept).schema.fields]
+    own = Sealed(df, made, drop=(text,))
+    kept = own.columns
+    types = [f"{f.name} {f.dataType.simpleString()}" for f in own.table.select(*kept).schema.fields]
     types += ["n_tokens long", "n_known long", "train_tokens long", "base_score double", "score double"]
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -336,4 +337,5 @@ def score_texts(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
             columns += [pa.array(base), pa.array(score)]
             yield pa.RecordBatch.from_arrays(columns, names=[*kept, *made])
 
-    return df.select(*kept, F.col(text).alias("__text")).mapInArrow(rows, ", ".join(types))
+    source = own.table.select(*kept, F.col(own.name(text)).alias("__text"))
+    return own.restored(source.mapInArrow(rows, ", ".join(types)))

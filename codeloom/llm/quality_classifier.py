@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from codeloom.llm.common import BLANKS, Words, text_chunks, word_bytes
+from codeloom.llm.common import BLANKS, Sealed, Words, text_chunks, word_bytes
 
 #: Labelled rows that training may hold on the driver, the first by hash of the key.
 MAX_TRAINING_ROWS = 20_000
@@ -224,6 +224,6 @@ def score_quality(df: DataFrame, trees: Trees, text: str = "text", cut: float =
             x = statistics(pa.array(texts, pa.large_string(), from_pandas=True))
             yield pd.Series(held.value.score(x) if len(x) else np.zeros(0))
 
-    return df.withColumn("score", scores(F.coalesce(F.col(text), F.lit("")))).withColumn(
-        "predicted", (F.col("score") >= cut).cast("int")
-    )
+    own = Sealed(df, ["score", "predicted"])
+    scored = own.table.withColumn("score", scores(F.coalesce(F.col(own.name(text)), F.lit(""))))
+    return own.restored(scored.withColumn("predicted", (F.col("score") >= cut).cast("int")))

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from codeloom.llm.common import staged
+from codeloom.llm.common import Sealed, staged
 
 BLANK = r"[\x20\x09-\x0D]+"
 WINDOW = 5
@@ -68,8 +68,10 @@ def line_frequency_rules(
     holds arrives once per task.
     """
     made = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "n_frequent_words", "kept"]
-    others = [c for c in df.columns if c not in (*made, text)]
-    whole = df.select(*others, F.coalesce(F.col(text), F.lit("")).alias("__text"))
+    own = Sealed(df, made, drop=(text,))
+    text, host = own.name(text), own.name(host)
+    others = list(dict.fromkeys([*own.columns, host]))
+    whole = own.table.select(*others, F.coalesce(F.col(text), F.lit("")).alias("__text"))
     split = whole.withColumns(
         {
             "__words": _words(F.col("__text")),
@@ -119,4 +121,4 @@ def line_frequency_rules(
         "base_failed", failed
     )
     kept = ~F.col("base_failed") & (F.col("n_frequent_words") <= max_depleted * F.col("n_words"))
-    return out.withColumn("kept", kept).select(*others, *made)
+    return own.restored(out.withColumn("kept", kept))

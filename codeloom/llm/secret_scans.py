@@ -10,7 +10,6 @@ from __future__ import annotations
 
 import base64
 import binascii
-import hashlib
 import json
 import re
 from bisect import bisect_right
@@ -18,8 +17,11 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from codeloom.llm.common import Sealed
+
 #: Order of kinds among spans with one start; the first three are the base.
 KINDS = ("assign", "access", "hex", "signed_token", "pem_key", "base64_key", "hex_key", "openssh_key", "wrapped_pem")
 
@@ -221,8 +223,8 @@ def find_secrets(df: DataFrame, text: str = "text", redact: bool = True) -> Data
     is kept, repeated ones too; columns of these names are replaced.
     """
     found = [f for f in _FOUND if redact or f.name != "redacted"]
-    names = {f.name for f in found}
-    kept = [f for f in df.schema.fields if f.name not in names]
+    own = Sealed(df, [f.name for f in found])
+    kept = own.table.select(*own.columns).schema.fields
     schema = T.StructType(kept + found)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -238,9 +240,6 @@ def find_secrets(df: DataFrame, text: str = "text", redact: bool = True) -> Data
                 columns.append(pa.array([t if t is None else redacted(t, s) for t, s in zip(texts, spans)], pa.string()))
             yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
-    source = df.select(*[df[f"`{f.name}`"] for f in kept], df[f"`{text}`"].alias("__text"))
-    return source.mapInArrow(rows, schema)
-
+    source = own.table.select(*own.columns, F.col(own.name(text)).alias("__text"))
+    return own.restored(source.mapInArrow(rows, schema))
 
-def digest(spans: str) -> str:
-    return hashlib.sha256(spans.encode()).hexdigest()

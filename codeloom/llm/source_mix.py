@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from codeloom.llm.common import staged
+from codeloom.llm.common import Sealed, staged
 
 WEIGHTS = (3, 1, 2)
 #: Sources up to which the per-source rows are broadcast; beyond, Spark joins.
@@ -84,11 +84,13 @@ def mix_sources(
     own rows, only the counts per partition and source are summed across.
     """
     made = ["size", "source_size", "target", "copies", "taken"]
+    own = Sealed(df, made, drop=() if keep_text else (text,))
+    text, source, key = own.name(text), own.name(source), own.name(key)
     line = [F.col(source).asc_nulls_last(), "size", "__draw", F.col(key)]
-    base = df.drop(*(c for c in made if c != text)).withColumns({"size": words(text), "__draw": _draw(seed, F.col(key))})
-    columns = [c for c in df.columns if c not in made and (keep_text or c != text)]
+    base = own.table.withColumns({"size": words(text), "__draw": _draw(seed, F.col(key))})
+    needed = dict.fromkeys([*own.columns, source, key])
     laid = staged(
-        base.select(*columns, "size", "__draw")
+        base.select(*needed, "size", "__draw")
         .repartitionByRange(*line)
         .sortWithinPartitions(*line)
         .withColumn("__at", F.monotonically_increasing_id()),
@@ -114,10 +116,8 @@ def mix_sources(
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     rank = F.col("__at") + F.col("__offset")  # 0 for the first of its source
     passed = F.floor((rank + 1) * rate + F.col("__offer")) - F.floor(rank * rate + F.col("__offer"))
-    return (
-        found.withColumn("copies", passed.cast("long"))
-        .withColumn("taken", F.col("copies") * F.col("size"))
-        .select(*columns, *made)
+    return own.restored(
+        found.withColumn("copies", passed.cast("long")).withColumn("taken", F.col("copies") * F.col("size"))
     )
 
 

@@ -17,6 +17,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from codeloom.llm.common import Sealed
+
 # Fixed values of the vocabulary's file format: its piece pattern, and the
 # characters that stand for bytes (printable ones for themselves, the other
 # bytes in order from 256 on).
@@ -121,7 +123,7 @@ def count_tokens(df: DataFrame, vocabulary: str, text: str = "text", limit: int
         for texts in batches:
             yield texts.map(lambda t: count(t) if t else 0).astype("int64")
 
-    whole = F.coalesce(F.col(text), F.lit(""))
-    return df.withColumns({"n_bytes": F.octet_length(whole).cast("long"), "n_tokens": tokens(whole)}).withColumn(
-        "over_limit", F.col("n_tokens") > limit
-    )
+    own = Sealed(df, ["n_bytes", "n_tokens", "over_limit"])
+    whole = F.coalesce(F.col(own.name(text)), F.lit(""))
+    counts = {"n_bytes": F.octet_length(whole).cast("long"), "n_tokens": tokens(whole)}
+    return own.restored(own.table.withColumns(counts).withColumn("over_limit", F.col("n_tokens") > limit))
