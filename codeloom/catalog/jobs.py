@@ -2,30 +2,55 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from codeloom import schemas
 from codeloom.catalog import bindings as B
 from codeloom.catalog.registry import binding, query
+from codeloom.functions import paths as P
 from codeloom.operators import metrics as M
 from codeloom.operators.resolve import missing_columns
+from codeloom.session import shared_dir
 from codeloom.sources import corpus, tables
 from codeloom.streaming import jobs as S
 
 c = F.col
 
 
-@query("A1")
+FOLDERS = ("src", ".git/hooks", "node_modules/x", "venv/lib", "_private", "__pycache__", ".hidden", ".venv", "venvs")
+NAMES = ("__init__.py", "_util.py", ".x.js", "a.pyc", "b.class", "README", "c.d.ts", "empty.")
+
+
+def _scanned(spark, d, full):
+    """Planted folders and names before the files of the corpus."""
+    k = c("doc_id")
+    name = F.when(k % 3 == 0, B.pick(NAMES, k % 8)).otherwise(F.concat_ws("/", F.lit("deep"), F.element_at(F.split("file_path", "/"), -1)))
+    rows = B.files(spark, d).select("doc_id", F.concat_ws("/", B.pick(FOLDERS, k % 9), name).alias("path"), F.octet_length("text").cast("long").alias("size_bytes"))
+    return rows.filter(corpus.in_scope(c("path"), full)).select("doc_id", P.file_name(c("path")).alias("name"), P.suffix(c("path")).alias("ext"), "size_bytes")
+
+
+binding(
+    "scan",
+    "SELECT doc_id, CAST(strlen(text) AS BIGINT) AS size_bytes, " + B.sql_pick(FOLDERS, "doc_id % 9") + " AS folder, CASE WHEN doc_id % 3 = 0 THEN "
+    + B.sql_pick(NAMES, "doc_id % 8") + " ELSE regexp_extract(file_path, '[^/]+$') END AS name FROM files",
+)
+EXT_SQL = "CASE WHEN regexp_matches(name, '^.+\\.[^.]+$') THEN regexp_extract(name, '\\.[^.]+$') ELSE '' END"
+SHORT_SQL = "folder NOT IN ('.git/hooks', 'node_modules/x', '__pycache__', '.venv')"
+
+
+@query("A1", f"SELECT doc_id, name, {EXT_SQL} AS ext, size_bytes FROM scan WHERE {SHORT_SQL} AND folder <> 'venv/lib' AND {EXT_SQL} NOT IN ('.pyc', '.class')")
 def full_scan(spark, d):
-    """The data folder itself is the corpus; content is never read."""
-    return corpus.list_files(spark, d).select("name", "ext", "size_bytes")
+    """The rules of ``list_files`` on relative paths; names with a leading dot
+    or underscore stay."""
+    return _scanned(spark, d, True)
 
 
-@query("A2")
+@query("A2", f"SELECT {EXT_SQL} AS ext, count(*) AS total_files, CAST(sum(size_bytes) AS BIGINT) AS total_bytes FROM scan WHERE {SHORT_SQL} GROUP BY 1")
 def short_scan(spark, d):
-    listed = corpus.list_files(spark, d, full=False)
-    return listed.groupBy("ext").agg(F.count("*").alias("total_files"), F.sum("size_bytes").alias("total_bytes"))
+    return _scanned(spark, d, False).groupBy("ext").agg(F.count("*").alias("total_files"), F.sum("size_bytes").alias("total_bytes"))
 
 
 @query("A7", "SELECT level, logger, count(*) AS n, CAST(sum(log_id) AS BIGINT) AS ids FROM logs GROUP BY 1, 2")
@@ -60,8 +85,10 @@ REPORTS_SQL = ("SELECT job_id, status || '_flow_diagram.mmd' AS filename, 'graph
 
 @query("A9", REPORTS_SQL)
 def reports(spark, d):
-    """Report rows as ``write_reports`` stores them, one folder per job."""
-    return _reports(spark, d)
+    """Written to the shared folder by ``write_reports`` and read back."""
+    root = f"{shared_dir(spark)}/reports/{uuid.uuid4().hex}"
+    tables.write_reports(_reports(spark, d), root)
+    return tables.read_reports(spark, root).select("job_id", "filename", "content")
 
 
 @query("A10", f"SELECT path, replace(fn, '.mmd', '') AS id, CASE split_part(fn, '_', 1) WHEN 'completed' THEN 'Completed' WHEN 'failed' THEN 'Failed' "
@@ -71,8 +98,10 @@ def reports(spark, d):
 def diagrams(spark, d):
     from codeloom.operators.reports import diagram_metadata
 
-    files = _reports(spark, d).select(F.concat_ws("/", "job_id", F.lit("diagrams"), "filename").alias("path"), "content")
-    return diagram_metadata(files)
+    root = f"{shared_dir(spark)}/reports/{uuid.uuid4().hex}"
+    tables.write_reports(_reports(spark, d), root)
+    files = tables.read_reports(spark, root).filter(c("filename").endswith(".mmd"))
+    return diagram_metadata(files.select(F.concat_ws("/", "job_id", F.lit("diagrams"), "filename").alias("path"), "content"))
 
 
 binding(

@@ -61,35 +61,31 @@ DEPTH_FACTORS = {"minimal": 0.5, "standard": 1.0, "comprehensive": 1.5, "exhaust
 
 # Words that make poor column names, and what to use instead.
 RESERVED_WORDS = (
-    "metadata registry mapper class_registry "
-    "__mapper__ __table__ __tablename__ __mapper_args__ "
-    "__table_args__ __abstract__ __mapper_cls__ "
-    "select insert update delete from where join "
-    "inner outer left right on as table column "
-    "index primary foreign key constraint unique "
-    "not null default check references cascade "
-    "class def if else elif for while try "
-    "except finally with import lambda "
-    "return yield raise assert del pass break "
-    "continue global nonlocal and or in is "
-    "type id name value data info config"
-).split()
+    "metadata", "registry", "mapper", "class_registry", "__mapper__", "__table__", "__tablename__",
+    "__mapper_args__", "__table_args__", "__abstract__", "__mapper_cls__", "select", "insert", "update",
+    "delete", "from", "where", "join", "inner", "outer", "left", "right", "on", "as", "table", "column",
+    "index", "primary", "foreign", "key", "constraint", "unique", "not", "null", "default", "check",
+    "references", "cascade", "class", "def", "if", "else", "elif", "for", "while", "try", "except",
+    "finally", "with", "import", "lambda", "return", "yield", "raise", "assert", "del", "pass", "break",
+    "continue", "global", "nonlocal", "and", "or", "in", "is", "type", "id", "name", "value", "data",
+    "info", "config",
+)
 WORD_ALTERNATIVES = {
-    "metadata": "entity_metadata, meta_data, properties, attributes",
-    "type": "entity_type, record_type, item_type, category",
-    "id": "entity_id, record_id, identifier, pk",
-    "data": "entity_data, content, payload, information",
-    "config": "configuration, settings, options, params",
-    "info": "information, details, meta_info, properties",
-    "name": "entity_name, display_name, title, label",
-    "value": "entity_value, content_value, data_value, amount",
-    "class": "entity_class, classification, category, group",
-    "table": "data_table, table_name, table_ref, relation",
-    "column": "column_name, field_name, attribute, property",
-    "select": "selection, query_select, choose, pick",
-    "update": "modification, change, revision, edit",
-    "delete": "removal, deletion, destroy, remove",
-    "insert": "addition, creation, new_record, add",
+    "metadata": ("entity_metadata", "meta_data", "properties", "attributes"),
+    "type": ("entity_type", "record_type", "item_type", "category"),
+    "id": ("entity_id", "record_id", "identifier", "pk"),
+    "data": ("entity_data", "content", "payload", "information"),
+    "config": ("configuration", "settings", "options", "params"),
+    "info": ("information", "details", "meta_info", "properties"),
+    "name": ("entity_name", "display_name", "title", "label"),
+    "value": ("entity_value", "content_value", "data_value", "amount"),
+    "class": ("entity_class", "classification", "category", "group"),
+    "table": ("data_table", "table_name", "table_ref", "relation"),
+    "column": ("column_name", "field_name", "attribute", "property"),
+    "select": ("selection", "query_select", "choose", "pick"),
+    "update": ("modification", "change", "revision", "edit"),
+    "delete": ("removal", "deletion", "destroy", "remove"),
+    "insert": ("addition", "creation", "new_record", "add"),
 }
 
 
@@ -280,7 +276,8 @@ def reserved_word_hint(name: Column) -> Column:
     """Suggested replacements for a reserved name, null when the name is fine."""
     low = F.lower(name)
     fallback = F.concat(name, F.lit("_value, "), name, F.lit("_data, entity_"), name)
-    hint = F.coalesce(lookup(WORD_ALTERNATIVES, low, None), fallback)
+    listed = {word: ", ".join(others) for word, others in WORD_ALTERNATIVES.items()}
+    hint = F.coalesce(lookup(listed, low, None), fallback)
     return F.when(low.isin(RESERVED_WORDS), hint)
 
 

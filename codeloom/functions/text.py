@@ -7,15 +7,15 @@ from pyspark.sql import functions as F
 
 # Words ignored when two rule descriptions are compared.
 STOP_WORDS = (
-    "the a an and or but in on at to for of with by is are was were be been being "
-    "have has had do does did will would could should may might must can cannot "
-    "this that these those"
-).split()
+    "the", "a", "an", "and", "or", "but", "in", "on", "at", "to", "for", "of", "with", "by", "is", "are",
+    "was", "were", "be", "been", "being", "have", "has", "had", "do", "does", "did", "will", "would",
+    "could", "should", "may", "might", "must", "can", "cannot", "this", "that", "these", "those",
+)
 
 # Names followed by "(" that are not calls.
 CALL_KEYWORDS = (
-    "if for while try catch switch return new delete typeof instanceof"
-).split()
+    "if", "for", "while", "try", "catch", "switch", "return", "new", "delete", "typeof", "instanceof",
+)
 
 
 def bind(value: Column, body) -> Column:
@@ -65,6 +65,10 @@ def _bound(value: str, name: str, body: str) -> str:
     return f"transform(array({value}), {name} -> {body})[0]"
 
 
+#: Matches of one text that are summed as a block.
+HIT_BLOCK = 128
+
+
 def regex_hits(text: Column, pattern: str, groups: int = 1, needs: str = "") -> Column:
     """All matches as ``array<struct<start,line,end,g0..gN>>``.
 
@@ -73,34 +77,48 @@ def regex_hits(text: Column, pattern: str, groups: int = 1, needs: str = "") ->
 
     ``start`` is the 0-based character offset, ``line`` is 1-based. Splitting
     on the same pattern yields the text between matches, so offsets and line
-    numbers are prefix sums; nothing leaves the JVM.
+    numbers are prefix sums; nothing leaves the JVM. The sums are taken over
+    blocks of ``HIT_BLOCK`` matches first, so a match adds up the rest of its
+    own block only, however many matches the text has.
     """
     p = quoted(pattern)
     every = range(groups + 1)
-    breaks = "length(s) - length(replace(s, '\\n', ''))"
+    breaks = "length({0}) - length(replace({0}, '\\n', ''))".format
     found = "named_struct('gaps', split(t, {p}, -1), {g})".format(
         p=p, g=", ".join(f"'g{i}', regexp_extract_all(t, {p}, {i})" for i in every)
     )
-    measured = "named_struct({g}, {m})".format(
+    # from the end of the match before (or the text's start) up to this match
+    before = "if(i = 0, '', get(m.g0, i - 1))"
+    measured = "named_struct({g}, 'chars', {c}, 'lines', {n})".format(
         g=", ".join(f"'g{i}', m.g{i}" for i in every),
-        m=", ".join(
-            f"'{name}', transform(m.{src}, s -> {what})"
-            for name, src, what in (
-                ("gap_len", "gaps", "length(s)"),
-                ("gap_nl", "gaps", breaks),
-                ("hit_len", "g0", "length(s)"),
-                ("hit_nl", "g0", breaks),
-            )
-        ),
+        c=f"transform(m.g0, (h, i) -> length(get(m.gaps, i)) + length({before}))",
+        n=f"transform(m.g0, (h, i) -> {breaks('get(m.gaps, i)')} + {breaks(before)})",
+    )
+    add = "aggregate({0}, 0, (a, x) -> a + x)".format
+    blocks = f"sequence(0, size(q.g0) div {HIT_BLOCK})"
+    block_sum = "transform({b}, k -> {s})".format(
+        b=blocks, s=add(f"slice(q.{{0}}, k * {HIT_BLOCK} + 1, {HIT_BLOCK})")
+    ).format
+    summed = "named_struct({g}, 'chars', q.chars, 'lines', q.lines, 'bc', {c}, 'bl', {n})".format(
+        g=", ".join(f"'g{i}', q.g{i}" for i in every), c=block_sum("chars"), n=block_sum("lines")
+    )
+    prefixed = "named_struct({g}, 'chars', r.chars, 'lines', r.lines, 'bc', {c}, 'bl', {n})".format(
+        g=", ".join(f"'g{i}', r.g{i}" for i in every),
+        c=f"transform(r.bc, (x, k) -> {add('slice(r.bc, 1, k)')})",
+        n=f"transform(r.bl, (x, k) -> {add('slice(r.bl, 1, k)')})",
     )
-    total = "aggregate(slice(q.{0}, 1, {1}), 0, (a, x) -> a + x)".format
-    start = f"({total('gap_len', 'i + 1')} + {total('hit_len', 'i')})"
-    one = "named_struct('start', {s}, 'line', 1 + {n}, 'end', {s} + length(h), 'g0', h{g})".format(
-        s=start,
-        n=f"{total('gap_nl', 'i + 1')} + {total('hit_nl', 'i')}",
-        g="".join(f", 'g{i}', get(q.g{i}, i)" for i in every if i),
+    total = (
+        f"(get(w.{{1}}, i div {HIT_BLOCK}) + "
+        + add(f"slice(w.{{0}}, i div {HIT_BLOCK} * {HIT_BLOCK} + 1, i % {HIT_BLOCK} + 1)")
+        + ")"
+    ).format
+    one = "transform(array({s}), s -> named_struct('start', s, 'line', 1 + {n}, 'end', s + length(h), 'g0', h{g}))[0]".format(
+        s=total("chars", "bc"),
+        n=total("lines", "bl"),
+        g="".join(f", 'g{i}', get(w.g{i}, i)" for i in every if i),
     )
-    hits = _bound(found, "m", _bound(measured, "q", f"transform(q.g0, (h, i) -> {one})"))
+    listed = f"transform(w.g0, (h, i) -> {one})"
+    hits = _bound(found, "m", _bound(measured, "q", _bound(summed, "r", _bound(prefixed, "w", listed))))
     if needs:
         hits = f"if(contains(lower(t), {quoted(needs)}), {hits}, array())"
     return apply_sql(text, hits)

@@ -174,10 +174,10 @@ IDL_POINTS = {"interface": 5, "inheritance": 10, "struct": 3, "enum": 1}
 IDL_LEVELS = ((15, "Low"), (40, "Medium"), (80, "High"))
 SMALL_STRUCT = 10
 OPPORTUNITIES = {
-    "interfaces": ("Convert ", " CORBA interfaces to REST APIs"),
-    "crud": ("", " interfaces are candidates for RESTful API conversion"),
-    "structs": ("Modernize ", " data structures to JSON/XML schemas"),
-    "small": ("", " structs are suitable for JSON serialization"),
+    "interfaces": "Convert %d CORBA interfaces to REST APIs",
+    "crud": "%d interfaces are candidates for RESTful API conversion",
+    "structs": "Modernize %d data structures to JSON/XML schemas",
+    "small": "%d structs are suitable for JSON serialization",
 }
 SPLIT_UP = "Large interface count suggests microservices decomposition opportunities"
 TOO_SYNCHRONOUS = "Heavy reliance on synchronous calls - consider async patterns"
@@ -236,8 +236,7 @@ def idl_rollup(files: DataFrame) -> DataFrame:
         )
 
     def counted_text(kind: str, number: Column) -> Column:
-        head, tail = OPPORTUNITIES[kind]
-        return F.when(number > 0, F.concat(F.lit(head), number.cast("string"), F.lit(tail)))
+        return F.when(number > 0, F.format_string(OPPORTUNITIES[kind], number))
 
     c = F.col
     oneway = F.regexp_count(F.lower(strip_idl_comments(c(TEXT))), F.lit("oneway"))

@@ -23,15 +23,25 @@ def parse_json_logs(lines: DataFrame, column: str = "line", schema: str = schema
     return lines.select(F.from_json(F.col(column), schema).alias("l")).select("l.*")
 
 
-def write_reports(reports: DataFrame, root: str) -> None:
-    """``reports``: job_id, filename, content. One folder per job."""
-    reports.repartition("job_id", F.pmod(F.xxhash64("filename"), F.lit(16))).write.mode("append").partitionBy(
-        "job_id"
-    ).parquet(root)
+REPORT_BUCKETS = 64
 
 
-def read_reports(spark: SparkSession, root: str) -> DataFrame:
-    return spark.read.schema("filename string, content string, job_id string").parquet(root)
+def write_reports(reports: DataFrame, root: str) -> None:
+    """``reports``: job_id, filename, content. Jobs share folders by a hash of
+    their id, so the number of files does not grow with the number of jobs."""
+    bucket = F.pmod(F.xxhash64("job_id"), F.lit(REPORT_BUCKETS)).cast("int")
+    reports.withColumn("bucket", bucket).repartition("bucket", F.pmod(F.xxhash64("filename"), F.lit(16))).write.mode(
+        "append"
+    ).partitionBy("bucket").parquet(root)
+
+
+def read_reports(spark: SparkSession, root: str, job_id: str | None = None) -> DataFrame:
+    """All reports, or those of one job, for which one folder is read."""
+    found = spark.read.schema("job_id string, filename string, content string, bucket int").parquet(root)
+    if job_id is not None:
+        own = F.pmod(F.xxhash64(F.lit(job_id)), F.lit(REPORT_BUCKETS)).cast("int")
+        found = found.filter((F.col("bucket") == own) & (F.col("job_id") == job_id))
+    return found.drop("bucket")
 
 
 def read_diagram_files(spark: SparkSession, root: str) -> DataFrame:

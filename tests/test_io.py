@@ -18,6 +18,9 @@ def _tree(root):
         "src/blank.py": b"  \n \n",
         "src/empty.py": b"",
         "src/x.pyc": b"zz",
+        "src/__init__.py": b"import a",
+        "_internal/_util.py": b"z = 1",
+        ".tools/.x.js": b"go()",
         "node_modules/m.js": b"1",
         "venv/v.py": b"1",
         "README": b"hi\n",
@@ -28,23 +31,38 @@ def _tree(root):
 
 
 def test_scan_profiles(spark, tmp_path):
+    tmp_path = tmp_path / "venv" / "node_modules" / "corpus"  # what lies above the root prunes nothing
     _tree(tmp_path)
     names = lambda full: {r["name"] for r in corpus.list_files(spark, str(tmp_path), full).select("name").collect()}
-    assert names(True) == {"a.py", "bad.py", "blank.py", "README"}
-    assert names(False) == {"a.py", "bad.py", "blank.py", "README", "x.pyc", "v.py"}
+    every = {"a.py", "bad.py", "blank.py", "empty.py", "__init__.py", "_util.py", ".x.js", "README"}
+    assert names(True) == every
+    assert names(False) == every | {"x.pyc", "v.py"}
+    sizes = {r["name"]: r["size_bytes"] for r in corpus.list_files(spark, f"file://{tmp_path}/", pattern="*.py").collect()}
+    assert sizes == {"a.py": 11, "bad.py": 12, "blank.py": 5, "empty.py": 0, "__init__.py": 8, "_util.py": 5}
     texts = {r["file_path"].rsplit("/", 1)[1]: r for r in corpus.read_texts(spark, str(tmp_path)).collect()}
-    assert set(texts) == {"a.py", "bad.py", "README"}
+    assert set(texts) == {"a.py", "bad.py", "README", "__init__.py", "_util.py", ".x.js"}
     assert texts["bad.py"]["text"] == "café  ok\n" and texts["bad.py"]["n_lines"] == 1
     assert texts["a.py"]["n_lines"] == 2
-    kept = corpus.read_texts(spark, str(tmp_path), exclude=["bad*", "READ?E"], max_bytes=100).select("file_path").collect()
+    kept = corpus.read_texts(spark, str(tmp_path), exclude=["bad*", "READ?E", "_*", ".tools"], max_bytes=100).select("file_path").collect()
     assert [r["file_path"].rsplit("/", 1)[1] for r in kept] == ["a.py"]
 
 
+def test_unreadable_files_are_counted(spark, tmp_path):
+    _tree(tmp_path)
+    listed = corpus.list_files(spark, str(tmp_path))
+    (tmp_path / "README").unlink()
+    rows = corpus.read_files(listed).collect()
+    assert {r["path"].rsplit("/", 1)[1]: r["error"] for r in rows if r["content"] is None} == {"README": "FileNotFoundError"}
+    missing = corpus.list_files(spark, str(tmp_path / "absent")).collect()
+    assert [r["error"] for r in missing] == ["FileNotFoundError"]
+
+
 def test_reports_round_trip(spark, tmp_path):
     rows = [("j1", "class_diagram.mmd", "graph"), ("j2", "README.md", "x")]
     tables.write_reports(spark.createDataFrame(rows, "job_id string, filename string, content string"), str(tmp_path / "out"))
     back = tables.read_reports(spark, str(tmp_path / "out"))
     assert sorted((r["job_id"], r["filename"], r["content"]) for r in back.collect()) == rows
+    assert [r["filename"] for r in tables.read_reports(spark, str(tmp_path / "out"), "j2").collect()] == ["README.md"]
     d = tmp_path / "j1" / "diagrams"
     d.mkdir(parents=True)
     (d / "data_flow_diagram.mmd").write_text("flowchart\nA --> B")
