@@ -28,7 +28,8 @@ def _mixed_files(spark, d):
 NODES = " UNION ALL ".join((
     "SELECT 'class' AS type, count(*) AS n FROM (SELECT k FROM p WHERE k % 7 <> 0 UNION ALL SELECT k FROM p WHERE k % 7 <> 0 AND k % 3 = 0)",
     "SELECT 'function', count(*) FROM p WHERE k % 7 <> 0",
-    "SELECT 'module', count(*) * 7 FROM p",  # six files and one Angular module each
+    # one for each file with entities, and the Angular modules
+    "SELECT 'module', count(*) * 5 + count(*) FILTER (WHERE k % 7 <> 0) + count(*) FILTER (WHERE k % 11 > 1) FROM p",
     *[f"SELECT '{t}', count(*) FROM p" for t in ("component", "service", "interface", "corba_module", "corba_interface",
       "corba_attribute", "corba_struct", "corba_exception", "corba_enum", "corba_typedef", "struts2_action_class",
       "struts2_action_method", "struts2_validation_method", "struts2_jsp")],
@@ -40,20 +41,31 @@ NODES = " UNION ALL ".join((
 
 @query("G1", f"SELECT type, n FROM ({NODES})")
 def graph_nodes(spark, d):
-    g = intelligence.build(_mixed_files(spark, d), staged=False)
+    g = intelligence.build(_mixed_files(spark, d))
     return g.nodes.groupBy("type").agg(F.count("*").alias("n"))
 
 
-@query("G1_edges", "SELECT k AS caller, 'src/py/p' || k || '.py' AS context_file, 'compute_' || k AS callee FROM p WHERE k % 7 <> 0")
-def graph_calls(spark, d):
-    """Every compute function names itself in its own definition line, as the
-    bracket pattern sees it; helpers are not defined anywhere."""
-    files = T.python_files(spark, d)
-    g = intelligence.build(files, staged=False)
-    names = g.nodes.select(c("entity_id").alias("source_id"), "name", "file_path")
-    calls = g.edges.filter(c("relationship_type") == "calls").join(names, "source_id")
-    return calls.select(
-        F.regexp_extract("name", r"(\d+)", 1).cast("long").alias("caller"), c("file_path").alias("context_file"), c("context").alias("callee")
+HELPERS = "".join(
+    [f"class Base{i}:\n    pass\n\n" for i in range(5)]
+    + [f"def helper_{i}(x):\n    return x\n\n" for i in range(7)]
+    + [f"def pkg{i}():\n    return helper_{i}(1)\n\n" for i in range(3)]
+)
+
+
+@query("G1_edges", "SELECT 'calls' AS kind, 'compute_' || k AS source, 'helper_' || (k % 7) AS target FROM p WHERE k % 7 <> 0 "
+                   "UNION ALL SELECT 'calls', 'pkg' || i, 'helper_' || i FROM range(3) t(i) "
+                   "UNION ALL SELECT 'inherits', 'P' || k, 'Base' || (k % 5) FROM p WHERE k % 7 <> 0 "
+                   "UNION ALL SELECT 'depends_on', 'p' || k, 'pkg' || (k % 3) FROM p WHERE k % 7 <> 0")
+def graph_edges(spark, d):
+    """Edges of all three kinds; a function that calls nobody known has none,
+    and none calls itself."""
+    helpers = spark.range(1).select(F.lit("src/py/helpers.py").alias("file_path"), F.lit(HELPERS).alias("text"))
+    files = T.python_files(spark, d).select("file_path", "text").unionByName(helpers)
+    g = intelligence.build(files)
+    source = g.nodes.select(c("entity_id").alias("source_id"), c("name").alias("source"))
+    target = g.nodes.select(c("entity_id").alias("target_id"), c("name").alias("target"))
+    return g.edges.join(source, "source_id").join(target, "target_id").select(
+        c("relationship_type").alias("kind"), "source", "target"
     )
 
 

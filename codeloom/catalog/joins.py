@@ -240,15 +240,15 @@ def rule_links(spark, d):
     return R.rule_links(B.rules(spark, d))
 
 
-@query("D8_related", LINKED + "SELECT rule_id, CAST(least(5, count(DISTINCT other)) AS INTEGER) AS n_related FROM (SELECT a.rule_id, b.rule_id AS other FROM g a JOIN g b USING (link_kind, link_key) WHERE a.rule_id <> b.rule_id) GROUP BY 1")
+@query("D8_related", LINKED + "SELECT rule_id, CASE WHEN count(DISTINCT other) >= 5 THEN '5+' WHEN count(DISTINCT other) >= 2 THEN '2-4' ELSE '1' END AS band FROM (SELECT a.rule_id, b.rule_id AS other FROM g a JOIN g b USING (link_kind, link_key) WHERE a.rule_id <> b.rule_id) GROUP BY 1")
 def related_rules(spark, d):
-    return R.related_counts(R.rule_links(B.rules(spark, d)))
+    return R.related_bands(R.rule_links(B.rules(spark, d)))
 
 
 @query("E23_impact", LINKED + ", r AS (SELECT rule_id, count(DISTINCT other) AS n FROM (SELECT a.rule_id, b.rule_id AS other FROM g a JOIN g b USING (link_kind, link_key) WHERE a.rule_id <> b.rule_id) GROUP BY 1) "
                      "SELECT CASE WHEN n >= 5 THEN 'high' WHEN n >= 2 THEN 'medium' ELSE 'low' END AS band, count(*) AS n_rules FROM r GROUP BY 1")
 def impact_bands(spark, d):
-    return M.impact_bands(R.related_counts(R.rule_links(B.rules(spark, d))))
+    return M.impact_bands(R.related_bands(R.rule_links(B.rules(spark, d))))
 
 
 @query("D9", "SELECT s_name AS name, rule_path, n_rules FROM (SELECT replace(p_name, ' ', '.') || '.' || (p_partkey % 30) AS rule_path, count(*) AS n_rules FROM part GROUP BY 1) "
@@ -320,7 +320,7 @@ def placed_rules(spark, d):
     e = B.entities_in_modules(spark, d).select(
         "entity_id", "module_path", c("type").alias("entity_type"), c("name").alias("entity_name")
     )
-    counts = R.related_counts(R.rule_links(rules))
+    counts = R.related_bands(R.rule_links(rules))
     full = skew_lookup(rules, e, ["entity_id"], ["rule_id"], "inner").join(counts, "rule_id", "left")
     return M.rules_by_hierarchy(full.fillna({"n_related": 0}))
 

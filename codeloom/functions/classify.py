@@ -286,5 +286,10 @@ def entity_id(path: Column, kind: Column, name: Column, line: Column) -> Column:
     return F.concat(kind, F.lit(":"), F.substring(digest, 1, 8))
 
 
+def entity_hash(path: Column, kind: Column, name: Column, line: Column) -> Column:
+    """Like ``entity_id`` with the whole digest: safe as a join key."""
+    return F.concat(kind, F.lit(":"), F.md5(F.concat_ws(":", path, kind, name, line.cast("string"))))
+
+
 def entity_key(path: Column, kind: Column, name: Column) -> Column:
     return F.concat_ws(":", path, kind, name)

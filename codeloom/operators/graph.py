@@ -7,6 +7,8 @@ plans stay short. Level-bounded features (call chains) are one lazy plan.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,18 +17,19 @@ from codeloom.operators.skew import skew_lookup
 from codeloom.session import cut_lineage
 
 
-def closure(nodes: DataFrame, max_levels: int = 100) -> DataFrame:
+def closure(nodes: DataFrame) -> DataFrame:
     """All (ancestor, descendant, depth, path) rows, each node itself included.
 
     ``nodes``: id, parent_id, label. ``path`` runs from the ancestor down.
-    Runs until no row has a further parent; a cycle stops at ``max_levels``
-    with an error rather than a shortened result.
+    Runs until no row has a further parent, however deep the hierarchy is. A
+    node that meets itself again lies on a cycle, which is an error: there is
+    no whole result then.
     """
     up = nodes.filter(F.col("parent_id").isNotNull()).select(
         F.col("id").alias("ancestor"), F.col("parent_id").alias("next")
     )
     labels = nodes.select(F.col("id").alias("next"), F.col("label").alias("next_label"))
-    steps = cut_lineage(skew_lookup(up, labels, ["next"], ["ancestor"], "inner"))
+    steps = cut_lineage(up.join(labels, "next"))
     frontier = cut_lineage(
         nodes.select(
             F.col("id").alias("ancestor"),
@@ -35,20 +38,22 @@ def closure(nodes: DataFrame, max_levels: int = 100) -> DataFrame:
             F.col("label").alias("path"),
         )
     )
-    result = frontier
-    for _ in range(max_levels):
+    levels = [frontier]
+    while True:
         frontier = cut_lineage(
-            skew_lookup(frontier, steps, ["ancestor"], ["descendant"], "inner").select(
+            frontier.join(steps, "ancestor").select(
                 F.col("next").alias("ancestor"),
                 "descendant",
                 (F.col("depth") + 1).alias("depth"),
                 F.concat_ws(".", "next_label", "path").alias("path"),
             )
         )
-        if frontier.isEmpty():
-            return result
-        result = result.unionByName(frontier)
-    raise ValueError("the parent links contain a cycle or exceed max_levels")
+        state = frontier.agg(F.count("*").alias("n"), F.bool_or(F.col("ancestor") == F.col("descendant")).alias("loop")).first()
+        if state.loop:
+            raise ValueError("the parent links contain a cycle")
+        if not state.n:
+            return reduce(DataFrame.unionByName, levels)
+        levels.append(frontier)
 
 
 def root_paths(closed: DataFrame) -> DataFrame:
@@ -108,25 +113,22 @@ def call_chains(edges: DataFrame, starts: DataFrame, max_depth: int = 3) -> Data
     """(start, chain) for every simple path ending at a leaf or the depth limit.
 
     The limit is part of the feature; paths that run into themselves vanish.
+    Each level is written once, since the finished paths and the next level
+    both read it; joins are left to adaptive skew splitting.
     """
-    calls = edges.select("source", "target").distinct()
-    callers = calls.select(F.col("source").alias("last")).distinct().withColumn("calls_on", F.lit(True))
+    calls = edges.select(F.col("source").alias("last"), "target").distinct()
+    callers = calls.select("last").distinct()
     paths = starts.select(F.col("id").alias("start"), F.array("id").alias("chain"), F.col("id").alias("last"))
-    out = None
-    for depth in range(max_depth + 1):
-        if depth == max_depth:
-            done = paths.select("start", "chain")
-        else:
-            marked = skew_lookup(paths, callers, ["last"], ["start", "chain"], "left")
-            done = marked.filter(F.col("calls_on").isNull()).select("start", "chain")
-        out = done if out is None else out.unionByName(done)
-        if depth < max_depth:
-            paths = (
-                skew_lookup(paths, calls.withColumnRenamed("source", "last"), ["last"], ["chain"], "inner")
-                .filter(~F.array_contains("chain", F.col("target")))
-                .select("start", F.concat("chain", F.array("target")).alias("chain"), F.col("target").alias("last"))
-            )
-    return out
+    done = []
+    for _ in range(max_depth):
+        done.append(paths.join(callers, "last", "left_anti").select("start", "chain"))
+        grown = (
+            paths.join(calls, "last")
+            .filter(~F.array_contains("chain", F.col("target")))
+            .select("start", F.concat("chain", F.array("target")).alias("chain"), F.col("target").alias("last"))
+        )
+        paths = cut_lineage(grown)
+    return reduce(DataFrame.unionByName, [*done, paths.select("start", "chain")])
 
 
 def impact(edges: DataFrame, modules: DataFrame, rules: DataFrame | None = None) -> DataFrame:
@@ -134,8 +136,9 @@ def impact(edges: DataFrame, modules: DataFrame, rules: DataFrame | None = None)
 
     ``edges``: source calls target. ``modules``: id, module_path.
     Affected are the callers and the callers' callers. For nodes with very
-    many callers the second step is carried as bitmaps (see ``hub_bitmaps``),
-    never as one row per pair.
+    many callers the second step is carried as bitmaps (``affected_counts``),
+    never as one row per pair. With ``rules`` (code_entity_id) the rules that
+    sit on the node itself are counted as ``n_rules``.
     """
     calls = edges.select("source", "target").distinct()
     outgoing = calls.groupBy(F.col("source").alias("id")).agg(F.count("*").alias("n_dependencies"))
@@ -149,19 +152,51 @@ def impact(edges: DataFrame, modules: DataFrame, rules: DataFrame | None = None)
         .join(affected, "id", "left")
         .select("id", zero("n_dependents"), zero("n_dependencies"), zero("n_affected"), zero("n_modules"))
     )
+    if rules is not None:
+        own = rules.groupBy(F.col("code_entity_id").alias("id")).agg(F.count("*").alias("n_rules"))
+        base = base.join(own, "id", "left").withColumn("n_rules", F.coalesce("n_rules", F.lit(0)).cast("long"))
     return base.withColumn("risk_level", impact_risk(F.col("n_dependents"), F.col("n_affected")))
 
 
 HUB_DEGREE = 4096
 
 
+def numbered(ids: DataFrame) -> DataFrame:
+    """(id, number): distinct ids of any type with numbers from 0, without
+    gaps. Each range of ids numbers its own rows; only counts are summed."""
+    laid = ids.select("id").distinct().repartitionByRange("id").sortWithinPartitions("id")
+    laid = cut_lineage(laid.withColumn("_at", F.monotonically_increasing_id()))
+    part = F.shiftright("_at", 33)
+    counts = laid.groupBy(part.alias("_part")).agg(F.count("*").alias("_n"), F.min("_at").alias("_first"))
+    before = F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
+    starts = counts.select("_part", (F.coalesce(before, F.lit(0)) - F.col("_first")).alias("_shift"))
+    # one row for each partition
+    found = laid.withColumn("_part", part).join(F.broadcast(starts), "_part")
+    return found.select("id", (F.col("_at") + F.col("_shift")).alias("number"))
+
+
 def affected_counts(calls: DataFrame, modules: DataFrame, hub_degree: int = HUB_DEGREE) -> DataFrame:
     """(id, n_affected, n_modules) over callers and callers' callers, exact.
 
-    Ids are longs. A node with at most ``hub_degree`` callers passes them on
-    as rows. A hub passes its callers on as 32,768-bit bitmaps instead, one
-    per id range, so a hub next to a hub costs bits and not the product.
+    A node with at most ``hub_degree`` callers passes them on as rows. A hub
+    passes its callers on as 32,768-bit bitmaps instead, one per range of
+    numbers, so a hub next to a hub costs bits and not the product. Ids of any
+    type are numbered without gaps first, so few bitmaps hold many callers.
     """
+    ends = calls.select(F.col("source").alias("id")).unionByName(calls.select(F.col("target").alias("id")))
+    numbers = cut_lineage(numbered(ends.unionByName(modules.select("id"))))
+    source, target = (
+        numbers.select(F.col("id").alias(end), F.col("number").alias(f"_{end}")) for end in ("source", "target")
+    )
+    calls = calls.join(source, "source").join(target, "target").select(
+        F.col("_source").alias("source"), F.col("_target").alias("target")
+    )
+    modules = modules.join(numbers, "id").select(F.col("number").alias("id"), "module_path")
+    counts = _numbered_counts(cut_lineage(calls), modules, hub_degree)
+    return counts.withColumnRenamed("id", "number").join(numbers, "number").drop("number")
+
+
+def _numbered_counts(calls: DataFrame, modules: DataFrame, hub_degree: int) -> DataFrame:
     rev = calls.select(F.col("target").alias("id"), F.col("source").alias("dep"))
     degree = rev.groupBy("id").agg(F.count("*").alias("deg"))
     hubs = degree.filter(F.col("deg") > hub_degree).select(F.col("id").alias("dep"))

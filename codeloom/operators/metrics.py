@@ -333,8 +333,8 @@ def confidence_distribution(rules: DataFrame) -> DataFrame:
 
 
 def impact_bands(counts: DataFrame) -> DataFrame:
-    n = F.col("n_related")
-    band = ladder([(n >= 5, "high"), (n >= 2, "medium")], "low")
+    related = F.col("band")
+    band = ladder([(related == "5+", "high"), (related == "2-4", "medium")], "low")
     return counts.groupBy(band.alias("band")).agg(F.count("*").alias("n_rules"))
 
 

@@ -17,6 +17,10 @@ from codeloom.functions.text import meaningful_words, substrings
 from codeloom.operators.skew import skew_lookup, with_totals
 
 
+# Entity types that own the rows naming them in the same file.
+OWNER_TYPES = ("class", "struts_action_class", "struts2_action_class")
+
+
 def first_per(targets: DataFrame, keys: list[str], seq: str, value: str, out: str) -> DataFrame:
     """One row per key: the value with the smallest seq (map-side combined)."""
     return targets.groupBy(*keys).agg(F.min_by(value, seq).alias(out))
@@ -26,14 +30,16 @@ def parent_ids(entities: DataFrame) -> DataFrame:
     """Entities with ``parent_id``: the named class of the file, else its module.
 
     ``entities``: entity_id, file_path, type, name, class_name, seq, module_id.
-    A named class that does not exist leaves the parent empty.
+    Every row that names a class is its member, methods of web actions too; a
+    class is any entity that others of its file may name. A named class that
+    does not exist leaves the parent empty.
     """
     owners = (
-        entities.filter(F.col("type") == "class")
+        entities.filter(F.col("type").isin(*OWNER_TYPES))
         .groupBy("file_path", F.col("name").alias("class_name"))
         .agg(F.max_by("entity_id", "seq").alias("class_id"))
     )
-    member = F.col("type").isin("method", "function") & F.col("class_name").isNotNull()
+    member = F.col("class_name").isNotNull()
     joined = skew_lookup(entities, owners, ["file_path", "class_name"], ["entity_id"])
     return joined.withColumn(
         "parent_id", F.when(member, F.col("class_id")).otherwise(F.col("module_id"))
@@ -294,20 +300,17 @@ def rule_links(rules: DataFrame) -> DataFrame:
     return with_totals(rows, ["link_kind", "link_key"], ["rule_id"], "members").filter(F.col("members") > 1)
 
 
-def related_counts(links: DataFrame, up_to: int = 5) -> DataFrame:
-    """Number of distinct related rules per rule, exact up to ``up_to``.
+def related_bands(links: DataFrame) -> DataFrame:
+    """How many different rules each rule is related to, as the band that the
+    impact levels ask for: ``1``, ``2-4`` or ``5+``; unrelated rules are left
+    out.
 
-    The impact bands only ask whether a rule has more than 2, 2 to 4, or at
-    least 5 relatives. A group of more than ``up_to`` members decides that by
-    itself; smaller groups list at most ``up_to`` members each, so the lists
-    stay short whatever the group sizes are.
+    A group of more than five members decides for ``5+`` by itself. Smaller
+    groups list their members, at most five each, and are counted exactly.
     """
-    big = (
-        links.filter(F.col("members") > up_to).select("rule_id").distinct().withColumn("n", F.lit(up_to))
-    )
-    small = links.filter(F.col("members") <= up_to)
+    big = links.filter(F.col("members") > 5).select("rule_id").distinct().withColumn("n", F.lit(5))
+    small = links.filter(F.col("members") <= 5)
     lists = small.groupBy("link_kind", "link_key").agg(F.collect_set("rule_id").alias("ids"))
-    # group size is at most up_to here, so this join cannot multiply
     near = (
         small.join(lists, ["link_kind", "link_key"])
         .select("rule_id", F.explode("ids").alias("other"))
@@ -315,11 +318,9 @@ def related_counts(links: DataFrame, up_to: int = 5) -> DataFrame:
         .groupBy("rule_id")
         .agg(F.countDistinct("other").cast("int").alias("n"))
     )
-    return (
-        big.unionByName(near)
-        .groupBy("rule_id")
-        .agg(F.least(F.max("n"), F.lit(up_to)).alias("n_related"))
-    )
+    n = F.max("n")
+    band = F.when(n >= 5, "5+").when(n >= 2, "2-4").otherwise("1")
+    return big.unionByName(near).groupBy("rule_id").agg(band.alias("band"))
 
 
 def rules_by_name(entities: DataFrame, rules: DataFrame) -> DataFrame:

@@ -7,11 +7,10 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codeloom.functions.classify import entity_id, entity_key
+from codeloom.functions.classify import entity_hash, entity_id, entity_key
 from codeloom.functions.paths import SKIP_BUILDER, language, module_path, stem
-from codeloom.functions.text import called_names
 from codeloom.operators import resolve as R
-from codeloom.plans.registry import EXTRACTORS, extract_all
+from codeloom.plans.registry import DEPENDENCY, EXTRACTORS, extract_all
 from codeloom.session import cut_lineage
 
 
@@ -31,48 +30,49 @@ def code_nodes(entities: DataFrame, skip=SKIP_BUILDER) -> DataFrame:
     return (
         entities.withColumns(
             {
-                "entity_id": entity_id(path, F.col("type"), F.col("name"), F.col("line_number")),
+                "entity_id": entity_hash(path, F.col("type"), F.col("name"), F.col("line_number")),
+                "label": entity_id(path, F.col("type"), F.col("name"), F.col("line_number")),
                 "entity_key": entity_key(path, F.col("type"), F.col("name")),
                 "module_path": module_path(path, skip),
                 "language": language(path),
                 "seq": F.struct(path.alias("p"), F.col("line_number").alias("l"), F.col("name").alias("n")),
-                "class_name": F.coalesce(F.col("attrs")["class_name"], F.col("attrs")["parent_class"]),
+                "class_name": F.coalesce(
+                    F.col("attrs")["parent_class"],
+                    F.when(F.col("type").isin("method", "function"), F.col("attrs")["class_name"]),
+                ),
             }
         )
         .withColumn("module_id", F.concat(F.lit("module:"), F.col("module_path")))
     )
 
 
-def module_nodes(files: DataFrame, skip=SKIP_BUILDER) -> DataFrame:
-    """One module node per file."""
-    path = F.col("file_path")
-    return files.select("file_path").distinct().select(
-        F.concat(F.lit("module:"), module_path(path, skip)).alias("entity_id"),
-        stem(path).alias("name"),
-        F.lit("module").alias("type"),
-        "file_path",
-        module_path(path, skip).alias("module_path"),
-    )
+def module_nodes(entities: DataFrame) -> DataFrame:
+    """One node per module path that holds an entity; of several files of one
+    path the first gives the name."""
+    return entities.groupBy(F.col("module_id").alias("entity_id"), "module_path").agg(
+        F.min("file_path").alias("file_path")
+    ).withColumns({"name": stem(F.col("file_path")), "type": F.lit("module")})
+
+
+NODE_COLUMNS = ["entity_id", "label", "name", "type", "file_path", "module_path", "language", "line_number", "parent_id", "attrs"]
 
 
-def build(
-    files: DataFrame, dependencies: DataFrame | None = None, extractors=EXTRACTORS, staged: bool = True
-) -> Graph:
-    """``files``: file_path, text. ``dependencies``: file_path, dependency.
+def build(files: DataFrame, dependencies: DataFrame | None = None, extractors=EXTRACTORS, staged: bool = True) -> Graph:
+    """``files``: file_path, text. ``dependencies``: further (file_path,
+    dependency) rows beside those that the extractors find.
 
     Entities are written once to the shared folder: every edge kind reads them
     on both sides, and parsing the corpus again each time is the one thing a
     large run cannot afford.
     """
-    entities = cut_lineage(code_nodes(extract_all(files, extractors, staged)))
-    nodes = R.parent_ids(entities)
-    edges = inherits(entities).unionByName(calls(entities))
+    rows = cut_lineage(code_nodes(extract_all(files, extractors, staged)))
+    entities = rows.filter(F.col("type") != DEPENDENCY)
+    named = rows.filter(F.col("type") == DEPENDENCY).select("file_path", F.col("name").alias("dependency"))
     if dependencies is not None:
-        edges = edges.unionByName(depends(entities, dependencies))
-    columns = ["entity_id", "name", "type", "file_path", "module_path"]
-    modules = module_nodes(files).select(*columns, F.lit(None).cast("int").alias("line_number"),
-                                         F.lit(None).cast("string").alias("parent_id"))
-    return Graph(nodes.select(*columns, "line_number", "parent_id").unionByName(modules), edges)
+        named = named.unionByName(dependencies)
+    edges = inherits(entities).unionByName(calls(entities)).unionByName(depends(entities, named.distinct()))
+    nodes = R.parent_ids(entities).select(*NODE_COLUMNS)
+    return Graph(nodes.unionByName(module_nodes(entities), allowMissingColumns=True), edges)
 
 
 def inherits(nodes: DataFrame) -> DataFrame:
@@ -83,9 +83,10 @@ def inherits(nodes: DataFrame) -> DataFrame:
 
 
 def calls(nodes: DataFrame) -> DataFrame:
-    refs = nodes.filter(F.col("type").isin("method", "function")).select(
-        F.col("entity_id").alias("source_id"),
-        F.explode(called_names(F.coalesce(F.col("attrs")["source_code"], F.lit("")))).alias("ref"),
+    """From the call nodes of a function's body, so that its own definition
+    line is no call."""
+    refs = nodes.filter(F.col("type").isin("method", "function") & (F.col("attrs")["calls"] != "")).select(
+        F.col("entity_id").alias("source_id"), F.explode(F.split(F.col("attrs")["calls"], ",")).alias("ref")
     )
     return _edges(R.call_edges(refs, nodes), "calls")
 
@@ -96,7 +97,8 @@ def depends(nodes: DataFrame, dependencies: DataFrame) -> DataFrame:
     Imports are resolved once per distinct name, on the module of the file;
     repeating them per entity would multiply the rows and add nothing.
     """
-    refs = dependencies.select(
+    homes = nodes.select("file_path").distinct()  # modules exist for files with entities
+    refs = dependencies.join(homes, "file_path").select(
         F.concat(F.lit("module:"), module_path(F.col("file_path"))).alias("source_id"),
         F.col("dependency").alias("ref"),
     )

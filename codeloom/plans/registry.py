@@ -16,8 +16,27 @@ from codeloom.session import stage
 Extractor = Callable[[DataFrame], DataFrame]
 
 
+#: Type of the rows that name what a file depends on; they are no entities.
+DEPENDENCY = "dependency"
+
+
+def _dependencies(found: DataFrame) -> DataFrame:
+    """(file_path, dependency) as rows of the common shape."""
+    return found.select(
+        "file_path",
+        F.lit(DEPENDENCY).alias("type"),
+        F.col("dependency").alias("name"),
+        F.lit(1).alias("line_number"),
+        F.array().cast(NO_ITEMS).alias("items"),
+        F.create_map().cast("map<string,string>").alias("attrs"),
+    )
+
+
 def _python(files: DataFrame) -> DataFrame:
     nodes = P.node_table(files)
+    # what a function calls, by the last part of the name; as many as its body has
+    called = F.collect_set(F.regexp_extract("function", r"[^.]+$", 0))
+    calls = P.function_calls(nodes).groupBy("file_path", "scope").agg(F.array_join(called, ",").alias("calls"))
     cls = P.classes(nodes).select(
         "file_path",
         F.lit("class").alias("type"),
@@ -29,17 +48,32 @@ def _python(files: DataFrame) -> DataFrame:
             F.lit("patterns"), F.array_join("design_patterns", ","),
         ).alias("attrs"),
     )
-    fun = P.functions(nodes).select(
+    fun = P.functions(nodes).join(calls, ["file_path", "scope"], "left").select(
         "file_path",
         F.lit("function").alias("type"),
         "name",
         "line_number",
         F.array().cast(NO_ITEMS).alias("items"),
         F.create_map(
-            F.lit("complexity"), F.col("complexity").cast("string"), F.lit("source_code"), F.col("source_code")
+            F.lit("complexity"), F.col("complexity").cast("string"), F.lit("source_code"), F.col("source_code"),
+            F.lit("calls"), F.col("calls"), F.lit("docstring"), F.col("docstring"),
+            F.lit("parameters"), F.array_join("parameters", ","),
         ).alias("attrs"),
     )
-    return cls.unionByName(fun)
+    return cls.unionByName(fun).unionByName(_dependencies(P.imports(nodes)))
+
+
+def _angular(files: DataFrame) -> DataFrame:
+    return X.angular_entities(files).unionByName(_dependencies(X.dependencies(files, X.typescript_imports())))
+
+
+def _corba(files: DataFrame) -> DataFrame:
+    return X.idl_entities(files).unionByName(_dependencies(X.dependencies(files, X.idl_dependency_names())))
+
+
+def _config_classes(files: DataFrame) -> DataFrame:
+    configs = X.parse_config(files.filter(F.col("file_path").endswith(".xml")))
+    return _dependencies(X.dependencies(configs, X.xml_class_names()))
 
 
 def _struts2(files: DataFrame) -> DataFrame:
@@ -48,6 +82,8 @@ def _struts2(files: DataFrame) -> DataFrame:
         X.struts2_xml_entities(files.filter(path.endswith(".xml")))
         .unionByName(X.struts2_class_entities(files.filter(path.endswith(".java"))))
         .unionByName(X.struts2_page_entities(files.filter(path.endswith(".jsp"))))
+        .unionByName(_config_classes(files))
+        .unionByName(_dependencies(X.dependencies(files.filter(path.endswith(".java")), X.struts2_dependency_names())))
     )
 
 
@@ -57,13 +93,14 @@ def _struts(files: DataFrame) -> DataFrame:
         X.struts_xml_entities(files.filter(path.endswith(".xml")))
         .unionByName(X.struts_class_entities(files.filter(path.endswith(".java"))))
         .unionByName(X.struts_page_entities(files.filter(path.endswith(".jsp"))))
+        .unionByName(_config_classes(files))
     )
 
 
 EXTRACTORS: dict[str, Extractor] = {
     "python": _python,
-    "angular": X.angular_entities,
-    "corba": X.idl_entities,
+    "angular": _angular,
+    "corba": _corba,
     "struts": _struts,
     "struts2": _struts2,
 }
@@ -72,7 +109,8 @@ EXTRACTORS: dict[str, Extractor] = {
 def extract_all(
     files: DataFrame, extractors: dict[str, Extractor] = EXTRACTORS, staged: bool = True
 ) -> DataFrame:
-    """Entities of every supported file.
+    """Entities of every supported file, and rows of type ``DEPENDENCY`` for
+    what a file imports or names.
 
     Files are routed once and staged by parser kind, so an extractor reads its
     own files and the corpus is not scanned again for each of them. Texts that

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -41,23 +42,34 @@ def shared_dir(spark: SparkSession) -> str:
     return made
 
 
+def _staged_path(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/staged/{spark.sparkContext.applicationId}"
+
+
 def cut_lineage(df):
-    """Reliable checkpoint in the shared folder; survives executor loss."""
-    spark = df.sparkSession
-    sc = spark.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(shared_dir(spark) + "/checkpoints")
-    return df.checkpoint(eager=True)
+    """Writes a table to the shared folder and reads it back.
+
+    Columnar, so that later reads take the columns they need, and whole when
+    an executor is lost.
+    """
+    path = f"{_staged_path(df.sparkSession)}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def stage(df, partition_by: str):
-    """Writes a table to the shared folder, partitioned, and reads it back.
+    """Like ``cut_lineage``, partitioned by one column.
 
-    For inputs that several consumers filter by one column: each of them then
-    reads its own partition only, and the input itself is read once.
+    For inputs that several consumers filter by it: each of them then reads
+    its own partition only, and the input itself is read once.
     """
-    import uuid
-
-    path = f"{shared_dir(df.sparkSession)}/staged/{uuid.uuid4().hex}"
+    path = f"{_staged_path(df.sparkSession)}/{uuid.uuid4().hex}"
     df.write.partitionBy(partition_by).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def remove_staged(spark: SparkSession) -> None:
+    """Deletes what this application has staged; its results must be written
+    by then."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_staged_path(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)

@@ -133,7 +133,7 @@ def test_graph_of_a_folder(spark, tmp_path):
     from codeloom.plans.intelligence import build
 
     for path, text in {
-        "src/base.py": "class Base:\n    pass\n",
+        "src/base.py": "class Base:\n    pass\n\ndef base():\n    pass\n",
         "src/child.py": "import base\n\nclass Child(Base):\n    pass\n\ndef run(x):\n    return load(x)\n\ndef load(x):\n    return x\n",
         "src/a.component.ts": "@Component({})\nexport class Page {}\n",
         "conf/struts.xml": '<struts><package name="p"><action name="a" class="A"/></package></struts>',
@@ -143,12 +143,14 @@ def test_graph_of_a_folder(spark, tmp_path):
         p.parent.mkdir(parents=True, exist_ok=True)
         p.write_text(text)
     files = corpus.read_texts(spark, str(tmp_path))
-    deps = spark.createDataFrame([("src/child.py", "base")], "file_path string, dependency string")
-    g = build(files, deps)
+    g = build(files)
     nodes = {(r["type"], r["name"]): r for r in g.nodes.collect()}
     assert {("class", "Base"), ("class", "Child"), ("function", "run"), ("component", "Page"), ("struts2_action", "p.a"), ("module", "child")} <= set(nodes)
     assert nodes[("class", "Child")]["parent_id"] == "module:" + nodes[("class", "Child")]["module_path"]
     ids = {r["entity_id"]: r["name"] for r in nodes.values()}
     got = {(ids.get(r["source_id"], r["source_id"]), r["relationship_type"], ids[r["target_id"]]) for r in g.edges.collect()}
     assert {("Child", "inherits", "Base"), ("run", "calls", "load")} <= got
-    assert not any(kind == "depends_on" and target != "Base" for _, kind, target in got)
+    child = nodes[("module", "child")]["entity_id"]
+    assert {x for x in got if x[1] == "depends_on"} == {("child", "depends_on", "base")} and child.startswith("module:")
+    assert {x for x in got if x[1] == "calls"} == {("run", "calls", "load")}
+    assert ("module", "notes") not in nodes and nodes[("function", "run")]["attrs"]["parameters"] == "x"
