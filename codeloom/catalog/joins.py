@@ -240,7 +240,7 @@ def rule_links(spark, d):
     return R.rule_links(B.rules(spark, d))
 
 
-@query("D8_related", LINKED + "SELECT rule_id, CASE WHEN count(DISTINCT other) >= 5 THEN '5+' WHEN count(DISTINCT other) >= 2 THEN '2-4' ELSE '1' END AS band FROM (SELECT a.rule_id, b.rule_id AS other FROM g a JOIN g b USING (link_kind, link_key) WHERE a.rule_id <> b.rule_id) GROUP BY 1")
+@query("D8_related", LINKED + "SELECT rule_id, CASE WHEN count(DISTINCT other) >= 5 THEN '5+' WHEN count(DISTINCT other) >= 3 THEN '3-4' WHEN count(DISTINCT other) = 2 THEN '2' ELSE '1' END AS band FROM (SELECT a.rule_id, b.rule_id AS other FROM g a JOIN g b USING (link_kind, link_key) WHERE a.rule_id <> b.rule_id) GROUP BY 1")
 def related_rules(spark, d):
     return R.related_bands(R.rule_links(B.rules(spark, d)))
 
@@ -322,7 +322,7 @@ def placed_rules(spark, d):
     )
     counts = R.related_bands(R.rule_links(rules))
     full = skew_lookup(rules, e, ["entity_id"], ["rule_id"], "inner").join(counts, "rule_id", "left")
-    return M.rules_by_hierarchy(full.fillna({"n_related": 0}))
+    return M.rules_by_hierarchy(full)
 
 
 @query("E22", PLACED + "SELECT level, hierarchy_key, count(*) AS n_rules FROM placed WHERE level IS NOT NULL GROUP BY 1, 2")

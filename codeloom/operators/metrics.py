@@ -293,7 +293,7 @@ def rules_by_hierarchy(rules: DataFrame) -> DataFrame:
     """Level and key per rule, as rows.
 
     ``rules`` carries the entity's type and name, module_path, class_context
-    and n_related. A rule on another kind of entity counts as cross-cutting
+    and band (``related_bands``, null when unrelated). A rule on another kind of entity counts as cross-cutting
     when it relates to more than two others.
     """
     t = F.col("entity_type")
@@ -302,7 +302,7 @@ def rules_by_hierarchy(rules: DataFrame) -> DataFrame:
             (t == "module", "module"),
             (t.isin("class", "interface"), "class"),
             (t.isin("method", "function"), "method"),
-            (F.col("n_related") > 2, "cross_cutting"),
+            (F.col("band").isin("3-4", "5+"), "cross_cutting"),
         ],
         F.lit(None).cast("string"),
     )
@@ -334,7 +334,7 @@ def confidence_distribution(rules: DataFrame) -> DataFrame:
 
 def impact_bands(counts: DataFrame) -> DataFrame:
     related = F.col("band")
-    band = ladder([(related == "5+", "high"), (related == "2-4", "medium")], "low")
+    band = ladder([(related == "5+", "high"), (related.isin("2", "3-4"), "medium")], "low")
     return counts.groupBy(band.alias("band")).agg(F.count("*").alias("n_rules"))
 
 

@@ -302,8 +302,8 @@ def rule_links(rules: DataFrame) -> DataFrame:
 
 def related_bands(links: DataFrame) -> DataFrame:
     """How many different rules each rule is related to, as the band that the
-    impact levels ask for: ``1``, ``2-4`` or ``5+``; unrelated rules are left
-    out.
+    impact levels and the hierarchy ask for: ``1``, ``2``, ``3-4`` or ``5+``;
+    unrelated rules are left out.
 
     A group of more than five members decides for ``5+`` by itself. Smaller
     groups list their members, at most five each, and are counted exactly.
@@ -319,7 +319,7 @@ def related_bands(links: DataFrame) -> DataFrame:
         .agg(F.countDistinct("other").cast("int").alias("n"))
     )
     n = F.max("n")
-    band = F.when(n >= 5, "5+").when(n >= 2, "2-4").otherwise("1")
+    band = F.when(n >= 5, "5+").when(n >= 3, "3-4").when(n == 2, "2").otherwise("1")
     return big.unionByName(near).groupBy("rule_id").agg(band.alias("band"))
 
 

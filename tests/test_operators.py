@@ -139,7 +139,7 @@ def test_rule_links_hold_the_whole_relation(spark):
     assert got == want
     degree = {r[0]: sum(r[0] in p for p in want) for r in rules}
     bands = {r["rule_id"]: r["band"] for r in R.related_bands(links).collect()}
-    assert bands == {k: "5+" if v >= 5 else "2-4" if v >= 2 else "1" for k, v in degree.items() if v}
+    assert bands == {k: "5+" if v >= 5 else "3-4" if v >= 3 else str(v) for k, v in degree.items() if v}
 
 
 def test_flow_pair_scores(spark):
