@@ -131,6 +131,30 @@ def python_assignments(spark, d):
     return P.of_functions(P.assignments(n), n).drop("scope")
 
 
+@query("C1h_conditionals", "SELECT file_path, 21 AS line, false AS has_else, true AS is_business_logic FROM pyp")
+def python_conditionals(spark, d):
+    n = nodes(spark, d)
+    return P.of_functions(P.conditionals(n), n).drop("scope")
+
+
+@query("C1h_loops", "SELECT file_path, line, 'for' AS loop_type, has_else FROM (SELECT file_path, 13 AS line, false AS has_else FROM pyp)")
+def python_loops(spark, d):
+    """Loops inside methods; the functions of these files have none."""
+    n = nodes(spark, d)
+    return P.loops(n).drop("scope")
+
+
+@query("C1h_try", "SELECT file_path, 20 AS line, 1 AS n_handlers, false AS has_finally, false AS has_else FROM pyp")
+def python_try_blocks(spark, d):
+    n = nodes(spark, d)
+    return P.of_functions(P.try_blocks(n), n).drop("scope")
+
+
+@query("C1_unparsed", "SELECT 'src/py/p' || k || '.py' AS file_path, 'SyntaxError' AS reason FROM p WHERE k % 7 = 0")
+def python_unparsed(spark, d):
+    return P.unparsed(nodes(spark, d))
+
+
 @query("C1h_counts", "SELECT file_path, 1 AS n_calls, 2 AS n_returns, 1 AS n_conditions, 0 AS n_loops, 1 AS n_try FROM pyp")
 def python_counts(spark, d):
     return P.functions(nodes(spark, d)).select("file_path", "n_calls", "n_returns", "n_conditions", "n_loops", "n_try")
@@ -406,9 +430,11 @@ def called(spark, d):
 @query("C18", "SELECT 'src/m' || k || '.py' AS file_path, 'R' || k AS rule_id, 'd' AS description, 0.9::DOUBLE AS confidence_score, 'Val' AS category, 0 AS n_related FROM p WHERE k % 4 = 0 "
               "UNION ALL SELECT 'src/m' || k || '.py', 'RULE-001', 'x ' || k, 0.7, 'General', 0 FROM p WHERE k % 4 = 1 "
               "UNION ALL SELECT 'src/m' || k || '.py', 'Z' || k, '', 0.7, 'General', 0 FROM p WHERE k % 4 = 1 "
-              "UNION ALL SELECT 'src/m' || k || '.py', 'Q' || k, '', 0.7, 'General', 2 FROM p WHERE k % 4 = 3")
+              "UNION ALL SELECT 'src/m' || k || '.py', 'Q' || k, '', 0.7, 'General', 2 FROM p WHERE k % 4 = 3 "
+              "UNION ALL SELECT 'stray/m' || k || '.py', 'T' || k, 'open', 0.7, 'General', 0 FROM p WHERE k % 5 < 2")
 def model_rules(spark, d):
-    return extract_rules.parse_rules(T.model_outputs(spark, d)).select(
+    stray = T.stray_outputs(spark, d)
+    return extract_rules.parse_rules(T.model_outputs(spark, d).unionByName(stray)).select(
         "file_path", "rule_id", "description", "confidence_score", "category", F.size("related_entities").alias("n_related")
     )
 

@@ -194,3 +194,17 @@ def sql_files(spark: SparkSession, d: str) -> DataFrame:
 
 def model_outputs(spark: SparkSession, d: str) -> DataFrame:
     return _texts(spark, d, "src/m<<k>>.py", _variants(MODEL_OUTPUT, F.col("k"))).withColumnRenamed("text", "response")
+
+
+# An opening bracket in the prose, then an array on lines of its own or inline.
+STRAY_OUTPUT = (
+    'as in [1 above:\n  [\n{"id":"T<<k>>",\n"description":"open","related_entities":[]}\n]\nbye',
+    'range [0, 5) holds, so [{"id":"T<<k>>","description":"open"}] it is',
+    "nothing [ here <<k>>",
+    "",
+    'a ] b [ {"id": ] c <<k>>',
+)
+
+
+def stray_outputs(spark: SparkSession, d: str) -> DataFrame:
+    return _texts(spark, d, "stray/m<<k>>.py", _variants(STRAY_OUTPUT, F.col("k"))).withColumnRenamed("text", "response")

@@ -169,15 +169,18 @@ def xml_like(text: Column) -> Column:
     return body.startswith("<") & body.contains(">") & body.contains("</")
 
 
-def substrings(text: Column) -> Column:
+def substrings(text: Column, lengths: Column | None = None) -> Column:
     """All distinct non-empty substrings; for short names and paths only.
 
-    Turns "a contains b" into an equi-join on the string itself.
+    Turns "a contains b" into an equi-join on the string itself. With
+    ``lengths``, an array, only substrings of those lengths are made, so their
+    number grows with the length of the text and not with its square.
     """
     n = F.length(text)
+    every = F.when(n > 0, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>"))
+    asked = every if lengths is None else F.filter(lengths, lambda w: (w > 0) & (w <= n))
 
-    def from_start(i: Column) -> Column:
-        return F.transform(F.sequence(F.lit(1), n - i + 1), lambda w: F.substring(text, i, w))
+    def of_length(w: Column) -> Column:
+        return F.transform(F.sequence(F.lit(1), n - w + 1), lambda i: F.substring(text, i, w))
 
-    grown = F.flatten(F.transform(F.sequence(F.lit(1), n), from_start))
-    return F.when(n > 0, F.array_distinct(grown)).otherwise(F.array().cast("array<string>"))
+    return F.array_distinct(F.flatten(F.transform(asked, of_length)))

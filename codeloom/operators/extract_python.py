@@ -294,6 +294,30 @@ def exception_handlers(nodes: DataFrame) -> DataFrame:
     )
 
 
+def conditionals(nodes: DataFrame) -> DataFrame:
+    """One row per condition; every one counts as business logic."""
+    return _in_scope(nodes.filter(F.col("kind") == "If")).select(
+        "file_path", "scope", "line", F.col("flag").alias("has_else"), F.lit(True).alias("is_business_logic")
+    )
+
+
+def loops(nodes: DataFrame) -> DataFrame:
+    return _in_scope(nodes.filter(F.col("kind").isin("For", "While"))).select(
+        "file_path", "scope", "line", F.lower("kind").alias("loop_type"), F.col("flag").alias("has_else")
+    )
+
+
+def try_blocks(nodes: DataFrame) -> DataFrame:
+    return _in_scope(nodes.filter(F.col("kind") == "Try")).select(
+        "file_path", "scope", "line", F.col("n").alias("n_handlers"), F.col("flag").alias("has_finally"), F.col("flag2").alias("has_else")
+    )
+
+
+def unparsed(nodes: DataFrame) -> DataFrame:
+    """Files that could not be parsed, with the reason."""
+    return nodes.filter(F.col("kind") == "Unparsed").select("file_path", F.col("name").alias("reason"))
+
+
 def assignments(nodes: DataFrame) -> DataFrame:
     """One row per assigned name or attribute, with business relevance."""
     money = F.lit(False)

@@ -48,12 +48,22 @@ def top_level_arrays(text: Column) -> Column:
     return F.transform(spans, lambda x: F.substring(text, x["lo"] + 1, x["hi"] - x["lo"] + 1))
 
 
+#: From a line that begins an array to the first line that ends one, no other
+#: beginning between them.
+LINES = r"(?m)^[ \t]*(\[[^\n]*\n(?:(?![ \t]*\[)[^\n]*\n)*?(?![ \t]*\[)[^\n]*(?<!,)\])[ \t\r]*$"
+#: Brackets nested once at most, wherever they begin.
+SHALLOW = r"\[(?:[^\[\]]++|\[[^\]]*+\])*+\]"
+
+
 def parse_rules(outputs: DataFrame) -> DataFrame:
-    """Rules from ``outputs(file_path, response)``: fence first, then the
-    first balanced array that parses; missing fields get their defaults."""
+    """Rules from ``outputs(file_path, response)``: the fence, the first
+    balanced array that parses, an array laid out on lines of its own, or the
+    first shallow one, in this order, so that a stray bracket in the prose
+    does not lose the rules. Missing fields get their defaults."""
     text = F.col("response")
     fenced = F.regexp_extract(text, FENCE, 1)
-    candidates = F.concat(F.array(fenced), top_level_arrays(text))
+    on_lines, shallow = F.regexp_extract_all(text, F.lit(LINES), F.lit(1)), F.regexp_extract_all(text, F.lit(SHALLOW), F.lit(0))
+    candidates = F.concat(F.array(fenced), top_level_arrays(text), on_lines, shallow)
     good = F.filter(candidates, lambda c: F.trim(c).rlike(r"(?s)^\[\s*\{") & F.try_parse_json(c).isNotNull())
     return (
         once(outputs.select("file_path", "response"), "chosen", F.get(good, F.lit(0)))

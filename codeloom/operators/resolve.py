@@ -66,6 +66,18 @@ def call_edges(refs: DataFrame, targets: DataFrame) -> DataFrame:
     return name_matches(bare, targets, ["method", "function"])
 
 
+def containing(texts: DataFrame, text: str, needles: DataFrame, needle: str) -> DataFrame:
+    """Rows of ``texts`` once for each different needle that ``text`` contains,
+    with the needle as a column.
+
+    Only substrings as long as some needle are made; the lengths that occur
+    are few however many needles there are.
+    """
+    lengths = needles.agg(F.array_sort(F.collect_set(F.length(needle)))).scalar()
+    parts = texts.withColumn("_lengths", lengths).withColumn(needle, F.explode(substrings(F.col(text), F.col("_lengths"))))
+    return parts.drop("_lengths").join(needles.select(needle).distinct(), needle, "left_semi")
+
+
 def either_contains(texts: DataFrame, names: DataFrame) -> DataFrame:
     """First name (by seq) that contains a text or is contained in it.
 
@@ -75,18 +87,8 @@ def either_contains(texts: DataFrame, names: DataFrame) -> DataFrame:
     """
     best = names.groupBy("name").agg(F.min(F.struct("seq", "value")).alias("best"))
     asked = texts.select("text").distinct()
-    inner = (
-        asked.select("text", F.explode(substrings(F.col("text"))).alias("name"))
-        .join(best, "name")
-        .select("text", "best")
-    )
-    outer = (
-        best.select(F.explode(substrings(F.col("name"))).alias("text"), "best")
-        .groupBy("text")
-        .agg(F.min("best").alias("best"))
-        .join(asked, "text")
-        .select("text", "best")
-    )
+    inner = containing(asked, "text", best, "name").join(best, "name").select("text", "best")
+    outer = containing(best, "name", asked, "text").groupBy("text").agg(F.min("best").alias("best"))
     return (
         inner.unionByName(outer)
         .groupBy("text")
@@ -193,10 +195,9 @@ def action_matches(components: DataFrame, actions: DataFrame) -> DataFrame:
         .agg(F.count("*").alias("n_components"))
     )
     a = actions.groupBy("name", "path").agg(F.count("*").alias("n_actions"))
-    reach = F.array_distinct(F.concat(substrings(F.col("path")), F.array("name")))
+    reached = containing(a, "path", t, "target").unionByName(a.withColumn("target", F.col("name"))).distinct()
     return (
-        a.select("name", "path", "n_actions", F.explode(reach).alias("target"))
-        .join(t, "target")
+        reached.join(t, "target")
         .select(
             "target",
             "name",
@@ -229,20 +230,18 @@ def rule_entities(rules: DataFrame, entities: DataFrame) -> DataFrame:
     # entities reachable through each asked file part, reduced per name
     asked_files = parts.select("file_part").distinct()
     paths = entities.select("file_path").distinct()
-    hits = paths.select("file_path", F.explode(substrings(F.col("file_path"))).alias("file_part")).join(
-        asked_files, "file_part"
-    )
+    hits = containing(paths, "file_path", asked_files, "file_part")
     named = entities.groupBy("file_path", "name").agg(F.min(F.struct("seq", "entity_id")).alias("best"))
     within = (
         hits.join(named, "file_path").groupBy("file_part", "name").agg(F.min("best").alias("best"))
     )
     code_has_name = (
-        parts.select("code_reference", "file_part", F.explode(substrings(F.col("code_part"))).alias("name"))
+        containing(parts, "code_part", within, "name")
         .join(within, ["file_part", "name"])
         .select("code_reference", "best")
     )
     name_has_code = (
-        within.select("file_part", F.explode(substrings(F.col("name"))).alias("code_part"), "best")
+        containing(within, "name", parts, "code_part")
         .groupBy("file_part", "code_part")
         .agg(F.min("best").alias("best"))
         .join(parts, ["file_part", "code_part"])
@@ -251,7 +250,7 @@ def rule_entities(rules: DataFrame, entities: DataFrame) -> DataFrame:
     by_code = code_has_name.unionByName(name_has_code).withColumn("step", F.lit(1))
     per_path = entities.groupBy("file_path").agg(F.min(F.struct("seq", "entity_id")).alias("best"))
     by_path = (
-        per_path.select(F.explode(substrings(F.col("file_path"))).alias("code_reference"), "best")
+        containing(per_path, "file_path", refs, "code_reference")
         .groupBy("code_reference")
         .agg(F.min("best").alias("best"))
         .join(refs, "code_reference")
@@ -332,9 +331,7 @@ def rules_by_name(entities: DataFrame, rules: DataFrame) -> DataFrame:
     paths = rules.groupBy("rule_path").agg(F.count("*").alias("n_rules"))
     names = entities.select("name").distinct()
     return (
-        paths.select("rule_path", "n_rules", F.explode(substrings(F.col("rule_path"))).alias("name"))
-        .join(names, "name")
-        .select("name", "rule_path", "n_rules")
+        containing(paths, "rule_path", names, "name").select("name", "rule_path", "n_rules")
     )
 
 

@@ -92,8 +92,11 @@ def _returned(value) -> str:
 def _walk(path: str, text: str) -> Iterator[dict]:
     try:
         tree = ast.parse(text)
-    except (SyntaxError, ValueError, RecursionError, MemoryError):
-        return  # an unparsable file has no entities
+    except (SyntaxError, ValueError, RecursionError, MemoryError) as e:
+        # no entities, but a row, so that such files can be counted
+        yield dict(file_path=path, node=0, parent=-1, class_node=-1, scopes=[], kind="Unparsed",
+                   name=type(e).__name__, line=1, end_line=1)
+        return
     lines = text.split("\n")
     # (node, parent row, class row when a direct member, enclosing functions)
     todo, count = [(tree, -1, -1, [])], 0

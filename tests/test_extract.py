@@ -127,6 +127,10 @@ def test_called_names_unicode(spark):
 def test_substrings(spark):
     r = spark.range(1).select(F.array_sort(X.substrings(F.lit("aba"))).alias("s"), X.substrings(F.lit("")).alias("e")).first()
     assert r["s"] == ["a", "ab", "aba", "b", "ba"] and r["e"] == []
+    some = F.array(F.lit(2), F.lit(3), F.lit(90))
+    sized = lambda n: F.size(X.substrings(F.lit("".join(chr(97 + i % 26) + str(i) for i in range(n))), some))
+    a, b = spark.range(1).select(sized(40), sized(80)).first()
+    assert b <= 2.6 * a  # linear in the length
 
 
 SQL = '''q = "SELECT id, u.name AS n, o.total FROM users u JOIN orders o ON 1"
