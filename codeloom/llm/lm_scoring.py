@@ -87,12 +87,18 @@ class Trie:
         context with very many successors spreads over several files.
         """
         out = np.zeros(len(context))
-        bounds = self.model.first_pair
-        if not bounds:
+        if not self.model.first_pair:
             return out
-        shard = np.zeros(len(context), np.int64) - 1
-        for c, w in bounds:  # one comparison for each file
-            shard += (context > c) | ((context == c) & (word >= w))
+        first = np.array(self.model.first_pair, np.int64)
+        # shards that begin with the context, then the last of those up to the word
+        low = np.searchsorted(first[:, 0], context, "left")
+        high = np.searchsorted(first[:, 0], context, "right")
+        while (low < high).any():
+            middle = np.minimum((low + high) >> 1, len(first) - 1)
+            up = (low < high) & (first[middle, 1] <= word)
+            high = np.where((low < high) & ~up, middle, high)
+            low = np.where(up, middle + 1, low)
+        shard = low - 1
         for s in np.unique(shard[shard >= 0]):
             own = np.flatnonzero(shard == s)
             held = self._open(self.model.pair_files[s])

@@ -70,7 +70,8 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op4_jaccard_join")
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard_join.jaccard_classes(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    found = jaccard_join.jaccard_classes(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "class_id", "n_links", "n_linked_sets")
 
 
 @query("op5_quality_classifier")
@@ -97,7 +98,7 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{shared_dir(spark)}/llm/warc-{uuid.uuid4().hex}"
     warc.write_warc(table(spark, sf_dir, "pages"), path)
     read = warc.read_warc(spark, path)
-    page, first = (warc.id_of(F.col(c)).cast("long") for c in ("record_id", "refers_to"))
+    page, first = (warc.id_of(F.col(c)).try_cast("long") for c in ("record_id", "refers_to"))
     digest = F.substring("payload_digest", len("sha1:") + 1, 32)
     # payloads are measured anew; revisits state those of the full payload
     full = F.coalesce("payload", F.lit(b""))
