@@ -12,6 +12,7 @@ from codeloom.operators import extract_python, graph
 from codeloom.operators import metrics as M
 from codeloom.operators import ranking as K
 from codeloom.plans import intelligence
+from codeloom.plans.run import whole_run
 
 c = F.col
 
@@ -69,6 +70,34 @@ def graph_edges(spark, d):
     )
 
 
+def _run(spark, d):
+    """Python and SQL files of every part, and a rule for each computation."""
+    files = T.python_files(spark, d).select("file_path", "text").unionByName(T.sql_files(spark, d).select("file_path", "text"))
+    k = B.table(spark, d, "part").select(c("p_partkey").cast("string").alias("k"))
+    at = F.concat(F.lit("py/p"), "k", F.lit(".py:compute_"), "k", F.lit("()"))
+    return whole_run(files, k.select(F.concat(F.lit("R"), "k").alias("rule_id"), at.alias("code_reference")))
+
+
+@query("W1_components", "SELECT 'P' || k AS name, 16 AS points, 'Medium' AS level, 'Medium' AS risk_level, 3 AS priority FROM p WHERE k % 7 <> 0 "
+                        "UNION ALL SELECT 'D' || k, 5, 'Low', 'Low', 5 FROM p WHERE k % 7 <> 0 AND k % 3 = 0 "
+                        "UNION ALL SELECT 'compute_' || k, 3, 'Low', 'Low', 5 FROM p WHERE k % 7 <> 0")
+def run_components(spark, d):
+    """Scores of what the extractors found."""
+    return _run(spark, d).components.select("name", "points", "level", "risk_level", "priority")
+
+
+@query("W1_modules", "SELECT 'py.p' || k AS module_path, 'class' AS type, CAST(1 + (k % 3 = 0)::INT AS BIGINT) AS n_entities, CAST(1 AS BIGINT) AS module_rules FROM p WHERE k % 7 <> 0 "
+                     "UNION ALL SELECT 'py.p' || k, 'function', 1, 1 FROM p WHERE k % 7 <> 0")
+def run_modules(spark, d):
+    """Entities and placed rules by module."""
+    return _run(spark, d).modules.select("module_path", "type", "n_entities", c("module_rules").cast("long").alias("module_rules"))
+
+
+@query("W1_statements", "SELECT file_path, query_type FROM stmts")
+def run_statements(spark, d):
+    return _run(spark, d).statements.filter(c("file_path").startswith("db/")).select("file_path", "query_type")
+
+
 @query("G2", "SELECT id, root, depth, path FROM (SELECT 'o' || o_orderkey AS id, 'r' || n_regionkey AS root, CAST(3 AS INTEGER) AS depth, 'r' || n_regionkey || '.n' || n_nationkey || '.c' || c_custkey || '.o' || o_orderkey AS path "
              "FROM orders JOIN customer ON c_custkey = o_custkey JOIN nation ON n_nationkey = c_nationkey UNION ALL SELECT 'c' || c_custkey, 'r' || n_regionkey, 2, 'r' || n_regionkey || '.n' || n_nationkey || '.c' || c_custkey FROM customer JOIN nation ON n_nationkey = c_nationkey "
              "UNION ALL SELECT 'n' || n_nationkey, 'r' || n_regionkey, 1, 'r' || n_regionkey || '.n' || n_nationkey FROM nation UNION ALL SELECT 'r' || r_regionkey, 'r' || r_regionkey, 0, 'r' || r_regionkey FROM region)")

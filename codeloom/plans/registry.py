@@ -46,6 +46,9 @@ def _python(files: DataFrame) -> DataFrame:
         F.create_map(
             F.lit("complexity"), F.col("complexity").cast("string"),
             F.lit("patterns"), F.array_join("design_patterns", ","),
+            F.lit("methods"), F.array_join("methods", ","),
+            F.lit("base_classes"), F.array_join("base_classes", ","),
+            F.lit("docstring"), F.col("docstring"),
         ).alias("attrs"),
     )
     fun = P.functions(nodes).join(calls, ["file_path", "scope"], "left").select(
