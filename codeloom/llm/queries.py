@@ -15,6 +15,7 @@ from codeloom.llm import (
     decontamination,
     jaccard_join,
     lm_scoring,
+    oracles,
     quality_classifier,
     quality_rules,
     secret_scans,
@@ -61,14 +62,14 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query("op3_substring_dedup")
+@query("op3_substring_dedup", oracles.SUBSTRING_DEDUP)
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = substring_dedup.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
     kept = F.coalesce(F.sha2("kept", 256), F.lower(F.hex("digest")))
     return found.select("doc_id", "n_words", "n_removed", kept.alias("kept_sha256"))
 
 
-@query("op4_jaccard_join")
+@query("op4_jaccard_join", oracles.JACCARD_JOIN)
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = jaccard_join.jaccard_classes(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.select("doc_id", "class_id", "n_links", "n_linked_sets")
@@ -84,7 +85,7 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", "held_out", "score", "predicted")
 
 
-@query("op6_decontamination")
+@query("op6_decontamination", oracles.DECONTAMINATION)
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = decontamination.decontaminate(docs, table(spark, sf_dir, "benchmark"))
@@ -93,7 +94,7 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query("op7_warc")
+@query("op7_warc", oracles.WARC)
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{shared_dir(spark)}/llm/warc-{uuid.uuid4().hex}"
     warc.write_warc(table(spark, sf_dir, "pages"), path)
@@ -131,7 +132,7 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source_mix.mix_sources(docs, keep_text=False).select("doc_id", "size", "source_size", "target", "taken")
 
 
-@query("op10_quality_rules")
+@query("op10_quality_rules", oracles.QUALITY_RULES)
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
     return quality_rules.line_frequency_rules(docs).drop("source")
