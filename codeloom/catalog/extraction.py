@@ -209,6 +209,22 @@ def idl_dependencies(spark, d):
     return S.dependencies(T.idl_files(spark, d), S.idl_dependency_names())
 
 
+IDL_ADVICE = (S.DIRECT, S.INTERFACE_STEPS[0] % 1, *S.INTERFACE_STEPS[1:], *S.STRUCT_STEPS, *S.ALTERNATIVES)
+
+
+@query("C3d_advice", "SELECT file_path, unnest([" + ", ".join(f"'{x}'" for x in IDL_ADVICE) + "]) AS recommendation FROM idlp")
+def idl_recommendations(spark, d):
+    rolled = S.idl_rollup(T.idl_files(spark, d))
+    return rolled.select("file_path", F.explode("recommendations").alias("recommendation"))
+
+
+@query("C3d_counts", "SELECT file_path, 0 AS crud_interfaces, 0 AS callback_interfaces, 0 AS registry_interfaces, 1 AS small_structs FROM idlp")
+def idl_counts(spark, d):
+    return S.idl_rollup(T.idl_files(spark, d)).select(
+        "file_path", "crud_interfaces", "callback_interfaces", "registry_interfaces", "small_structs"
+    )
+
+
 @query("C3d", "SELECT file_path, CASE WHEN k % 2 = 0 THEN 19 ELSE 9 END AS points, CASE WHEN k % 2 = 0 THEN 'Medium' ELSE 'Low' END AS level, 1 AS async_calls, 0 AS sync_calls, 1 AS json_structs, "
               "'Convert 1 CORBA interfaces to REST APIs;Modernize 1 data structures to JSON/XML schemas;1 structs are suitable for JSON serialization' AS opportunities, '' AS challenges, "
               "CASE WHEN k % 2 = 0 THEN 'Low Priority - Manageable migration effort' ELSE 'Very Low Priority - Simple migration candidate' END AS migration_priority FROM idlp")

@@ -185,7 +185,27 @@ USES_CALLBACKS = "Callback patterns detected - consider event-driven architectur
 COMPLEX_DATA = "Many complex data structures may require careful schema design"
 NOT_JSON = "Some data structures may not directly map to JSON"
 PHASED = "High complexity detected - recommend phased migration approach"
+GATEWAY = "Consider creating API gateway to abstract CORBA complexity during transition"
 DIRECT = "Moderate complexity - direct migration to REST APIs feasible"
+INTERFACE_STEPS = (
+    "Migrate %d CORBA interfaces using these strategies:",
+    "  1. Create REST API endpoints for each interface method",
+    "  2. Implement request/response DTOs based on existing structs",
+    "  3. Add proper error handling and status codes",
+)
+STRUCT_STEPS = (
+    "Data structure migration strategy:",
+    "  1. Convert CORBA structs to JSON schemas or DTOs",
+    "  2. Validate data transformation mappings",
+    "  3. Consider using OpenAPI/Swagger for API documentation",
+)
+ALTERNATIVES = (
+    "Consider modern alternatives:",
+    "  - REST APIs with JSON for simple request/response patterns",
+    "  - gRPC for high-performance, strongly-typed service communication",
+    "  - GraphQL for flexible data querying requirements",
+    "  - Message queues (Kafka/RabbitMQ) for asynchronous communication",
+)
 IDL_PRIORITIES = (
     ("Very High", 20, "High Priority - Complex legacy system requiring immediate attention"),
     ("High", 10, "Medium Priority - Significant modernization effort required"),
@@ -268,7 +288,13 @@ def idl_rollup(files: DataFrame) -> DataFrame:
                     F.when(c("complex_structs") > small, COMPLEX_DATA),
                     F.when(c("json_structs") < n_st / 2, NOT_JSON),
                 ),
-                "recommendation": F.when(level.isin("High", "Very High"), PHASED).otherwise(DIRECT),
+                "recommendations": present(
+                    F.when(level.isin("High", "Very High"), PHASED).otherwise(DIRECT),
+                    F.when(level.isin("High", "Very High"), GATEWAY),
+                    *(F.when(n_if > 0, F.format_string(step, n_if) if "%d" in step else F.lit(step)) for step in INTERFACE_STEPS),
+                    *(F.when(n_st > 0, F.lit(step)) for step in STRUCT_STEPS),
+                    *map(F.lit, ALTERNATIVES),
+                ),
                 "migration_priority": ladder(
                     [((level == name) | (n_if > many), text) for name, many, text in IDL_PRIORITIES], IDL_SIMPLE
                 ),
