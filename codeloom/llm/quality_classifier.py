@@ -187,8 +187,8 @@ def learn(
 
     At most ``most`` rows of ``labels`` are used, by hash of the key, so the
     join broadcasts a side of that bound and the driver holds that many rows
-    of statistics. Null keys and labels are passed over; a key that repeats in
-    ``docs`` gives a row each time.
+    of statistics. Null keys and labels are passed over; of rows of ``docs``
+    that share a key, the one with the least statistics counts.
     """
     given = labels.where(F.col(key).isNotNull() & F.col(label).isNotNull())
     given = given if rows is None else given.where(rows)
@@ -203,10 +203,12 @@ def learn(
             yield pa.RecordBatch.from_arrays([batch.column("__key"), batch.column("__label"), x], names=["k", "y", "x"])
 
     kind = joined.schema["__key"].dataType.simpleString()
-    found = joined.mapInArrow(measure, f"k {kind}, y double, x array<double>").toPandas()
+    measured = joined.mapInArrow(measure, f"k {kind}, y double, x array<double>")
+    # one row for each labelled one, whatever repeats
+    found = measured.groupBy("k", "y").agg(F.min("x").alias("x")).toPandas()
     if found.empty:
         return grow(np.zeros((0, 0)), np.zeros(0))
-    found = found.iloc[np.lexsort((found["y"], found["k"].astype(str)))].drop_duplicates(["k", "y"])[:most]
+    found = found.iloc[np.lexsort((found["y"], found["k"].astype(str)))]
     return grow(np.vstack(found["x"].to_numpy()), (found["y"].to_numpy() > 0.5).astype(float))
 
 
