@@ -2,15 +2,21 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from codeloom.catalog import bindings as B
+from codeloom.catalog import extraction
+from codeloom.catalog import texts as T
 from codeloom.catalog.jobs import TREND_SQL, _trend
 from codeloom.catalog.registry import query
 from codeloom.catalog.scores import components, scored
 from codeloom.functions import text as X
 from codeloom.functions.scoring import GENERAL_RISKS
 from codeloom.operators import ranking as K
+from codeloom.operators import extract_web as W
 from codeloom.operators import reports as R
 
 c = F.col
@@ -129,6 +135,21 @@ def layer_text(spark, d):
     return R.layer_diagram(components(spark, d), [c("k")])
 
 
+@query("H12_technologies", "SELECT technology, layer, n, technology || '[' || n || ' ' || what || ']:::' || layer AS line FROM ("
+                           "SELECT 'rest_endpoints' AS technology, 'api' AS layer, 'endpoints' AS what, 2 * count(*) AS n FROM restp UNION ALL "
+                           "SELECT 'struts_actions', 'backend', 'actions', (SELECT count(*) FROM actp) + 2 * count(*) FROM confp UNION ALL "
+                           "SELECT 'jsp_components', 'frontend', 'components', 4 * count(*) FROM jspp)")
+def technology_nodes(spark, d):
+    """Counts of what the extractors found, by technology."""
+    kinds = {
+        "rest_endpoints": (W.rest_endpoints(T.rest_files(spark, d)),),
+        "struts_actions": (extraction.annotated_actions(spark, d), extraction.xml_actions(spark, d)),
+        "jsp_components": (W.page_components(T.page_files(spark, d)),),
+    }
+    rows = [t.select(F.lit(kind).alias("technology")) for kind, tables in kinds.items() for t in tables]
+    return R.technology_map(reduce(DataFrame.unionByName, rows))
+
+
 @query("H12_edges", "SELECT source || CASE WHEN conf > 0.7 THEN ' ==> ' WHEN conf > 0.4 THEN ' --> ' ELSE ' -.-> ' END || target AS line FROM "
                     "(SELECT 'p' || source AS source, 'p' || target AS target, (source % 10) / 10 AS conf FROM edges)")
 def edge_lines(spark, d):

@@ -53,6 +53,27 @@ def layer_diagram(components: DataFrame, order: list[Column]) -> DataFrame:
     )
 
 
+# Breakdown keys of a run, what they count, and their map layer.
+TECHNOLOGIES = (
+    ("http_calls", "HTTP calls", "frontend"),
+    ("jsp_components", "components", "frontend"),
+    ("rest_endpoints", "endpoints", "api"),
+    ("struts_actions", "actions", "backend"),
+    ("integration_flows", "flows", "integration"),
+)
+
+
+def technology_map(found: DataFrame) -> DataFrame:
+    """Map nodes (technology, layer, n, line) out of one row per thing found,
+    with its ``technology``; keys without any are left out."""
+    counts = found.groupBy("technology").agg(F.count("*").alias("n"))
+    facts = {name: F.struct(F.lit(what).alias("what"), F.lit(layer).alias("layer")) for name, what, layer in TECHNOLOGIES}
+    known = F.create_map(*[x for k, v in facts.items() for x in (F.lit(k), v)])
+    fact = F.element_at(known, F.col("technology"))
+    line = F.concat("technology", F.lit("["), F.col("n").cast("string"), F.lit(" "), fact["what"], F.lit("]:::"), fact["layer"])
+    return counts.filter(fact.isNotNull()).select("technology", fact["layer"].alias("layer"), "n", line.alias("line"))
+
+
 def risk_nodes(components: DataFrame, order: list[Column], per_level: int = 8) -> DataFrame:
     """First components per risk level for the risk diagram."""
     top = first_k(components, "risk_level", order, per_level)
