@@ -278,7 +278,7 @@ def reserved_word_hint(name: Column) -> Column:
     fallback = F.concat(name, F.lit("_value, "), name, F.lit("_data, entity_"), name)
     listed = {word: ", ".join(others) for word, others in WORD_ALTERNATIVES.items()}
     hint = F.coalesce(lookup(listed, low, None), fallback)
-    return F.when(low.isin(RESERVED_WORDS), hint)
+    return F.when(low.isin(*RESERVED_WORDS), hint)
 
 
 def entity_id(path: Column, kind: Column, name: Column, line: Column) -> Column:

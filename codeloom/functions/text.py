@@ -127,7 +127,7 @@ def regex_hits(text: Column, pattern: str, groups: int = 1, needs: str = "") ->
 def called_names(text: Column) -> Column:
     """Names directly followed by an opening bracket, keywords left out."""
     names = F.regexp_extract_all(text, F.lit(r"(?U)(\w+)\s*\("), F.lit(1))
-    return F.filter(names, lambda n: ~n.isin(CALL_KEYWORDS) & (F.length(n) > 1))
+    return F.filter(names, lambda n: ~n.isin(*CALL_KEYWORDS) & (F.length(n) > 1))
 
 
 def words(text: Column) -> Column:
