@@ -8,7 +8,7 @@ from codeloom.catalog import bindings as B
 from codeloom.catalog import texts as T
 from codeloom.catalog.registry import binding, query
 from codeloom.functions.scoring import impact_risk
-from codeloom.operators import extract_python, graph
+from codeloom.operators import graph
 from codeloom.operators import metrics as M
 from codeloom.operators import ranking as K
 from codeloom.plans import intelligence

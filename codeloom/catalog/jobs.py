@@ -7,7 +7,6 @@ import uuid
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from codeloom import schemas
 from codeloom.catalog import bindings as B
 from codeloom.catalog.registry import binding, query
 from codeloom.functions import paths as P

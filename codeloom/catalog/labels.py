@@ -10,7 +10,6 @@ from codeloom.catalog.registry import binding, query
 from codeloom.functions import classify as C
 from codeloom.functions import paths as P
 from codeloom.functions import text as X
-from codeloom.operators import metrics as M
 from codeloom.operators.skew import skew_lookup
 from codeloom.sources.corpus import decode
 

@@ -2,7 +2,7 @@
 
 Loops advance one level per join. Between levels the frontier is written to
 the shared checkpoint folder, so a lost executor costs one level at most and
-plans stay short. Level-bounded features (call chains) are one lazy plan.
+plans stay short.
 """
 
 from __future__ import annotations
