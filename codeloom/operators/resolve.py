@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from codeloom.functions.paths import normal_url
 from codeloom.functions.text import meaningful_words, substrings
 from codeloom.operators.skew import skew_lookup, with_totals
+from codeloom.session import cut_lineage
 
 
 # Entity types that own the rows naming them in the same file.
@@ -275,28 +276,25 @@ def rule_links(rules: DataFrame) -> DataFrame:
     row per rule and group keeps the relation whole at linear size; listing
     the pairs of a popular category would not. Groups of one are dropped.
     """
-    w = F.array_sort(meaningful_words(F.col("description")))
-    pairs = F.flatten(
-        F.transform(
-            w,
-            lambda a, i: F.transform(
-                F.slice(w, i + 2, F.greatest(F.size(w) - i - 1, F.lit(0))), lambda b: F.concat_ws(" ", a, b)
-            ),
-        )
-    )
     link = lambda kind, key: F.struct(F.lit(kind).alias("kind"), key.alias("key"))
     single = F.array(
         link("entity", F.col("code_entity_id").cast("string")),
         link("class", F.when(F.col("class_context") != "", F.col("class_context"))),
         link("category", F.col("category")),
     )
-    links = F.filter(
-        F.concat(single, F.transform(pairs, lambda p: link("words", p))), lambda x: x["key"].isNotNull()
+    rows = (
+        rules.select("rule_id", F.explode(single).alias("x"))
+        .filter(F.col("x.key").isNotNull())
+        .select("rule_id", F.col("x.kind").alias("link_kind"), F.col("x.key").alias("link_key"))
     )
-    rows = rules.select("rule_id", F.explode(links).alias("x")).select(
-        "rule_id", F.col("x.kind").alias("link_kind"), F.col("x.key").alias("link_key")
+    # a word of one rule alone ties nothing, and most words of long texts are such
+    words = rules.select("rule_id", F.explode(meaningful_words(F.col("description"))).alias("word"))
+    shared = cut_lineage(with_totals(words, ["word"], ["rule_id"], "n").filter(F.col("n") > 1).select("rule_id", "word"))
+    other = shared.select("rule_id", F.col("word").alias("later"))
+    pairs = shared.join(other, "rule_id").filter(F.col("word") < F.col("later")).select(
+        "rule_id", F.lit("words").alias("link_kind"), F.concat_ws(" ", "word", "later").alias("link_key")
     )
-    return with_totals(rows, ["link_kind", "link_key"], ["rule_id"], "members").filter(F.col("members") > 1)
+    return with_totals(rows.unionByName(pairs), ["link_kind", "link_key"], ["rule_id"], "members").filter(F.col("members") > 1)
 
 
 def related_bands(links: DataFrame) -> DataFrame:
