@@ -27,7 +27,7 @@ SMOOTH = 0.1  # added to every word's count
 DISCOUNT = 0.75  # taken from every kept pair's count
 MIN_PAIR = 2  # pairs seen less often in training are left to the lower order
 #: Entries of one shard file, and tokens counted in a task before it emits.
-SHARD, HELD = 1_000_000, 4_000_000
+SHARD, HELD = 1_000_000, 2_500_000
 END = np.uint64(0x656E64)  # the hash that stands for the end of a text
 _FLIP = np.uint64(1 << 63)  # keeps the order of signed hashes
 
@@ -316,7 +316,7 @@ def score_texts(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
         mass = known.tokens + SMOOTH * (known.words + 1)
         for batch in batches:
             out = []
-            for _, data, offsets in text_chunks(batch.column("__text"), 8 << 20):
+            for _, data, offsets in text_chunks(batch.column("__text"), 4 << 20):
                 hashes, bounds = _tokens(data, offsets, tool)
                 context, ids, counts = _paired(trie, hashes, bounds)
                 single = (counts + SMOOTH) / mass
