@@ -164,19 +164,24 @@ def _automaton(passages: list[list[int]]):
 
 
 def repeated_spans(
-    key: int, words: list[bytes], numbers: np.ndarray, automaton, passages: list[tuple[int, list[bytes], np.ndarray]]
+    words: list[bytes], numbers: np.ndarray, automaton, passages: list[tuple[list[bytes], np.ndarray]], needed: set[int]
 ) -> list[tuple[int, int]]:
     """Disjoint word spans of a document that its smaller documents hold in
-    windows: each tile found is extended over its passage while words agree."""
+    windows: each tile found is extended over its passage while words agree.
+
+    ``needed`` are the passages that hold the document's windows first. Others
+    of the shard could add nothing, and where one word repeats for long, the
+    same tile lies in very many of them.
+    """
     covered = np.zeros(len(words) + 1, np.int64)
     done: dict[tuple[int, int], int] = {}
     for end, places in automaton.iter(tuple(numbers.tolist())):
         start = end - TILE + 1
         for p, at in places:
-            first, own, own_numbers = passages[p]
             shift = start - at  # the document's word for the passage's word 0
-            if first >= key or done.get((p, shift), 0) > start:
+            if p not in needed or done.get((p, shift), 0) > start:
                 continue
+            own, own_numbers = passages[p]
             low, high = max(0, -shift), min(len(own), len(words) - shift)
             differ = np.flatnonzero(own_numbers[low:high] != numbers[low + shift : high + shift]) + low
             i = int(np.searchsorted(differ, at))
@@ -218,21 +223,25 @@ def _searched(shard: tuple, passages: pd.DataFrame, docs: pd.DataFrame) -> pd.Da
     tool = Words(word_bytes(BLANKS))
     texts = [t.encode() for t in passages["words"]]
     numbers = _numbered(texts, tool)
-    held = [(int(f), t.split(), n) for f, t, n in zip(passages["first"], texts, numbers)]
+    held = [(t.split(), n) for t, n in zip(texts, numbers)]
+    at: dict[tuple[int, int], set[int]] = {}
+    for p, place in enumerate(zip(passages["first"].tolist(), passages["piece"].tolist())):
+        at.setdefault(place, set()).add(p)
     automaton = _automaton([n.tolist() for n in numbers]) if held else None
     out = []
     if automaton is not None and len(automaton):
         bodies = [t.encode() for t in docs["text"]]
-        for key, raw, own in zip(docs["key"], bodies, _numbered(bodies, tool)):
+        for key, raw, own, wanted in zip(docs["key"], bodies, _numbered(bodies, tool), docs["wanted"]):
             words = raw.split()
-            spans = repeated_spans(int(key), words, own, automaton, held)
+            needed = set().union(*(at.get((w["first"], w["piece"]), ()) for w in wanted))
+            spans = repeated_spans(words, own, automaton, held, needed)
             if not spans:
                 continue
-            keep, at = [], 0
+            keep, edge = [], 0
             for a, b in spans:
-                keep += words[at:a]
-                at = b
-            keep += words[at:]
+                keep += words[edge:a]
+                edge = b
+            keep += words[edge:]
             digest = hashlib.sha256(b" ".join(words)).digest()
             out.append((key, digest, sum(b - a for a, b in spans), b" ".join(keep).decode(), [x for s in spans for x in s]))
     return pd.DataFrame(out, columns=["key", "digest", "n_removed", "kept", "spans"])
@@ -296,7 +305,9 @@ def remove_repeats(df: DataFrame, *, text: str = "text", key: str = "doc_id") ->
     # a passage belongs to a key; rows with that key give theirs each
     texts = candidates.select("key", "text").join(wanted, F.col("key") == F.col("w"))
     sent = _passages(texts).join(needs.select(shard, "first", "piece").distinct(), ["first", "piece"])
-    streamed = candidates.select("key", "text").join(needs.select("key").distinct(), "key").select(shard, "key", "text")
+    # a document needs no more passages than it has windows
+    own = needs.groupBy(F.col("key").alias("n")).agg(F.collect_list(F.struct("first", "piece")).alias("wanted"))
+    streamed = candidates.select("key", "text").join(own, F.col("key") == F.col("n")).select(shard, "key", "text", "wanted")
     found = (
         sent.groupBy("shard")
         .cogroup(streamed.groupBy("shard"))
