@@ -111,14 +111,18 @@ class Monotone:
         return ((at - i).astype(np.uint64) << np.uint64(self.low_bits)) | self.lows(i)
 
 
-def quantised(values: np.ndarray, levels: int = 256) -> tuple[np.ndarray, np.ndarray]:
-    """One-byte codes and the mean value of each code, by equal shares."""
-    if not len(values):
-        return np.zeros(0, np.uint8), np.zeros(1, np.float32)
-    edges = np.unique(np.quantile(values, np.linspace(0, 1, levels + 1)[1:-1], method="lower"))[: levels - 1]
-    codes = np.searchsorted(edges, values, "left")
-    total, n = np.bincount(codes, values, levels), np.bincount(codes, minlength=levels)
-    return codes.astype(np.uint8), (total / np.maximum(n, 1)).astype(np.float32)
+def bytewise(name: str, values: np.ndarray) -> dict[str, np.ndarray]:
+    """Arrays of ``values`` as bytes; those of 255 or more are listed apart."""
+    wide = np.flatnonzero(values >= 255)
+    return {name: np.minimum(values, 255).astype(np.uint8), f"{name}_at": wide, f"{name}_wide": values[wide].astype(np.int64)}
+
+
+def taken(arrays: dict[str, np.ndarray], name: str, i: np.ndarray) -> np.ndarray:
+    """Values of ``bytewise`` arrays at the indices."""
+    out = arrays[name][i].astype(np.int64)
+    wide = np.flatnonzero(out == 255)
+    out[wide] = arrays[f"{name}_wide"][np.searchsorted(arrays[f"{name}_at"], i[wide])]
+    return out
 
 
 def _store(folder: str):

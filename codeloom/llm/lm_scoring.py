@@ -1,9 +1,10 @@
 """Language-model scores from an Elias-Fano n-gram trie.
 
-The trie has a level of words and a level of word pairs, each cut into shards
-by range. Words and the successors of a context are monotone sequences, counts
-and the start of each successor list are monotone pointers, and smoothed
-probabilities are one-byte codes. Tasks map the shard files into memory and
+The trie has a level of words and one for each longer n-gram up to the order,
+each cut into shards by range. An entry of a level is a word after a context,
+and a context is the number of an entry of the level above. Words and the
+successors of a context are monotone sequences; every n-gram of the training
+texts is kept with its exact count. Tasks map the shard files into memory and
 search the successors of a context for a word.
 """
 
@@ -19,19 +20,35 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from codeloom.llm.common import BLANKS, Sealed, Words, staged, text_chunks, word_bytes
-from codeloom.llm.elias_fano import Monotone, load, part, prefixed, quantised, save
+from codeloom.llm.common import BLANKS, Sealed, Words, mixed, staged, text_chunks, word_bytes
+from codeloom.llm.elias_fano import Monotone, bytewise, load, part, prefixed, save, taken
 from codeloom.session import shared_dir
 
 SMOOTH = 0.1  # added to every word's count
-DISCOUNT = 0.75  # taken from every kept pair's count
-MIN_PAIR = 2  # pairs seen less often in training are left to the lower order
-#: Entries of one shard file, and tokens counted in a task before it emits.
-SHARD, HELD = 1_000_000, 2_500_000
+DISCOUNT = 0.75  # taken from the count of every n-gram of two or more words
+MIN_PAIR = 1  # every pair is kept, those seen once too
+ORDER = 2  # words of the longest n-grams, unless asked otherwise
+#: Tokens of one shard file, and tokens counted in a task before it emits.
+SHARD, HELD = 1_000_000, 2_000_000
+#: Tokens looked at, and keys of each shard, to cut a level by range.
+SAMPLED, KEYS = 1_000_000, 64
 END = np.uint64(0x656E64)  # the hash that stands for the end of a text
 _FLIP = np.uint64(1 << 63)  # keeps the order of signed hashes
 
 
+@dataclass
+class Level:
+    """The n-grams of one length; lists have a row for each shard file."""
+
+    first: list[tuple[int, int]] = field(default_factory=list)  # least (context, word)
+    ids: list[int] = field(default_factory=list)  # number of entries before it
+    files: list[str] = field(default_factory=list)
+    # the first contexts of shards, which may go on in others, and their successors
+    edges: list[int] = field(default_factory=list)
+    edge_sizes: list[int] = field(default_factory=list)
+    entries: int = 0
+
+
 @dataclass
 class Model:
     """What a task needs to open the trie: one row for each shard file."""
@@ -39,13 +56,11 @@ class Model:
     folder: str
     tokens: int = 0
     words: int = 0
+    texts: int = 0
     first_word: list[int] = field(default_factory=list)  # smallest hash of each word shard
     word_ids: list[int] = field(default_factory=list)  # number of words before it
     word_files: list[str] = field(default_factory=list)
-    first_pair: list[tuple[int, int]] = field(default_factory=list)
-    pair_files: list[str] = field(default_factory=list)
-    first_context: list[int] = field(default_factory=list)
-    context_files: list[str] = field(default_factory=list)
+    levels: list[Level] = field(default_factory=list)  # pairs, triples and so on
 
 
 class Trie:
@@ -80,16 +95,18 @@ class Trie:
             counts[own] = (ends[len(at) :] - ends[: len(at)]).astype(np.int64)
         return ids, counts
 
-    def pairs(self, context: np.ndarray, word: np.ndarray) -> np.ndarray:
-        """Discounted relative frequency of a kept pair, 0 for others.
+    def entries(self, level: Level, context: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(id or -1, training count) of each word after its context, and how
+        many different words follow the context. A word may be -1 (unknown).
 
-        Pairs sorted by (context, word) are cut into shards anywhere, so a
+        Entries sorted by (context, word) are cut into shards anywhere, so a
         context with very many successors spreads over several files.
         """
-        out = np.zeros(len(context))
-        if not self.model.first_pair:
-            return out
-        first = np.array(self.model.first_pair, np.int64)
+        ids, counts = np.full(len(context), -1, np.int64), np.zeros(len(context), np.int64)
+        sizes = np.zeros(len(context), np.int64)
+        if not level.files:
+            return ids, counts, sizes
+        first = np.array(level.first, np.int64)
         # shards that begin with the context, then the last of those up to the word
         low = np.searchsorted(first[:, 0], context, "left")
         high = np.searchsorted(first[:, 0], context, "right")
@@ -101,30 +118,21 @@ class Trie:
         shard = low - 1
         for s in np.unique(shard[shard >= 0]):
             own = np.flatnonzero(shard == s)
-            held = self._open(self.model.pair_files[s])
+            held = self._open(level.files[s])
             node = held["keys"].find(context[own].astype(np.uint64))
             own, node = own[node >= 0], node[node >= 0]
+            sizes[own] = taken(held["arrays"], "sizes", node)
+            known = word[own] >= 0
+            own, node = own[known], node[known]
             # the words of the i-th context lie in [i * span, (i + 1) * span)
             span = np.uint64(self.model.words)
             at = held["starts"].find(node.astype(np.uint64) * span + word[own].astype(np.uint64))
             own, at = own[at >= 0], at[at >= 0]
-            arrays = held["arrays"]
-            out[own] = 10.0 ** arrays["levels"][arrays["codes"][at]].astype(np.float64)
-        return out
-
-    def left_over(self, context: np.ndarray) -> np.ndarray:
-        """Weight of the lower order in each context, 1 where no pair is kept."""
-        out = np.ones(len(context))
-        if not self.model.context_files:
-            return out
-        shard = np.searchsorted(np.array(self.model.first_context, np.int64), context, "right") - 1
-        for s in np.unique(shard[shard >= 0]):
-            own = np.flatnonzero(shard == s)
-            held = self._open(self.model.context_files[s])
-            at = held["keys"].find(context[own].astype(np.uint64))
-            own, at = own[at >= 0], at[at >= 0]
-            out[own] = held["arrays"]["levels"][held["arrays"]["codes"][at]]
-        return out
+            ids[own] = at + level.ids[s]
+            counts[own] = taken(held["arrays"], "counts", at)
+        edges = np.array(level.edges, np.int64)
+        at = np.minimum(np.searchsorted(edges, context), len(edges) - 1)
+        return ids, counts, np.where(edges[at] == context, np.array(level.edge_sizes, np.int64)[at], sizes)
 
 
 def _tokens(data: np.ndarray, offsets: np.ndarray, tool: Words) -> tuple[np.ndarray, np.ndarray]:
@@ -166,36 +174,154 @@ def _paired(trie: Trie, hashes: np.ndarray, bounds: np.ndarray) -> tuple[np.ndar
     return context, ids, counts
 
 
-def _pair_counts(docs: DataFrame, model: Model) -> DataFrame:
-    held_model = docs.sparkSession.sparkContext.broadcast(model)  # a row for each shard file
+def _longer(trie: Trie, level: Level, context: np.ndarray, ids: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(contexts of the next level, counts, sizes of the contexts) for each
+    token; -1 stands for contexts that are not in the trie, or that would
+    begin before the text."""
+    ask = np.flatnonzero(context >= 0)
+    order, new = _runs(context[ask], ids[ask], trie.model.words)
+    order, run = ask[order], np.cumsum(new) - 1
+    first = order[new]
+    found = trie.entries(level, context[first], ids[first])
+    entry, counts, sizes = np.full(len(ids), -1, np.int64), np.zeros(len(ids), np.int64), np.zeros(len(ids), np.int64)
+    for whole, x in zip((entry, counts, sizes), found):
+        whole[order] = x[run]
+    after = np.empty_like(entry)
+    after[1:] = entry[:-1]
+    after[bounds[:-1]] = -1
+    return after, counts, sizes
+
+
+def _runs(c: np.ndarray, w: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """Order of (c, w), where w >= -1, and where its runs of equal ones begin."""
+    if len(c) and (int(c.max()) + 1) * (words + 1) < 1 << 63:  # one key is sorted faster
+        order = np.argsort(c * (words + 1) + w)
+    else:
+        order = np.lexsort((w, c))
+    c, w = c[order], w[order]
+    return order, np.concatenate(([True], (c[1:] != c[:-1]) | (w[1:] != w[:-1])))[: len(c)]
+
+
+def _summed(c: np.ndarray, w: np.ndarray, n: np.ndarray | None, words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Different (c, w) in order with the sum of their counts, 1 each if None."""
+    order, new = _runs(c, w, words)
+    at = np.flatnonzero(new)
+    total = np.diff(np.concatenate((at, [len(c)]))) if n is None else np.add.reduceat(n[order], at)
+    return c[order][at], w[order][at], total
+
+
+def _counted(given: DataFrame, model: Model, schema: str, emit) -> DataFrame:
+    """``emit`` over the (context, word, count) of the n-grams one longer than
+    the levels of ``model``, summed over HELD tokens at a time."""
+    held_model = given.sparkSession.sparkContext.broadcast(model)  # a row for each shard file
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trie, tool, held, size = Trie(held_model.value), Words(word_bytes(BLANKS, fold=True)), [], 0
         for batch in batches:
             for _, data, offsets in text_chunks(batch.column("__text")):
-                context, ids, _ = _paired(trie, *_tokens(data, offsets, tool))
-                held.append((context, ids))
-                size += len(ids)
+                held.append(_tokens(data, offsets, tool))
+                size += len(held[-1][0])
                 if size >= HELD:
-                    yield counted(held)
+                    yield emit(*counted(trie, held))
                     held, size = [], 0
-        if held:
-            yield counted(held)
+        if size:
+            yield emit(*counted(trie, held))
 
-    def counted(held: list[tuple]) -> pa.RecordBatch:
-        c, w = (np.concatenate(x) for x in zip(*held))
-        order = np.lexsort((w, c))
-        c, w = c[order], w[order]
-        new = np.flatnonzero(np.concatenate(([True], (c[1:] != c[:-1]) | (w[1:] != w[:-1]))))
-        n = np.diff(np.concatenate((new, [len(c)])))
-        return pa.RecordBatch.from_arrays([pa.array(c[new]), pa.array(w[new]), pa.array(n)], names=["c", "w", "n"])
+    def counted(trie: Trie, held: list[tuple]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        starts = np.cumsum([0, *(len(h) for h, _ in held)])
+        hashes = np.concatenate([h for h, _ in held])
+        bounds = np.concatenate([*(b[:-1] + s for (_, b), s in zip(held, starts)), starts[-1:]])
+        context, ids, _ = _paired(trie, hashes, bounds)
+        for level in trie.model.levels:
+            context = _longer(trie, level, context, ids, bounds)[0]
+        has = context >= 0
+        return _summed(context[has], ids[has], None, trie.model.words)
+
+    return given.mapInArrow(rows, schema)
+
+
+def _cuts(given: DataFrame, model: Model, count: int) -> list[tuple[int, int]]:
+    """Least (context, word) of all shards but the first, from a sample."""
+    if count == 1:
+        return []
+    share = min(1.0, max(0.02, SAMPLED / model.tokens))
+    rate = np.uint64(max(1, int(share * model.tokens / (KEYS * count))))
+
+    def some(c: np.ndarray, w: np.ndarray, _: np.ndarray) -> pa.RecordBatch:
+        own = np.flatnonzero(mixed(mixed(c.view(np.uint64)) + w.view(np.uint64)) % rate == 0)
+        return pa.RecordBatch.from_arrays([pa.array(c[own]), pa.array(w[own])], names=["c", "w"])
 
-    return docs.mapInArrow(rows, "c long, w long, n long").groupBy("c", "w").agg(F.sum("n").alias("n"))
+    keys = _counted(given.sample(share, seed=8), model, "c long, w long", some).toArrow()
+    keys = sorted(zip(keys["c"].to_pylist(), keys["w"].to_pylist()))
+    return sorted({keys[i * len(keys) // count] for i in range(1, count)}) if keys else []
 
 
-def _shards(df: DataFrame, rows: int, order: list[str], write) -> list:
+def _add_level(given: DataFrame, model: Model) -> None:
+    """Counts the n-grams one longer than the trie has and writes their level.
+
+    Tasks cut their counts at the bounds of the shards and send each piece as
+    one compressed row, so that a shard is summed and written in one task.
+    """
+    cuts = _cuts(given, model, max(1, -(-model.tokens // SHARD)))
+    words, folder, number = model.words, model.folder, len(model.levels) + 2
+
+    def pieces(c: np.ndarray, w: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+        at = [0]
+        for x, y in cuts:
+            low, high = np.searchsorted(c, x, "left"), np.searchsorted(c, x, "right")
+            at.append(int(low + np.searchsorted(w[low:high], y, "left")))
+        at.append(len(c))
+        codec, out = pa.Codec("zstd", 1), []
+        for s, (a, b) in enumerate(zip(at, at[1:])):
+            if a < b:
+                planes = [x.astype("<i8").view(np.uint8).reshape(-1, 8).T for x in (np.diff(c[a:b], prepend=0), w[a:b], n[a:b])]
+                out.append((s, b - a, codec.compress(np.concatenate(planes).tobytes(), asbytes=True)))
+        s, size, data = zip(*out) if out else ((), (), ())
+        return pa.RecordBatch.from_arrays(
+            [pa.array(s, pa.int32()), pa.array(size, pa.int64()), pa.array(data, pa.binary())], names=["s", "n", "data"]
+        )
+
+    def opened(size: int, data: bytes) -> list[np.ndarray]:
+        planes = np.frombuffer(pa.Codec("zstd").decompress(data, 24 * size, asbytes=True), np.uint8).reshape(3, 8, size)
+        c, w, n = (np.ascontiguousarray(x.T).view("<i8").ravel() for x in planes)
+        return [np.cumsum(c), w, n]
+
+    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [opened(n, d) for b in batches for n, d in zip(b.column("n").to_pylist(), b.column("data").to_pylist())]
+        if not held:
+            return
+        c, w, n = _summed(*(np.concatenate(x) for x in zip(*held)), words)
+        held.clear()
+        contexts, node, sizes = np.unique(c, return_inverse=True, return_counts=True)
+        arrays = prefixed("keys", Monotone.packed(contexts.astype(np.uint64)))
+        arrays |= prefixed("starts", Monotone.packed(node.astype(np.uint64) * np.uint64(words) + w.astype(np.uint64)))
+        arrays |= bytewise("sizes", sizes) | bytewise("counts", n)
+        path = save(folder, f"grams{number}-{TaskContext.get().partitionId():06d}", arrays)
+        facts = [c[0], w[0], len(c), sizes[0], c[-1], sizes[-1]]
+        yield pa.RecordBatch.from_arrays(
+            [*(pa.array([int(x)], pa.int64()) for x in facts), pa.array([path])],
+            names=["c", "w", "n", "size", "last", "last_size", "path"],
+        )
+
+    sent = _counted(given, model, "s int, n long, data binary", pieces).repartitionById(len(cuts) + 1, F.col("s"))
+    kind = "c long, w long, n long, size long, last long, last_size long, path string"
+    files = sorted(sent.select("n", "data").mapInArrow(build, kind).collect())  # a row for each file
+    level, sizes = Level(), {r.c: 0 for r in files}
+    for r in files:
+        level.first.append((r.c, r.w))
+        level.ids.append(level.entries)
+        level.files.append(r.path)
+        level.entries += r.n
+        sizes[r.c] += r.size
+        if r.last != r.c and r.last in sizes:
+            sizes[r.last] += r.last_size
+    level.edges, level.edge_sizes = sorted(sizes), [sizes[c] for c in sorted(sizes)]
+    model.levels.append(level)
+
+
+def _shards(df: DataFrame, rows: int, order: str, write) -> list:
     """Sorts ``df`` by range into shards of about SHARD rows; ``write`` turns
-    the columns of one into a file. Returns (first keys, rows, path) by order."""
+    the columns of one into a file. Returns (first key, rows, path) by order."""
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = list(batches)  # about SHARD rows
@@ -204,24 +330,25 @@ def _shards(df: DataFrame, rows: int, order: list[str], write) -> list:
         table = pa.Table.from_batches(held)
         columns = {c: table.column(c).to_numpy() for c in table.column_names}
         path = write(f"{TaskContext.get().partitionId():06d}", columns)
-        firsts = [pa.array([int(columns[c][0])], pa.int64()) for c in order] + [pa.array([0], pa.int64())] * (2 - len(order))
         yield pa.RecordBatch.from_arrays(
-            [*firsts, pa.array([table.num_rows], pa.int64()), pa.array([path])], names=["a", "b", "n", "path"]
+            [pa.array([int(columns[order][0])], pa.int64()), pa.array([table.num_rows], pa.int64()), pa.array([path])],
+            names=["a", "n", "path"],
         )
 
     count = max(1, -(-rows // SHARD))
-    laid = df.repartitionByRange(count, *order).sortWithinPartitions(*order)
-    found = laid.mapInArrow(build, "a long, b long, n long, path string").collect()  # a row for each file
-    return sorted((r.a, r.b, r.n, r.path) for r in found)
+    laid = df.repartitionByRange(count, order).sortWithinPartitions(order)
+    found = laid.mapInArrow(build, "a long, n long, path string").collect()  # a row for each file
+    return sorted((r.a, r.n, r.path) for r in found)
 
 
-def train(docs: DataFrame, *, text: str = "text", rows: Column | None = None) -> Model:
-    """Counts words and pairs of the texts that satisfy ``rows`` and writes the
-    trie to the shared folder.
+def train(docs: DataFrame, *, text: str = "text", rows: Column | None = None, order: int = ORDER) -> Model:
+    """Counts the n-grams of up to ``order`` words (2 or more) of the texts
+    that satisfy ``rows`` and writes the trie to the shared folder.
 
-    Counts are summed in each task, then by Spark; the driver sees one row for
-    each file of a million entries. A null text counts as empty, which is one
-    end token. Without rows the model knows no word.
+    Counts are summed in each task, then for each shard; the driver sees one
+    row for each file of about a million entries, and a sample of 64 keys of
+    each to cut them. A null text counts as empty, which is one end token.
+    Without rows the model knows no word.
     """
     spark = docs.sparkSession
     folder = f"{shared_dir(spark)}/llm/trie-{uuid.uuid4().hex}"
@@ -240,68 +367,27 @@ def train(docs: DataFrame, *, text: str = "text", rows: Column | None = None) ->
         return save(folder, f"words-{name}", arrays)
 
     before = 0
-    for a, _, n, path in _shards(counts, total.v, ["h"], word_level):
+    for a, n, path in _shards(counts, total.v, "h", word_level):
         model.first_word.append((a + (1 << 63)) % (1 << 64))
         model.word_ids.append(before)
         model.word_files.append(path)
         before += n
-    pairs = staged(_pair_counts(given, model).where(F.col("n") >= MIN_PAIR), "lm-pairs")
-    kept = pairs.count()
-    if not kept:
-        return model
-    ends = counts.where(F.col("h") == int(END)).select("n").first()
-    start, texts, words, discount = model.words, ends.n if ends else 0, model.words, DISCOUNT
-    # how often each context was followed: its count, or the number of texts
-    totals = _ids(counts, model).withColumnRenamed("id", "c").withColumnRenamed("n", "total")
-    starts = spark.range(1).select(F.lit(start).cast("long").alias("c"), F.lit(texts).cast("long").alias("total"))
-    shares = pairs.join(totals.unionByName(starts), "c").select("c", "w", ((F.col("n") - discount) / F.col("total")).alias("p"))
-    shares = staged(shares, "lm-shares")
-
-    def pair_level(name: str, columns: dict) -> str:
-        c, w = columns["c"], columns["w"]
-        contexts, node = np.unique(c, return_inverse=True)
-        children = node.astype(np.uint64) * np.uint64(words) + w.astype(np.uint64)
-        codes, levels = quantised(np.log10(columns["p"]))
-        arrays = prefixed("keys", Monotone.packed(contexts.astype(np.uint64)))
-        arrays |= prefixed("starts", Monotone.packed(children))
-        return save(folder, f"pairs-{name}", arrays | {"codes": codes, "levels": levels})
-
-    def context_level(name: str, columns: dict) -> str:
-        codes, levels = quantised(columns["p"])
-        arrays = prefixed("keys", Monotone.packed(columns["c"].astype(np.uint64)))
-        return save(folder, f"contexts-{name}", arrays | {"codes": codes, "levels": levels})
-
-    for c, w, _, path in _shards(shares, kept, ["c", "w"], pair_level):
-        model.first_pair.append((c, w))
-        model.pair_files.append(path)
-    left = staged(shares.groupBy("c").agg((1 - F.sum("p")).alias("p")), "lm-left")
-    for c, _, _, path in _shards(left, left.count(), ["c"], context_level):
-        model.first_context.append(c)
-        model.context_files.append(path)
+    model.texts = counts.where(F.col("h") == int(END)).select("n").first().n
+    for _ in range(order - 1):
+        _add_level(given, model)
     return model
 
 
-def _ids(counts: DataFrame, model: Model) -> DataFrame:
-    """(id, n) of the words, from the word level."""
-    held = counts.sparkSession.sparkContext.broadcast(model)
-
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trie = Trie(held.value)
-        for batch in batches:
-            ids, n = trie.words(batch.column("h").to_numpy().view(np.uint64))
-            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(n)], names=["id", "n"])
-
-    return counts.mapInArrow(rows, "id long, n long")
-
-
 def score_texts(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """Adds ``n_tokens``, ``n_known``, ``train_tokens``, ``base_score`` and
     ``score`` to the rows of ``df``, without the text.
 
-    ``base_score`` sums log10((c + 0.1) / (N + 0.1 (V + 1))). ``score`` uses
-    p(w | v) = max(n(vw) - D, 0) / n(v) + left(v) p(w) over kept pairs. A null
-    text is an empty one: a single end token. Rows are kept as they are;
-    columns of these names are replaced.
+    ``base_score`` sums log10((c + 0.1) / (N + 0.1 (V + 1))). ``score`` backs
+    off from the longest context to shorter ones: after a context v that was
+    followed n(v) times, by t(v) different words, p(w | v) = (max(n(vw) - D, 0)
+    + D t(v) p(w | v without its first word)) / n(v), and a context that is not
+    in the trie is shortened. A null text is an empty one: a single end token.
+    Rows are kept as they are; columns of these names are replaced.
     """
     held = df.sparkSession.sparkContext.broadcast(model)
     made = ["n_tokens", "n_known", "train_tokens", "base_score", "score"]
@@ -320,18 +406,18 @@ def score_texts(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
                 hashes, bounds = _tokens(data, offsets, tool)
                 context, ids, counts = _paired(trie, hashes, bounds)
                 single = (counts + SMOOTH) / mass
-                # a pair or a left-over weight exists for known words only
-                ask = np.flatnonzero((context >= 0) & (ids >= 0))
-                order = ask[np.lexsort((ids[ask], context[ask]))]
-                c, w = context[order], ids[order]
-                new = np.concatenate(([True], (c[1:] != c[:-1]) | (w[1:] != w[:-1])))[: len(c)]
-                pair = np.zeros(len(ids))
-                pair[order] = trie.pairs(c[new], w[new])[np.cumsum(new) - 1]
-                contexts, back = np.unique(context, return_inverse=True)
-                left = trie.left_over(contexts)[back]
+                # how often a context was followed: its count, or the number of texts
+                followed, p = np.concatenate(([0], counts[:-1])), single
+                followed[bounds[:-1]] = known.texts
+                for level in known.levels:
+                    after, n, sizes = _longer(trie, level, context, ids, bounds)
+                    seen = np.flatnonzero((context >= 0) & (followed > 0))
+                    gained = np.maximum(n[seen] - DISCOUNT, 0) + DISCOUNT * sizes[seen] * p[seen]
+                    p = p.copy()
+                    p[seen] = gained / followed[seen]
+                    context, followed = after, np.concatenate(([0], n[:-1]))
                 sums = [
-                    np.add.reduceat(x, bounds[:-1])
-                    for x in ((counts > 0).astype(np.int64), np.log10(single), np.log10(pair + left * single))
+                    np.add.reduceat(x, bounds[:-1]) for x in ((counts > 0).astype(np.int64), np.log10(single), np.log10(p))
                 ]
                 out.append((np.diff(bounds), *sums))
             if not out:

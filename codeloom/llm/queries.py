@@ -122,7 +122,7 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     held_out = crc_mod("doc_id", 10) == 0
-    model = lm_scoring.train(docs, rows=~held_out)
+    model = lm_scoring.train(docs, rows=~held_out, order=3)
     return lm_scoring.score_texts(docs.withColumn("held_out", held_out), model)
 
 

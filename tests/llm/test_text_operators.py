@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from codeloom.llm import quality_classifier, quality_rules, secret_scans, source_mix, token_counts
+from codeloom.llm import lm_scoring, quality_classifier, quality_rules, secret_scans, source_mix, token_counts
 from codeloom.llm.elias_fano import Monotone
 from codeloom.llm.lm_scoring import DISCOUNT, MIN_PAIR, score_texts, train
 
@@ -316,3 +316,40 @@ def test_scores_without_training(docs, nothing):
     assert score_texts(nothing, train(docs)).count() == 0
 
 
+
+
+def test_scores_keep_pairs_and_triples_seen_once(spark, monkeypatch):
+    """Against exact counts, with contexts that go on over many small shards."""
+    monkeypatch.setattr(lm_scoring, "SHARD", 300)
+    r = np.random.default_rng(4)
+    texts = [" ".join(f"w{x}" for x in r.zipf(1.3, 60) % 90) for _ in range(40)]
+    texts += [f"hub s{i} hub t{i} u{i}" for i in range(300)]
+    asked = ["hub s7 hub t7 u7", "hub s7 hub t8 u7", "hub new w1", texts[0][:90], ""]
+    rows = [(i, t) for i, t in enumerate(texts)] + [(1000 + i, t) for i, t in enumerate(asked)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    model = train(df, rows=F.col("doc_id") < 1000, order=3)
+    assert len(model.levels[0].files) > 3 and len(model.levels[1].files) > 3
+    held = [[*t.split(), None] for t in texts]
+    grams = Counter()
+    for t in held:
+        s = [0, *t]
+        grams.update((x,) for x in t)
+        grams.update(p for k in (2, 3) for p in zip(*(s[i:] for i in range(k))))
+    assert [x.entries for x in model.levels] == [sum(len(g) == k for g in grams) for k in (2, 3)]
+    grams[(0,)], tokens, words = len(held), sum(map(len, held)), len({x for t in held for x in t})
+    follow = Counter(g[:-1] for g in grams if len(g) > 1)
+
+    def p(context, x):
+        if not context:
+            return (grams[(x,)] + 0.1) / (tokens + 0.1 * (words + 1))
+        if not grams[context]:
+            return p(context[1:], x)
+        return (max(grams[(*context, x)] - DISCOUNT, 0) + DISCOUNT * follow[context] * p(context[1:], x)) / grams[context]
+
+    got = {x.doc_id: x.score for x in score_texts(df, model).collect()}
+    for i, t in rows:
+        s = [0, *t.split(), None]
+        want = sum(math.log10(p(tuple(s[max(0, j - 2) : j]), s[j])) for j in range(1, len(s)))
+        assert abs(got[i] - want) <= 1e-9 * abs(want)
+    # a passage that occurs once in training, and the same words from chance pairs
+    assert got[1000] > got[1001] + 1
