@@ -3,7 +3,8 @@
 Assignments, access keys and hex runs are found by pattern. Beyond them, a
 candidate is reported only when its decoded bytes have the structure of a
 secret: nested DER lengths of a private key, the length-prefixed fields of an
-OpenSSH key, or a signed token whose header and claims are JSON objects.
+OpenSSH key, the packets of a PGP key, or a signed token whose header and
+claims are JSON objects. Base64 may be wrapped into lines.
 """
 
 from __future__ import annotations
@@ -37,7 +38,8 @@ ASSIGN = re.compile(rf"""({_NAMES})["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"
 # gives the same matches as filtering afterwards.
 ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 HEX = re.compile(r"[0-9a-f]{24,}")
-TOKEN = re.compile(r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]+(?:\.[A-Za-z0-9_-]*){2,4}(?![A-Za-z0-9_.-])")
+# Looks ahead, so that each part of a dotted run may begin a token.
+TOKEN = re.compile(r"(?<![A-Za-z0-9_-])(?=(eyJ[A-Za-z0-9_-]+(?:\.[A-Za-z0-9_-]*){2,4}))eyJ")
 BEGIN = re.compile(r"-----BEGIN ((?:[A-Z0-9]+ ){0,3}PRIVATE KEY(?: BLOCK)?)-----")
 END = re.compile(r"-----END ((?:[A-Z0-9]+ ){0,3}PRIVATE KEY(?: BLOCK)?)-----")
 # The first byte of a DER sequence, 0x30, makes M and one of A-P in base64.
@@ -45,6 +47,12 @@ DER64 = re.compile(r"(?<![A-Za-z0-9+/_-])M[A-P][A-Za-z0-9+/_-]{38,}={0,2}")
 DER16 = re.compile(r"(?<![0-9A-Fa-f])30[0-9A-Fa-f]{78,}")
 SSH64 = re.compile(r"(?<![A-Za-z0-9+/])b3BlbnNzaC1rZXktdjEA[A-Za-z0-9+/]{60,}={0,2}")
 PEM64 = re.compile(r"(?<![A-Za-z0-9+/_-])LS0tLS1CRUdJTi[A-Za-z0-9+/_-]{60,}={0,2}")
+# Beginnings of base64 that goes on in the following lines, and one such line.
+DER64_HEAD = re.compile(r"(?<![A-Za-z0-9+/_-])M[A-P][A-Za-z0-9+/_-]{14,}")
+SSH64_HEAD = re.compile(r"(?<![A-Za-z0-9+/])b3BlbnNzaC1rZXktdjEA[A-Za-z0-9+/]*")
+PEM64_HEAD = re.compile(r"(?<![A-Za-z0-9+/_-])LS0tLS1CRUdJTi[A-Za-z0-9+/_-]*")
+NEXT = re.compile(r"[ \t]*(?:\r?\n|(?:\\r)?\\n)[ \t]*([A-Za-z0-9+/_-]+)")
+PAD = re.compile(r"={0,2}")
 
 
 def decoded(text: str) -> bytes | None:
@@ -107,24 +115,57 @@ def private_der(data: bytes) -> bool:
     return tags == [_SEQ, _OCTETS] and algorithm(0)
 
 
-def private_openssh(data: bytes) -> bool:
-    """Magic, then length-prefixed names, options and keys that fill the rest."""
+def openssh_size(data: bytes) -> int | None:
+    """Bytes of the key that ``data`` begins with: magic, then length-prefixed
+    names, options and keys; None when it is not one."""
     magic = b"openssh-key-v1\0"
     if not data.startswith(magic):
-        return False
+        return None
     at, parts = len(magic), []
     for step in range(5):
         if step == 3:  # number of keys, a plain integer
             at += 4
         if at + 4 > len(data):
-            return False
+            return None
         n = int.from_bytes(data[at : at + 4], "big")
         at += 4
         if at + n > len(data):
-            return False
+            return None
         parts.append(data[at : at + n])
         at += n
-    return bool(parts[0]) and bool(parts[4]) and at == len(data)
+    return at if parts[0] and parts[4] else None
+
+
+def private_openssh(data: bytes) -> bool:
+    return openssh_size(data) == len(data)
+
+
+def private_pgp(data: bytes) -> bool:
+    """Packets whose lengths fill the data, the first one a secret key."""
+    at, tags = 0, []
+    while at < len(data):
+        head = data[at]
+        at += 1
+        if not head & 0x80 or at >= len(data):
+            return False
+        if head & 0x40:
+            tag, n = head & 0x3F, data[at]
+            wide = 1 if n < 192 else 2 if n < 224 else 5 if n == 255 else 0  # no partial lengths in keys
+            if wide == 2:
+                n = ((n - 192) << 8) + int.from_bytes(data[at + 1 : at + 2], "big") + 192
+            elif wide == 5:
+                n = int.from_bytes(data[at + 1 : at + 5], "big")
+        else:
+            tag, wide = (head >> 2) & 0x0F, (1, 2, 4, 0)[head & 3]
+            n = int.from_bytes(data[at : at + wide], "big")
+        at += wide
+        if not wide or at + n > len(data):
+            return False
+        if not tags and not (n and data[at] in (2, 3, 4, 5, 6)):  # version of the key
+            return False
+        tags.append(tag)
+        at += n
+    return bool(tags) and tags[0] == 5
 
 
 def signed_token(text: str) -> bool:
@@ -142,6 +183,20 @@ def signed_token(text: str) -> bool:
         return False
 
 
+def signed_tokens(text: str) -> Iterator[tuple[int, int]]:
+    """Spans of tokens: the first five or three parts of a dotted run, so a
+    full stop or a word after a token does not hide it."""
+    done = 0
+    for m in TOKEN.finditer(text):
+        parts = m[1].split(".")
+        for n in (5, 3):
+            whole = ".".join(parts[:n])
+            if m.start() >= done and len(parts) >= n and signed_token(whole):
+                done = m.start() + len(whole)
+                yield m.start(), done
+                break
+
+
 def pem_blocks(text: str) -> Iterator[tuple[int, int]]:
     """Spans of PEM private keys whose body decodes to a key."""
     ends: dict[str, list[tuple[int, int]]] = {}
@@ -160,21 +215,80 @@ def pem_blocks(text: str) -> Iterator[tuple[int, int]]:
         locked = any("ENCRYPTED" in x for x in lines if ":" in x)
         body = "".join(x.strip() for x in lines if ":" not in x)
         data = decoded(re.sub(r"[^A-Za-z0-9+/=]", "", body.partition("=")[0]))
-        sound = data and (private_der(data) or private_openssh(data) or (locked and len(data) % 8 == 0))
+        if m[1].startswith("PGP "):
+            sound = data and private_pgp(data)
+        else:
+            sound = data and (private_der(data) or private_openssh(data) or (locked and len(data) % 8 == 0))
         if sound:
             done = own[i][1]
             yield m.start(), done
 
 
+def _chars(size: int) -> int:
+    """Base64 characters of so many bytes, without padding."""
+    return -(-size * 4 // 3)
+
+
+def _der_chars(text: str) -> int | None:
+    data = decoded(text[:16])
+    if not data:
+        return None
+    wide = data[1] & 0x7F if data[1] & 0x80 else 0
+    if wide > 4 or data[1] == 0x80 or data[2 + wide] not in (_INT, _SEQ):
+        return None
+    return _chars(2 + wide + (int.from_bytes(data[2 : 2 + wide], "big") if wide else data[1]))
+
+
+def _openssh_chars(text: str) -> int | None:
+    size = openssh_size(decoded(text[: len(text) // 4 * 4]) or b"") or openssh_size(decoded(text) or b"")
+    return size and _chars(size)
+
+
+def _pem_chars(text: str) -> int | None:
+    for cut in (text, text[: len(text) // 4 * 4]):
+        data = (decoded(cut) or b"").decode("latin-1")
+        block = next(pem_blocks(data), None)
+        if block and block[0] == 0:
+            return _chars(block[1] + len(re.match(r"\s*", data[block[1] :])[0]))
+    return None
+
+
+def wrapped(text: str, head: re.Pattern, start: str, chars, sound=None) -> Iterator[tuple[int, int]]:
+    """Spans of base64 over several lines. ``chars`` reads from the joined
+    lines how many characters the key has; a line must end there. Lines are
+    joined up to one that begins with ``start``, or, with ``sound``, until the
+    characters that the first line asks for are there."""
+    done = 0
+    for m in head.finditer(text):
+        following = NEXT.match(text, m.end())
+        need = chars(m[0]) if following and sound else None
+        if m.start() < done or not following or (sound and not (need and m.start() + need <= len(text))):
+            continue
+        runs, ends, total = [m[0]], {len(m[0]): m.end()}, len(m[0])
+        while following and (total < need if sound else not following[1].startswith(start)):
+            runs.append(following[1])
+            total += len(following[1])
+            ends[total] = following.end()
+            following = NEXT.match(text, following.end())
+        joined_runs = "".join(runs)
+        if not sound:
+            need = chars(joined_runs)
+        if len(runs) == 1 or need not in ends or need == len(m[0]):
+            continue
+        if sound is None or ((d := decoded(joined_runs[:need])) and sound(d)):
+            done = PAD.match(text, ends[need]).end()
+            yield m.start(), done
+
+
 def scan(text: str) -> list[tuple[int, int, int]]:
     """(start, kind number, end) of all secrets, by start, then kind."""
     out = [(m.start(), 0, m.end()) for m in ASSIGN.finditer(text) if m.end(2) - m.start(2) >= 6]
     out += [(m.start(), 1, m.end()) for m in ACCESS.finditer(text)]
     out += [(m.start(), 2, m.end()) for m in HEX.finditer(text)]
     if "eyJ" in text:
-        out += [(m.start(), 3, m.end()) for m in TOKEN.finditer(text) if signed_token(m[0])]
-    if "-----BEGIN " in text:
-        out += [(s, 4, e) for s, e in pem_blocks(text)]
+        out += [(s, 3, e) for s, e in signed_tokens(text)]
+    blocks = list(pem_blocks(text)) if "-----BEGIN " in text else []
+    out += [(s, 4, e) for s, e in blocks]
     out += [(m.start(), 5, m.end()) for m in DER64.finditer(text) if (d := decoded(m[0])) and private_der(d)]
     for m in DER16.finditer(text):
         if len(m[0]) % 2 == 0 and private_der(bytes.fromhex(m[0])):
@@ -185,7 +299,13 @@ def scan(text: str) -> list[tuple[int, int, int]]:
         for m in PEM64.finditer(text):
             if (d := decoded(m[0])) and next(pem_blocks(d.decode("latin-1")), None):
                 out.append((m.start(), 8, m.end()))
-    return sorted(out)
+    lines = [(s, 5, e) for s, e in wrapped(text, DER64_HEAD, "", _der_chars, private_der)]
+    if "b3BlbnNza" in text:
+        lines += [(s, 7, e) for s, e in wrapped(text, SSH64_HEAD, "b3BlbnNzaC1rZXktdjEA", _openssh_chars)]
+    if "LS0tLS1CRUdJTi" in text:
+        lines += [(s, 8, e) for s, e in wrapped(text, PEM64_HEAD, "LS0tLS1CRUdJTi", _pem_chars)]
+    # the body of an armoured block is reported with it
+    return sorted(out + [x for x in lines if not (i := bisect_right(blocks, (x[0], 0))) or blocks[i - 1][1] <= x[0]])
 
 
 def joined(spans: list[tuple[int, int, int]]) -> str:

@@ -100,6 +100,50 @@ def test_look_alikes_are_not_confirmed():
     assert kinds(base64.b64encode(public).decode()) == []
 
 
+def test_tokens_before_dots_and_words():
+    whole = token()
+    locked = ".".join([token({"alg": "dir", "enc": "A128GCM"}).split(".")[0], "", "aXY", "Y2lwaGVy", "dGFn"])
+    for one in (whole, locked):
+        for tail in ("", ". Next", ".Word", "...", ".a.b.c.d.e"):
+            spans = [x for x in secret_scans.scan(f"see {one}{tail}") if x[1] == 3]
+            assert spans == [(4, 3, 4 + len(one))], tail
+    assert kinds(f"{whole}.{whole}") == ["signed_token"] * 2
+
+
+def test_pgp_keys():
+    def packet(tag, body, new):
+        n = len(body)
+        if not new:
+            return bytes([0x81 | tag << 2]) + n.to_bytes(2, "big") + body
+        return bytes([0xC0 | tag]) + (bytes([n]) if n < 192 else bytes([(n - 192 >> 8) + 192, n - 192 & 255])) + body
+
+    def armoured(data):
+        raw = base64.b64encode(data).decode()
+        lines = "\n".join(raw[i : i + 64] for i in range(0, len(raw), 64))
+        return f"-----BEGIN PGP PRIVATE KEY BLOCK-----\nVersion: X 1\n\n{lines}\n=a1B2\n-----END PGP PRIVATE KEY BLOCK-----"
+
+    for new in (False, True):
+        data = packet(5, b"\4" + b"k" * 400, new) + packet(13, b"a name", new) + packet(7, b"\4" + b"s" * 90, new)
+        text = armoured(data)
+        assert (2, 4, 2 + len(text)) in secret_scans.scan(f"é {text} z")
+        assert "pem_key" not in kinds(armoured(data[:-5]))
+        assert "pem_key" not in kinds(armoured(packet(6, b"\4" + b"k" * 400, new)))
+
+
+@pytest.mark.parametrize("width", [64, 76])
+@pytest.mark.parametrize("feed", ["\n", "\r\n", "\n  ", "\\n"])
+def test_keys_wrapped_into_lines(width, feed):
+    plain = base64.b64encode(rsa_key()).decode()
+    pem = f"-----BEGIN RSA PRIVATE KEY-----\n{plain}\n-----END RSA PRIVATE KEY-----\n"
+    for kind, data in ((5, rsa_key()), (7, openssh_key()), (8, pem.encode())):
+        raw = base64.b64encode(data).decode()
+        text = feed.join(raw[i : i + width] for i in range(0, len(raw), width))
+        for before, after in (("k ", "\nprose follows"), ("k=", ""), ("x\n", f"\n{text}")):
+            spans = [x for x in secret_scans.scan(before + text + after) if x[1] > 2]
+            assert spans[0] == (2, kind, 2 + len(text)) and len(spans) == 1 + after.endswith(text)
+        assert not [x for x in secret_scans.scan(text[: len(text) // 2] + "\nprose") if x[1] > 2]
+
+
 def test_many_begin_lines_are_linear():
     assert kinds("-----BEGIN PRIVATE KEY-----" * 20000) == []
 
