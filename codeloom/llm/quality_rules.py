@@ -37,13 +37,17 @@ def _windows(words: Column) -> Column:
 
 
 def _normal(lines: Column) -> Column:
-    """(hash, words) of the normalised lines, sorted by hash."""
-    plain = F.transform(
-        lines, lambda x: F.regexp_replace(F.trim(F.regexp_replace(F.lower(x), BLANK, " ")), r"\d", "0")
-    )
-    return F.sort_array(
-        F.transform(plain, lambda x: F.struct(F.xxhash64(x).alias("h"), F.size(F.split(x, " ")).cast("long").alias("n")))
-    )
+    """(hash, words, position) of the normalised lines, sorted by hash."""
+
+    def plain(x: Column) -> Column:
+        joined = F.trim(F.regexp_replace(F.lower(x["x"]), BLANK, " "))
+        return F.struct(F.regexp_replace(joined, r"\d", "0").alias("x"), x["i"].alias("i"))
+
+    def hashed(x: Column) -> Column:
+        n = F.size(F.split(x["x"], " ")).cast("long")
+        return F.struct(F.xxhash64(x["x"]).alias("h"), n.alias("n"), x["i"].alias("i"))
+
+    return F.sort_array(F.transform(F.transform(lines, plain), hashed))
 
 
 def line_frequency_rules(
@@ -52,10 +56,19 @@ def line_frequency_rules(
     text: str = "text",
     host: str = "source",
     max_documents: int = MAX_DOCUMENTS,
+    max_share: float = 0.0,
     max_depleted: float = MAX_DEPLETED,
+    keep_text: bool = True,
 ) -> DataFrame:
     """Adds ``n_words``, ``word_chars``, ``n_symbols``, ``n_dup_lines``,
-    ``n_repeat_words``, ``base_failed``, ``n_frequent_words`` and ``kept``.
+    ``n_repeat_words``, ``base_failed``, ``n_frequent_words``, ``kept`` and
+    ``removed_lines`` (positions from 0 of the removed lines in the text, in
+    order; empty when there are none). With ``keep_text``, the text stays and
+    ``depleted`` is the text without those lines (null for a null text).
+
+    A line is removed when more than ``max_documents`` rows of its host hold
+    it, and more than the share ``max_share`` of the host's rows; with 0, the
+    number alone decides.
 
     Lines are compared after lower-casing, joining runs of blanks and writing
     digits as 0. A line counts once for each row that holds it; with a null
@@ -63,19 +76,24 @@ def line_frequency_rules(
     fails. Every row is kept, repeated ones too; columns of these names are
     replaced, others kept. An empty table gives none.
 
-    Only line hashes and their word counts are shuffled, texts never; counts
+    Only line hashes and their word counts are shuffled, texts only when they
+    are kept; counts
     are summed before the shuffle, so a line that a third of all documents
     holds arrives once per task.
     """
-    made = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "n_frequent_words", "kept"]
-    own = Sealed(df, made, drop=(text,))
+    made = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "n_frequent_words", "kept", "removed_lines"]
+    made += ["depleted"] if keep_text else []
+    own = Sealed(df, made, drop=() if keep_text else (text,))
     text, host = own.name(text), own.name(host)
     others = list(dict.fromkeys([*own.columns, host]))
     whole = own.table.select(*others, F.coalesce(F.col(text), F.lit("")).alias("__text"))
     split = whole.withColumns(
         {
             "__words": _words(F.col("__text")),
-            "__lines": F.filter(F.split("__text", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")),
+            "__lines": F.filter(
+                F.transform(F.split("__text", "\n"), lambda x, i: F.struct(x.alias("x"), i.alias("i"))),
+                lambda x: x["x"].rlike(r"[^\x20\x09-\x0D]"),
+            ),
         }
     ).withColumns({"__sorted": _windows(F.col("__words")), "__own": _normal(F.col("__lines"))})
     twice = F.filter(
@@ -94,13 +112,16 @@ def line_frequency_rules(
         n_words.alias("n_words"),
         F.char_length(F.array_join("__words", "")).cast("long").alias("word_chars"),
         F.regexp_count("__text", F.lit(r"[#*$%&|<>]")).cast("long").alias("n_symbols"),
-        (F.size("__lines") - F.size(F.array_distinct("__lines"))).cast("long").alias("n_dup_lines"),
+        (F.size("__lines") - F.size(F.array_distinct(F.col("__lines")["x"]))).cast("long").alias("n_dup_lines"),
         F.aggregate(gap, F.lit(0), lambda a, x: a + x).cast("long").alias("n_repeat_words"),
         # the first of equal lines stands for the document, all lose their words
         F.transform(
             "__own",
             lambda x, i: F.struct(
-                x["h"].alias("h"), x["n"].alias("n"), (~F.coalesce(x["h"] == F.get("__own", i - 1)["h"], F.lit(False))).alias("new")
+                x["h"].alias("h"),
+                x["n"].alias("n"),
+                x["i"].alias("i"),
+                (~F.coalesce(x["h"] == F.get("__own", i - 1)["h"], F.lit(False))).alias("new"),
             ),
         ).alias("__own"),
     )
@@ -109,11 +130,16 @@ def line_frequency_rules(
         "__row", "__host", "l.*"
     )
     frequent = lines.groupBy("__host", "h").agg(F.count_if("new").alias("docs")).where(F.col("docs") > max_documents)
+    if max_share > 0:
+        hosts = held.groupBy(F.col(host).alias("__g")).agg(F.count(F.lit(1)).alias("__rows"))
+        frequent = frequent.join(hosts, F.col("__host").eqNullSafe(F.col("__g"))).where(
+            F.col("docs") > max_share * F.col("__rows")
+        )
     frequent = frequent.select(F.col("__host").alias("__f"), F.col("h").alias("__h"))
     lost = (
         lines.join(frequent, F.col("__host").eqNullSafe(F.col("__f")) & (F.col("h") == F.col("__h")), "left_semi")
         .groupBy(F.col("__row").alias("__lost"))
-        .agg(F.sum("n").alias("n_frequent_words"))
+        .agg(F.sum("n").alias("n_frequent_words"), F.sort_array(F.collect_list("i")).alias("removed_lines"))
     )
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     out = held.drop("__own").join(lost, F.col("__row") == F.col("__lost"), "left")
@@ -121,4 +147,13 @@ def line_frequency_rules(
         "base_failed", failed
     )
     kept = ~F.col("base_failed") & (F.col("n_frequent_words") <= max_depleted * F.col("n_words"))
-    return own.restored(out.withColumn("kept", kept))
+    out = out.withColumns(
+        {"kept": kept, "removed_lines": F.coalesce("removed_lines", F.array().cast("array<int>"))}
+    )
+    if keep_text:
+        # one split for all lines of a text: the explode keeps it out of the lambda
+        out = out.withColumn("__all", F.explode(F.array(F.split(F.coalesce(F.col(text), F.lit("")), "\n"))))
+        stay = F.array_except(F.sequence(F.lit(0), F.size("__all") - 1), F.col("removed_lines"))
+        left = F.array_join(F.transform(stay, lambda i: F.get("__all", i)), "\n")
+        out = out.withColumn("depleted", F.when(F.col(text).isNotNull(), left))
+    return own.restored(out)

@@ -135,4 +135,4 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_quality_rules", oracles.QUALITY_RULES)
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
-    return quality_rules.line_frequency_rules(docs).drop("source")
+    return quality_rules.line_frequency_rules(docs, keep_text=False).drop("source", "removed_lines")

@@ -260,6 +260,21 @@ def test_frequent_lines_deplete(spark, nothing):
     assert quality_rules.line_frequency_rules(nothing).count() == 0
 
 
+def test_frequent_lines_are_removed_from_the_text(spark):
+    rows = [(i, f"Menu {i}\n\nown w{chr(97 + i)}\n menu  7 \nlast{chr(97 + i)}\n", "h") for i in range(8)]
+    rows += [(20 + i, f"menu 1\nother x{chr(97 + i)}", "g") for i in range(3)] + [(99, None, "g")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = {r.doc_id: r for r in quality_rules.line_frequency_rules(df, max_documents=2).collect()}
+    for i in range(8):
+        assert got[i].removed_lines == [0, 3] and got[i].text == rows[i][1]
+        assert got[i].depleted == f"\nown w{chr(97 + i)}\nlast{chr(97 + i)}\n"
+    assert [got[20 + i].depleted for i in range(3)] == [f"other x{chr(97 + i)}" for i in range(3)]
+    assert got[99].depleted is None and got[99].removed_lines == []
+    # 3 of 4 rows of g and 8 of 8 of h hold the line
+    got = {r.doc_id: r for r in quality_rules.line_frequency_rules(df, max_documents=2, max_share=0.8).collect()}
+    assert got[20].depleted == rows[8][1] and got[0].removed_lines == [0, 3]
+
+
 # Mixing
 
 
