@@ -195,6 +195,8 @@ def jaccard_classes(
 
     * ``set_id``: the least key among rows with the same shingle set,
     * ``class_id``: the least key among rows that hang together by links,
+    * ``class_set``: the digest of one shingle set of that class, which tells
+      classes apart where keys repeat; null for a text without words,
     * ``n_links``: how many other rows have a similarity of ``threshold`` or
       more, rows with the same set included,
     * ``n_linked_sets``: how many other shingle sets do.
@@ -202,13 +204,13 @@ def jaccard_classes(
     Words are runs of characters other than blanks, as they stand. A text of
     fewer than ``k`` words is one shingle; one without words (null, empty) has
     no links and is its own class. Repeated rows are copies. A null key never
-    names a set that has other keys. Other columns are kept, those of the four
+    names a set that has other keys. Other columns are kept, those of the five
     names replaced; an empty table gives none.
 
     Equal sets are joined once. A large group of candidates is verified in
     pairs of blocks, whose links are counted, never listed.
     """
-    made = ["set_id", "class_id", "n_links", "n_linked_sets"]
+    made = ["set_id", "class_id", "class_set", "n_links", "n_linked_sets"]
     own = Sealed(df, made, drop=(text,))
     text, key = own.name(text), own.name(key)
     columns = list(dict.fromkeys([*own.columns, key]))
@@ -268,6 +270,7 @@ def jaccard_classes(
         "set",
         F.col("least").alias("set_id"),
         "class_id",
+        F.col("root").alias("class_set"),
         (F.coalesce("docs", F.lit(0)) + F.col("copies") - 1).cast("long").alias("n_links"),
         F.coalesce("sets", F.lit(0)).cast("long").alias("n_linked_sets"),
     )
@@ -276,6 +279,7 @@ def jaccard_classes(
         *columns,
         F.when(alone, F.col(key)).otherwise(F.col("set_id")).alias("set_id"),
         F.when(alone, F.col(key)).otherwise(F.col("class_id")).alias("class_id"),
+        "class_set",
         F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"),
         F.coalesce("n_linked_sets", F.lit(0).cast("long")).alias("n_linked_sets"),
     )

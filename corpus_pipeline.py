@@ -38,9 +38,10 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     equal rows are one document. Rows without words or id are their own."""
     rows = _marked(docs)
     classes = jaccard_classes(rows.select("doc_id", _MARK, "text"))
-    best = classes.where(F.col("class_id").isNotNull() & F.col("doc_id").eqNullSafe(F.col("class_id")))
-    best = best.groupBy("class_id").agg(F.min(_MARK).alias(_MARK)).withColumnRenamed("class_id", "doc_id")
-    own = classes.where("class_id IS NULL").select("doc_id", _MARK)
+    named = F.col("class_set").isNotNull() & F.col("class_id").isNotNull()
+    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", _MARK)).alias("first")
+    best = classes.where(named).groupBy("class_set").agg(first).select("first.doc_id", f"first.{_MARK}")
+    own = classes.where(~named).select("doc_id", _MARK)
     stay = best.unionByName(own).distinct()
     kept = rows.join(stay, _same(rows, stay), "left_semi")
     return kept.dropDuplicates(["doc_id", _MARK]).select(*docs.columns)

@@ -264,3 +264,11 @@ def test_pipeline_stages_take_odd_rows(spark, docs):
         assert stage(spark, rows, folder).count() >= 0
     kept = corpus_pipeline.near_duplicates(spark, rows, folder)
     assert Counter(r.doc_id for r in kept.collect()).most_common(1)[0][1] == 1
+
+
+def test_classes_that_share_an_id_keep_one_row_each(spark):
+    one, two, three = (" ".join(f"{c}{i}" for i in range(60)) for c in "abc")
+    rows = [(1, one), (2, f"{one} more"), (1, two), (3, f"{two} more"), (1, three), (1, ""), (4, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = corpus_pipeline.near_duplicates(spark, df, "")
+    assert sorted((r.doc_id, r.text or "") for r in kept.collect()) == sorted([(1, one), (1, two), (1, three), (1, ""), (4, "")])
