@@ -1,10 +1,12 @@
-"""N-gram Jaccard self-join with a MinHash LSH forest.
+"""N-gram Jaccard self-join with MinHash banding.
 
-Each text gives the set of its five-word shingles, and each of several tries a
-path of min-hashes for it. Texts that share a prefix of a path in any trie are
-candidates; prefixes are shortened from the full depth until a pair at the
-threshold shares one with the target recall. Candidates that hang together are
-brought together once, and every pair of them is verified exactly.
+Each text gives the set of its five-word shingles, and each of several bands a
+hash of a few min-hashes of it. Texts that share a band are candidates; the
+length of a band is the longest, up to the full depth, that a pair at the
+threshold shares with the target recall. It follows from the parameters alone:
+there are no sorted tries whose prefixes are shortened pair by pair. Candidates
+that hang together are brought together once, and every pair of them is
+verified exactly, pairs that share no band too.
 """
 
 from __future__ import annotations
