@@ -18,11 +18,14 @@ from codeloom.llm import (
     oracles,
     quality_classifier,
     quality_rules,
+    ranked_search,
     secret_scans,
+    simhash,
     source_mix,
     substring_dedup,
     token_counts,
     warc,
+    whitening,
 )
 from codeloom.llm.common import crc_mod
 from codeloom.session import shared_dir
@@ -136,3 +139,20 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
     return quality_rules.line_frequency_rules(docs, keep_text=False).drop("source", "removed_lines")
+
+
+@query("op11_ranked_search", ranked_search.SQL)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return ranked_search.rank_documents(docs, table(spark, sf_dir, "benchmark"))
+
+
+@query("op12_simhash", simhash.SQL)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.edited_fingerprints(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+@query("op13_whitening")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = whitening.whiten(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+    return found.withColumn("deviation", F.col("deviation").try_cast("long"))

@@ -22,4 +22,4 @@ def test_all_are_registered():
     import __spark_entry__ as e
 
     assert {*QUERIES, "pipeline"} <= set(e.queries())
-    assert {int(k[2:].split("_")[0]) for k in QUERIES} == set(range(1, 11))
+    assert {int(k[2:].split("_")[0]) for k in QUERIES} == set(range(1, 14))
