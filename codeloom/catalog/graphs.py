@@ -80,7 +80,7 @@ def _run(spark, d):
 
 @query("W1_components", "SELECT 'P' || k AS name, 16 AS points, 'Medium' AS level, 'Medium' AS risk_level, 3 AS priority FROM p WHERE k % 7 <> 0 "
                         "UNION ALL SELECT 'D' || k, 5, 'Low', 'Low', 5 FROM p WHERE k % 7 <> 0 AND k % 3 = 0 "
-                        "UNION ALL SELECT 'compute_' || k, 3, 'Low', 'Low', 5 FROM p WHERE k % 7 <> 0")
+                        "UNION ALL SELECT 'compute_' || k, 7, 'Low', 'Low', 5 FROM p WHERE k % 7 <> 0")
 def run_components(spark, d):
     """Scores of what the extractors found."""
     return _run(spark, d).components.select("name", "points", "level", "risk_level", "priority")
@@ -102,7 +102,7 @@ def run_statements(spark, d):
              "FROM orders JOIN customer ON c_custkey = o_custkey JOIN nation ON n_nationkey = c_nationkey UNION ALL SELECT 'c' || c_custkey, 'r' || n_regionkey, 2, 'r' || n_regionkey || '.n' || n_nationkey || '.c' || c_custkey FROM customer JOIN nation ON n_nationkey = c_nationkey "
              "UNION ALL SELECT 'n' || n_nationkey, 'r' || n_regionkey, 1, 'r' || n_regionkey || '.n' || n_nationkey FROM nation UNION ALL SELECT 'r' || r_regionkey, 'r' || r_regionkey, 0, 'r' || r_regionkey FROM region)")
 def root_paths(spark, d):
-    return graph.root_paths(graph.closure(B.geography(spark, d)))
+    return graph.root_paths(B.geography(spark, d))
 
 
 @query("G3", "WITH u AS (SELECT source, target FROM edges UNION SELECT target, source FROM edges), s AS (SELECT p_partkey AS id FROM part WHERE p_size = (SELECT max(p_size) FROM part)), "

@@ -56,14 +56,54 @@ def closure(nodes: DataFrame) -> DataFrame:
         levels.append(frontier)
 
 
-def root_paths(closed: DataFrame) -> DataFrame:
-    """Root-to-node path per node: the closure row from the furthest ancestor."""
-    far = F.max(F.struct("depth", "ancestor", "path"))
-    return (
-        closed.groupBy("descendant")
-        .agg(far.alias("r"))
-        .select(F.col("descendant").alias("id"), F.col("r.ancestor").alias("root"), "r.depth", "r.path")
+#: Paths longer than this are built only once no cycle is known to exist.
+CHECKED_STEPS = 4096
+
+
+def root_paths(nodes: DataFrame, paths: bool = True) -> DataFrame:
+    """Root, depth and root-to-node path of every node, by pointer doubling.
+
+    ``nodes``: id, parent_id, label. Each node points at an ancestor and knows
+    the labels on the way; a round looks the ancestor's own pointer up and
+    takes it over, so that the steps double: a hierarchy of depth d needs
+    log2(d) rounds with one row a node, and no closure is made. Nodes that
+    point at a root are finished and only looked up from then on. A node whose
+    parent is not among ``nodes`` is a root. Without ``paths`` the path is null.
+    A cycle is an error.
+    """
+    parents = nodes.select(F.col("id").alias("parent_id"), F.col("label").alias("prefix"), F.lit(True).alias("known"))
+    linked = skew_lookup(nodes.select("id", "parent_id", "label"), parents, ["parent_id"], ["id"])
+    known = F.col("known").isNotNull()
+    rows = cut_lineage(
+        linked.select(
+            "id",
+            "label",
+            F.when(known, F.col("parent_id")).otherwise(F.col("id")).alias("root"),
+            known.cast("int").alias("depth"),
+            (F.col("prefix") if paths else F.lit(None).cast("string")).alias("prefix"),
+            (~known).alias("done"),
+        )
     )
+    size, steps = rows.count(), 1
+    finished, walking = rows.filter("done"), rows.filter("NOT done")
+    while not walking.isEmpty():
+        if steps > size:
+            raise ValueError("the parent links contain a cycle")
+        if paths and steps == CHECKED_STEPS:
+            root_paths(nodes, paths=False)
+        ahead = finished.unionByName(walking).select(
+            F.col("id").alias("root"), F.col("root").alias("far"), F.col("depth").alias("more"), F.col("prefix").alias("above"), F.col("done").alias("end")
+        )
+        prefix = F.concat_ws(".", "above", "prefix") if paths else F.col("prefix")
+        rows = cut_lineage(
+            skew_lookup(walking.drop("done"), ahead, ["root"], ["id"], "inner").select(
+                "id", "label", F.col("far").alias("root"), (F.col("depth") + F.col("more")).alias("depth"), prefix.alias("prefix"), F.col("end").alias("done")
+            )
+        )
+        finished, walking = finished.unionByName(rows.filter("done")), rows.filter("NOT done")
+        steps *= 2
+    path = F.concat_ws(".", "prefix", "label") if paths else F.lit(None).cast("string")
+    return finished.select("id", "root", "depth", path.alias("path"))
 
 
 def module_trees(entities: DataFrame) -> DataFrame:
@@ -76,7 +116,7 @@ def module_trees(entities: DataFrame) -> DataFrame:
     local = skew_lookup(entities, home, ["parent_id"], ["id"], "left").withColumn(
         "parent_id", F.when(F.col("parent_module") == F.col("module_path"), F.col("parent_id"))
     )
-    paths = root_paths(closure(local.select("id", "parent_id", "label")))
+    paths = root_paths(local.select("id", "parent_id", "label"))
     return paths.join(entities.select("id", "module_path"), "id").select(
         "module_path", "root", "id", "depth", "path"
     )

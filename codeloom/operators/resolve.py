@@ -3,8 +3,8 @@
 "First match" means the smallest ``seq``. Lookups that the plain formulation
 would do by scanning everything are turned into equi-joins: a target table is
 reduced to one row per name before it meets the references, and substring
-conditions become equality on the substrings themselves. No step compares all
-pairs, and none keeps all pairs of a group.
+conditions go through an index of trigrams. No step compares all pairs, and
+none keeps all pairs of a group.
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from codeloom.functions.paths import normal_url
-from codeloom.functions.text import meaningful_words, substrings
+from codeloom.functions.text import meaningful_words
 from codeloom.operators.skew import skew_lookup, with_totals
 from codeloom.session import cut_lineage
 
@@ -67,24 +67,54 @@ def call_edges(refs: DataFrame, targets: DataFrame) -> DataFrame:
     return name_matches(bare, targets, ["method", "function"])
 
 
+GRAM = 3
+
+
+def _grams(df: DataFrame, keep: str, text: str, sizes: Column) -> DataFrame:
+    """(keep, gram, at) for every substring of the lengths ``sizes`` (at most
+    three numbers); ``at`` counts from 0."""
+    chars = df.filter(F.col(text) != "").select(keep, F.explode(F.array(F.split(text, ""))).alias("_chars"), sizes.alias("_sizes"))
+    n = F.size("_chars")
+
+    def of_size(w: Column) -> Column:
+        starts = F.when(n >= w, F.sequence(F.lit(0), n - w)).otherwise(F.array().cast("array<int>"))
+        return F.transform(starts, lambda i: F.struct(F.array_join(F.slice("_chars", i + 1, w), "").alias("gram"), i.alias("at")))
+
+    return chars.select(keep, F.explode(F.flatten(F.transform("_sizes", of_size))).alias("_g")).select(keep, "_g.gram", "_g.at")
+
+
 def containing(texts: DataFrame, text: str, needles: DataFrame, needle: str) -> DataFrame:
     """Rows of ``texts`` once for each different needle that ``text`` contains,
-    with the needle as a column.
-
-    Only substrings as long as some needle are made; the lengths that occur
-    are few however many needles there are.
+    with the needle as a column. Empty needles and texts match nothing.
+
+    A positional trigram index: each needle is filed once, under the one of its
+    trigrams that the texts hold least often, with its place in the needle; a
+    needle shorter than three is filed under itself. A trigram of a text then
+    meets the needles filed under it, and the text is compared at the one place
+    where the needle would begin. A text makes a row for each of its positions,
+    however many needle lengths there are.
     """
-    lengths = needles.agg(F.array_sort(F.collect_set(F.length(needle)))).scalar()
-    parts = texts.withColumn("_lengths", lengths).withColumn(needle, F.explode(substrings(F.col(text), F.col("_lengths"))))
-    return parts.drop("_lengths").join(needles.select(needle).distinct(), needle, "left_semi")
+    asked = cut_lineage(needles.select(F.col(needle).alias("_needle")).filter("_needle <> ''").distinct())
+    held = texts.select(F.col(text).alias("_text")).filter("_text <> ''").distinct()
+    held = cut_lineage(held).withColumn("_id", F.monotonically_increasing_id())
+    size = F.least(F.length("_needle"), F.lit(GRAM))
+    sizes = asked.agg(F.array_sort(F.collect_set(size))).scalar()
+    found = _grams(held, "_id", "_text", sizes)
+    own = _grams(asked.withColumn("_n", F.struct("_needle", size.alias("w"))), "_n", "_needle", F.array(size))
+    often = found.groupBy("gram").agg(F.count("*").alias("n"))
+    filed = own.join(often, "gram").groupBy(F.col("_n._needle").alias("_needle")).agg(F.min(F.struct("n", "gram", "at")).alias("f"))
+    filed = filed.select("_needle", "f.gram", F.col("f.at").alias("_off"))
+    begins = found.join(filed, "gram").select("_id", "_needle", (F.col("at") - F.col("_off") + 1).alias("_at")).filter("_at > 0")
+    same = F.substring(F.col("_text"), F.col("_at"), F.length("_needle")) == F.col("_needle")
+    hits = begins.join(held, "_id").filter(same).select("_text", "_needle").distinct()
+    return texts.join(hits, texts[text] == hits["_text"]).drop("_text").withColumnRenamed("_needle", needle)
 
 
 def either_contains(texts: DataFrame, names: DataFrame) -> DataFrame:
     """First name (by seq) that contains a text or is contained in it.
 
-    ``texts``: text. ``names``: name, seq, value. Works on distinct strings;
-    each side's substrings meet the other side by equality, so the row count
-    grows with the number of strings and never with their product.
+    ``texts``: text. ``names``: name, seq, value. Works on distinct strings,
+    each side as needles of the other.
     """
     best = names.groupBy("name").agg(F.min(F.struct("seq", "value")).alias("best"))
     asked = texts.select("text").distinct()
@@ -187,8 +217,7 @@ def action_matches(components: DataFrame, actions: DataFrame) -> DataFrame:
     """Distinct page targets with the web actions they reach.
 
     ``components``: target_action. ``actions``: name, path. A target reaches
-    an action that it names or whose path contains it; the path's substrings
-    make that an equi-join, at most one row per substring of a distinct path.
+    an action that it names or whose path contains it.
     """
     t = (
         components.filter(F.coalesce("target_action", F.lit("")) != "")

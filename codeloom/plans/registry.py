@@ -37,6 +37,8 @@ def _python(files: DataFrame) -> DataFrame:
     # what a function calls, by the last part of the name; as many as its body has
     called = F.collect_set(F.regexp_extract("function", r"[^.]+$", 0))
     calls = P.function_calls(nodes).groupBy("file_path", "scope").agg(F.array_join(called, ",").alias("calls"))
+    # the kinds of business logic in a function, one for each site
+    logic = P.logic_patterns(nodes).groupBy("file_path", "scope").agg(F.array_join(F.sort_array(F.collect_list("pattern")), ",").alias("logic"))
     cls = P.classes(nodes).select(
         "file_path",
         F.lit("class").alias("type"),
@@ -51,7 +53,7 @@ def _python(files: DataFrame) -> DataFrame:
             F.lit("docstring"), F.col("docstring"),
         ).alias("attrs"),
     )
-    fun = P.functions(nodes).join(calls, ["file_path", "scope"], "left").select(
+    fun = P.functions(nodes).join(calls, ["file_path", "scope"], "left").join(logic, ["file_path", "scope"], "left").select(
         "file_path",
         F.lit("function").alias("type"),
         "name",
@@ -60,7 +62,7 @@ def _python(files: DataFrame) -> DataFrame:
         F.create_map(
             F.lit("complexity"), F.col("complexity").cast("string"), F.lit("source_code"), F.col("source_code"),
             F.lit("calls"), F.col("calls"), F.lit("docstring"), F.col("docstring"),
-            F.lit("parameters"), F.array_join("parameters", ","),
+            F.lit("parameters"), F.array_join("parameters", ","), F.lit("logic"), F.col("logic"),
         ).alias("attrs"),
     )
     return cls.unionByName(fun).unionByName(_dependencies(P.imports(nodes)))

@@ -40,7 +40,6 @@ def _listed(name: str) -> Column:
 
 def component_rows(nodes: DataFrame) -> DataFrame:
     """Entities as the scores read them, out of what the extractors found."""
-    none = F.array().cast("array<string>")
     return nodes.filter(F.col("type") != "module").select(
         "entity_id",
         "type",
@@ -52,7 +51,7 @@ def component_rows(nodes: DataFrame) -> DataFrame:
         _listed("base_classes"),
         _listed("inheritance"),
         _listed("patterns").alias("design_patterns"),
-        none.alias("business_logic_patterns"),
+        _listed("logic").alias("business_logic_patterns"),
         _listed("calls").alias("function_calls"),
     )
 

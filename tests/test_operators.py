@@ -2,7 +2,9 @@
 
 import itertools
 import random
+from collections import Counter
 
+import pytest
 from pyspark.sql import functions as F
 
 from codeloom.functions.scoring import score_components
@@ -12,6 +14,7 @@ from codeloom.operators import metrics as M
 from codeloom.operators import ranking as K
 from codeloom.operators import resolve as R
 from codeloom.operators.skew import global_position, skew_lookup, with_totals
+from codeloom.session import cut_lineage
 
 EDGES = [("a", "b"), ("a", "c"), ("b", "d"), ("c", "d"), ("d", "e"), ("e", "f"), ("f", "a"), ("g", "g")]
 
@@ -45,6 +48,30 @@ def test_closure_and_cycle(spark):
         pass
 
 
+def test_root_paths(spark):
+    rows = [("r", None, "R"), ("m", "r", "M"), ("x", "m", "X"), ("y", "x", "Y"), ("z", "y", "Z"), ("o", "gone", "O"), ("p", "o", "P")]
+    n = spark.createDataFrame(rows, "id string, parent_id string, label string")
+    got = {r["id"]: (r["root"], r["depth"], r["path"]) for r in graph.root_paths(n).collect()}
+    assert got == {
+        "r": ("r", 0, "R"), "m": ("r", 1, "R.M"), "x": ("r", 2, "R.M.X"), "y": ("r", 3, "R.M.X.Y"), "z": ("r", 4, "R.M.X.Y.Z"),
+        "o": ("o", 0, "O"), "p": ("o", 1, "O.P"),
+    }
+    assert graph.root_paths(n.filter("id = 'none'")).count() == 0
+    loop = spark.createDataFrame([(i, (i + 1) % 3, "x") for i in range(3)] + [(7, 0, "y")], "id int, parent_id int, label string")
+    with pytest.raises(ValueError):
+        graph.root_paths(loop)
+
+
+def test_root_paths_double_their_steps(spark, monkeypatch):
+    """A chain of 10,000 nodes: the steps double in every round."""
+    written = []
+    monkeypatch.setattr(graph, "cut_lineage", lambda df: written.append(1) or cut_lineage(df))
+    chain = spark.range(10_000).select("id", F.when(F.col("id") > 0, F.col("id") - 1).alias("parent_id"), F.lit("n").alias("label"))
+    deep = graph.root_paths(chain, paths=False).agg(F.count("*"), F.sum("depth"), F.max("root"), F.max("depth")).first()
+    assert tuple(deep) == (10_000, 9999 * 10_000 // 2, 0, 9999)
+    assert len(written) <= 15
+
+
 def test_impact_with_hubs_is_exact(spark):
     rnd = random.Random(7)
     pairs = {(rnd.randrange(60), rnd.randrange(60)) for _ in range(200)}
@@ -97,6 +124,32 @@ def test_either_contains(spark):
     assert got == want
 
 
+@pytest.mark.parametrize("seed", range(2))
+def test_containing(spark, seed):
+    """Few letters, so that needles of all lengths overlap; a code point beyond
+    the first plane, repeats, empty and null strings."""
+    r = random.Random(seed)
+    word = lambda most: "".join(r.choice("abñ\U0001f600") for _ in range(r.randint(0, most)))
+    texts = [word(30) for _ in range(60)] + [None, "", "abab", "abab"]
+    asked = [word(6) for _ in range(80)] + [None, "", "a", "ab", "zz", "abab"]
+    t = spark.createDataFrame(list(enumerate(texts)), "k int, path string")
+    n = spark.createDataFrame([(x,) for x in asked], "name string")
+    got = Counter((r["k"], r["path"], r["name"]) for r in R.containing(t, "path", n, "name").collect())
+    want = Counter((k, x, y) for k, x in enumerate(texts) for y in {a for a in asked if a} if x and y in x)
+    assert got == want
+    assert R.containing(t, "path", n.filter("name = 'no such'"), "name").count() == 0
+
+
+def test_containing_makes_rows_by_text_alone(spark):
+    """Needles of many lengths make no more rows of a text."""
+    t = spark.createDataFrame([("".join(chr(97 + i * i % 23) for i in range(4000)),)], "path string")
+    for lengths in (range(3, 5), range(3, 60)):
+        n = spark.createDataFrame([("x" * w,) for w in lengths], "name string")
+        sizes = n.agg(F.array_sort(F.collect_set(F.least(F.length("name"), F.lit(3))))).scalar()
+        assert R._grams(t, "path", "path", sizes).count() == 4000 - 2
+        assert R.containing(t, "path", n, "name").count() == 0
+
+
 def test_rule_entities(spark):
     ents = [("e1", "/src/a/Pay.java", "PayService", 1), ("e2", "/src/a/Pay.java", "check", 2), ("e3", "/src/b/Ship.py", "ship", 3)]
     refs = ["Pay.java:check", "Pay.java:PayService.run", "Ship.py:nothing", "/b/", "none:x", "Pay.java"]
