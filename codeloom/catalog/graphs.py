@@ -157,7 +157,7 @@ def call_chains(spark, d):
 
 @_chain_query("E24", CHAINS + "SELECT count(DISTINCT start) AS n_roots, round(sum(len(chain)) / greatest(count(DISTINCT start), 1), 4) AS avg_length, count(*) FILTER (WHERE len(chain) > 5) AS deep_chains FROM done")
 def chain_statistics(spark, d):
-    return M.chain_statistics(_chains(spark, d))
+    return M.chain_statistics(graph.chain_counts(B.part_edges(spark, d), _starts(spark, d)))
 
 
 @_chain_query("H9", CHAINS + "SELECT start, array_to_string(chain, '>') AS path, CAST(len(chain) AS INTEGER) AS complexity, CASE WHEN len(chain) > 5 THEN 'high' ELSE 'medium' END AS significance FROM done WHERE len(chain) >= 3 ORDER BY complexity DESC, start, path LIMIT 10")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from codeloom.catalog import bindings as B
 from codeloom.catalog import texts as T
 from codeloom.catalog.registry import binding, query
+from codeloom.functions.text import STOP_WORDS
 from codeloom.operators import extract_web, graph
 from codeloom.operators import metrics as M
 from codeloom.operators import resolve as R
@@ -242,13 +243,24 @@ def rule_links(spark, d):
 
 @query("D8_related", LINKED + "SELECT rule_id, CASE WHEN count(DISTINCT other) >= 5 THEN '5+' WHEN count(DISTINCT other) >= 3 THEN '3-4' WHEN count(DISTINCT other) = 2 THEN '2' ELSE '1' END AS band FROM (SELECT a.rule_id, b.rule_id AS other FROM g a JOIN g b USING (link_kind, link_key) WHERE a.rule_id <> b.rule_id) GROUP BY 1")
 def related_rules(spark, d):
-    return R.related_bands(R.rule_links(B.rules(spark, d)))
+    return R.related_bands(B.rules(spark, d))
+
+
+STOPS = ", ".join(f"'{w}'" for w in STOP_WORDS)
+
+
+@query("D8_documents", f"WITH w AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(lower(text), '[^\\s\\x0B\\x{{85}}\\p{{Z}}]+')) AS w FROM documents), m AS (SELECT doc_id, w FROM w WHERE w NOT IN ({STOPS})), "
+                       "s AS (SELECT a.doc_id AS a, b.doc_id AS b FROM m a JOIN m b USING (w) WHERE a.doc_id <> b.doc_id GROUP BY 1, 2 HAVING count(*) > 1) "
+                       "SELECT a AS doc_id, CASE WHEN count(*) >= 5 THEN '5+' WHEN count(*) >= 3 THEN '3-4' WHEN count(*) = 2 THEN '2' ELSE '1' END AS band FROM s GROUP BY 1")
+def related_documents(spark, d):
+    """The word relation over whole texts instead of short descriptions."""
+    return R.overlap_bands(B.table(spark, d, "documents").select("doc_id", "text"), "doc_id", "text")
 
 
 @query("E23_impact", LINKED + ", r AS (SELECT rule_id, count(DISTINCT other) AS n FROM (SELECT a.rule_id, b.rule_id AS other FROM g a JOIN g b USING (link_kind, link_key) WHERE a.rule_id <> b.rule_id) GROUP BY 1) "
                      "SELECT CASE WHEN n >= 5 THEN 'high' WHEN n >= 2 THEN 'medium' ELSE 'low' END AS band, count(*) AS n_rules FROM r GROUP BY 1")
 def impact_bands(spark, d):
-    return M.impact_bands(R.related_bands(R.rule_links(B.rules(spark, d))))
+    return M.impact_bands(R.related_bands(B.rules(spark, d)))
 
 
 @query("D9", "SELECT s_name AS name, rule_path, n_rules FROM (SELECT replace(p_name, ' ', '.') || '.' || (p_partkey % 30) AS rule_path, count(*) AS n_rules FROM part GROUP BY 1) "
@@ -320,7 +332,7 @@ def placed_rules(spark, d):
     e = B.entities_in_modules(spark, d).select(
         "entity_id", "module_path", c("type").alias("entity_type"), c("name").alias("entity_name")
     )
-    counts = R.related_bands(R.rule_links(rules))
+    counts = R.related_bands(rules)
     full = skew_lookup(rules, e, ["entity_id"], ["rule_id"], "inner").join(counts, "rule_id", "left")
     return M.rules_by_hierarchy(full)
 

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from codeloom.functions.scoring import impact_risk
@@ -171,6 +171,77 @@ def call_chains(edges: DataFrame, starts: DataFrame, max_depth: int = 3) -> Data
     return reduce(DataFrame.unionByName, [*done, paths.select("start", "chain")])
 
 
+def _cycles_of_three(calls: DataFrame) -> DataFrame:
+    """(id, tri): directed cycles of three nodes through each node.
+
+    Links lead from the end of lower degree to that of higher degree, so no
+    node has more than about the root of twice their number to itself, and the
+    pairs that meet at a hub are never listed. ``calls``: no loops, distinct.
+    """
+    ways = calls.select(F.least("source", "target").alias("a"), F.greatest("source", "target").alias("b"), (F.col("source") < F.col("target")).alias("up"))
+    links = cut_lineage(ways.groupBy("a", "b").agg(F.bool_or("up").alias("ab"), F.bool_or(~F.col("up")).alias("ba")))
+    ends = links.select(F.col("a").alias("id")).unionByName(links.select(F.col("b").alias("id")))
+    degree = ends.groupBy("id").agg(F.count("*").alias("d"))
+    rank = lambda end: degree.select(F.col("id").alias(end), F.struct("d", F.col("id").alias("i")).alias(f"r{end}"))
+    ranked = skew_lookup(skew_lookup(links, rank("a"), ["a"], ["b"], "inner"), rank("b"), ["b"], ["a"], "inner")
+    first = F.col("ra") < F.col("rb")
+    pick = lambda yes, no, name: F.when(first, F.col(yes)).otherwise(F.col(no)).alias(name)
+    # x is the end of lower rank; out: x calls y, back: y calls x
+    led = cut_lineage(ranked.select(pick("a", "b", "x"), pick("b", "a", "y"), pick("rb", "ra", "ry"), pick("ab", "ba", "out"), pick("ba", "ab", "back")))
+    p, q = led.alias("p"), led.alias("q")
+    wedges = p.join(q, (F.col("p.x") == F.col("q.x")) & (F.col("p.ry") < F.col("q.ry"))).select(
+        F.col("p.x").alias("w"), F.col("p.y").alias("x"), F.col("q.y").alias("y"), F.col("p.out").alias("wx"), F.col("p.back").alias("xw"), F.col("q.out").alias("wy"), F.col("q.back").alias("yw")
+    )
+    closed = wedges.join(led.select("x", "y", "out", "back"), ["x", "y"])
+    one = (F.col("wx") & F.col("out") & F.col("yw")).cast("long") + (F.col("wy") & F.col("back") & F.col("xw")).cast("long")
+    return (
+        closed.select(one.alias("n"), F.explode(F.array("w", "x", "y")).alias("id")).filter("n > 0").groupBy("id").agg(F.sum("n").alias("tri"))
+    )
+
+
+def chain_counts(edges: DataFrame, starts: DataFrame) -> DataFrame:
+    """(start, n_chains, total_length) of the chains that ``call_chains`` lists
+    up to depth 3, without listing one.
+
+    Walks are counted from sums of degrees along the calls; walks that return
+    to a node are taken off: with r the callees that call back, those of three
+    steps over the start are r times its degree, those back to the second node
+    the sum of its callees' r, those that are both r, and the rest are cycles of
+    three. Rows never exceed the calls and the triangles among low degrees.
+    """
+    every = edges.select("source", "target").distinct()
+    callers = cut_lineage(every.select(F.col("source").alias("id")).distinct())
+    calls = cut_lineage(every.filter(F.col("source") != F.col("target")))
+    to_leaf = calls.join(callers.withColumnRenamed("id", "target"), "target", "left_anti")
+    back = calls.select(F.col("target").alias("source"), F.col("source").alias("target"))
+    n = F.count("*")
+    leaves = to_leaf.groupBy("source").agg(n.alias("leaves"))
+    mutual = calls.join(back, ["source", "target"], "left_semi").groupBy("source").agg(n.alias("mutual"))
+    node = calls.groupBy("source").agg(n.alias("deg")).join(leaves, "source", "left").join(mutual, "source", "left")
+    node = cut_lineage(node.fillna(0, ["leaves", "mutual"]))
+
+    def ahead(of: DataFrame, *sums: Column) -> DataFrame:
+        """Sums over the callees of each caller."""
+        return skew_lookup(calls, of.withColumnRenamed("source", "target"), ["target"], ["source"], "inner").groupBy("source").agg(*sums)
+
+    second = cut_lineage(ahead(node, F.sum("deg").alias("walks2"), F.sum("leaves").alias("c2"), F.sum("mutual").alias("returns")))
+    third = ahead(second.select("source", "walks2"), F.sum("walks2").alias("walks3"))
+    tri = _cycles_of_three(calls).withColumnRenamed("id", "source")
+    known = node.join(second, "source", "left").join(third, "source", "left").join(tri, "source", "left")
+    known = known.fillna(0, ["c2", "returns", "walks3", "tri"])
+    c3 = F.col("walks3") - F.col("mutual") * F.col("deg") - F.col("returns") + F.col("mutual") - F.col("tri")
+    counted = known.select(F.col("source").alias("start"), F.col("leaves").alias("c1"), "c2", c3.alias("c3"))
+    alone = starts.select(F.col("id").alias("start")).join(counted, "start", "left").join(
+        callers.select(F.col("id").alias("start"), F.lit(0).cast("long").alias("c0")), "start", "left"
+    )
+    alone = alone.fillna(1, ["c0"]).fillna(0, ["c1", "c2", "c3"])
+    return alone.select(
+        "start",
+        F.expr("c0 + c1 + c2 + c3").alias("n_chains"),
+        F.expr("c0 + 2 * c1 + 3 * c2 + 4 * c3").alias("total_length"),
+    )
+
+
 def impact(edges: DataFrame, modules: DataFrame, rules: DataFrame | None = None) -> DataFrame:
     """Direct and two-step impact of every node at once.
 

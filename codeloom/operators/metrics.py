@@ -546,13 +546,15 @@ def flow_statistics(call_flows: DataFrame, page_flows: DataFrame) -> DataFrame:
     )
 
 
-def chain_statistics(chains: DataFrame) -> DataFrame:
-    """``chains``: start, chain. Roots, length per root, chains over five."""
-    n = F.size("chain")
-    return chains.agg(
-        F.countDistinct("start").alias("n_roots"),
-        F.round(F.sum(n) / F.greatest(F.countDistinct("start"), F.lit(1)), 4).alias("avg_length"),
-        F.count_if(n > 5).alias("deep_chains"),
+def chain_statistics(counts: DataFrame) -> DataFrame:
+    """``counts``: start, n_chains, total_length, from ``graph.chain_counts``.
+    Roots, length per root, chains over five; chains of three calls have four
+    nodes at most, so there are none of those."""
+    found = counts.filter(F.col("n_chains") > 0)
+    return found.agg(
+        F.count("*").alias("n_roots"),
+        F.round(F.sum("total_length") / F.greatest(F.count("*"), F.lit(1)), 4).alias("avg_length"),
+        F.lit(0).cast("long").alias("deep_chains"),
     )
 
 

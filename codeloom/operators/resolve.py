@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from codeloom.functions.paths import normal_url
 from codeloom.functions.text import meaningful_words
+from codeloom.operators.overlap import overlapping
 from codeloom.operators.skew import skew_lookup, with_totals
 from codeloom.session import cut_lineage
 
@@ -296,26 +297,33 @@ def rule_entities(rules: DataFrame, entities: DataFrame) -> DataFrame:
     return skew_lookup(rules, chosen, ["code_reference"], ["rule_id"], "inner")
 
 
-def rule_links(rules: DataFrame) -> DataFrame:
-    """What ties rules together, as membership of link groups.
-
-    ``rules``: rule_id, code_entity_id, class_context, category, description.
-    Two rules are related exactly when they share a group: the same entity,
-    class or category, or the same pair of meaningful description words. One
-    row per rule and group keeps the relation whole at linear size; listing
-    the pairs of a popular category would not. Groups of one are dropped.
-    """
+def _single_links(rules: DataFrame) -> DataFrame:
     link = lambda kind, key: F.struct(F.lit(kind).alias("kind"), key.alias("key"))
     single = F.array(
         link("entity", F.col("code_entity_id").cast("string")),
         link("class", F.when(F.col("class_context") != "", F.col("class_context"))),
         link("category", F.col("category")),
     )
-    rows = (
+    return (
         rules.select("rule_id", F.explode(single).alias("x"))
         .filter(F.col("x.key").isNotNull())
         .select("rule_id", F.col("x.kind").alias("link_kind"), F.col("x.key").alias("link_key"))
     )
+
+
+def _shared_groups(rows: DataFrame) -> DataFrame:
+    return with_totals(rows, ["link_kind", "link_key"], ["rule_id"], "members").filter(F.col("members") > 1)
+
+
+def rule_links(rules: DataFrame) -> DataFrame:
+    """What ties rules together, as membership of link groups.
+
+    ``rules``: rule_id, code_entity_id, class_context, category, description.
+    Two rules are related exactly when they share a group: the same entity,
+    class or category, or the same pair of meaningful description words. A
+    description of w shared words is in w(w-1)/2 groups, so this listing is for
+    short ones; ``related_bands`` does without it. Groups of one are dropped.
+    """
     # a word of one rule alone ties nothing, and most words of long texts are such
     words = rules.select("rule_id", F.explode(meaningful_words(F.col("description"))).alias("word"))
     shared = cut_lineage(with_totals(words, ["word"], ["rule_id"], "n").filter(F.col("n") > 1).select("rule_id", "word"))
@@ -323,30 +331,44 @@ def rule_links(rules: DataFrame) -> DataFrame:
     pairs = shared.join(other, "rule_id").filter(F.col("word") < F.col("later")).select(
         "rule_id", F.lit("words").alias("link_kind"), F.concat_ws(" ", "word", "later").alias("link_key")
     )
-    return with_totals(rows.unionByName(pairs), ["link_kind", "link_key"], ["rule_id"], "members").filter(F.col("members") > 1)
+    return _shared_groups(_single_links(rules).unionByName(pairs))
+
+
+def _bands(many: DataFrame, near: DataFrame) -> DataFrame:
+    """``many``: ids with five partners at least. ``near``: (id, other)."""
+    counted = near.groupBy("id").agg(F.countDistinct("other").cast("int").alias("n"))
+    n = F.max("n")
+    band = F.when(n >= 5, "5+").when(n >= 3, "3-4").when(n == 2, "2").otherwise("1")
+    return many.select("id").distinct().withColumn("n", F.lit(5)).unionByName(counted).groupBy("id").agg(band.alias("band"))
+
 
+def overlap_bands(texts: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, band): how many other rows share two meaningful words or more."""
+    words = texts.select(F.col(key).alias("id"), F.explode(meaningful_words(F.col(text))).alias("word"))
+    return _bands(*overlapping(words)).withColumnRenamed("id", key)
 
-def related_bands(links: DataFrame) -> DataFrame:
-    """How many different rules each rule is related to, as the band that the
-    impact levels and the hierarchy ask for: ``1``, ``2``, ``3-4`` or ``5+``;
-    unrelated rules are left out.
+
+def related_bands(rules: DataFrame) -> DataFrame:
+    """How many different rules each rule is related to (see ``rule_links``), as
+    the band that the impact levels and the hierarchy ask for: ``1``, ``2``,
+    ``3-4`` or ``5+``; unrelated rules are left out.
 
     A group of more than five members decides for ``5+`` by itself. Smaller
-    groups list their members, at most five each, and are counted exactly.
+    groups list their members, at most five each, and are counted exactly,
+    together with the rules of shared words, which an overlap join finds.
     """
-    big = links.filter(F.col("members") > 5).select("rule_id").distinct().withColumn("n", F.lit(5))
+    links = cut_lineage(_shared_groups(_single_links(rules)))
+    big = links.filter(F.col("members") > 5).select(F.col("rule_id").alias("id"))
     small = links.filter(F.col("members") <= 5)
     lists = small.groupBy("link_kind", "link_key").agg(F.collect_set("rule_id").alias("ids"))
-    near = (
+    listed = (
         small.join(lists, ["link_kind", "link_key"])
-        .select("rule_id", F.explode("ids").alias("other"))
-        .filter(F.col("other") != F.col("rule_id"))
-        .groupBy("rule_id")
-        .agg(F.countDistinct("other").cast("int").alias("n"))
+        .select(F.col("rule_id").alias("id"), F.explode("ids").alias("other"))
+        .filter(F.col("other") != F.col("id"))
     )
-    n = F.max("n")
-    band = F.when(n >= 5, "5+").when(n >= 3, "3-4").when(n == 2, "2").otherwise("1")
-    return big.unionByName(near).groupBy("rule_id").agg(band.alias("band"))
+    words = rules.select(F.col("rule_id").alias("id"), F.explode(meaningful_words(F.col("description"))).alias("word"))
+    many, near = overlapping(words)
+    return _bands(big.unionByName(many), listed.unionByName(near)).withColumnRenamed("id", "rule_id")
 
 
 def rules_by_name(entities: DataFrame, rules: DataFrame) -> DataFrame:

@@ -9,10 +9,11 @@ from pyspark.sql import functions as F
 
 from codeloom.functions.scoring import score_components
 from codeloom.functions.text import STOP_WORDS, regex_hits
-from codeloom.operators import asof, graph
+from codeloom.operators import asof, graph, overlap
 from codeloom.operators import metrics as M
 from codeloom.operators import ranking as K
 from codeloom.operators import resolve as R
+from codeloom.operators.overlap import overlapping
 from codeloom.operators.skew import global_position, skew_lookup, with_totals
 from codeloom.session import cut_lineage
 
@@ -30,6 +31,32 @@ def test_call_chains(spark):
     assert got == [("a", "b", "d", "e"), ("a", "c", "d", "e"), ("z",)]  # g only calls itself
 
 
+@pytest.mark.parametrize("seed", range(4))
+def test_chain_counts_equal_the_listed_chains(spark, seed):
+    """Dense little graphs: returns, cycles of three, loops, leaves."""
+    r = random.Random(seed)
+    pairs = [(r.randrange(9), r.randrange(12)) for _ in range((10, 25, 45, 70)[seed])]
+    e = edges(spark, pairs, "long")
+    starts = spark.createDataFrame([(i,) for i in range(14)], "id long")
+    want = Counter()
+    length = Counter()
+    for row in graph.call_chains(e, starts, 3).collect():
+        want[row["start"]] += 1
+        length[row["start"]] += len(row["chain"])
+    got = {row["start"]: (row["n_chains"], row["total_length"]) for row in graph.chain_counts(e, starts).collect()}
+    assert got == {i: (want[i], length[i]) for i in range(14)}
+
+
+def test_chain_counts_pass_a_hub(spark):
+    """100,000 callers and as many callees of one node: 10^10 chains counted."""
+    n = 100_000
+    ids = spark.range(n)
+    e = ids.select(F.col("id").alias("source"), F.lit(-1).cast("long").alias("target"))
+    e = e.unionByName(ids.select(F.lit(-1).cast("long").alias("source"), (F.col("id") + n).alias("target")))
+    got = graph.chain_counts(e, ids.select("id")).agg(F.sum("n_chains"), F.sum("total_length")).first()
+    assert tuple(got) == (n * n, 3 * n * n)
+
+
 def test_related(spark):
     starts = spark.createDataFrame([("a",)], "id string")
     got = {r["id"]: r["depth"] for r in graph.related(edges(spark, EDGES), starts, 2).collect()}
@@ -191,10 +218,37 @@ def test_rule_links_hold_the_whole_relation(spark):
     want = {frozenset((a[0], b[0])) for a, b in itertools.combinations(rules, 2) if related_by_hand(a, b)}
     assert got == want
     degree = {r[0]: sum(r[0] in p for p in want) for r in rules}
-    bands = {r["rule_id"]: r["band"] for r in R.related_bands(links).collect()}
+    bands = {r["rule_id"]: r["band"] for r in R.related_bands(df).collect()}
     assert bands == {k: "5+" if v >= 5 else "3-4" if v >= 3 else str(v) for k, v in degree.items() if v}
 
 
+@pytest.mark.parametrize("seed", range(3))
+def test_overlapping_sets(spark, seed):
+    """Against all pairs; frequent and rare words, long and short sets."""
+    r = random.Random(seed)
+    pick = lambda: f"w{min(int(r.expovariate((0.5, 0.05, 0.01)[seed])), 200)}"
+    sets = {i: {pick() for _ in range(r.choice((1, 2, 3, 12)))} for i in range(70)}
+    rows = spark.createDataFrame([(i, w) for i, ws in sets.items() for w in ws], "id int, word string")
+    want = {i: {j for j in sets if j != i and len(sets[i] & sets[j]) > 1} for i in sets}
+    many, near = overlapping(rows)
+    many = {x["id"] for x in many.collect()}
+    assert all(len(want[i]) >= 5 for i in many)
+    got = {i: set() for i in sets if i not in many}
+    for x in near.collect():
+        got[x["id"]].add(x["other"])
+    assert got == {i: want[i] for i in got}
+
+
+def test_overlap_makes_rows_by_words(spark, monkeypatch):
+    """20,000 words shared by two texts: four pairs a word, not its square."""
+    sizes = []
+    monkeypatch.setattr(overlap, "with_totals", lambda df, *a: sizes.append(df.count()) or with_totals(df, *a))
+    rows = spark.range(20_000).select(F.explode(F.array(F.lit(1), F.lit(2))).alias("id"), F.col("id").cast("string").alias("word"))
+    many, near = overlapping(rows)
+    assert many.count() == 0 and sorted(tuple(x) for x in near.collect()) == [(1, 2), (2, 1)]
+    assert sizes == [40_000, 2 * (4 * 20_000 - 10)]
+
+
 def test_flow_pair_scores(spark):
     calls = spark.createDataFrame([("get", "/api/users/:userId"), ("GET", "/api/test"), ("POST", "/api/test"), ("GET", "/api/a/${x}")], "method string, url string")
     ends = spark.createDataFrame([("GET", "/api/users/{id}", "u"), ("GET", "/api/test", "t"), ("GET", "/api/test/", "t2"), ("GET", "/api/a/{y}", "a")], "method string, path string, handler_function string")
