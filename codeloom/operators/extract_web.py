@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from codeloom.functions.classify import rest_framework
@@ -72,108 +72,148 @@ def declarations(text: Column, patterns) -> Column:
     return F.filter(named, lambda d: d["name"].isNotNull())
 
 
-def nearest_above(decls: Column, line: Column) -> Column:
-    """Name of the last declaration at or above ``line``, null if none."""
-    above = F.filter(decls, lambda d: d["line"] <= line)
-    return F.try_element_at(above, F.lit(-1))["name"]
+# ---- marks: what a text holds, as rows in the order of their places ---------------------
 
 
-def next_function(text: Column, end: Column) -> Column:
-    """First declaration after ``end``; the pattern order decides, not distance."""
-    rest = F.substring(text, end + 1, F.length(text))
-    return F.coalesce(*[_found(rest, p) for p in FUNCTION_BELOW])
+def _mark(kind: str, at: Column, until: Column, line: Column, name: Column) -> Column:
+    plain = (F.lit(kind), at.cast("int"), until.cast("int"), line.cast("int"), name.cast("string"))
+    return F.struct(*(v.alias(n) for v, n in zip(plain, ("kind", "at", "until", "line", "name"))))
 
 
-def closing_brace(rest: Column) -> Column:
-    """Offset in ``rest`` where the first opened brace closes, else its length.
+def _marks(hits: Column, kind: str) -> Column:
+    return F.transform(hits, lambda h: _mark(kind, h["start"], h["end"], h["line"], h["g1"]))
+
+
+def _beginnings(text: Column, pattern: str, kind: str) -> Column:
+    """Marks of a pattern at every place where it may begin: only its first
+    word is taken, the rest is looked ahead at, so that no match hides another."""
+    flags, word = pattern[: pattern.index(")") + 1], pattern[pattern.index(")") + 1 : pattern.index("\\s")]
+    rest = pattern[len(flags) + len(word) :]
+    return _marks(regex_hits(text, f"{flags}{word}(?={rest})", needs=word), kind)
+
+
+def _declared(text: Column, patterns, kind: str) -> Column:
+    none = F.lit(None)
+    return F.transform(declarations(text, patterns), lambda d: _mark(kind, none, none, d["line"], d["name"]))
+
+
+def _last(kind: str, value: Column) -> Column:
+    return F.last(F.when(F.col("kind") == kind, value), ignorenulls=True)
+
+
+def _above(kind: str) -> Column:
+    """Name of the last mark of a kind at or above the row's line."""
+    return _last(kind, F.col("name")).over(Window.partitionBy("file_path").orderBy("line"))
+
+
+def _below(kind: str, value: Column, place: Column) -> Column:
+    """``value`` of the first mark of a kind at or after the row's place."""
+    return _last(kind, value).over(Window.partitionBy("file_path").orderBy(place.desc()))
 
-    Walks the braces only, carrying (position, depth, end) through one fold.
-    """
-    gaps = F.split(rest, r"[{}]", -1)
-    braces = F.regexp_extract_all(rest, F.lit(r"[{}]"), F.lit(0))
-    steps = F.zip_with(
-        F.transform(F.slice(gaps, F.lit(1), F.size(braces)), lambda g: F.length(g)),
-        braces,
-        lambda n, b: F.struct(n.alias("n"), b.alias("b")),
-    )
-    zero = F.struct(F.lit(0).alias("pos"), F.lit(0).alias("depth"), F.lit(-1).alias("end"))
-
-    def step(acc: Column, s: Column) -> Column:
-        at = acc["pos"] + s["n"]
-        depth = (
-            F.when(s["b"] == "{", acc["depth"] + 1)
-            .when(acc["depth"] > 0, acc["depth"] - 1)
-            .otherwise(acc["depth"])
-        )
-        closes = (acc["end"] < 0) & (s["b"] == "}") & (acc["depth"] == 1)
-        return F.struct(
-            (at + 1).alias("pos"), depth.alias("depth"), F.when(closes, at).otherwise(acc["end"]).alias("end")
-        )
 
-    return F.aggregate(
-        steps, zero, step, lambda a: F.when(a["end"] >= 0, a["end"]).otherwise(F.length(rest))
+def _function_below(place: Column) -> Column:
+    """The next function; the order of the patterns decides, not the distance."""
+    return F.coalesce(*[_below(f"f{i}", F.col("name"), place) for i in range(len(FUNCTION_BELOW))])
+
+
+def brace_ends(marks: DataFrame) -> DataFrame:
+    """``marks`` (file_path, kind, at) with ``closes``: where the brace that a
+    ``{`` row opens closes, null for other rows and where it never does.
+
+    The depth is a running sum; a brace and the one that closes it are
+    neighbours among the braces of equal depth.
+    """
+    kind = F.col("kind")
+    step = F.when(kind == "{", 1).when(kind == "}", -1).otherwise(0)
+    depth = F.sum(step).over(Window.partitionBy("file_path").orderBy("at", "until"))
+    level = F.when(kind == "{", F.col("_depth") - 1).when(kind == "}", F.col("_depth"))
+    pairs = Window.partitionBy("file_path", "_level").orderBy("at", "until")
+    after = F.lead(F.when(kind == "}", F.col("at"))).over(pairs)
+    return (
+        marks.withColumn("_depth", depth)
+        .withColumn("_level", level)
+        .withColumn("closes", F.when(kind == "{", after))
+        .drop("_depth", "_level")
     )
 
 
 def http_calls(files: DataFrame) -> DataFrame:
-    """Client calls; the two client patterns overlap, so rows are made unique
-    inside the file's own array."""
+    """Client calls with the function and class above them; the two client
+    patterns overlap, so equal rows of a file are one.
+
+    Calls and declarations become rows once, and a running value over them by
+    line finds the last declaration, so a call costs the same however many
+    declarations its file has.
+    """
     text = F.col(TEXT)
     hit = lambda h, method, url: F.struct(
         h["line"].alias("line_number"), F.upper(method).alias("method"), url.alias("url")
     )
-    found = F.array_distinct(
-        F.concat(
-            F.transform(regex_hits(text, HTTP_CLIENT, 2, "http"), lambda h: hit(h, h["g1"], h["g2"])),
-            F.transform(regex_hits(text, AJAX, 2, "$."), lambda h: hit(h, h["g2"], h["g1"])),
-        )
-    )
-    placed = F.transform(
-        F.col("found"),
-        lambda h: F.struct(
-            h["line_number"],
-            h["method"],
-            h["url"],
-            nearest_above(F.col("funcs"), h["line_number"]).alias("context_function"),
-            nearest_above(F.col("classes"), h["line_number"]).alias("context_class"),
-        ),
+    found = F.concat(
+        F.transform(regex_hits(text, HTTP_CLIENT, 2, "http"), lambda h: hit(h, h["g1"], h["g2"])),
+        F.transform(regex_hits(text, AJAX, 2, "$."), lambda h: hit(h, h["g2"], h["g1"])),
     )
+    call = lambda h: F.struct(F.lit("call").alias("kind"), h["line_number"].cast("int").alias("line"), F.lit(None).cast("string").alias("name"), h.alias("c"))
+    empty = F.lit(None).cast("struct<line_number:int,method:string,url:string>").alias("c")
+
+    def declared(kind: str, patterns) -> Column:
+        return F.transform(
+            declarations(text, patterns),
+            lambda d: F.struct(F.lit(kind).alias("kind"), d["line"].cast("int").alias("line"), d["name"].alias("name"), empty),
+        )
+
+    rows = F.concat(F.transform("found", call), declared("function", FUNCTION_ABOVE), declared("class", CLASS_ABOVE))
     return (
         once(files.select("file_path", TEXT), "found", found)
         .filter(F.size("found") > 0)
-        .select(
-            "file_path",
-            "found",
-            declarations(text, FUNCTION_ABOVE).alias("funcs"),
-            declarations(text, CLASS_ABOVE).alias("classes"),
-        )
-        .select("file_path", F.explode(placed).alias("c"))
-        .select("file_path", "c.*")
+        .select("file_path", F.explode(rows).alias("m"))
+        .select("file_path", "m.*")
+        .withColumns({"context_function": _above("function"), "context_class": _above("class")})
+        .filter(F.col("kind") == "call")
+        .select("file_path", "c.*", "context_function", "context_class")
+        .distinct()
         .withColumn("parameters", url_parameters(F.col("url")))
         .withColumn("is_dynamic_url", is_dynamic_url(F.col("url")))
     )
 
 
+#: Characters before and after an endpoint in which its parameters are named.
+REACH = 500
+
+
+def _parameters_near() -> Column:
+    """Names in the window of the row's place: by pattern, then by place. A
+    name that the window cuts is cut, a mark that begins before it is not seen."""
+    near = F.collect_list(F.when(F.col("kind").startswith("p"), F.struct("at", "until", "kind", "name")))
+    return near.over(Window.partitionBy("file_path").orderBy("at").rangeBetween(-REACH, REACH - 1))
+
+
+def _cut_names(near: Column, at: Column) -> Column:
+    end = at + REACH
+    last = f"p{len(ENDPOINT_PARAMS) - 1}"  # ends with its name, the others with a quote
+
+    def of(kind: str) -> Column:
+        whole = lambda p: (p["until"] <= end) | ((F.lit(kind) == last) & (p["until"] - F.length(p["name"]) < end))
+        own = F.array_sort(F.filter(near, lambda p: (p["kind"] == kind) & whole(p)))
+        return F.transform(own, lambda p: F.left(p["name"], F.length(p["name"]) - F.greatest(p["until"] - end, F.lit(0))))
+
+    return F.concat(*[of(f"p{i}") for i in range(len(ENDPOINT_PARAMS))])
+
+
 def rest_endpoints(files: DataFrame) -> DataFrame:
+    """Endpoints with their handler, its class and the parameters nearby.
+
+    Endpoints, functions, classes and parameters become rows once; handlers,
+    classes and parameters are then values of windows over their places.
+    """
     text = F.col(TEXT)
+    kind = "array<struct<line:int,method:string,path:string,handler:string,start:int,until:int>>"
 
     def hit(h: Column, method: Column, handler: Column) -> Column:
-        window = char_window(text, h["start"], 500)
-        params = F.concat(*[F.regexp_extract_all(window, F.lit(p), F.lit(1)) for p in ENDPOINT_PARAMS])
-        return F.struct(
-            h["line"].alias("line_number"),
-            method.alias("method"),
-            h["g1"].alias("path"),
-            handler.alias("handler_function"),
-            params.alias("parameters"),
-        )
+        return F.struct(h["line"].alias("line"), method.alias("method"), h["g1"].alias("path"), handler.alias("handler"), h["start"].alias("start"), h["end"].alias("until"))
 
-    arrays = [
-        F.transform(
-            regex_hits(text, REQUEST_MAPPING, 2, "@requestmapping"),
-            lambda h: hit(h, F.upper(h["g2"]), next_function(text, h["end"])),
-        )
-    ]
+    none = F.lit(None).cast("string")
+    arrays = [F.transform(regex_hits(text, REQUEST_MAPPING, 2, "@requestmapping"), lambda h: hit(h, F.upper(h["g2"]), none))]
 
     def declared(pattern: str, needs: str, verb: str) -> Column:
         hits = regex_hits(text, pattern % verb, 2, (needs % verb).lower())
@@ -181,48 +221,72 @@ def rest_endpoints(files: DataFrame) -> DataFrame:
 
     arrays += [declared(VERB_MAPPING, "@%smapping", verb) for verb in ("Get", "Post", "Put", "Delete")]
     arrays += [declared(FASTAPI, "@app.%s", verb) for verb in ("get", "post")]
+    functions = [_beginnings(text, p, f"f{i}") for i, p in enumerate(FUNCTION_BELOW)]
+    parameters = [_marks(regex_hits(text, p), f"p{i}") for i, p in enumerate(ENDPOINT_PARAMS)]
+    marks = F.concat(*functions, *parameters, _declared(text, CLASS_ABOVE, "class"))
+    blank = F.lit(None).cast(kind[len("array<") : -1])
+    endpoint = lambda e: F.struct(_mark("endpoint", e["start"], e["until"], e["line"], none).alias("m"), e.alias("e"))
+    rows = F.concat(F.transform("found", endpoint), F.transform(marks, lambda m: F.struct(m.alias("m"), blank.alias("e"))))
+    # what comes after an endpoint is looked for from its end
+    place = F.when(F.col("kind") == "endpoint", F.col("until")).otherwise(F.col("at"))
+    with_any = once(files.select("file_path", TEXT), "found", F.concat(*arrays).cast(kind)).filter(F.size("found") > 0)
     return (
-        once(files.select("file_path", TEXT), "found", F.concat(*arrays))
-        .filter(F.size("found") > 0)
+        once(with_any, "framework", rest_framework(text))
+        .select("file_path", "framework", F.explode(rows).alias("r"))
+        .select("file_path", "framework", "r.m.*", "r.e")
+        .withColumn("place", place)
+        .withColumns({"handler_class": _above("class"), "below": _function_below(F.col("place")), "near": _parameters_near()})
+        .filter(F.col("kind") == "endpoint")
         .select(
             "file_path",
-            rest_framework(text).alias("framework"),
-            declarations(text, CLASS_ABOVE).alias("classes"),
-            "found",
-        )
-        .select("file_path", "framework", "classes", F.explode("found").alias("e"))
-        .select(
-            "file_path",
-            "e.*",
-            nearest_above(F.col("classes"), F.col("e.line_number")).alias("handler_class"),
+            F.col("line").alias("line_number"),
+            "e.method",
+            "e.path",
+            F.coalesce("e.handler", "below").alias("handler_function"),
+            _cut_names(F.col("near"), F.col("at")).alias("parameters"),
+            "handler_class",
             "framework",
         )
     )
 
 
 def annotated_actions(files: DataFrame) -> DataFrame:
-    """Action methods marked in Java, with the result page of their body."""
+    """Action methods marked in Java, with the result page of their body.
+
+    Actions, results, functions and braces become rows once. The body runs to
+    where the first brace after the action closes; its result is the last one
+    that ends in it.
+    """
     text = F.col(TEXT)
     cls = first(regex_hits(text, ACTION_CLASS))
-    return (
-        once(files.select("file_path", TEXT), "class_name", cls["g1"])
-        .filter(F.col("class_name").isNotNull())
-        .select("file_path", "class_name", TEXT, F.explode(regex_hits(text, ACTION_MARK)).alias("h"))
-        .withColumn("rest", F.substring(text, F.col("h.end") + 1, F.length(text)))
-        .withColumn("body", F.substring(F.col("rest"), F.lit(1), closing_brace(F.col("rest"))))
-        .withColumn("pages", F.regexp_extract_all("body", F.lit(RESULT_MARK), F.lit(1)))
-        .select(
-            "file_path",
-            F.col("h.g1").alias("name"),
-            "class_name",
-            F.coalesce(next_function(text, F.col("h.end")), F.lit("execute")).alias("method"),
-            F.concat(F.lit("/"), F.col("h.g1")).alias("path"),
-            F.when(
-                F.size("pages") > 0,
-                F.create_map(F.lit("success"), F.try_element_at("pages", F.lit(-1))),
-            ).otherwise(F.create_map().cast("map<string,string>")).alias("result_pages"),
-            F.col("h.line").alias("line_number"),
-        )
+    braces = [_marks(regex_hits(text, rf"([{b}])"), b) for b in "{}"]
+    functions = [_beginnings(text, p, f"f{i}") for i, p in enumerate(FUNCTION_BELOW)]
+    marks = F.concat(
+        _marks(regex_hits(text, ACTION_MARK), "action"), _marks(regex_hits(text, RESULT_MARK), "result"), *functions, *braces
+    )
+    place = F.when(F.col("kind") == "action", F.col("until")).otherwise(F.col("at"))
+    classes = once(files.select("file_path", TEXT), "class_name", cls["g1"]).filter(F.col("class_name").isNotNull())
+    rows = (
+        once(classes, "size", F.length(text))
+        .select("file_path", "class_name", "size", F.explode(marks).alias("m"))
+        .select("file_path", "class_name", "size", "m.*")
+    )
+    rows = brace_ends(rows).withColumn("place", place)
+    opened = _below("{", F.struct("closes"), F.col("place"))["closes"]
+    rows = rows.withColumns({"body_end": F.coalesce(opened, F.col("size")), "below": _function_below(F.col("place"))})
+    # results lie where they end, actions where their body ends
+    ends = F.when(F.col("kind") == "action", F.col("body_end")).when(F.col("kind") == "result", F.col("until"))
+    page = _last("result", F.struct("at", "name")).over(Window.partitionBy("file_path").orderBy("ends"))
+    found = rows.filter(F.col("kind").isin("action", "result")).withColumn("ends", ends).withColumn("page", page)
+    inside = F.col("page.at") >= F.col("until")
+    return found.filter(F.col("kind") == "action").select(
+        "file_path",
+        "name",
+        "class_name",
+        F.coalesce("below", F.lit("execute")).alias("method"),
+        F.concat(F.lit("/"), F.col("name")).alias("path"),
+        F.when(inside, F.create_map(F.lit("success"), F.col("page.name"))).otherwise(F.create_map().cast("map<string,string>")).alias("result_pages"),
+        F.col("line").alias("line_number"),
     )
 
 

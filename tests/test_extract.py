@@ -1,5 +1,10 @@
 """Extractor fixtures with hand-derived rows."""
 
+import random
+import re
+from collections import Counter
+
+import pytest
 from pyspark.sql import functions as F
 
 from codeloom.functions import text as X
@@ -207,10 +212,86 @@ def test_web(spark, files):
     py = '@app.get("/a/{b}")\ndef show(b):\n    pass\n'
     e = W.rest_endpoints(files(("api/x.py", py))).collect()
     assert [(r["method"], r["path"], r["handler_function"], r["framework"]) for r in e] == [("GET", "/a/{b}", "show", "FastAPI")]
-    brace = spark.range(1).select(W.closing_brace(F.lit("x { a { b } c } d { e }")).alias("i")).first()["i"]
-    assert brace == 14
-    none = spark.range(1).select(W.closing_brace(F.lit("} x { a")).alias("i")).first()["i"]
-    assert none == 7
+
+
+def test_brace_ends(spark):
+    for text, want in (("x { a { b } c } d { e }", {2: 14, 6: 10, 18: 22}), ("} x { a", {4: None}), ("}{}}{", {1: 2, 4: None})):
+        marks = [("f", b, i, i + 1) for i, b in enumerate(text) if b in "{}"]
+        rows = W.brace_ends(spark.createDataFrame(marks, "file_path string, kind string, at int, until int")).collect()
+        assert {r["at"]: r["closes"] for r in rows if r["kind"] == "{"} == want
+
+
+WEB_WORDS = (
+    "public int run(", "public  void go (", "def f(", "function g", "class K {", "class L extends Action {", "{", "}", "\n", "\n", " x ",
+    "@RequestMapping(value='/a{i}', method = RequestMethod.GET)", "@PostMapping('/b')", "@app.get('/c')", "@RequestParam('q')", "@PathVariable(\"w\")",
+    "@RequestBody Thing body", "@Action(value='do')", "@Result(location='/r.jsp')", "@Result(location=\"/s.jsp\")", "http.get('/u')", "function function h", "é" * 300,
+)
+
+
+def last_line_with(text, line, patterns):
+    found = None
+    for row in text.split("\n")[:line]:
+        names = [m.group(1) for p in patterns if (m := re.search(p.replace("(?U)", ""), row))]
+        found = names[0] if names else found
+    return found
+
+
+def function_after(text, end):
+    return next((m.group(1) for p in W.FUNCTION_BELOW if (m := re.search(p.replace("(?U)", ""), text[end:]))), None)
+
+
+def body_after(text, end):
+    depth = 0
+    for i, b in enumerate(text[end:]):
+        if b == "}" and depth == 1:
+            return text[end : end + i]
+        depth += (b == "{") - (b == "}" and depth > 0)
+    return text[end:]
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_web_marks_equal_a_scan_for_each_hit(spark, files, seed):
+    r = random.Random(seed)
+    texts = {f"api/T{i}.java": " ".join(r.choice(WEB_WORDS) for _ in range(r.randint(5, 60))) for i in range(40)}
+    f = files(*texts.items())
+    above = lambda t, line: (last_line_with(t, line, W.FUNCTION_ABOVE), last_line_with(t, line, W.CLASS_ABOVE))
+    line_of = lambda t, at: t[:at].count("\n") + 1
+    want = {(p, line_of(t, m.start()), "/u", *above(t, line_of(t, m.start()))) for p, t in texts.items() for m in re.finditer(r"http\.get\('/u'\)", t)}
+    got = [(c["file_path"], c["line_number"], c["url"], c["context_function"], c["context_class"]) for c in W.http_calls(f).collect()]
+    assert len(got) == len(want) and set(got) == want
+
+    want = Counter()
+    for p, t in texts.items():
+        flags = re.I | re.S
+        spans = [(m, None) for m in re.finditer(W.REQUEST_MAPPING[6:], t, flags)]
+        spans += [(m, m.group(2)) for v in ("Get", "Post", "Put", "Delete") for m in re.finditer((W.VERB_MAPPING % v)[6:], t, flags)]
+        spans += [(m, m.group(2)) for v in ("get", "post") for m in re.finditer((W.FASTAPI % v)[6:], t, flags)]
+        for m, handler in spans:
+            near = t[max(m.start() - 500, 0) : m.start() + 500]
+            params = [x for q in W.ENDPOINT_PARAMS for x in re.findall(q.replace("(?U)", ""), near)]
+            line = line_of(t, m.start())
+            want[(p, line, m.group(1), handler or function_after(t, m.end()), tuple(params), last_line_with(t, line, W.CLASS_ABOVE))] += 1
+    got = Counter((e["file_path"], e["line_number"], e["path"], e["handler_function"], tuple(e["parameters"]), e["handler_class"]) for e in W.rest_endpoints(f).collect())
+    assert got == want
+
+    want = Counter()
+    for p, t in texts.items():
+        named = re.search(W.ACTION_CLASS[5:], t, re.I)
+        for m in re.finditer(W.ACTION_MARK[4:], t, re.I) if named else ():
+            pages = re.findall(W.RESULT_MARK[4:], body_after(t, m.end()), re.I)
+            want[(p, m.group(1), named.group(1), function_after(t, m.end()) or "execute", pages[-1] if pages else None, line_of(t, m.start()))] += 1
+    rows = W.annotated_actions(f).collect()
+    assert Counter((a["file_path"], a["name"], a["class_name"], a["method"], a["result_pages"].get("success"), a["line_number"]) for a in rows) == want
+
+
+def test_web_marks_of_a_long_file(spark, files):
+    """100,000 hits in one file: every hit costs the same."""
+    n = 100_000
+    text = "class A extends Action {\n" + "@Action(value='d') void m() { @Result(location='/r') }\nfunction f { http.get('/u') }\n" * n
+    actions = W.annotated_actions(files(("a/A.java", text)))
+    assert tuple(actions.agg(F.count("*"), F.min(F.col("result_pages")["success"]), F.max("method")).first()) == (n, "/r", "f")
+    calls = W.http_calls(files(("angular/a.ts", text)))
+    assert tuple(calls.agg(F.count("*"), F.min("context_function"), F.max("context_class")).first()) == (n, "f", "A")
 
 
 def test_model_output(spark):
