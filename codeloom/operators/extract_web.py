@@ -84,12 +84,12 @@ def _marks(hits: Column, kind: str) -> Column:
     return F.transform(hits, lambda h: _mark(kind, h["start"], h["end"], h["line"], h["g1"]))
 
 
-def _beginnings(text: Column, pattern: str, kind: str) -> Column:
+def _beginnings(text: Column, pattern: str, kind: str, needs: str = "") -> Column:
     """Marks of a pattern at every place where it may begin: only its first
     word is taken, the rest is looked ahead at, so that no match hides another."""
     flags, word = pattern[: pattern.index(")") + 1], pattern[pattern.index(")") + 1 : pattern.index("\\s")]
     rest = pattern[len(flags) + len(word) :]
-    return _marks(regex_hits(text, f"{flags}{word}(?={rest})", needs=word), kind)
+    return _marks(regex_hits(text, f"{flags}{word}(?={rest})", needs=needs or word), kind)
 
 
 def _declared(text: Column, patterns, kind: str) -> Column:
@@ -221,8 +221,10 @@ def rest_endpoints(files: DataFrame) -> DataFrame:
 
     arrays += [declared(VERB_MAPPING, "@%smapping", verb) for verb in ("Get", "Post", "Put", "Delete")]
     arrays += [declared(FASTAPI, "@app.%s", verb) for verb in ("get", "post")]
-    functions = [_beginnings(text, p, f"f{i}") for i, p in enumerate(FUNCTION_BELOW)]
-    parameters = [_marks(regex_hits(text, p), f"p{i}") for i, p in enumerate(ENDPOINT_PARAMS)]
+    # the other patterns name their function themselves
+    functions = [_beginnings(text, p, f"f{i}", "@requestmapping") for i, p in enumerate(FUNCTION_BELOW)]
+    named = ("@requestparam", "@pathvariable", "@requestbody")
+    parameters = [_marks(regex_hits(text, p, needs=n), f"p{i}") for i, (p, n) in enumerate(zip(ENDPOINT_PARAMS, named))]
     marks = F.concat(*functions, *parameters, _declared(text, CLASS_ABOVE, "class"))
     blank = F.lit(None).cast(kind[len("array<") : -1])
     endpoint = lambda e: F.struct(_mark("endpoint", e["start"], e["until"], e["line"], none).alias("m"), e.alias("e"))
