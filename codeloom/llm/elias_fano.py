@@ -12,17 +12,22 @@ import numpy as np
 import pyarrow.fs as pafs
 
 
+_BYTES, _TOPS = np.uint64(0x0101010101010101), np.uint64(0x8080808080808080)
+# place of the r-th (from 0) set bit of each byte; 8 where it has fewer
+_PLACES = np.sort(np.where((np.arange(256)[:, None] >> np.arange(8)) & 1, np.arange(8), 8), axis=1).ravel()
+
+
 def _select(word: np.ndarray, r: np.ndarray) -> np.ndarray:
-    """Position of the r-th (from 0) set bit of each 64-bit word."""
-    word, r, at = word.copy(), r.astype(np.int64), np.zeros(len(word), np.int64)
-    for width in (32, 16, 8, 4, 2, 1):
-        low = word & np.uint64((1 << width) - 1)
-        below = np.bitwise_count(low).astype(np.int64)
-        up = r >= below
-        r = np.where(up, r - below, r)
-        word = np.where(up, word >> np.uint64(width), low)
-        at += width * up
-    return at
+    """Position of the r-th (from 0) set bit of each 64-bit word: the byte from
+    the counts up to each byte, the bit in it from a table."""
+    r = r.astype(np.uint64)
+    two = word - ((word >> np.uint64(1)) & np.uint64(0x5555555555555555))
+    four = (two & np.uint64(0x3333333333333333)) + ((two >> np.uint64(2)) & np.uint64(0x3333333333333333))
+    upto = ((four + (four >> np.uint64(4))) & np.uint64(0x0F0F0F0F0F0F0F0F)) * _BYTES
+    place = np.bitwise_count((((r * _BYTES) | _TOPS) - upto) & _TOPS).astype(np.uint64) << np.uint64(3)
+    r -= ((upto << np.uint64(8)) >> place) & np.uint64(255)
+    inside = (((word >> place) & np.uint64(255)) << np.uint64(3)) + r
+    return place.astype(np.int64) + _PLACES[inside.astype(np.int64)]
 
 
 class Monotone:
@@ -46,7 +51,7 @@ class Monotone:
         bits = np.concatenate((bits, np.zeros(-len(bits) % 64, np.uint8)))
         low = np.packbits(bits, bitorder="little").view(np.uint64)
         high_of = (values >> np.uint64(width)).astype(np.int64)
-        size = n + (int(high_of[-1]) if n else 0) + 2
+        size = n + (int(high_of[-1]) if n else 0) + 2 + 64  # the last word is empty
         unary = np.zeros((size + 63) // 64 * 64, np.uint8)
         unary[high_of + np.arange(n)] = 1
         high = np.packbits(unary, bitorder="little").view(np.uint64)
@@ -68,40 +73,65 @@ class Monotone:
         rest = np.where(shift > 0, self.low[word + 1] << ((np.uint64(64) - shift) & np.uint64(63)), np.uint64(0))
         return (first | rest) & np.uint64((1 << self.low_bits) - 1)
 
-    def _before(self, bucket: np.ndarray) -> np.ndarray:
-        """How many values have high bits below ``bucket``: select0, then rank."""
-        k = bucket - 1
-        last = int(self.zeros[-1])
-        out = np.full(len(bucket), self.n, np.int64)
-        out[bucket <= 0] = 0
-        ask = np.flatnonzero((bucket > 0) & (k < last))
-        word = np.searchsorted(self.zeros, k[ask], "right") - 1
-        inside = _select(~self.high[word], k[ask] - self.zeros[word])
-        out[ask] = 64 * word + inside - k[ask]
-        return np.minimum(out, self.n)
+    def _start(self, bucket: np.ndarray) -> np.ndarray:
+        """Bit after the zero that opens each bucket: select0."""
+        out = np.zeros(len(bucket), np.int64)
+        ask = np.flatnonzero(bucket > 0)
+        k = bucket[ask] - 1
+        word = np.searchsorted(self.zeros, k, "right") - 1
+        out[ask] = 64 * word + _select(~self.high[word], k - self.zeros[word]) + 1
+        return out
+
+    def _bounds(self, bucket: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Indices between which the values of each bucket lie; a bucket ends
+        at the first zero, which is mostly in the next 64 bits."""
+        bit = self._start(bucket)
+        low, word, shift = bit - bucket, bit >> 6, (bit & 63).astype(np.uint64)
+        left = (np.uint64(64) - shift) & np.uint64(63)
+        ahead = (self.high[word] >> shift) | np.where(shift > 0, self.high[word + 1] << left, np.uint64(0))
+        run = np.bitwise_count(ahead ^ (ahead + np.uint64(1))).astype(np.int64) - 1
+        long = np.flatnonzero(run >= 63)
+        run[long] = self._start(bucket[long] + 1) - 1 - bit[long]
+        return low, low + run
 
     def find(self, values: np.ndarray) -> np.ndarray:
-        """Index of each value, -1 where it is absent."""
+        """Index of each value, of any of equal ones, -1 where it is absent."""
         values = np.asarray(values, np.uint64)
-        wide = values >> np.uint64(self.low_bits)
-        # beyond the last bucket there is nothing
-        bucket = np.minimum(wide, np.uint64(int(self.zeros[-1]) + 1)).astype(np.int64)
-        low, high = self._before(bucket), self._before(bucket + 1)
-        stop = high.copy()
-        want = values & np.uint64((1 << self.low_bits) - 1)
-        active = np.flatnonzero(low < high)
-        while len(active):
-            middle = (low[active] + high[active]) >> 1
-            less = self.lows(middle) < want[active]
-            low[active[less]] = middle[less] + 1
-            high[active[~less]] = middle[~less]
-            active = active[low[active] < high[active]]
-        found = np.flatnonzero(low < stop)
         out = np.full(len(values), -1, np.int64)
-        same = found[self.lows(low[found]) == want[found]]
-        out[same] = low[same]
+        if not self.n:
+            return out
+        # beyond the last bucket there is nothing
+        wide = values >> np.uint64(self.low_bits)
+        held = np.flatnonzero(wide <= np.uint64(64 * (len(self.high) - 1) - self.n - 1))
+        low, high = self._bounds(wide[held].astype(np.int64))
+        full = np.flatnonzero(low < high)
+        held, low, high = held[full], low[full], high[full]
+        want = values[held] & np.uint64((1 << self.low_bits) - 1)
+        self._narrow(low, high, want)
+        same = np.flatnonzero(self.lows(low) == want)
+        out[held[same]] = low[same]
         return out
 
+    def _narrow(self, low: np.ndarray, high: np.ndarray, want: np.ndarray) -> None:
+        """Moves ``low`` to the last index below ``high`` whose low bits are not
+        above the wanted ones. Word numbers come from hashes and so lie evenly:
+        two steps of three go by proportion, the third halves."""
+        at, turn = np.flatnonzero(high - low > 1), 0
+        a, b, aim = low[at], high[at], want[at].astype(np.float64)
+        least, above = np.zeros(len(at)), np.full(len(at), float(1 << self.low_bits))
+        while len(at):
+            turn += 1
+            step = (b - a) >> 1 if turn % 3 == 0 else ((aim - least) / (above - least) * (b - a)).astype(np.int64)
+            middle = a + np.clip(step, 1, b - a - 1)
+            value = self.lows(middle).astype(np.float64)
+            over = value > aim
+            b, above = np.where(over, middle, b), np.where(over, value, above)
+            a, least = np.where(over, a, middle), np.where(over, least, value)
+            done = (b - a <= 1) | (least == aim)
+            low[at[done]] = a[done]
+            left = ~done
+            at, a, b, aim, least, above = (x[left] for x in (at, a, b, aim, least, above))
+
     def get(self, i: np.ndarray) -> np.ndarray:
         """Values at the indices: select1 over the unary part."""
         i = np.asarray(i, np.int64)

@@ -3,9 +3,11 @@
 The trie has a level of words and one for each longer n-gram up to the order,
 each cut into shards by range. An entry of a level is a word after a context,
 and a context is the number of an entry of the level above. Words and the
-successors of a context are monotone sequences; every n-gram of the training
-texts is kept with its exact count. Tasks map the shard files into memory and
-search the successors of a context for a word.
+successors of a context are monotone sequences, and every n-gram of the training
+texts is kept. An entry has its share of the context and a context what it
+leaves to shorter ones, each as one byte of the level's codebook. Tasks map the
+shard files into memory and search the successors of a context for a word, once
+for each length.
 """
 
 from __future__ import annotations
@@ -43,10 +45,22 @@ class Level:
     first: list[tuple[int, int]] = field(default_factory=list)  # least (context, word)
     ids: list[int] = field(default_factory=list)  # number of entries before it
     files: list[str] = field(default_factory=list)
-    # the first contexts of shards, which may go on in others, and their successors
+    # the first contexts of shards, which may go on in others, and what they leave
     edges: list[int] = field(default_factory=list)
-    edge_sizes: list[int] = field(default_factory=list)
+    edge_rests: list[float] = field(default_factory=list)
     entries: int = 0
+    most: int = 1  # the highest count of a context
+    top: int = 1  # the highest count of an entry
+
+    @property
+    def book(self) -> np.ndarray:
+        """The values of the 256 codes, evenly spaced by their logarithms from
+        the least share that there can be to 1."""
+        return np.geomspace((1 - DISCOUNT) / self.most, 1, 256)
+
+    def codes(self, values: np.ndarray) -> np.ndarray:
+        low = np.log((1 - DISCOUNT) / self.most)
+        return np.rint((np.log(values) - low) * (255 / -low)).clip(0, 255).astype(np.uint8)
 
 
 @dataclass
@@ -57,11 +71,18 @@ class Model:
     tokens: int = 0
     words: int = 0
     texts: int = 0
+    top: int = 1  # the highest count of a word
     first_word: list[int] = field(default_factory=list)  # smallest hash of each word shard
     word_ids: list[int] = field(default_factory=list)  # number of words before it
     word_files: list[str] = field(default_factory=list)
     levels: list[Level] = field(default_factory=list)  # pairs, triples and so on
 
+    @property
+    def error(self) -> float:
+        """Bound of what the codebooks add to or take from the log10 of one
+        token's probability: half a step of each level."""
+        return sum(np.log10(level.most / (1 - DISCOUNT)) / 255 / 2 for level in self.levels)
+
 
 class Trie:
     """Lookups over the shards of a model; files are opened when first asked."""
@@ -95,44 +116,67 @@ class Trie:
             counts[own] = (ends[len(at) :] - ends[: len(at)]).astype(np.int64)
         return ids, counts
 
-    def entries(self, level: Level, context: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(id or -1, training count) of each word after its context, and how
-        many different words follow the context. A word may be -1 (unknown).
+    def entries(
+        self, level: Level, context: np.ndarray, word: np.ndarray, scored: bool = True
+    ) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(id or -1, share of its context or 0, what the context leaves to
+        shorter ones or 1) of each word after its context; only ids unless
+        ``scored``. The rows are sorted by both; a word may be -1 (unknown).
 
         Entries sorted by (context, word) are cut into shards anywhere, so a
         context with very many successors spreads over several files.
         """
-        ids, counts = np.full(len(context), -1, np.int64), np.zeros(len(context), np.int64)
-        sizes = np.zeros(len(context), np.int64)
-        if not level.files:
-            return ids, counts, sizes
-        first = np.array(level.first, np.int64)
-        # shards that begin with the context, then the last of those up to the word
-        low = np.searchsorted(first[:, 0], context, "left")
-        high = np.searchsorted(first[:, 0], context, "right")
-        while (low < high).any():
-            middle = np.minimum((low + high) >> 1, len(first) - 1)
-            up = (low < high) & (first[middle, 1] <= word)
-            high = np.where((low < high) & ~up, middle, high)
-            low = np.where(up, middle + 1, low)
-        shard = low - 1
-        for s in np.unique(shard[shard >= 0]):
-            own = np.flatnonzero(shard == s)
-            held = self._open(level.files[s])
-            node = held["keys"].find(context[own].astype(np.uint64))
-            own, node = own[node >= 0], node[node >= 0]
-            sizes[own] = taken(held["arrays"], "sizes", node)
-            known = word[own] >= 0
-            own, node = own[known], node[known]
+        ids, share, rest = np.full(len(context), -1, np.int64), np.zeros(len(context)), np.ones(len(context))
+        at = [*_places(context, word, level.first), len(context)]
+        span, book = np.uint64(self.model.words), level.book
+        for s, (a, b) in enumerate(zip(at, at[1:])):
+            if a == b:
+                continue
+            held, c = self._open(level.files[s]), context[a:b]
+            new = np.concatenate(([True], c[1:] != c[:-1]))
+            node = held["keys"].find(c[new].astype(np.uint64))[np.cumsum(new) - 1]
+            own = np.flatnonzero(node >= 0)
+            node = node[own]
+            if scored:
+                rest[a + own] = book[held["arrays"]["rest"][node]]
+            known = word[a + own] >= 0
+            own, node = a + own[known], node[known]
             # the words of the i-th context lie in [i * span, (i + 1) * span)
-            span = np.uint64(self.model.words)
-            at = held["starts"].find(node.astype(np.uint64) * span + word[own].astype(np.uint64))
-            own, at = own[at >= 0], at[at >= 0]
-            ids[own] = at + level.ids[s]
-            counts[own] = taken(held["arrays"], "counts", at)
-        edges = np.array(level.edges, np.int64)
-        at = np.minimum(np.searchsorted(edges, context), len(edges) - 1)
-        return ids, counts, np.where(edges[at] == context, np.array(level.edge_sizes, np.int64)[at], sizes)
+            found = held["starts"].find(node.astype(np.uint64) * span + word[own].astype(np.uint64))
+            own, found = own[found >= 0], found[found >= 0]
+            ids[own] = found + level.ids[s]
+            if scored:
+                share[own] = book[held["arrays"]["share"][found]]
+        if scored and level.edges:
+            edges = np.array(level.edges, np.int64)
+            near = np.minimum(np.searchsorted(edges, context), len(edges) - 1)
+            rest = np.where(edges[near] == context, np.array(level.edge_rests)[near], rest)
+        return ids, share, rest
+
+    def followed(self, contexts: list[int]) -> list[int]:
+        """How often each context of the level to come is followed: the count
+        of its entry in the last level, as no text goes on after its end."""
+        model, out = self.model, []
+        before = model.levels[-1].ids if model.levels else model.word_ids
+        for c in contexts:
+            s = int(np.searchsorted(before, c, "right")) - 1
+            if model.levels:
+                out.append(int(taken(self._open(model.levels[-1].files[s])["arrays"], "counts", np.array([c - before[s]]))[0]))
+            elif c == model.words:
+                out.append(model.texts)
+            else:
+                first, last = self._open(model.word_files[s])["sums"].get(np.array([0, 1]) + (c - before[s]))
+                out.append(int(last - first))
+        return out
+
+
+def _places(c: np.ndarray, w: np.ndarray, keys: list[tuple[int, int]]) -> list[int]:
+    """For each (context, word) of ``keys`` how many of the sorted rows are less."""
+    at = []
+    for x, y in keys:
+        low, high = np.searchsorted(c, x, "left"), np.searchsorted(c, x, "right")
+        at.append(int(low + np.searchsorted(w[low:high], y, "left")))
+    return at
 
 
 def _tokens(data: np.ndarray, offsets: np.ndarray, tool: Words) -> tuple[np.ndarray, np.ndarray]:
@@ -174,22 +218,24 @@ def _paired(trie: Trie, hashes: np.ndarray, bounds: np.ndarray) -> tuple[np.ndar
     return context, ids, counts
 
 
-def _longer(trie: Trie, level: Level, context: np.ndarray, ids: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, ...]:
-    """(contexts of the next level, counts, sizes of the contexts) for each
-    token; -1 stands for contexts that are not in the trie, or that would
-    begin before the text."""
+def _longer(
+    trie: Trie, level: Level, context: np.ndarray, ids: np.ndarray, bounds: np.ndarray, scored: bool = True
+) -> tuple[np.ndarray, ...]:
+    """(contexts of the next level, shares, rests) for each token, as
+    ``entries`` gives them; -1 stands for contexts that are not in the trie, or
+    that would begin before the text."""
     ask = np.flatnonzero(context >= 0)
     order, new = _runs(context[ask], ids[ask], trie.model.words)
     order, run = ask[order], np.cumsum(new) - 1
     first = order[new]
-    found = trie.entries(level, context[first], ids[first])
-    entry, counts, sizes = np.full(len(ids), -1, np.int64), np.zeros(len(ids), np.int64), np.zeros(len(ids), np.int64)
-    for whole, x in zip((entry, counts, sizes), found):
+    found = trie.entries(level, context[first], ids[first], scored)
+    entry, share, rest = np.full(len(ids), -1, np.int64), np.zeros(len(ids)), np.ones(len(ids))
+    for whole, x in zip((entry, share, rest) if scored else (entry,), found):
         whole[order] = x[run]
     after = np.empty_like(entry)
     after[1:] = entry[:-1]
     after[bounds[:-1]] = -1
-    return after, counts, sizes
+    return after, share, rest
 
 
 def _runs(c: np.ndarray, w: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray]:
@@ -233,7 +279,7 @@ def _counted(given: DataFrame, model: Model, schema: str, emit) -> DataFrame:
         bounds = np.concatenate([*(b[:-1] + s for (_, b), s in zip(held, starts)), starts[-1:]])
         context, ids, _ = _paired(trie, hashes, bounds)
         for level in trie.model.levels:
-            context = _longer(trie, level, context, ids, bounds)[0]
+            context = _longer(trie, level, context, ids, bounds, scored=False)[0]
         has = context >= 0
         return _summed(context[has], ids[has], None, trie.model.words)
 
@@ -256,21 +302,20 @@ def _cuts(given: DataFrame, model: Model, count: int) -> list[tuple[int, int]]:
     return sorted({keys[i * len(keys) // count] for i in range(1, count)}) if keys else []
 
 
-def _add_level(given: DataFrame, model: Model) -> None:
-    """Counts the n-grams one longer than the trie has and writes their level.
+def _add_level(given: DataFrame, model: Model, last: bool) -> None:
+    """Counts the n-grams one longer than the trie has and writes their level;
+    the ``last`` one needs no counts beside its shares.
 
     Tasks cut their counts at the bounds of the shards and send each piece as
     one compressed row, so that a shard is summed and written in one task.
     """
     cuts = _cuts(given, model, max(1, -(-model.tokens // SHARD)))
     words, folder, number = model.words, model.folder, len(model.levels) + 2
+    level = Level(most=model.levels[-1].top if model.levels else max(model.top, model.texts))
+    known, codes = given.sparkSession.sparkContext.broadcast(model), level.codes  # a row for each shard file
 
     def pieces(c: np.ndarray, w: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
-        at = [0]
-        for x, y in cuts:
-            low, high = np.searchsorted(c, x, "left"), np.searchsorted(c, x, "right")
-            at.append(int(low + np.searchsorted(w[low:high], y, "left")))
-        at.append(len(c))
+        at = [0, *_places(c, w, cuts), len(c)]
         codec, out = pa.Codec("zstd", 1), []
         for s, (a, b) in enumerate(zip(at, at[1:])):
             if a < b:
@@ -292,30 +337,38 @@ def _add_level(given: DataFrame, model: Model) -> None:
             return
         c, w, n = _summed(*(np.concatenate(x) for x in zip(*held)), words)
         held.clear()
-        contexts, node, sizes = np.unique(c, return_inverse=True, return_counts=True)
+        at = np.flatnonzero(np.concatenate(([True], c[1:] != c[:-1])))
+        contexts, sizes, total = c[at], np.diff(np.append(at, len(c))), np.add.reduceat(n, at)
+        node = np.repeat(np.arange(len(at)), sizes)
+        total[[0, -1]] = Trie(known.value).followed([int(c[0]), int(c[-1])])  # they may go on in other shards
         arrays = prefixed("keys", Monotone.packed(contexts.astype(np.uint64)))
         arrays |= prefixed("starts", Monotone.packed(node.astype(np.uint64) * np.uint64(words) + w.astype(np.uint64)))
-        arrays |= bytewise("sizes", sizes) | bytewise("counts", n)
+        arrays |= {"share": codes((n - DISCOUNT) / total[node]), "rest": codes(DISCOUNT * sizes / total)}
+        if not last:
+            arrays |= bytewise("counts", n)
         path = save(folder, f"grams{number}-{TaskContext.get().partitionId():06d}", arrays)
-        facts = [c[0], w[0], len(c), sizes[0], c[-1], sizes[-1]]
+        facts = [c[0], w[0], len(c), sizes[0], total[0], c[-1], sizes[-1], n.max()]
         yield pa.RecordBatch.from_arrays(
             [*(pa.array([int(x)], pa.int64()) for x in facts), pa.array([path])],
-            names=["c", "w", "n", "size", "last", "last_size", "path"],
+            names=["c", "w", "n", "size", "total", "last", "last_size", "top", "path"],
         )
 
     sent = _counted(given, model, "s int, n long, data binary", pieces).repartitionById(len(cuts) + 1, F.col("s"))
-    kind = "c long, w long, n long, size long, last long, last_size long, path string"
+    kind = "c long, w long, n long, size long, total long, last long, last_size long, top long, path string"
     files = sorted(sent.select("n", "data").mapInArrow(build, kind).collect())  # a row for each file
-    level, sizes = Level(), {r.c: 0 for r in files}
+    sizes, totals = {r.c: 0 for r in files}, {r.c: r.total for r in files}
     for r in files:
         level.first.append((r.c, r.w))
         level.ids.append(level.entries)
         level.files.append(r.path)
         level.entries += r.n
+        level.top = max(level.top, r.top)
         sizes[r.c] += r.size
         if r.last != r.c and r.last in sizes:
             sizes[r.last] += r.last_size
-    level.edges, level.edge_sizes = sorted(sizes), [sizes[c] for c in sorted(sizes)]
+    level.edges = sorted(sizes)
+    rests = np.array([DISCOUNT * sizes[c] / totals[c] for c in level.edges])
+    level.edge_rests = level.book[level.codes(rests)].tolist()
     model.levels.append(level)
 
 
@@ -355,8 +408,8 @@ def train(docs: DataFrame, *, text: str = "text", rows: Column | None = None, or
     given = docs if rows is None else docs.where(rows)
     given = given.select(F.col(text).alias("__text"))
     counts = staged(_word_counts(given), "lm-words")
-    total = counts.agg(F.count(F.lit(1)).alias("v"), F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()
-    model = Model(folder, tokens=total.n, words=total.v)
+    total = counts.agg(F.count(F.lit(1)).alias("v"), F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.max("n").alias("top")).first()
+    model = Model(folder, tokens=total.n, words=total.v, top=total.top or 1)
     if not total.v:
         return model
 
@@ -373,8 +426,8 @@ def train(docs: DataFrame, *, text: str = "text", rows: Column | None = None, or
         model.word_files.append(path)
         before += n
     model.texts = counts.where(F.col("h") == int(END)).select("n").first().n
-    for _ in range(order - 1):
-        _add_level(given, model)
+    for length in range(2, order + 1):
+        _add_level(given, model, length == order)
     return model
 
 
@@ -386,7 +439,8 @@ def score_texts(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
     off from the longest context to shorter ones: after a context v that was
     followed n(v) times, by t(v) different words, p(w | v) = (max(n(vw) - D, 0)
     + D t(v) p(w | v without its first word)) / n(v), and a context that is not
-    in the trie is shortened. A null text is an empty one: a single end token.
+    in the trie is shortened. Both quotients by n(v) are codes of a byte, so a
+    text's score is within ``model.error`` times its tokens of that. A null text is an empty one: a single end token.
     Rows are kept as they are; columns of these names are replaced.
     """
     held = df.sparkSession.sparkContext.broadcast(model)
@@ -406,16 +460,10 @@ def score_texts(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
                 hashes, bounds = _tokens(data, offsets, tool)
                 context, ids, counts = _paired(trie, hashes, bounds)
                 single = (counts + SMOOTH) / mass
-                # how often a context was followed: its count, or the number of texts
-                followed, p = np.concatenate(([0], counts[:-1])), single
-                followed[bounds[:-1]] = known.texts
+                p = single
                 for level in known.levels:
-                    after, n, sizes = _longer(trie, level, context, ids, bounds)
-                    seen = np.flatnonzero((context >= 0) & (followed > 0))
-                    gained = np.maximum(n[seen] - DISCOUNT, 0) + DISCOUNT * sizes[seen] * p[seen]
-                    p = p.copy()
-                    p[seen] = gained / followed[seen]
-                    context, followed = after, np.concatenate(([0], n[:-1]))
+                    context, share, rest = _longer(trie, level, context, ids, bounds)
+                    p = share + rest * p
                 sums = [
                     np.add.reduceat(x, bounds[:-1]) for x in ((counts > 0).astype(np.int64), np.log10(single), np.log10(p))
                 ]

@@ -366,7 +366,7 @@ def test_scores(docs, plain):
         size, known, base, score = want[r.doc_id][0]
         assert (r.n_tokens, r.n_known, r.train_tokens) == (size, known, total)
         assert abs(r.base_score - base) <= 1e-9 * abs(base) + 1e-9
-        assert abs(r.score - score) <= 0.05 * abs(score) + 0.5  # one-byte probabilities
+        assert abs(r.score - score) <= size * model.error + 1e-9 * abs(score)  # one-byte shares
 
 
 def test_scores_without_training(docs, nothing):
@@ -398,17 +398,30 @@ def test_scores_keep_pairs_and_triples_seen_once(spark, monkeypatch):
     grams[(0,)], tokens, words = len(held), sum(map(len, held)), len({x for t in held for x in t})
     follow = Counter(g[:-1] for g in grams if len(g) > 1)
 
-    def p(context, x):
+    most = [max(c for g, c in grams.items() if len(g) == k) for k in (1, 2)]
+    assert [x.most for x in model.levels] == most
+    books = [np.geomspace((1 - DISCOUNT) / x, 1, 256) for x in most]
+
+    def coded(value, context):
+        book = books[len(context) - 1]
+        return book[np.abs(np.log(book) - math.log(value)).argmin()]
+
+    def p(context, x, kept=lambda value, _: value):
         if not context:
             return (grams[(x,)] + 0.1) / (tokens + 0.1 * (words + 1))
-        if not grams[context]:
-            return p(context[1:], x)
-        return (max(grams[(*context, x)] - DISCOUNT, 0) + DISCOUNT * follow[context] * p(context[1:], x)) / grams[context]
+        if not follow[context]:
+            return p(context[1:], x, kept)
+        n, c = grams[context], grams[(*context, x)]
+        share = kept((c - DISCOUNT) / n, context) if c else 0
+        return share + kept(DISCOUNT * follow[context] / n, context) * p(context[1:], x, kept)
 
     got = {x.doc_id: x.score for x in score_texts(df, model).collect()}
     for i, t in rows:
         s = [0, *t.split(), None]
-        want = sum(math.log10(p(tuple(s[max(0, j - 2) : j]), s[j])) for j in range(1, len(s)))
+        exact, want = (
+            sum(math.log10(p(tuple(s[max(0, j - 2) : j]), s[j], *how)) for j in range(1, len(s))) for how in ((), (coded,))
+        )
         assert abs(got[i] - want) <= 1e-9 * abs(want)
+        assert abs(got[i] - exact) <= model.error * (len(s) - 1) + 1e-9
     # a passage that occurs once in training, and the same words from chance pairs
     assert got[1000] > got[1001] + 1
