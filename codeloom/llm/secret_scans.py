@@ -66,11 +66,33 @@ def decoded(text: str) -> bytes | None:
         return None
 
 
-def fields(data: bytes, at: int, end: int) -> list[tuple[int, int, int]] | None:
-    """(tag, start, end) of the DER values that fill data[at:end] exactly."""
+#: No private key has more values than this side by side.
+MOST_FIELDS = 10
+
+
+class Unread:
+    """Bytes of base64 characters, decoded only where they are looked at."""
+
+    def __init__(self, chars: str, at: int, size: int):
+        self.chars, self.at, self.size = chars, at, size
+
+    def __len__(self) -> int:
+        return self.size
+
+    def __getitem__(self, i: int | slice) -> int | bytes:
+        if not isinstance(i, slice):
+            return self[i : i + 1][0]
+        first = i.start // 3
+        quads = self.chars[self.at + first * 4 : self.at + -(-i.stop // 3) * 4]
+        return decoded(quads)[i.start - first * 3 : i.stop - first * 3]
+
+
+def fields(data: bytes | Unread, at: int, end: int) -> list[tuple[int, int, int]] | None:
+    """(tag, start, end) of the DER values that fill data[at:end] exactly;
+    None when they don't, or are more than a key has."""
     out = []
     while at < end:
-        if at + 2 > end:
+        if at + 2 > end or len(out) == MOST_FIELDS:
             return None
         tag, n = data[at], data[at + 1]
         at += 2
@@ -90,7 +112,7 @@ def fields(data: bytes, at: int, end: int) -> list[tuple[int, int, int]] | None:
 _INT, _OCTETS, _OID, _SEQ = 0x02, 0x04, 0x06, 0x30
 
 
-def private_der(data: bytes) -> bool:
+def private_der(data: bytes | Unread) -> bool:
     """A sequence whose nested lengths fit and whose fields are a private
     key's: PKCS#1 or DSA integers, SEC1, PKCS#8 plain or encrypted."""
     top = fields(data, 0, len(data))
@@ -229,14 +251,34 @@ def _chars(size: int) -> int:
     return -(-size * 4 // 3)
 
 
-def _der_chars(text: str) -> int | None:
-    data = decoded(text[:16])
-    if not data:
+def der_size(data: bytes) -> int | None:
+    """Bytes of the sequence whose head ``data`` begins with, when its first
+    value is one that keys begin with."""
+    if len(data) < 2:
         return None
     wide = data[1] & 0x7F if data[1] & 0x80 else 0
-    if wide > 4 or data[1] == 0x80 or data[2 + wide] not in (_INT, _SEQ):
+    if wide > 4 or data[1] == 0x80 or len(data) < 3 + wide or data[2 + wide] not in (_INT, _SEQ):
         return None
-    return _chars(2 + wide + (int.from_bytes(data[2 : 2 + wide], "big") if wide else data[1]))
+    return 2 + wide + (int.from_bytes(data[2 : 2 + wide], "big") if wide else data[1])
+
+
+def base64_keys(text: str) -> Iterator[tuple[int, int]]:
+    """Spans of DER keys in one run of base64, each as long as its own head
+    says, so characters that follow without a break do not hide it."""
+    for m in DER64.finditer(text):
+        run = m[0].rstrip("=")
+        size = der_size(decoded(run[:16]) or b"")
+        need = size and _chars(size)
+        if need and need <= len(run) and private_der(Unread(run, 0, size)):
+            yield m.start(), m.end() if need == len(run) else m.start() + need
+
+
+def hex_keys(text: str) -> Iterator[tuple[int, int]]:
+    """As ``base64_keys``, for hex."""
+    for m in DER16.finditer(text):
+        size = der_size(bytes.fromhex(m[0][:16]))
+        if size and 2 * size <= len(m[0]) and private_der(bytes.fromhex(m[0][: 2 * size])):
+            yield m.start(), m.start() + 2 * size
 
 
 def _openssh_chars(text: str) -> int | None:
@@ -253,29 +295,51 @@ def _pem_chars(text: str) -> int | None:
     return None
 
 
-def wrapped(text: str, head: re.Pattern, start: str, chars, sound=None) -> Iterator[tuple[int, int]]:
-    """Spans of base64 over several lines. ``chars`` reads from the joined
-    lines how many characters the key has; a line must end there. Lines are
-    joined up to one that begins with ``start``, or, with ``sound``, until the
-    characters that the first line asks for are there."""
+def wrapped_der(text: str) -> Iterator[tuple[int, int]]:
+    """Spans of base64 DER keys over several lines; a line must end where the
+    length in the key's head does.
+
+    Lines that follow one another are joined once, whatever number of them
+    begins like a key, and a key is read at its place in what was joined, so
+    the work stays in step with the length of the text.
+    """
+    done = edge = 0
+    for m in DER64_HEAD.finditer(text):
+        if m.start() >= edge:
+            runs, places, ends, total, following = [m[0]], {m.start(): 0}, {len(m[0]): m.end()}, len(m[0]), m
+            while following := NEXT.match(text, following.end()):
+                runs.append(following[1])
+                places[following.start(1)] = total
+                total += len(following[1])
+                ends[total] = following.end()
+            edge, joined_runs = ends[total], "".join(runs)
+        size = der_size(decoded(m[0][:16]) or b"")
+        if m.start() < done or not size:
+            continue
+        at = places[m.start()]
+        end = ends.get(at + _chars(size), 0)
+        if end > m.end() and private_der(Unread(joined_runs, at, size)):
+            done = PAD.match(text, end).end()
+            yield m.start(), done
+
+
+def wrapped(text: str, head: re.Pattern, start: str, chars) -> Iterator[tuple[int, int]]:
+    """Spans of base64 over several lines, joined up to one that begins with
+    ``start``. ``chars`` reads from what was joined how many characters the
+    key has; a line must end there."""
     done = 0
     for m in head.finditer(text):
         following = NEXT.match(text, m.end())
-        need = chars(m[0]) if following and sound else None
-        if m.start() < done or not following or (sound and not (need and m.start() + need <= len(text))):
+        if m.start() < done or not following:
             continue
         runs, ends, total = [m[0]], {len(m[0]): m.end()}, len(m[0])
-        while following and (total < need if sound else not following[1].startswith(start)):
+        while following and not following[1].startswith(start):
             runs.append(following[1])
             total += len(following[1])
             ends[total] = following.end()
             following = NEXT.match(text, following.end())
-        joined_runs = "".join(runs)
-        if not sound:
-            need = chars(joined_runs)
-        if len(runs) == 1 or need not in ends or need == len(m[0]):
-            continue
-        if sound is None or ((d := decoded(joined_runs[:need])) and sound(d)):
+        need = chars("".join(runs))
+        if len(runs) > 1 and need in ends and need != len(m[0]):
             done = PAD.match(text, ends[need]).end()
             yield m.start(), done
 
@@ -289,17 +353,15 @@ def scan(text: str) -> list[tuple[int, int, int]]:
         out += [(s, 3, e) for s, e in signed_tokens(text)]
     blocks = list(pem_blocks(text)) if "-----BEGIN " in text else []
     out += [(s, 4, e) for s, e in blocks]
-    out += [(m.start(), 5, m.end()) for m in DER64.finditer(text) if (d := decoded(m[0])) and private_der(d)]
-    for m in DER16.finditer(text):
-        if len(m[0]) % 2 == 0 and private_der(bytes.fromhex(m[0])):
-            out.append((m.start(), 6, m.end()))
+    out += [(s, 5, e) for s, e in base64_keys(text)]
+    out += [(s, 6, e) for s, e in hex_keys(text)]
     if "b3BlbnNza" in text:
         out += [(m.start(), 7, m.end()) for m in SSH64.finditer(text) if (d := decoded(m[0])) and private_openssh(d)]
     if "LS0tLS1CRUdJTi" in text:
         for m in PEM64.finditer(text):
             if (d := decoded(m[0])) and next(pem_blocks(d.decode("latin-1")), None):
                 out.append((m.start(), 8, m.end()))
-    lines = [(s, 5, e) for s, e in wrapped(text, DER64_HEAD, "", _der_chars, private_der)]
+    lines = [(s, 5, e) for s, e in wrapped_der(text)]
     if "b3BlbnNza" in text:
         lines += [(s, 7, e) for s, e in wrapped(text, SSH64_HEAD, "b3BlbnNzaC1rZXktdjEA", _openssh_chars)]
     if "LS0tLS1CRUdJTi" in text:

@@ -148,6 +148,62 @@ def test_many_begin_lines_are_linear():
     assert kinds("-----BEGIN PRIVATE KEY-----" * 20000) == []
 
 
+def test_keys_end_where_their_length_says():
+    for encode in (lambda b: base64.b64encode(b).decode().rstrip("="), lambda b: b.hex(), lambda b: b.hex().upper()):
+        key = encode(rsa_key())
+        for tail in ("", "Q", "abc+", "ABCDEF0123456789" * 9, " z"):
+            spans = [x for x in secret_scans.scan(f"é {key}{tail}") if x[1] > 2]
+            assert [(s, e) for s, _, e in spans] == [(2, 2 + len(key))], tail
+        assert not [x for x in secret_scans.scan(encode(rsa_key()[:-40])) if x[1] > 2]
+
+
+def wrapped_brute(text):
+    """Every head joined line by line, decoded whole."""
+    out, done = [], 0
+    for m in re.finditer(r"(?<![A-Za-z0-9+/_-])M[A-P][A-Za-z0-9+/_-]{14,}", text):
+        joined, at, hit = m[0], m.end(), None
+        while hit is None and (more := re.compile(r"[ \t]*\r?\n[ \t]*([A-Za-z0-9+/_-]+)").match(text, at)):
+            joined, at = joined + more[1], more.end()
+            data = secret_scans.decoded(joined)
+            hit = at if data and secret_scans.private_der(data) else None
+        if hit and m.start() >= done:
+            done = hit + len(re.compile("={0,2}").match(text, hit)[0])
+            out.append((m.start(), done))
+    return out
+
+
+def test_wrapped_keys_against_brute_force():
+    rng = np.random.default_rng(5)
+    keys = [rsa_key(), der(0x30, der(2, b"\1"), der(4, b"e" * 32), der(0xA0, der(6, b"\x2a")))]
+    pieces = ["\n", "\n", "\r\n", " ", "prose\n", "MIIBVgIBADANBgkq\n", "MIGHAgEAMBMGByqG\nAAAA\n"]
+    found = 0
+    for _ in range(60):
+        text = ""
+        for _ in range(12):
+            raw = base64.b64encode(keys[rng.integers(2)][: rng.choice([999, 999, 50])]).decode()
+            width = int(rng.choice([16, 20, 64]))
+            text += "\n".join(raw[i : i + width] for i in range(0, len(raw), width)) + pieces[rng.integers(len(pieces))]
+        want = wrapped_brute(text)
+        found += len(want)
+        assert list(secret_scans.wrapped_der(text)) == want
+    assert found > 200
+
+
+def test_lines_like_key_heads_are_linear():
+    # every line claims a key that ends with the text, with fields that fit
+    from time import process_time
+
+    n = 32000
+    lines = []
+    for i in range(n):
+        size = (n - i) * 48
+        head = b"\x30\x83" + (size - 5).to_bytes(3, "big") + b"\x02\x01\0\x02\x83" + (size - 13).to_bytes(3, "big")
+        lines.append(base64.b64encode(head + b"k" * 35).decode())
+    start = process_time()
+    assert not [x for x in secret_scans.scan("\n".join(lines)) if x[1] > 2]
+    assert process_time() - start < 20  # 2 MB
+
+
 def base_brute(text):
     found = []
     assign = re.compile(r"""(?ai:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
