@@ -115,6 +115,14 @@ def related(spark, d):
     return graph.related(B.part_edges(spark, d), starts)
 
 
+@query("G3_all", "WITH u AS (SELECT source, target FROM edges UNION SELECT target, source FROM edges), a AS (SELECT DISTINCT p_partkey AS start, target AS id FROM part JOIN u ON source = p_partkey), "
+                 "b AS (SELECT DISTINCT start, target AS id FROM a JOIN u ON source = a.id) "
+                 "SELECT start, id, CAST(min(depth) AS INTEGER) AS depth FROM (SELECT start, id, 1 AS depth FROM a UNION ALL SELECT start, id, 2 FROM b) WHERE start <> id GROUP BY 1, 2")
+def related_to_all(spark, d):
+    """Neighbours of every part."""
+    return graph.related(B.part_edges(spark, d), B.table(spark, d, "part").select(c("p_partkey").alias("id")))
+
+
 CHAINS = (
     "WITH RECURSIVE w AS (SELECT p_partkey AS start, [p_partkey] AS chain, p_partkey AS last, 0 AS depth FROM part "
     "UNION ALL SELECT start, list_append(chain, target), target, depth + 1 FROM w JOIN edges ON source = last WHERE depth < 3 AND NOT list_contains(chain, target)), "

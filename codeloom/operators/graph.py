@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from codeloom.functions.scoring import impact_risk
+from codeloom.operators.sets import LISTED, members, numbered, union_counts, words
 from codeloom.operators.skew import skew_lookup
 from codeloom.session import cut_lineage
 
@@ -128,25 +129,39 @@ def undirected(edges: DataFrame) -> DataFrame:
     return edges.select("source", "target").unionByName(back).distinct()
 
 
-def related(edges: DataFrame, starts: DataFrame, max_depth: int = 2) -> DataFrame:
-    """(start, id, depth) within ``max_depth`` references of each start.
+def related_sets(edges: DataFrame, numbers: DataFrame, max_depth: int = 2) -> DataFrame:
+    """(id, word, bits, depth): for every node the starts that first reach it
+    after ``depth`` references, as sets of 64 numbers a word.
 
-    Breadth first with a visited set, so every node has its least depth.
+    ``numbers``: id and number of each start. Breadth first from all starts at
+    once: the sets move along the references, meet by OR, and lose what the node
+    has seen, so a hub passes on 64 starts with each row.
     """
-    refs = undirected(edges)
-    frontier = starts.select(F.col("id").alias("start"), "id")
-    seen = frontier.withColumn("depth", F.lit(0))
+    refs = undirected(edges).withColumnRenamed("source", "id")
+    frontier = cut_lineage(words(numbers))
+    levels, seen = [], frontier
     for depth in range(1, max_depth + 1):
-        frontier = (
-            skew_lookup(frontier, refs.withColumnRenamed("source", "id"), ["id"], ["start"], "inner")
-            .select("start", F.col("target").alias("id"))
-            .distinct()
-            .join(seen, ["start", "id"], "left_anti")
+        arrived = (
+            skew_lookup(frontier, refs, ["id"], ["word"], "inner")
+            .groupBy(F.col("target").alias("id"), "word")
+            .agg(F.bit_or("bits").alias("bits"))
+        )
+        known = seen.groupBy("id", "word").agg(F.bit_or("bits").alias("known"))
+        fresh = F.col("bits").bitwiseAND(F.bitwise_not(F.coalesce("known", F.lit(0).cast("long"))))
+        frontier = cut_lineage(
+            arrived.join(known, ["id", "word"], "left").select("id", "word", fresh.alias("bits")).filter("bits <> 0")
         )
-        if depth < max_depth:
-            frontier = cut_lineage(frontier)
-        seen = seen.unionByName(frontier.withColumn("depth", F.lit(depth)))
-    return seen.filter(F.col("depth") > 0)
+        seen = seen.unionByName(frontier)
+        levels.append(frontier.withColumn("depth", F.lit(depth)))
+    return reduce(DataFrame.unionByName, levels)
+
+
+def related(edges: DataFrame, starts: DataFrame, max_depth: int = 2) -> DataFrame:
+    """(start, id, depth) within ``max_depth`` references of each start, with
+    the least depth: the members of ``related_sets``."""
+    numbers = cut_lineage(numbered(starts))
+    reached = members(related_sets(edges, numbers, max_depth))
+    return skew_lookup(reached, numbers.withColumnRenamed("id", "start"), ["number"], ["id"], "inner").select("start", "id", "depth")
 
 
 def call_chains(edges: DataFrame, starts: DataFrame, max_depth: int = 3) -> DataFrame:
@@ -246,9 +261,9 @@ def impact(edges: DataFrame, modules: DataFrame, rules: DataFrame | None = None)
     """Direct and two-step impact of every node at once.
 
     ``edges``: source calls target. ``modules``: id, module_path.
-    Affected are the callers and the callers' callers. For nodes with very
-    many callers the second step is carried as bitmaps (``affected_counts``),
-    never as one row per pair. With ``rules`` (code_entity_id) the rules that
+    Affected are the callers and the callers' callers; the second step is
+    carried as lists and bitmaps (``affected_counts``), never as one row per
+    pair. With ``rules`` (code_entity_id) the rules that
     sit on the node itself are counted as ``n_rules``.
     """
     calls = edges.select("source", "target").distinct()
@@ -269,89 +284,32 @@ def impact(edges: DataFrame, modules: DataFrame, rules: DataFrame | None = None)
     return base.withColumn("risk_level", impact_risk(F.col("n_dependents"), F.col("n_affected")))
 
 
-HUB_DEGREE = 4096
-
-
-def numbered(ids: DataFrame) -> DataFrame:
-    """(id, number): distinct ids of any type with numbers from 0, without
-    gaps. Each range of ids numbers its own rows; only counts are summed."""
-    laid = ids.select("id").distinct().repartitionByRange("id").sortWithinPartitions("id")
-    laid = cut_lineage(laid.withColumn("_at", F.monotonically_increasing_id()))
-    part = F.shiftright("_at", 33)
-    counts = laid.groupBy(part.alias("_part")).agg(F.count("*").alias("_n"), F.min("_at").alias("_first"))
-    before = F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
-    starts = counts.select("_part", (F.coalesce(before, F.lit(0)) - F.col("_first")).alias("_shift"))
-    # one row for each partition
-    found = laid.withColumn("_part", part).join(F.broadcast(starts), "_part")
-    return found.select("id", (F.col("_at") + F.col("_shift")).alias("number"))
-
-
-def affected_counts(calls: DataFrame, modules: DataFrame, hub_degree: int = HUB_DEGREE) -> DataFrame:
+def affected_counts(calls: DataFrame, modules: DataFrame, listed: int = LISTED) -> DataFrame:
     """(id, n_affected, n_modules) over callers and callers' callers, exact.
 
-    A node with at most ``hub_degree`` callers passes them on as rows. A hub
-    passes its callers on as 32,768-bit bitmaps instead, one per range of
-    numbers, so a hub next to a hub costs bits and not the product. Ids of any
-    type are numbered without gaps first, so few bitmaps hold many callers.
+    A node passes its callers on as lists and bitmaps of ranges of numbers
+    (``sets.union_counts``), their modules likewise, so no edge makes a row for
+    each caller. Ids of any type are numbered without gaps first, so few ranges
+    hold many callers.
     """
     ends = calls.select(F.col("source").alias("id")).unionByName(calls.select(F.col("target").alias("id")))
-    numbers = cut_lineage(numbered(ends.unionByName(modules.select("id"))))
-    source, target = (
-        numbers.select(F.col("id").alias(end), F.col("number").alias(f"_{end}")) for end in ("source", "target")
-    )
-    calls = calls.join(source, "source").join(target, "target").select(
-        F.col("_source").alias("source"), F.col("_target").alias("target")
-    )
-    modules = modules.join(numbers, "id").select(F.col("number").alias("id"), "module_path")
-    counts = _numbered_counts(cut_lineage(calls), modules, hub_degree)
-    return counts.withColumnRenamed("id", "number").join(numbers, "number").drop("number")
-
-
-def _numbered_counts(calls: DataFrame, modules: DataFrame, hub_degree: int) -> DataFrame:
-    rev = calls.select(F.col("target").alias("id"), F.col("source").alias("dep"))
-    degree = rev.groupBy("id").agg(F.count("*").alias("deg"))
-    hubs = degree.filter(F.col("deg") > hub_degree).select(F.col("id").alias("dep"))
-    fed = rev.join(hubs, "dep", "left_semi")  # edges whose caller is a hub
-    plain = rev.join(hubs, "dep", "left_anti")
-
-    second = rev.select(F.col("id").alias("dep"), F.col("dep").alias("far"))
-    near = rev.select("id", F.col("dep").alias("far"))
-    light = plain.join(second.join(hubs, "dep", "left_anti"), "dep").select("id", "far")
-    members = near.unionByName(light).distinct()
-
-    has_hub = fed.select("id").distinct()
-    rows_only = members.join(has_hub, "id", "left_anti")
-    owner = modules.select(F.col("id").alias("far"), "module_path")
-    counted = (
-        skew_lookup(rows_only, owner, ["far"], ["id"], "left")
-        .groupBy("id", "module_path")
-        .agg(F.count("*").alias("n"))
-        .groupBy("id")
-        .agg(F.sum("n").alias("n_affected"), F.count("module_path").alias("n_modules"))
-    )
-
-    def bits(df: DataFrame, key: str) -> DataFrame:
-        return df.groupBy(key, F.bitmap_bucket_number("far").alias("b")).agg(
-            F.bitmap_construct_agg(F.bitmap_bit_position("far")).alias("bits")
-        )
-
-    hub_bits = bits(second.join(hubs, "dep", "left_semi"), "dep")
-    own_bits = bits(members.join(has_hub, "id", "left_semi"), "id")
-    from_hubs = fed.join(hub_bits, "dep").select("id", "b", "bits")
-    merged = own_bits.unionByName(from_hubs).groupBy("id", "b").agg(F.bitmap_or_agg("bits").alias("bits"))
-    hub_total = merged.groupBy("id").agg(F.sum(F.bitmap_count("bits")).alias("n_affected"))
-    # modules: a hub's callers are reduced to their distinct modules first
-    far_module = skew_lookup(
-        second.join(hubs, "dep", "left_semi"), owner, ["far"], ["dep"], "inner"
-    ).select("dep", "module_path").distinct()
-    via_hub = fed.join(far_module, "dep").select("id", "module_path")
-    via_rows = skew_lookup(
-        members.join(has_hub, "id", "left_semi"), owner, ["far"], ["id"], "inner"
-    ).select("id", "module_path")
-    hub_modules = (
-        via_hub.unionByName(via_rows).distinct().groupBy("id").agg(F.count("*").alias("n_modules"))
+    numbers = cut_lineage(numbered(ends))
+    named = lambda end: numbers.select(F.col("id").alias(end), F.col("number").alias(f"_{end}"))
+    routed = skew_lookup(calls.select("source", "target"), named("source"), ["source"], ["target"], "inner")
+    routed = skew_lookup(routed, named("target"), ["target"], ["source"], "inner")
+    links = cut_lineage(routed.select(F.col("_source").alias("source"), F.col("_target").alias("target")))
+    placed = modules.filter(F.col("module_path").isNotNull())
+    modules_by_number = numbered(placed.select(F.col("module_path").alias("id"))).select(
+        F.col("id").alias("module_path"), F.col("number").alias("member")
     )
-    return counted.unionByName(hub_total.join(hub_modules, "id", "left"))
+    owner = skew_lookup(placed.select("id", "module_path").join(numbers, "id"), modules_by_number, ["module_path"], ["number"], "inner")
+    owner = owner.select(F.col("number").alias("source"), "member")
+    callers = links.select(F.col("target").alias("id"), F.lit("node").alias("kind"), F.col("source").alias("member"))
+    homes = skew_lookup(links, owner, ["source"], ["target"], "inner").select(F.col("target").alias("id"), F.lit("module").alias("kind"), "member")
+    sizes = union_counts(links, callers.unionByName(homes.distinct()), listed)
+    of = lambda kind: F.coalesce(F.sum(F.when(F.col("kind") == kind, F.col("n"))), F.lit(0))
+    counts = sizes.groupBy(F.col("id").alias("number")).agg(of("node").alias("n_affected"), of("module").alias("n_modules"))
+    return counts.join(numbers, "number").select("id", "n_affected", "n_modules")
 
 
 def adjacency(edges: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from codeloom.functions.scoring import score_components
 from codeloom.functions.text import STOP_WORDS, regex_hits
-from codeloom.operators import asof, graph, overlap
+from codeloom.operators import asof, graph, overlap, sets
 from codeloom.operators import metrics as M
 from codeloom.operators import ranking as K
 from codeloom.operators import resolve as R
@@ -63,6 +63,34 @@ def test_related(spark):
     assert got == {"b": 1, "c": 1, "f": 1, "d": 2, "e": 2}
 
 
+def test_related_from_many_starts(spark):
+    rnd = random.Random(11)
+    pairs = [(rnd.randrange(150), rnd.randrange(150)) for _ in range(160)] + [(7, 7)]
+    near = {n: {t for s, t in pairs if s == n} | {s for s, t in pairs if t == n} for p in pairs for n in p}
+    chosen = [n for n in range(0, 160, 2)]  # some of them on no edge
+    want = set()
+    for start in chosen:
+        seen, front = {start}, {start}
+        for depth in (1, 2, 3):
+            front = set().union(*(near.get(n, set()) for n in front)) - seen
+            seen |= front
+            want |= {(start, n, depth) for n in front}
+    starts = spark.createDataFrame([(n,) for n in chosen + chosen[:3]], "id long")
+    e = edges(spark, pairs, "long")
+    assert sorted(map(tuple, graph.related(e, starts, 3).collect())) == sorted(want)
+    assert graph.related(e.limit(0), starts).count() == 0 and graph.related(e, starts.limit(0)).count() == 0
+
+
+def test_related_at_a_hub(spark):
+    """10,000 starts around one hub: 64 of them travel in a row."""
+    n = 10_000
+    e = spark.range(1, n + 1).select(F.col("id").alias("source"), F.lit(0).cast("long").alias("target"))
+    numbers = sets.numbered(spark.range(1, n + 1))
+    got = graph.related_sets(e, numbers).groupBy("depth").agg(F.sum(F.bit_count("bits")), F.count("*")).orderBy("depth").collect()
+    assert [tuple(r)[:2] for r in got] == [(1, n), (2, n * (n - 1))]
+    assert got[1][2] <= n * (n // 64 + 1)
+
+
 def test_closure_and_cycle(spark):
     n = spark.createDataFrame([("r", None, "R"), ("m", "r", "M"), ("x", "m", "X"), ("o", "gone", "O")], "id string, parent_id string, label string")
     rows = {(r["ancestor"], r["descendant"], r["depth"], r["path"]) for r in graph.closure(n).collect()}
@@ -126,6 +154,31 @@ def test_impact_with_hubs_is_exact(spark):
     assert counted[5] == 2 and counted[7] == 1 and counted[8] == 0
 
 
+def test_impact_of_a_large_hub(spark):
+    """A hub of 100,000 callers called by none, calling 300 nodes, and a second
+    one that shares half of the callers and calls 200 of them."""
+    n, hub, other = 100_000, 1_000_000, 1_000_001
+    ids = spark.range(n)
+    link = lambda df, s, t: df.select(s.cast("long").alias("source"), t.cast("long").alias("target"))
+    k = F.col("id")
+    e = link(ids, k, F.lit(hub)).unionByName(link(ids, k + n // 2, F.lit(other)))
+    e = e.unionByName(link(spark.range(300), F.lit(hub), k + 2_000_000)).unionByName(link(spark.range(200), F.lit(other), k + 2_000_000))
+    modules = ids.select("id", F.concat(F.lit("m"), k % 11).alias("module_path"))
+    got = {r["id"]: (r["n_affected"], r["n_modules"]) for r in graph.affected_counts(e, modules).collect()}
+    both, first = {got[2_000_000 + i] for i in range(200)}, {got[2_000_000 + i] for i in range(200, 300)}
+    assert both == {(n + n // 2 + 2, 11)} and first == {(n + 1, 11)}
+    assert got[hub] == (n, 11) and got[other] == (n, 11) and len(got) == 302
+
+
+def test_containers_are_chosen_by_density(spark):
+    few, many = spark.range(5).select((F.col("id") * 50_000 + 3).alias("member")), spark.range(40_000).select(F.col("id").alias("member"))
+    own = few.select(F.lit(1).alias("id"), "member").unionByName(many.select(F.lit(2).alias("id"), "member"))
+    rows = sets.containers(own.withColumn("kind", F.lit("node"))).collect()
+    assert sorted((r["n"], r["places"] is None) for r in rows if r["id"] == 1) == [(1, False)] * 5
+    # number 0 has a range of its own
+    assert sorted((r["n"], r["bits"] is None) for r in rows if r["id"] == 2) == [(1, True), (7231, False), (32_768, False)]
+
+
 def test_pattern_hits_are_linear(spark):
     text = "ab\ncd(x\n) é"
     for n in (3, 700, 20000):
