@@ -230,6 +230,22 @@ def test_containing_makes_rows_by_text_alone(spark):
         assert R.containing(t, "path", n, "name").count() == 0
 
 
+def test_containing_compares_whole_needles_only(spark, monkeypatch):
+    """Names that differ in few digits meet their own texts alone, and nothing
+    that grows is planned as a broadcast."""
+    k = F.col("id").cast("string")
+    t = spark.range(3000).select(F.concat(F.lit("compute_"), k, F.lit("()")).alias("path"))
+    n = spark.range(3000).select(F.concat(F.lit("compute_"), k).alias("name"))
+    written = []
+    keep = R.cut_lineage
+    monkeypatch.setattr(R, "cut_lineage", lambda df: written.append(keep(df)) or written[-1])
+    monkeypatch.setattr(R, "FEW_HEADS", 0)
+    out = R.containing(t, "path", n, "name")
+    assert out.count() == 3000 + 2990 + 2900 + 2000  # the name, and those of its first digits
+    assert [(x["head"], sorted(x["sizes"])) for x in written[2].collect()] == [("compute_", [9, 10, 11, 12])]
+    assert "Broadcast" not in out._jdf.queryExecution().executedPlan().toString()
+
+
 def test_rule_entities(spark):
     ents = [("e1", "/src/a/Pay.java", "PayService", 1), ("e2", "/src/a/Pay.java", "check", 2), ("e3", "/src/b/Ship.py", "ship", 3)]
     refs = ["Pay.java:check", "Pay.java:PayService.run", "Ship.py:nothing", "/b/", "none:x", "Pay.java"]
@@ -302,6 +318,28 @@ def test_overlap_makes_rows_by_words(spark, monkeypatch):
     assert sizes == [40_000, 2 * (4 * 20_000 - 10)]
 
 
+@pytest.mark.parametrize("common, witnesses", [(256, 1024), (8, 8), (4, 2)])
+def test_overlapping_sets_in_rounds(spark, monkeypatch, common, witnesses):
+    """Against all pairs, whatever the shares that are asked first; no set makes
+    a row for each of its words and each of its most frequent ones."""
+    monkeypatch.setattr(overlap, "COMMON", common)
+    monkeypatch.setattr(overlap, "WITNESSES", witnesses)
+    monkeypatch.setattr(overlap, "STEP", 4)
+    monkeypatch.setattr(overlap, "with_totals", None)
+    r = random.Random(common)
+    pick = lambda: f"w{min(int(r.expovariate(0.03)), 150)}"
+    sets = {i: sorted({pick() for _ in range(r.choice((0, 1, 2, 3, 9)))}) for i in range(150)}
+    want = {i: {j for j in sets if j != i and len(set(sets[i]) & set(sets[j])) > 1} for i in sets}
+    many, near = overlap.overlapping_sets(spark.createDataFrame(list(sets.items()), "id int, words array<string>"))
+    many = {x["id"] for x in many.collect()}
+    assert all(len(want[i]) >= 5 for i in many)
+    got = {i: [] for i in sets if i not in many}
+    for x in near.collect():
+        if x["id"] in got:
+            got[x["id"]].append(x["other"])
+    assert {i: sorted(x) for i, x in got.items()} == {i: sorted(want[i]) for i in got}
+
+
 def test_flow_pair_scores(spark):
     calls = spark.createDataFrame([("get", "/api/users/:userId"), ("GET", "/api/test"), ("POST", "/api/test"), ("GET", "/api/a/${x}")], "method string, url string")
     ends = spark.createDataFrame([("GET", "/api/users/{id}", "u"), ("GET", "/api/test", "t"), ("GET", "/api/test/", "t2"), ("GET", "/api/a/{y}", "a")], "method string, path string, handler_function string")
