@@ -405,3 +405,20 @@ def test_performance_buckets_always_present(spark):
                                  "status string, files_processed int, processing_time double")
     got = {r["size"]: (r["count"], r["avg_time"]) for r in M.performance_by_size(jobs).collect()}
     assert got == {"small": (2, 0.5), "medium": (2, 3.0), "large": (0, 0.0)}
+
+
+def test_flows_read_what_was_extracted_once(spark, tmp_path):
+    """Both sides of the flow joins are read several times, the sources behind
+    them once: the result reads written tables only."""
+    spark.createDataFrame([("GET", "/a/:x", "a"), ("POST", "/b", "b")], "method string, url string, name string").write.parquet(f"{tmp_path}/t")
+    t = spark.read.parquet(f"{tmp_path}/t")
+    source = set(t.inputFiles())
+    actions = t.select("name", F.col("url").alias("path"))
+    found = R.action_matches(t.select(F.col("name").alias("target_action")), actions)
+    assert not source & set(found.inputFiles())
+    assert {(r["target"], r["path"], r["confidence"]) for r in found.collect()} == {("a", "/a/:x", 1.0), ("b", "/b", 1.0)}
+    ends = t.select("method", F.col("url").alias("path"), F.col("name").alias("handler_function"))
+    calls = spark.createDataFrame([("get", "/a/{y}"), ("post", "/b")], "method string, url string")
+    met = R.call_matches(calls, ends)
+    assert not source & set(met.inputFiles())
+    assert {(r["url"], r["n_exact"], r["handler"]) for r in met.collect()} == {("/a/{y}", 0, "a"), ("/b", 1, "b")}
