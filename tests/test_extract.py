@@ -309,3 +309,28 @@ def test_model_output(spark):
     r = rows[("nested", "RULE-002")]
     assert r["category"] == "C" and r["confidence_score"] == 0.7 and r["related_entities"] == []
     assert rows[("nested", "B")]["related_entities"] == ["q", "r"]
+
+
+def test_windows_get_tasks_by_files(spark, files, monkeypatch):
+    """What a task of the windows sorts is bounded by files, whatever the
+    session's number of shuffle partitions."""
+    monkeypatch.setattr(W, "FILES", 2)
+    java = 'class A extends Action {\n@Action(value = "a")\npublic String run() { done(@Result(location = "/a.jsp")); }\n}'
+    rest = '@RequestMapping(value = "/a", method = RequestMethod.GET)\npublic X get(@RequestParam("q") String q) { }'
+    df = files(*[(f"a{i}", java) for i in range(20)])
+    many = -(-20 // 2)
+    assert many > spark.sparkContext.defaultParallelism
+    assert W.annotated_actions(df).rdd.getNumPartitions() == many
+    assert W.annotated_actions(df).count() == 20
+    found = W.rest_endpoints(files(*[(f"a{i}", rest) for i in range(20)]))
+    assert found.rdd.getNumPartitions() == many
+    assert {r.handler_function for r in found.collect()} == {"get"}
+
+
+def test_hits_around_a_block(spark):
+    """Sums of blocks are left out below a block only."""
+    for n in (0, 1, X.HIT_BLOCK - 1, X.HIT_BLOCK, X.HIT_BLOCK + 1):
+        text = "".join(f"x\ny{i};" for i in range(n)) + "z"
+        got = spark.createDataFrame([(text,)], "t string").select(X.regex_hits(F.col("t"), r"y(\d+)").alias("h")).first()["h"]
+        want = [(m.start(), 1 + text.count("\n", 0, m.start()), m.end(), m.group(1)) for m in re.finditer(r"y(\d+)", text)]
+        assert [(h["start"], h["line"], h["end"], h["g1"]) for h in got] == want
