@@ -334,3 +334,13 @@ def test_hits_around_a_block(spark):
         got = spark.createDataFrame([(text,)], "t string").select(X.regex_hits(F.col("t"), r"y(\d+)").alias("h")).first()["h"]
         want = [(m.start(), 1 + text.count("\n", 0, m.start()), m.end(), m.group(1)) for m in re.finditer(r"y(\d+)", text)]
         assert [(h["start"], h["line"], h["end"], h["g1"]) for h in got] == want
+
+
+def test_syntax_scan_looks_at_nodes_with_facts_only(monkeypatch):
+    from codeloom.operators import syntax_scan
+
+    seen, facts = [], syntax_scan._facts
+    monkeypatch.setattr(syntax_scan, "_facts", lambda node: seen.append(node) or facts(node))
+    batch = syntax_scan.pa.RecordBatch.from_pydict({"file_path": ["a.py"], "text": [CLAIMS]})
+    rows = sum(b.num_rows for b in syntax_scan.scan(iter([batch])))
+    assert len(seen) == rows > 10
