@@ -170,6 +170,21 @@ def test_block_tables_find_all(spark, monkeypatch, rows_per_key):
         simhash.near_pairs(df, 7)
 
 
+def test_tables_hold_permuted_fingerprints(spark):
+    """Two blocks lead in each table, the others follow in their order, and the
+    fingerprint comes back; the search merges the tables sorted by their lead."""
+    signed = lambda x, n: x - (1 << n) if x >> (n - 1) else x
+    w0, w1 = 0x8123456789ABCDEF, 0xFEDCBA9876543210
+    blocks = [w >> 16 * b & 0xFFFF for w in (w0, w1) for b in range(4)]
+    df = spark.createDataFrame([(signed(w0, 64), signed(w1, 64))], "w0 long, w1 long")
+    rows = simhash._tables(df)
+    got = {(r.i, r.j): [v >> 16 * k & 0xFFFF for v, n in ((r.lead, 2), (r.rest, 2), (r.low, 4)) for k in reversed(range(n))] for r in rows.collect()}
+    assert got == {(i, j): [blocks[i], blocks[j], *(x for b, x in enumerate(blocks) if b not in (i, j))] for i in range(8) for j in range(i + 1, 8)}
+    back = rows.select(*simhash._unpermuted(*(F.col(c) for c in ("i", "j", "lead", "rest", "low")))).distinct()
+    assert back.collect() == df.collect()
+    assert "SortMergeJoin" in simhash.has_near(df)._jdf.queryExecution().executedPlan().toString()
+
+
 def test_fingerprints_tell_edits_apart(spark):
     """An edited half is nearer than another document, nearly always."""
     r = random.Random(1)
