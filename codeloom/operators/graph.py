@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from codeloom.functions.scoring import impact_risk
 from codeloom.operators.sets import LISTED, members, numbered, union_counts, words
-from codeloom.operators.skew import skew_lookup
+from codeloom.operators.skew import by_merge, skew_lookup
 from codeloom.session import cut_lineage
 
 
@@ -262,54 +262,95 @@ def impact(edges: DataFrame, modules: DataFrame, rules: DataFrame | None = None)
 
     ``edges``: source calls target. ``modules``: id, module_path.
     Affected are the callers and the callers' callers; the second step is
-    carried as lists and bitmaps (``affected_counts``), never as one row per
-    pair. With ``rules`` (code_entity_id) the rules that
-    sit on the node itself are counted as ``n_rules``.
+    carried as lists, and as bitmaps where lists grow long
+    (``affected_counts``), never as one row per pair. With ``rules``
+    (code_entity_id) the rules that sit on the node itself are counted as
+    ``n_rules``.
     """
-    calls = edges.select("source", "target").distinct()
+    # both are read several times
+    calls, modules = cut_lineage(edges.select("source", "target").distinct()), cut_lineage(modules.select("id", "module_path"))
     outgoing = calls.groupBy(F.col("source").alias("id")).agg(F.count("*").alias("n_dependencies"))
     direct = calls.groupBy(F.col("target").alias("id")).agg(F.count("*").alias("n_dependents"))
     affected = affected_counts(calls, modules)
     zero = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("long").alias(c)
     base = (
         modules.select("id")
-        .join(direct, "id", "left")
-        .join(outgoing, "id", "left")
-        .join(affected, "id", "left")
+        .join(by_merge(direct), "id", "left")
+        .join(by_merge(outgoing), "id", "left")
+        .join(by_merge(affected), "id", "left")
         .select("id", zero("n_dependents"), zero("n_dependencies"), zero("n_affected"), zero("n_modules"))
     )
     if rules is not None:
         own = rules.groupBy(F.col("code_entity_id").alias("id")).agg(F.count("*").alias("n_rules"))
-        base = base.join(own, "id", "left").withColumn("n_rules", F.coalesce("n_rules", F.lit(0)).cast("long"))
+        base = base.join(by_merge(own), "id", "left").withColumn("n_rules", F.coalesce("n_rules", F.lit(0)).cast("long"))
     return base.withColumn("risk_level", impact_risk(F.col("n_dependents"), F.col("n_affected")))
 
 
 def affected_counts(calls: DataFrame, modules: DataFrame, listed: int = LISTED) -> DataFrame:
     """(id, n_affected, n_modules) over callers and callers' callers, exact.
 
+    ``calls``: source, target, distinct; it is read several times. Sizes are
+    known first: where the callers and their callers are up to ``listed``, each
+    caller passes its own callers on as one list. The other nodes, and no more
+    of the graph than reaches them, go through ``_affected_by_sets``.
+    """
+    homes = modules.filter(F.col("module_path").isNotNull()).select(F.col("id").alias("source"), "module_path")
+    callers = calls.groupBy(F.col("target").alias("source")).agg(F.count("*").alias("_n"))
+    known = homes.join(by_merge(callers), "source", "full")
+    routed = cut_lineage(skew_lookup(calls, known, ["source"], ["target"], "left"))
+    most = F.sum(F.lit(1) + F.coalesce("_n", F.lit(0)))
+    reach = cut_lineage(routed.groupBy("target").agg(F.count("*").alias("n"), most.alias("most")))
+    far = reach.filter(F.col("most") > listed).select("target")
+    hubs = reach.filter(F.col("n") > listed).select("target")
+    some = not far.isEmpty()
+    short = routed.join(by_merge(hubs), "target", "left_anti") if some else routed
+    lists = cut_lineage(
+        short.groupBy("target").agg(F.collect_set("source").alias("nodes"), F.collect_set("module_path").alias("homes"))
+    )
+    carried = skew_lookup(calls, lists.withColumnRenamed("target", "source"), ["source"], ["target"], "inner")
+    met = carried.select("target", "nodes", "homes").unionByName(lists)
+    if some:
+        met = met.join(by_merge(far), "target", "left_anti")
+    size = lambda c: F.size(F.array_distinct(F.flatten(F.collect_list(c)))).cast("long")
+    few = met.groupBy(F.col("target").alias("id")).agg(size("nodes").alias("n_affected"), size("homes").alias("n_modules"))
+    return few.unionByName(_affected_by_sets(calls, far.withColumnRenamed("target", "id"), modules, listed)) if some else few
+
+
+def _affected_by_sets(calls: DataFrame, ids: DataFrame, modules: DataFrame, listed: int) -> DataFrame:
+    """``affected_counts`` of the nodes ``ids``, out of their callers and those
+    callers' callers.
+
     A node passes its callers on as lists and bitmaps of ranges of numbers
     (``sets.union_counts``), their modules likewise, so no edge makes a row for
     each caller. Ids of any type are numbered without gaps first, so few ranges
     hold many callers.
     """
-    ends = calls.select(F.col("source").alias("id")).unionByName(calls.select(F.col("target").alias("id")))
+    asked = calls.join(by_merge(ids.withColumnRenamed("id", "target")), "target", "left_semi")
+    held = ids.select(F.col("id").alias("target"), F.lit(True).alias("asked"))
+    held = held.unionByName(asked.select(F.col("source").alias("target"), F.lit(False).alias("asked")))
+    held = held.groupBy("target").agg(F.bool_or("asked").alias("asked"))
+    used = cut_lineage(skew_lookup(calls, held, ["target"], ["source"], "inner"))
+    ends = used.select(F.col("source").alias("id")).unionByName(used.select(F.col("target").alias("id")))
     numbers = cut_lineage(numbered(ends))
     named = lambda end: numbers.select(F.col("id").alias(end), F.col("number").alias(f"_{end}"))
-    routed = skew_lookup(calls.select("source", "target"), named("source"), ["source"], ["target"], "inner")
+    routed = skew_lookup(used, named("source"), ["source"], ["target"], "inner")
     routed = skew_lookup(routed, named("target"), ["target"], ["source"], "inner")
-    links = cut_lineage(routed.select(F.col("_source").alias("source"), F.col("_target").alias("target")))
-    placed = modules.filter(F.col("module_path").isNotNull())
+    links = cut_lineage(routed.select(F.col("_source").alias("source"), F.col("_target").alias("target"), "asked"))
+    placed = modules.filter(F.col("module_path").isNotNull()).join(by_merge(numbers), "id").select("module_path", "number")
+    placed = cut_lineage(placed)
     modules_by_number = numbered(placed.select(F.col("module_path").alias("id"))).select(
         F.col("id").alias("module_path"), F.col("number").alias("member")
     )
-    owner = skew_lookup(placed.select("id", "module_path").join(numbers, "id"), modules_by_number, ["module_path"], ["number"], "inner")
+    owner = skew_lookup(placed, modules_by_number, ["module_path"], ["number"], "inner")
     owner = owner.select(F.col("number").alias("source"), "member")
     callers = links.select(F.col("target").alias("id"), F.lit("node").alias("kind"), F.col("source").alias("member"))
     homes = skew_lookup(links, owner, ["source"], ["target"], "inner").select(F.col("target").alias("id"), F.lit("module").alias("kind"), "member")
-    sizes = union_counts(links, callers.unionByName(homes.distinct()), listed)
+    sizes = union_counts(links.filter("asked").select("source", "target"), callers.unionByName(homes.distinct()), listed)
     of = lambda kind: F.coalesce(F.sum(F.when(F.col("kind") == kind, F.col("n"))), F.lit(0))
     counts = sizes.groupBy(F.col("id").alias("number")).agg(of("node").alias("n_affected"), of("module").alias("n_modules"))
-    return counts.join(numbers, "number").select("id", "n_affected", "n_modules")
+    # callers are no answer themselves unless asked for
+    wanted = numbers.join(by_merge(ids), "id", "left_semi")
+    return counts.join(by_merge(wanted), "number").select("id", "n_affected", "n_modules")
 
 
 def adjacency(edges: DataFrame) -> DataFrame:

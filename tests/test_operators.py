@@ -7,6 +7,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
+from codeloom.catalog import bindings
 from codeloom.functions.scoring import score_components
 from codeloom.functions.text import STOP_WORDS, regex_hits
 from codeloom.operators import asof, graph, overlap, sets
@@ -154,6 +155,34 @@ def test_impact_with_hubs_is_exact(spark):
     assert counted[5] == 2 and counted[7] == 1 and counted[8] == 0
 
 
+def test_impact_of_few_callers_is_listed(spark, monkeypatch):
+    """Nodes that few reach need no sets, and of a graph with one hub only what
+    reaches the hub is numbered."""
+    k = F.col("id")
+    tree = spark.range(1, 500).select(k.alias("source"), F.floor(k / 2).alias("target"))
+    modules = spark.range(500).select("id", F.concat(F.lit("m"), k % 3).alias("module_path"))
+    seen = []
+    real = graph.union_counts
+    monkeypatch.setattr(graph, "union_counts", lambda links, *rest: seen.append(links.count()) or real(links, *rest))
+    want = {i: len([j for j in range(1, 500) if i in (j // 2, j // 4)]) for i in range(1, 250)}
+    got = {r["id"]: r["n_affected"] for r in graph.affected_counts(tree, modules).collect()}
+    assert {i: n for i, n in got.items() if i} == want and not seen
+    hub = tree.unionByName(spark.range(100, 140).select(k.alias("source"), F.lit(499).cast("long").alias("target")))
+    got = {r["id"]: r["n_affected"] for r in graph.affected_counts(hub, modules, 20).collect()}
+    far = set(range(100, 140)) | {j for j in range(1, 500) if 100 <= j // 2 < 140}
+    assert got[499] == len(far) and got[300 // 2] == 2 and seen and seen[0] < 60
+
+
+def test_entities_in_modules_use_all_cores(spark, tmp_path):
+    """The keys of one small file are spread before paths are derived."""
+    part = spark.range(64).select(
+        F.col("id").alias("p_partkey"), F.lit("a b").alias("p_name"), F.lit(1).alias("p_size"), F.lit("t").alias("p_type"), F.lit("b").alias("p_brand")
+    )
+    part.coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
+    parts = bindings.entities_in_modules(spark, str(tmp_path)).select("k", F.spark_partition_id().alias("at"))
+    assert parts.select("at").distinct().count() > 1
+
+
 def test_impact_of_a_large_hub(spark):
     """A hub of 100,000 callers called by none, calling 300 nodes, and a second
     one that shares half of the callers and calls 200 of them."""
