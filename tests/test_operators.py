@@ -275,6 +275,18 @@ def test_containing_compares_whole_needles_only(spark, monkeypatch):
     assert "Broadcast" not in out._jdf.queryExecution().executedPlan().toString()
 
 
+def test_containing_drops_places_early(spark):
+    """Few heads: no broadcast, and places where none begins make no row, in
+    short texts and in long ones."""
+    t = spark.createDataFrame([("x" * 50 + "needle",), ("y" * 5000 + "needle\U0001f600",)], "path string")
+    n = spark.createDataFrame([("needle",)], "name string")
+    heads = spark.createDataFrame([("need",)], "head string")
+    rows = R._grams(t, "path", "path", F.array(F.lit(4)), R._among(heads, 1)).collect()
+    assert sorted(r["tail"] for r in rows if r["gram"] == "need") == ["needle", "needle\U0001f600"] and len(rows) < 500
+    out = R.containing(t, "path", n, "name")
+    assert out.count() == 2 and "Broadcast" not in out._jdf.queryExecution().executedPlan().toString()
+
+
 def test_rule_entities(spark):
     ents = [("e1", "/src/a/Pay.java", "PayService", 1), ("e2", "/src/a/Pay.java", "check", 2), ("e3", "/src/b/Ship.py", "ship", 3)]
     refs = ["Pay.java:check", "Pay.java:PayService.run", "Ship.py:nothing", "/b/", "none:x", "Pay.java"]
