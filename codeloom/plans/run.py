@@ -61,7 +61,8 @@ def whole_run(files: DataFrame, rules: DataFrame | None = None) -> Run:
     when left out. Entities are extracted and written once."""
     spark = files.sparkSession
     graph = build(files)
-    graph = Graph(cut_lineage(graph.nodes), cut_lineage(graph.edges))
+    nodes = cut_lineage(graph.nodes)
+    graph = Graph(nodes, cut_lineage(graph.edges), nodes.select("entity_id", "name"))
     entities = component_rows(graph.nodes)
     given = spark.createDataFrame([], RULES) if rules is None else rules
     ordered = graph.nodes.filter(F.col("type") != "module").select(

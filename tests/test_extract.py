@@ -344,3 +344,20 @@ def test_syntax_scan_looks_at_nodes_with_facts_only(monkeypatch):
     batch = syntax_scan.pa.RecordBatch.from_pydict({"file_path": ["a.py"], "text": [CLAIMS]})
     rows = sum(b.num_rows for b in syntax_scan.scan(iter([batch])))
     assert len(seen) == rows > 10
+
+
+def test_syntax_scan_passes_over_matched_constants():
+    """``case True`` holds a plain value where other patterns hold nodes."""
+    from codeloom.operators import syntax_scan
+
+    out = []
+    syntax_scan._walk("a.py", "def f(x):\n    match x:\n        case True | None:\n            return g(x)\n", out)
+    assert sorted(r[5] for r in out) == ["Call", "FunctionDef", "Return"]
+
+
+def test_calls_and_logic_in_one_pass(spark, files):
+    """The lists of calls and logic that an entity carries, null where there are none."""
+    text = "def a(x):\n    y = x * 2\n    if x > y:\n        m.run(x)\n        go(x)\n        go(y)\n\ndef b():\n    pass\n"
+    rows = {r["scope"]: r for r in P.calls_and_logic(P.node_table(files(("a.py", text)))).collect()}
+    (row,) = rows.values()
+    assert sorted(row["calls"].split(",")) == ["go", "run"] and row["logic"] == "calculation,validation"

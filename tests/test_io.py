@@ -154,3 +154,17 @@ def test_graph_of_a_folder(spark, tmp_path):
     assert {x for x in got if x[1] == "depends_on"} == {("child", "depends_on", "base")} and child.startswith("module:")
     assert {x for x in got if x[1] == "calls"} == {("run", "calls", "load")}
     assert ("module", "notes") not in nodes and nodes[("function", "run")]["attrs"]["parameters"] == "x"
+
+
+def test_dependencies_get_no_ids(spark, tmp_path):
+    """What a file depends on is written with its path and name alone, and the
+    names of nodes are those of the graph."""
+    from codeloom.plans.intelligence import build, code_nodes
+    from codeloom.plans.registry import DEPENDENCY, extract_all
+
+    (tmp_path / "a.py").write_text("import os\n\nclass A:\n    pass\n")
+    files = corpus.read_texts(spark, str(tmp_path))
+    rows = {r["type"]: r for r in code_nodes(extract_all(files)).collect()}
+    assert rows[DEPENDENCY]["name"] == "os" and rows[DEPENDENCY]["entity_id"] is None and rows["class"]["module_id"]
+    g = build(files)
+    assert {tuple(r) for r in g.names.collect()} == {(r["entity_id"], r["name"]) for r in g.nodes.collect()}

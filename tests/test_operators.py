@@ -463,3 +463,20 @@ def test_flows_read_what_was_extracted_once(spark, tmp_path):
     met = R.call_matches(calls, ends)
     assert not source & set(met.inputFiles())
     assert {(r["url"], r["n_exact"], r["handler"]) for r in met.collect()} == {("/a/{y}", 0, "a"), ("/b", 1, "b")}
+
+
+def test_containing_writes_places_once_and_few(spark, monkeypatch):
+    """Needles longer than every text are left out before they are written,
+    texts without a head before they are cut, and places are cut once."""
+    odd = ".*(\\E[\n\U0001f600|"
+    t = spark.createDataFrame([(f"compute_{i}",) for i in range(500)] + [(f"a{odd}b",)], "path string")
+    n = spark.createDataFrame([("x" * w,) for w in range(20, 400)] + [(odd,), ("te_499",)], "name string")
+    written = []
+    keep = R.cut_lineage
+    monkeypatch.setattr(R, "cut_lineage", lambda df: written.append(keep(df)) or written[-1])
+    out = R.containing(t, "path", n, "name")
+    assert {(r["path"], r["name"]) for r in out.collect()} == {(f"a{odd}b", odd), ("compute_499", "te_499")}
+    held, asked, heads, places = written
+    assert held.count() == 501 and asked.count() == heads.count() == 2
+    # ``te_4`` begins in a hundred of the names and in ten more
+    assert {"gram", "tail"} <= set(places.columns) and places.select("_id").distinct().count() == 112
